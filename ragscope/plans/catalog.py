@@ -269,3 +269,169 @@ def smallest_class(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """entry(): T1 leaderboard over the run table."""
     return leaderboard_top15(spark, sf)
+
+
+# ──────────────────────── joins, keys, contract (J1, J2, F4-F6, C1-C13) ────────────────────────
+from ..functions.scalar import first_list_item  # noqa: E402
+from ..operators import contract as C  # noqa: E402
+from ..operators import joins as J  # noqa: E402
+from ..operators.retrieval import retrieval_metrics as _retrieval_metrics  # noqa: E402
+from ..schema import ALLOWED_VALUES, BINARY_FLAGS, CATEGORIES  # noqa: E402
+from ..sources import adapters as AD  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+_SU_SQL = """su AS (
+  SELECT s.*, coalesce(c.n, 0) AS n_eval_examples, CASE WHEN coalesce(c.n, 0) > 0 THEN 1 ELSE 0 END AS is_used_in_eval
+  FROM scenarios s LEFT JOIN (SELECT scenario_id, count(*) AS n FROM eval_runs GROUP BY scenario_id) c
+    ON c.scenario_id = s.scenario_id)"""
+_FIRST_DOC_SQL = "trim(split_part(trim(CAST({c} AS VARCHAR), '[]''\"'), '{sep}', 1))"
+
+
+def enriched(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: runs ⟕ scenarios (with C8 usage columns) ⟕ documents."""
+    r = runs(spark, sf)
+    scen = C.scenario_usage(AD.scenarios(read_table(spark, sf, "customer")), r)
+    return J.merge_datasets(r, scen, AD.documents_dim(read_table(spark, sf, "part")))
+
+
+_ENRICHED_COLS = ["run_id", "scenario_id", "primary_doc_id", "scenario_doc_id", "scenario_type", "n_eval_examples",
+                  "is_used_in_eval", "difficulty_level", "use_case", "source_type", "domain", "split"]
+
+
+@register("enriched_runs", f"""
+WITH {_SU_SQL}
+SELECT r.run_id, r.scenario_id, {_FIRST_DOC_SQL.format(c='r.doc_ids_used', sep='|')} AS primary_doc_id,
+       su.primary_doc_id AS scenario_doc_id, su.scenario_type, su.n_eval_examples, su.is_used_in_eval,
+       su.difficulty_level, su.use_case, d.source_type, r.domain, r.split
+FROM eval_runs r LEFT JOIN su ON su.scenario_id = r.scenario_id
+LEFT JOIN documents_dim d ON d.doc_id = {_FIRST_DOC_SQL.format(c='r.doc_ids_used', sep='|')}""")
+def enriched_runs(spark, sf):
+    return enriched(spark, sf).select(*_ENRICHED_COLS)
+
+
+def _doc_list_variants(r: DataFrame) -> DataFrame:
+    d = F.col("doc_ids_used")
+    m = F.col("run_id") % 5
+    v = (F.when(m == 0, F.concat(F.lit("['"), F.replace(d, F.lit("|"), F.lit("', '")), F.lit("']")))
+         .when(m == 1, F.lit("")).when(m == 2, F.lit(None).cast("string"))
+         .when(m == 3, F.replace(d, F.lit("|"), F.lit(","))).otherwise(d))
+    return r.select("run_id", v.alias("doc_list"))
+
+
+@register("primary_doc_key", f"""
+WITH v AS (
+  SELECT run_id, CASE WHEN run_id % 5 = 0 THEN '[''' || replace(doc_ids_used, '|', ''', ''') || ''']'
+                      WHEN run_id % 5 = 1 THEN '' WHEN run_id % 5 = 2 THEN NULL
+                      WHEN run_id % 5 = 3 THEN replace(doc_ids_used, '|', ',') ELSE doc_ids_used END AS doc_list
+  FROM eval_runs)
+SELECT run_id, doc_list, {_FIRST_DOC_SQL.format(c='doc_list', sep='|')} AS primary_doc_id,
+       {_FIRST_DOC_SQL.format(c='doc_list', sep=',')} AS legacy_doc_id
+FROM v""")
+def primary_doc_key(spark, sf):
+    """First document id from a delimited list, by the contract rule ('|') and the legacy rule (',')."""
+    v = _doc_list_variants(runs(spark, sf))
+    return v.select("run_id", "doc_list", first_list_item("doc_list", "|").alias("primary_doc_id"),
+                    first_list_item("doc_list", ",").alias("legacy_doc_id"))
+
+
+@register("retrieval_metrics", """
+SELECT run_id, n_retrieved_chunks, round(mean_retrieved_score, 10) AS mean_retrieved_score, top1_score,
+       recall_at_5, recall_at_10, mrr_at_10, CAST(recall_at_5 AS INTEGER) AS has_relevant_in_top5,
+       CAST(recall_at_10 AS INTEGER) AS has_relevant_in_top10, doc_ids_used
+FROM run_metrics""")
+def retrieval_metrics(spark, sf):
+    """C1-C5 over the whole event table."""
+    ev = AD.retrieval_events(read_table(spark, sf, "lineitem"))
+    m = _retrieval_metrics(ev, order_cols=AD.event_order_cols(), doc_col="doc_id")
+    # scores carry 7 decimals and a run has few items, so 10 digits never lands on a rounding tie
+    return m.withColumn("mean_retrieved_score", F.round("mean_retrieved_score", 10))
+
+
+@register("answered_without_retrieval", """
+SELECT run_id, CASE WHEN is_correct = 1 AND coalesce(recall_at_10, 0.0) = 0 AND has_answer_in_corpus = 1
+                    THEN 1 ELSE 0 END AS answered_without_retrieval
+FROM eval_runs""")
+def answered_without_retrieval(spark, sf):
+    return runs(spark, sf).select("run_id", C.answered_without_retrieval().alias("answered_without_retrieval"))
+
+
+@register("latency_consistency", """
+SELECT count(*) AS n_runs,
+       count(*) FILTER (WHERE total_latency_ms < latency_ms_retrieval + latency_ms_generation) AS n_violations,
+       round(avg(CAST(total_latency_ms - latency_ms_retrieval - latency_ms_generation AS DOUBLE)), 4) AS avg_overhead,
+       min(CAST(total_latency_ms - latency_ms_retrieval - latency_ms_generation AS DOUBLE)) AS min_overhead,
+       max(CAST(total_latency_ms - latency_ms_retrieval - latency_ms_generation AS DOUBLE)) AS max_overhead
+FROM eval_runs""")
+def latency_consistency(spark, sf):
+    return C.latency_consistency(runs(spark, sf))
+
+
+@register("scenario_usage", f"""
+WITH {_SU_SQL}
+SELECT scenario_id, split, n_eval_examples, is_used_in_eval FROM su""")
+def scenario_usage(spark, sf):
+    scen = AD.scenarios(read_table(spark, sf, "customer"))
+    return C.scenario_usage(scen, runs(spark, sf)).select("scenario_id", "split", "n_eval_examples", "is_used_in_eval")
+
+
+@register("split_leak_check", """
+SELECT count(*) AS n_keys, count(*) FILTER (WHERE n > 1) AS n_leaking_keys
+FROM (SELECT query_id, count(DISTINCT split) AS n FROM eval_runs GROUP BY query_id)""")
+def split_leak_check(spark, sf):
+    return C.split_leak_check(runs(spark, sf))
+
+
+_CFG_COLS = ["generator_model", "retrieval_strategy", "chunking_strategy", "embedding_model", "reranker_model",
+             "max_new_tokens"]
+
+
+@register("config_id", """
+SELECT 'CFG' || upper(substring(md5(concat_ws('|', generator_model, retrieval_strategy, chunking_strategy,
+         embedding_model, coalesce(reranker_model, 'none'), CAST(max_new_tokens AS VARCHAR))), 1, 10)) AS run_config_id,
+       count(*) AS n_runs
+FROM eval_runs GROUP BY 1""")
+def config_id(spark, sf):
+    """C11: deterministic configuration ids and the number of runs of each."""
+    return runs(spark, sf).groupBy(C.config_id(_CFG_COLS).alias("run_config_id")) \
+        .agg(F.count(F.lit(1)).alias("n_runs"))
+
+
+_DICT_ALLOWED = {**ALLOWED_VALUES, **CATEGORIES}
+_DICT_PATTERNS = {"run_config_id": r"^CFG[A-F0-9]{10}$", "query_code": r"^Q[0-9]{4}$"}
+
+
+def _dict_sql() -> str:
+    parts = []
+    for c, vals in _DICT_ALLOWED.items():
+        lst = ", ".join(f"'{v}'" for v in vals)
+        parts.append(f"SELECT 'allowed_values' AS rule, '{c}' AS col_name, count(*) FILTER "
+                     f"(WHERE {c} IS NOT NULL AND CAST({c} AS VARCHAR) NOT IN ({lst})) AS violations FROM r")
+    for c, rx in _DICT_PATTERNS.items():
+        parts.append(f"SELECT 'pattern' AS rule, '{c}' AS col_name, count(*) FILTER "
+                     f"(WHERE {c} IS NOT NULL AND NOT regexp_matches(CAST({c} AS VARCHAR), '{rx}')) AS violations FROM r")
+    for c in BINARY_FLAGS:
+        parts.append(f"SELECT 'binary_flag' AS rule, '{c}' AS col_name, count(*) FILTER "
+                     f"(WHERE {c} IS NOT NULL AND {c} NOT IN (0, 1)) AS violations FROM r")
+    parts.append("SELECT 'numeric_cast' AS rule, 'primary_doc_id' AS col_name, count(*) FILTER "
+                 "(WHERE primary_doc_id IS NOT NULL AND TRY_CAST(primary_doc_id AS DOUBLE) IS NULL) AS violations FROM r")
+    return ("WITH r AS (SELECT *, 'Q' || lpad(CAST(query_id AS VARCHAR), 4, '0') AS query_code, "
+            f"{_FIRST_DOC_SQL.format(c='doc_ids_used', sep='|')} AS primary_doc_id FROM eval_runs)\n"
+            + "\nUNION ALL ".join(parts))
+
+
+@register("dictionary_violations", _dict_sql())
+def dictionary_violations(spark, sf):
+    r = runs(spark, sf).withColumns({
+        "query_code": F.concat(F.lit("Q"), F.lpad(F.col("query_id").cast("string"), 4, "0")),
+        "primary_doc_id": first_list_item("doc_ids_used", "|")})
+    return C.dictionary_violations(r, _DICT_ALLOWED, _DICT_PATTERNS, BINARY_FLAGS, ["primary_doc_id"])
+
+
+@register("failure_modes", """
+SELECT CASE WHEN hallucination_flag = 1 AND coalesce(has_relevant_in_top10, 0) = 0 THEN 'no_relevant_chunk_hallucinated'
+            WHEN hallucination_flag = 1 AND is_noanswer_probe = 1 THEN 'noanswer_probe_hallucinated'
+            WHEN hallucination_flag = 1 THEN 'other_hallucination' ELSE 'no_hallucination' END AS failure_mode,
+       count(*) AS count
+FROM eval_runs GROUP BY 1""")
+def failure_modes(spark, sf):
+    return runs(spark, sf).groupBy(C.failure_mode().alias("failure_mode")).agg(F.count(F.lit(1)).alias("count"))
