@@ -435,3 +435,199 @@ SELECT CASE WHEN hallucination_flag = 1 AND coalesce(has_relevant_in_top10, 0) =
 FROM eval_runs GROUP BY 1""")
 def failure_modes(spark, sf):
     return runs(spark, sf).groupBy(C.failure_mode().alias("failure_mode")).agg(F.count(F.lit(1)).alias("count"))
+
+
+# ─────────────────────── features, validation, requests (E1-E13, P5, P10) ───────────────────────
+from ..operators import features as FE  # noqa: E402
+from ..operators import validate as V  # noqa: E402
+from ..schema import (CLAMP_RULES, CLUSTER_FEATURES, DIFFICULTY_ORDER, FLAG_FEATURES, LABEL_ENCODED_FEATURES,  # noqa: E402
+                      NON_NEGATIVE_FIELDS, REQUEST_FIELDS, reference_features)
+from ..sources.artifacts import categories_dict  # noqa: E402
+
+_ORD_SQL = ("CASE {c} WHEN 'easy' THEN 0 WHEN 'medium' THEN 1 WHEN 'hard' THEN 2 ELSE 1 END")
+
+
+def _onehot_sql(cats=CATEGORIES) -> list[str]:
+    return [f"CASE WHEN CAST({c} AS VARCHAR) = '{v}' THEN 1 ELSE 0 END AS \"{c}_{v}\"" for c, vals in cats.items()
+            for v in vals]
+
+
+def _interactions_sql(ord_expr: str) -> list[str]:
+    return [f"top1_score * {ord_expr} AS retrieval_x_difficulty",
+            "recall_at_5 * n_retrieved_chunks AS recall5_x_nchunks",
+            "top1_score - mean_retrieved_score AS score_gap",
+            "CAST(latency_ms_generation AS DOUBLE) / CAST(latency_ms_retrieval + 1 AS DOUBLE) AS latency_ratio",
+            "CAST(total_cost_usd AS DOUBLE) / CAST(prompt_tokens + answer_tokens + 1 AS DOUBLE) AS cost_per_token"]
+
+
+_WORDS_SQL = "CAST(len(regexp_extract_all({c}, '\\S+')) AS INTEGER)"
+
+
+@register("one_hot", f"SELECT run_id, {', '.join(_onehot_sql())} FROM eval_runs")
+def one_hot(spark, sf):
+    """E2 with the vocabulary learned from the data."""
+    r = runs(spark, sf)
+    return r.select("run_id", *FE.one_hot_exprs(categories_dict(r)))
+
+
+@register("label_encode", "SELECT run_id, " + ", ".join(
+    f"CAST(dense_rank() OVER (ORDER BY coalesce(CAST({c} AS VARCHAR), 'nan')) - 1 AS INTEGER) AS {c}_enc"
+    for c in LABEL_ENCODED_FEATURES) + " FROM eval_runs")
+def label_encode(spark, sf):
+    """Notebook-style alphabetical codes for the 10 categorical columns."""
+    return FE.label_encode(runs(spark, sf), LABEL_ENCODED_FEATURES).select(
+        "run_id", *[f"{c}_enc" for c in LABEL_ENCODED_FEATURES])
+
+
+@register("target_codes", """
+SELECT correctness_label, CAST(dense_rank() OVER (ORDER BY correctness_label) - 1 AS INTEGER) AS label_index, n
+FROM (SELECT correctness_label, count(*) AS n FROM eval_runs GROUP BY correctness_label)""")
+def target_codes(spark, sf):
+    """Target label ↔ integer code (alphabetical), with class sizes."""
+    enc = FE.label_encode(runs(spark, sf).select("correctness_label"), ["correctness_label"], "_idx")
+    return enc.groupBy("correctness_label", F.col("correctness_label_idx").alias("label_index")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("interactions", f"""
+SELECT run_id, {_ORD_SQL.format(c='difficulty')} AS difficulty_ord,
+       {', '.join(_interactions_sql(_ORD_SQL.format(c='difficulty')))} FROM eval_runs""")
+def interactions(spark, sf):
+    """E3 + E4: ordinal difficulty and the five interaction features."""
+    ordc = FE.difficulty_ord()
+    return runs(spark, sf).select("run_id", ordc, *FE.interaction_exprs())
+
+
+@register("text_features", f"""
+SELECT run_id, CAST(length(query) AS INTEGER) AS query_len, {_WORDS_SQL.format(c='query')} AS query_word_count
+FROM eval_runs""")
+def text_features(spark, sf):
+    """E5 / F1 / F2 on the run queries."""
+    return runs(spark, sf).select("run_id", *FE.text_exprs("query"))
+
+
+@register("doc_text_stats", f"""
+SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars_text, {_WORDS_SQL.format(c='text')} AS n_words
+FROM documents""")
+def doc_text_stats(spark, sf):
+    """F1 / F2 over whole document texts."""
+    from ..functions.scalar import char_length, word_count
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", char_length("text").alias("n_chars_text"), word_count("text").alias("n_words"))
+
+
+def _features_sql() -> str:
+    ordx = _ORD_SQL.format(c="difficulty")
+    cols = (NUMERIC_FEATURES + FLAG_FEATURES + [f"{ordx} AS difficulty_ord"] + _onehot_sql()
+            + _interactions_sql(ordx)
+            + ["CAST(length(query) AS INTEGER) AS query_len", f"{_WORDS_SQL.format(c='query')} AS query_word_count"])
+    return "SELECT run_id, " + ", ".join(cols) + " FROM eval_runs"
+
+
+@register("features_full", _features_sql())
+def features_full(spark, sf):
+    """The 80-column feature table (vocabulary learned from the data)."""
+    df, names = FE.engineer_features(runs(spark, sf), keep=["run_id"])
+    return df.select("run_id", *[F.col(f"`{n}`") for n in names])
+
+
+@register("split_counts", f"""
+SELECT split, count(*) AS n_rows, {len(reference_features())} AS n_features FROM eval_runs GROUP BY split""")
+def split_counts(spark, sf):
+    """P5: rows per split and the width of the feature matrix."""
+    r = runs(spark, sf)
+    _, names = FE.engineer_features(r, keep=["run_id"])
+    return FE.split_counts(r, len(names))
+
+
+@register("zscore", "WITH st AS (SELECT " + ", ".join(
+    f"avg(CAST(coalesce({c}, 0) AS DOUBLE)) AS m_{c}, stddev_pop(CAST(coalesce({c}, 0) AS DOUBLE)) AS s_{c}"
+    for c in CLUSTER_FEATURES) + " FROM eval_runs)\nSELECT run_id, " + ", ".join(
+    f"round((CAST(coalesce({c}, 0) AS DOUBLE) - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END, 8) AS {c}_z"
+    for c in CLUSTER_FEATURES) + " FROM eval_runs, st")
+def zscore(spark, sf):
+    """Population z-scores of the clustering inputs (rounded to 8 decimals)."""
+    z = FE.zscore(runs(spark, sf), CLUSTER_FEATURES)
+    return z.select("run_id", *[F.round(f"{c}_z", 8).alias(f"{c}_z") for c in CLUSTER_FEATURES])
+
+
+def _sq(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def _validate_parts():
+    """SQL pieces of E12: (warning expressions in order, sanitized column expressions)."""
+    warns, fixed = [], {}
+    for f, lo, hi in CLAMP_RULES:
+        bad = f"({f} IS NOT NULL AND NOT isnan({f}) AND ({f} < {lo} OR {f} > {hi}))"
+        clamped = f"greatest(CAST({lo} AS DOUBLE), least(CAST({hi} AS DOUBLE), {f}))"
+        warns.append(f"CASE WHEN {bad} THEN '{f}=' || CAST({f} AS VARCHAR) || ' clamped to [{lo},{hi}] → ' "
+                     f"|| CAST({clamped} AS VARCHAR) END")
+        fixed[f] = f"CASE WHEN {bad} THEN {clamped} ELSE {f} END"
+    for f in NON_NEGATIVE_FIELDS:
+        warns.append(f"CASE WHEN {f} < 0 THEN '{f}=' || CAST({f} AS VARCHAR) || ' is negative, set to 0' END")
+        fixed[f] = f"CASE WHEN {f} < 0 THEN 0 ELSE {f} END"
+    for c, vals in CATEGORIES.items():
+        lst = ", ".join(f"'{v}'" for v in vals)
+        pylist = _sq("[" + ", ".join(f"'{v}'" for v in vals) + "]")
+        warns.append(f"CASE WHEN {c} IS NOT NULL AND {c} <> '' AND {c} NOT IN ({lst}) THEN '{c}=''' || {c} || "
+                     f"''' is unseen (valid: {pylist}); all one-hot columns will be 0 (safe fallback)' END")
+    anynull = " OR ".join(f"{f} IS NULL" for f in V.EXPECTED_FIELDS)
+    names = ", ".join(f"CASE WHEN {f} IS NULL THEN '''{f}''' END" for f in V.EXPECTED_FIELDS)
+    warns.append(f"CASE WHEN {anynull} THEN 'Defaulted fields: [' || concat_ws(', ', {names}) || ']' END")
+    return warns, fixed
+
+
+_VAL_OUT = ["top1_score", "temperature", "top_p", "n_retrieved_chunks", "prompt_tokens"]
+
+
+def _validate_sql() -> str:
+    warns, fixed = _validate_parts()
+    return (f"SELECT request_id, concat_ws('; ', {', '.join(warns)}) AS warnings_text, "
+            f"CAST({' + '.join(f'(({w}) IS NOT NULL)::INTEGER' for w in warns)} AS INTEGER) AS n_warnings, "
+            + ", ".join(f"{fixed[c]} AS {c}" for c in _VAL_OUT) + " FROM requests")
+
+
+@register("validate_requests", _validate_sql())
+def validate_requests(spark, sf):
+    """E12 + U4 over a batch of requests."""
+    req = AD.requests_from_events(read_table(spark, sf, "events"))
+    v = V.validate_requests(req)
+    return v.select("request_id", F.array_join("warnings", "; ").alias("warnings_text"),
+                    F.size("warnings").alias("n_warnings"), *_VAL_OUT)
+
+
+def _request_features_sql() -> str:
+    _, fixed = _validate_parts()
+    sanit = ", ".join(f"{fixed[c]} AS {c}" for c in fixed)
+    others = [n for n, _, _ in REQUEST_FIELDS if n not in fixed]
+    defaults = []
+    for n, t, d in REQUEST_FIELDS:
+        typ = {"string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER"}[t]
+        lit = f"'{_sq(d)}'" if t == "string" else f"CAST({d} AS {typ})"
+        defaults.append(f"coalesce(CAST({n} AS {typ}), {lit}) AS {n}")
+    ordx = _ORD_SQL.format(c="coalesce(difficulty, 'medium')")
+    feats = ([f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in NUMERIC_FEATURES]
+             + [f"coalesce(CAST({c} AS INTEGER), 0) AS {c}" for c in FLAG_FEATURES]
+             + [f"{ordx} AS difficulty_ord"] + _onehot_sql()
+             + [f"n.top1_score * ({ordx}) AS retrieval_x_difficulty",
+                "recall_at_5 * n_retrieved_chunks AS recall5_x_nchunks",
+                "top1_score - mean_retrieved_score AS score_gap",
+                "latency_ms_generation / (latency_ms_retrieval + 1) AS latency_ratio",
+                "total_cost_usd / (prompt_tokens + answer_tokens + 1) AS cost_per_token",
+                "CAST(coalesce(length(query), 0) AS INTEGER) AS query_len",
+                f"CAST(coalesce({_WORDS_SQL.format(c='query')}, 0) AS INTEGER) AS query_word_count"])
+    return (f"WITH s AS (SELECT request_id, {sanit}, {', '.join(others)} FROM requests),\n"
+            f"d AS (SELECT request_id, {', '.join(defaults)} FROM s),\n"
+            f"n AS (SELECT request_id, query, difficulty, {', '.join(CATEGORIES)}, "
+            + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in NUMERIC_FEATURES)
+            + ", " + ", ".join(FLAG_FEATURES) + " FROM d)\n"
+            f"SELECT request_id, {', '.join(feats)} FROM n")
+
+
+@register("request_features", _request_features_sql())
+def request_features(spark, sf):
+    """E11 + E12 + E13: validated, defaulted requests → the 80 trained features (saved vocabulary)."""
+    req = AD.requests_from_events(read_table(spark, sf, "events"))
+    ready = V.apply_defaults(V.validate_requests(req))
+    return V.transform_requests(ready, reference_features(), CATEGORIES, keep=["request_id"])

@@ -77,7 +77,7 @@ runs_cfg AS (
               WHEN o.o_custkey % 4 = 2 THEN CAST(0.95 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS top_p,
          50 + (o.o_orderkey * 31) % 450 AS latency_ms_retrieval,
          CASE WHEN o.o_custkey % 10 = 0 THEN 1 ELSE 0 END AS is_noanswer_probe,
-         m.n_retrieved_chunks, m.top1_score, m.mean_retrieved_score, m.recall_at_5, m.recall_at_10,
+         m.n_retrieved_chunks, m.top1_score, round(m.mean_retrieved_score, 10) AS mean_retrieved_score, m.recall_at_5, m.recall_at_10,
          m.mrr_at_10, CAST(m.recall_at_5 AS INTEGER) AS has_relevant_in_top5,
          CAST(m.recall_at_10 AS INTEGER) AS has_relevant_in_top10, m.doc_ids_used,
          o.o_orderdate AS created_at_utc
@@ -135,7 +135,54 @@ documents_dim AS (
          p_size % 10 + 1 AS n_chunks, p_brand AS owner_team
   FROM part)"""
 
-ALL_VIEWS = ",".join([RETRIEVAL_EVENTS, EVAL_RUNS, SCENARIOS, DOCUMENTS_DIM])
+_UNSEEN = {"domain": "finance", "task_type": "factual", "generator_model": "gpt-5",
+           "chunking_strategy": "fixed_500", "eval_mode": "llm_judge"}
+
+
+def _cat(name: str, idx: str) -> str:
+    vals = CATEGORIES[name] + ([_UNSEEN[name]] if name in _UNSEEN else [])
+    return _pick(vals, f"({idx}) % {len(vals)}")
+
+
+REQUESTS = f"""
+requests AS (
+  SELECT event_id AS request_id,
+         CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 13 = 1 THEN ''
+              ELSE 'How do I ' || event_type || ' item ' || CAST(user_id AS VARCHAR) || '?' END AS query,
+         CASE WHEN event_id % 17 = 0 THEN NULL ELSE {_cat('domain', 'user_id')} END AS domain,
+         {_cat('task_type', 'user_id + event_id')} AS task_type,
+         {_pick(DIFFICULTY_ORDER + ['extreme'], 'event_id % 4')} AS difficulty,
+         {_cat('generator_model', 'event_id')} AS generator_model,
+         {_cat('embedding_model', 'user_id')} AS embedding_model,
+         CASE WHEN event_id % 19 = 0 THEN NULL ELSE {_cat('reranker_model', 'event_id')} END AS reranker_model,
+         {_cat('retrieval_strategy', 'user_id')} AS retrieval_strategy,
+         {_cat('chunking_strategy', 'event_id')} AS chunking_strategy,
+         {_cat('eval_mode', 'user_id')} AS eval_mode,
+         {_cat('stop_reason', 'event_id')} AS stop_reason,
+         CASE WHEN event_id % 29 = 0 THEN NULL ELSE value / CAST(100.0 AS DOUBLE) END AS top1_score,
+         value / CAST(200.0 AS DOUBLE) AS mean_retrieved_score,
+         CASE WHEN event_id % 3 = 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS recall_at_5,
+         CASE WHEN event_id % 3 = 2 THEN CAST(0.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS recall_at_10,
+         CAST(event_id % 11 AS DOUBLE) / CAST(10.0 AS DOUBLE) AS mrr_at_10,
+         CAST(event_id % 30 - 5 AS DOUBLE) / CAST(10.0 AS DOUBLE) AS temperature,
+         CAST(user_id % 12 AS DOUBLE) / CAST(10.0 AS DOUBLE) AS top_p,
+         CAST(user_id % 20 - 2 AS INTEGER) AS n_retrieved_chunks,
+         CAST((event_id * 7) % 2000 - 100 AS INTEGER) AS prompt_tokens,
+         CASE WHEN event_id % 23 = 0 THEN NULL ELSE CAST((user_id * 3) % 500 AS INTEGER) END AS answer_tokens,
+         8192 AS context_window_tokens,
+         CASE WHEN event_id % 2 = 0 THEN 512 ELSE 1024 END AS max_new_tokens,
+         value AS latency_ms_retrieval, value * 5 AS latency_ms_generation, value * 6 + 10 AS total_latency_ms,
+         value / CAST(10000.0 AS DOUBLE) AS total_cost_usd,
+         CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS has_relevant_in_top5,
+         CASE WHEN event_id % 3 = 2 THEN 0 ELSE 1 END AS has_relevant_in_top10,
+         CASE WHEN event_id % 31 = 0 THEN NULL ELSE 1 END AS has_answer_in_corpus,
+         0 AS is_noanswer_probe,
+         CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS used_long_context_window,
+         0 AS answered_without_retrieval,
+         ts
+  FROM events)"""
+
+ALL_VIEWS = ",".join([RETRIEVAL_EVENTS, EVAL_RUNS, SCENARIOS, DOCUMENTS_DIM, REQUESTS])
 
 
 def with_views(query: str) -> str:

@@ -166,6 +166,14 @@ CATEGORIES = {
 BINARY_FLAGS = ["is_correct", "hallucination_flag"] + FLAG_FEATURES
 # ─────────────────────────── END FIXED VALUES ───────────────────────────
 
+
+def reference_features(categories=None) -> list[str]:
+    """Trained feature order: numeric, flags, ordinal, one-hot (vocabulary order), interactions, text."""
+    cats = categories if categories is not None else CATEGORIES
+    return (NUMERIC_FEATURES + FLAG_FEATURES + ["difficulty_ord"]
+            + [f"{c}_{v}" for c, vals in cats.items() for v in vals] + INTERACTION_FEATURES + TEXT_FEATURES)
+
+
 _TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(),
           "long": T.LongType()}
 

@@ -88,7 +88,8 @@ def eval_runs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
          .when(c % 4 == 2, F.lit(0.95)).otherwise(F.lit(1.0)).alias("top_p"),
         (F.lit(50) + (k * 31) % 450).alias("latency_ms_retrieval"),
         F.when(c % 10 == 0, F.lit(1)).otherwise(F.lit(0)).alias("is_noanswer_probe"),
-        "n_retrieved_chunks", "top1_score", "mean_retrieved_score", "recall_at_5", "recall_at_10",
+        "n_retrieved_chunks", "top1_score", F.round("mean_retrieved_score", 10).alias("mean_retrieved_score"),
+        "recall_at_5", "recall_at_10",
         "mrr_at_10", "has_relevant_in_top5", "has_relevant_in_top10", "doc_ids_used",
         F.col("o_orderdate").alias("created_at_utc"),
     )
@@ -174,3 +175,59 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["retrieval_events", "eval_runs", "scenarios", "documents_dim", "load_adapter_tables",
            "runs", "event_order_cols", "first_list_item"]
+
+
+# Extra spellings injected into requests so validation sees unseen categories / unknown difficulty.
+UNSEEN = {"domain": "finance", "task_type": "factual", "generator_model": "gpt-5",
+          "chunking_strategy": "fixed_500", "eval_mode": "llm_judge"}
+
+
+def requests_from_events(events: DataFrame) -> DataFrame:
+    """Scoring requests (E13 schema) derived from the ``events`` table: one request per event, with
+    not-provided (null), empty, out-of-range, negative and unseen values at fixed residues of the ids."""
+    e, u, v = F.col("event_id"), F.col("user_id"), F.col("value")
+
+    def cat(name: str, idx: Column) -> Column:
+        vals = CATEGORIES[name] + ([UNSEEN[name]] if name in UNSEEN else [])
+        return pick(vals, idx % len(vals))
+
+    null_if = lambda cond, x: F.when(cond, F.lit(None)).otherwise(x)
+    return events.select(
+        e.alias("request_id"),
+        F.when(e % 13 == 0, F.lit(None).cast("string")).when(e % 13 == 1, F.lit(""))
+         .otherwise(F.concat(F.lit("How do I "), F.col("event_type"), F.lit(" item "), u.cast("string"), F.lit("?")))
+         .alias("query"),
+        null_if(e % 17 == 0, cat("domain", u)).alias("domain"),
+        cat("task_type", u + e).alias("task_type"),
+        pick(DIFFICULTY_ORDER + ["extreme"], e % 4).alias("difficulty"),
+        cat("generator_model", e).alias("generator_model"),
+        cat("embedding_model", u).alias("embedding_model"),
+        null_if(e % 19 == 0, cat("reranker_model", e)).alias("reranker_model"),
+        cat("retrieval_strategy", u).alias("retrieval_strategy"),
+        cat("chunking_strategy", e).alias("chunking_strategy"),
+        cat("eval_mode", u).alias("eval_mode"),
+        cat("stop_reason", e).alias("stop_reason"),
+        null_if(e % 29 == 0, v / F.lit(100.0)).alias("top1_score"),
+        (v / F.lit(200.0)).alias("mean_retrieved_score"),
+        F.when(e % 3 == 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("recall_at_5"),
+        F.when(e % 3 == 2, F.lit(0.0)).otherwise(F.lit(1.0)).alias("recall_at_10"),
+        ((e % 11).cast("double") / F.lit(10.0)).alias("mrr_at_10"),
+        (((e % 30) - 5).cast("double") / F.lit(10.0)).alias("temperature"),
+        ((u % 12).cast("double") / F.lit(10.0)).alias("top_p"),
+        ((u % 20) - 2).cast("int").alias("n_retrieved_chunks"),
+        ((e * 7) % 2000 - 100).cast("int").alias("prompt_tokens"),
+        null_if(e % 23 == 0, ((u * 3) % 500).cast("int")).alias("answer_tokens"),
+        F.lit(8192).alias("context_window_tokens"),
+        F.when(e % 2 == 0, F.lit(512)).otherwise(F.lit(1024)).alias("max_new_tokens"),
+        v.alias("latency_ms_retrieval"),
+        (v * 5).alias("latency_ms_generation"),
+        (v * 6 + 10).alias("total_latency_ms"),
+        (v / F.lit(10000.0)).alias("total_cost_usd"),
+        F.when(e % 3 == 0, F.lit(1)).otherwise(F.lit(0)).alias("has_relevant_in_top5"),
+        F.when(e % 3 == 2, F.lit(0)).otherwise(F.lit(1)).alias("has_relevant_in_top10"),
+        null_if(e % 31 == 0, F.lit(1)).alias("has_answer_in_corpus"),
+        F.lit(0).alias("is_noanswer_probe"),
+        F.when(e % 5 == 0, F.lit(1)).otherwise(F.lit(0)).alias("used_long_context_window"),
+        F.lit(0).alias("answered_without_retrieval"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
