@@ -631,3 +631,195 @@ def request_features(spark, sf):
     req = AD.requests_from_events(read_table(spark, sf, "events"))
     ready = V.apply_defaults(V.validate_requests(req))
     return V.transform_requests(ready, reference_features(), CATEGORIES, keep=["request_id"])
+
+
+# ─────────────────────────── evaluation metrics (A18-A26, W2-W6, U2) ───────────────────────────
+from ..operators import metrics as M  # noqa: E402
+
+_SCORE = "coalesce(top1_score, 0.0)"
+_MC_PRED = ("CASE WHEN coalesce(top1_score, 0.0) >= 0.6 THEN 'correct' WHEN coalesce(top1_score, 0.0) >= 0.3 "
+            "THEN 'partial' ELSE 'incorrect' END")
+
+
+def _scored(spark, sf) -> DataFrame:
+    """Fixed predictions over the run table: retrieval score as a correctness score, rule labels."""
+    r = runs(spark, sf)
+    s = F.coalesce(F.col("top1_score"), F.lit(0.0))
+    return r.select("run_id", "is_correct", "correctness_label", "total_latency_ms", "latency_ms_retrieval",
+                    "latency_ms_generation", "mean_retrieved_score", "mrr_at_10", "recall_at_5",
+                    s.alias("score"), (s >= 0.5).cast("int").alias("pred"),
+                    F.when(s >= 0.6, "correct").when(s >= 0.3, "partial").otherwise("incorrect").alias("pred_label"))
+
+
+@register("confusion", f"""
+SELECT CAST(is_correct AS VARCHAR) AS actual, CAST(CAST({_SCORE} >= 0.5 AS INTEGER) AS VARCHAR) AS predicted,
+       count(*) AS count FROM eval_runs GROUP BY 1, 2""")
+def confusion(spark, sf):
+    return M.confusion(_scored(spark, sf), "is_correct", "pred")
+
+
+@register("confusion_matrix_mc", f"""
+SELECT correctness_label AS actual,
+       count(*) FILTER (WHERE ({_MC_PRED}) = 'correct') AS correct,
+       count(*) FILTER (WHERE ({_MC_PRED}) = 'incorrect') AS incorrect,
+       count(*) FILTER (WHERE ({_MC_PRED}) = 'partial') AS partial
+FROM eval_runs GROUP BY correctness_label""")
+def confusion_matrix_mc(spark, sf):
+    """A18 pivot form, 3 classes, missing cells filled with 0."""
+    return M.confusion_matrix(_scored(spark, sf), "correctness_label", "pred_label", ["correct", "incorrect", "partial"])
+
+
+def _class_report_sql(y: str, p: str) -> str:
+    return f"""
+WITH d AS (SELECT CAST({y} AS VARCHAR) AS y, CAST({p} AS VARCHAR) AS p FROM eval_runs),
+lab AS (SELECT y AS label FROM d UNION SELECT p FROM d),
+c AS (SELECT label, (SELECT count(*) FROM d WHERE d.y = lab.label) AS support,
+             (SELECT count(*) FROM d WHERE d.y = lab.label AND d.p = lab.label) AS tp,
+             (SELECT count(*) FROM d WHERE d.p = lab.label) AS n_pred FROM lab),
+per AS (SELECT label, CASE WHEN n_pred = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / n_pred END AS precision,
+               CASE WHEN support = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / support END AS recall, support FROM c),
+per2 AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1
+         FROM per),
+acc AS (SELECT avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END) AS a, count(*) AS n FROM d)
+SELECT label, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1,
+       CAST(support AS BIGINT) AS support FROM per2
+UNION ALL SELECT 'accuracy', round(a, 4), round(a, 4), round(a, 4), n FROM acc
+UNION ALL SELECT 'macro avg', round(avg(precision), 4), round(avg(recall), 4), round(avg(f1), 4),
+                 CAST(sum(support) AS BIGINT) FROM per2
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 4),
+                 round(sum(recall * support) / sum(support), 4), round(sum(f1 * support) / sum(support), 4),
+                 CAST(sum(support) AS BIGINT) FROM per2"""
+
+
+@register("class_report", _class_report_sql("correctness_label", _MC_PRED))
+def class_report(spark, sf):
+    """3-class report of rule predictions vs correctness labels."""
+    return M.class_report(_scored(spark, sf), "correctness_label", "pred_label")
+
+
+@register("class_report_binary", _class_report_sql("is_correct", f"CAST({_SCORE} >= 0.5 AS INTEGER)"))
+def class_report_binary(spark, sf):
+    """A19 + A25 (minority-class recall is the row of label 0)."""
+    return M.class_report(_scored(spark, sf), "is_correct", "pred")
+
+
+def _auc_sql(score: str) -> str:
+    return f"""(
+  SELECT round((sum(ar) FILTER (WHERE y = 1) - CAST(count(*) FILTER (WHERE y = 1) AS DOUBLE)
+               * (count(*) FILTER (WHERE y = 1) + 1) / 2)
+               / (CAST(count(*) FILTER (WHERE y = 1) AS DOUBLE) * count(*) FILTER (WHERE y = 0)), 10)
+  FROM (SELECT is_correct AS y,
+               rank() OVER (ORDER BY {score}) + CAST(count(*) OVER (PARTITION BY {score}) - 1 AS DOUBLE) / 2 AS ar
+        FROM eval_runs))"""
+
+
+def _ap_sql(score: str) -> str:
+    return f"""(
+  SELECT round(sum(CAST(n_pos AS DOUBLE) / P * (CAST(tp AS DOUBLE) / (tp + fp))), 10)
+  FROM (SELECT n_pos, sum(n_pos) OVER (ORDER BY s DESC) AS tp, sum(n_neg) OVER (ORDER BY s DESC) AS fp,
+               sum(n_pos) OVER () AS P
+        FROM (SELECT CAST({score} AS DOUBLE) AS s, sum(is_correct) AS n_pos, sum(1 - is_correct) AS n_neg
+              FROM eval_runs GROUP BY 1)))"""
+
+
+@register("roc_auc", f"SELECT {_auc_sql(_SCORE)} AS auc")
+def roc_auc(spark, sf):
+    """Tie-averaged ROC-AUC of the retrieval score for correctness."""
+    return M.roc_auc(_scored(spark, sf), "is_correct", "score").select(F.round("auc", 10).alias("auc"))
+
+
+@register("avg_precision", f"SELECT {_ap_sql(_SCORE)} AS average_precision")
+def avg_precision(spark, sf):
+    """Average precision (step sum)."""
+    return M.average_precision(_scored(spark, sf), "is_correct", "score") \
+        .select(F.round("average_precision", 10).alias("average_precision"))
+
+
+_CURVE_SQL = f"""
+WITH c AS (SELECT CAST({_SCORE} AS DOUBLE) AS s, sum(is_correct) AS n_pos, sum(1 - is_correct) AS n_neg
+           FROM eval_runs GROUP BY 1),
+k AS (SELECT s, sum(n_pos) OVER (ORDER BY s DESC) AS tp, sum(n_neg) OVER (ORDER BY s DESC) AS fp,
+             sum(n_pos) OVER () AS P, sum(n_neg) OVER () AS N FROM c)"""
+
+
+@register("roc_curve", _CURVE_SQL + """
+SELECT s AS threshold, CAST(fp AS DOUBLE) / N AS fpr, CAST(tp AS DOUBLE) / P AS tpr FROM k
+UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 0.0""")
+def roc_curve(spark, sf):
+    """Every distinct threshold (no intermediate points dropped) plus the starting point."""
+    return M.roc_curve(_scored(spark, sf), "is_correct", "score")
+
+
+@register("pr_curve", _CURVE_SQL + """
+SELECT s AS threshold, CAST(tp AS DOUBLE) / (tp + fp) AS precision,
+       CASE WHEN P = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / P END AS recall FROM k
+UNION ALL SELECT NULL, 1.0, 0.0""")
+def pr_curve(spark, sf):
+    """precision/recall at every distinct threshold plus the closing point (1, 0)."""
+    return M.pr_curve(_scored(spark, sf), "is_correct", "score")
+
+
+@register("best_threshold", _CURVE_SQL + """,
+pr AS (SELECT s AS threshold, CAST(tp AS DOUBLE) / (tp + fp) AS precision,
+              CASE WHEN P = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / P END AS recall FROM k
+       UNION ALL SELECT NULL, 1.0, 0.0),
+f AS (SELECT threshold, 2 * precision * recall / (precision + recall + CAST(1e-8 AS DOUBLE)) AS f1 FROM pr)
+SELECT coalesce(threshold, 0.5) AS threshold, round(f1, 10) AS f1 FROM f
+ORDER BY f1 DESC, threshold ASC NULLS LAST LIMIT 1""")
+def best_threshold(spark, sf):
+    """F1-optimal threshold on the PR curve (ties → lowest threshold)."""
+    return M.best_threshold(_scored(spark, sf), "is_correct", "score").select(
+        "threshold", F.round("f1", 10).alias("f1"))
+
+
+@register("regression_metrics", """
+SELECT round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae,
+       round(1 - sum(e * e) / (count(*) * var_pop(y)), 8) AS r2
+FROM (SELECT CAST(total_latency_ms AS DOUBLE) AS y,
+             CAST(total_latency_ms AS DOUBLE) - CAST(latency_ms_retrieval + latency_ms_generation AS DOUBLE) AS e
+      FROM eval_runs)""")
+def regression_metrics(spark, sf):
+    """RMSE / MAE / R² of (retrieval + generation) as a predictor of total latency."""
+    d = _scored(spark, sf).withColumn("pred", (F.col("latency_ms_retrieval") + F.col("latency_ms_generation"))
+                                      .cast("double"))
+    m = M.regression_metrics(d, "total_latency_ms", "pred")
+    return m.select(F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"), F.round("r2", 8).alias("r2"))
+
+
+_PREDICTORS = [("top1_score", "coalesce(top1_score, 0.0)"), ("mean_retrieved_score", "coalesce(mean_retrieved_score, 0.0)"),
+               ("mrr_at_10", "coalesce(mrr_at_10, 0.0)"), ("recall_at_5", "coalesce(recall_at_5, 0.0)")]
+
+
+def _comparison(spark, sf) -> DataFrame:
+    r = runs(spark, sf)
+    parts = []
+    for pos, (name, _) in enumerate(_PREDICTORS):
+        d = r.select("is_correct", F.coalesce(F.col(name), F.lit(0.0)).alias("score"))
+        auc = M.roc_auc(d, "is_correct", "score")
+        ap = M.average_precision(d, "is_correct", "score")
+        parts.append(auc.crossJoin(ap).select(F.lit(name).alias("model"), F.lit("Correctness").alias("task"),
+                                              F.lit(pos).alias("pos"), F.round("auc", 10).alias("auc"),
+                                              F.round("average_precision", 10).alias("average_precision")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_COMPARISON_SQL = " UNION ALL ".join(
+    f"SELECT '{n}' AS model, 'Correctness' AS task, {i} AS pos, {_auc_sql(e)} AS auc, {_ap_sql(e)} AS average_precision"
+    for i, (n, e) in enumerate(_PREDICTORS))
+
+
+@register("model_comparison", _COMPARISON_SQL)
+def model_comparison(spark, sf):
+    """One result table stacked from several scorers of the same task."""
+    return _comparison(spark, sf)
+
+
+@register("best_model", f"""
+SELECT task, model, auc FROM (
+  SELECT *, row_number() OVER (PARTITION BY task ORDER BY auc DESC, pos) AS rn FROM ({_COMPARISON_SQL})) WHERE rn = 1""")
+def best_model(spark, sf):
+    """Best scorer per task by AUC (ties → first listed)."""
+    return M.best_by(_comparison(spark, sf), "task", "model", "auc", "pos").select("task", "model", "auc")
