@@ -8,6 +8,7 @@ the shuffle; a hot key never sends its raw rows to one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -106,17 +107,57 @@ def smallest_class(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).count().agg(F.min("count").alias("min_class_size"))
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6, lower_only: bool = True) -> DataFrame:
+def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6, lower_only: bool = True,
+                max_patterns: int = 4096) -> DataFrame:
     """Pairwise-complete Pearson correlation, long form (col_a, col_b, corr).
 
-    One aggregation computes every pair (n·(n-1)/2 partial moments per task)."""
-    pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if (i > j if lower_only else i != j)]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}")
-                    for i, (a, b) in enumerate(pairs)])
-    long = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"p{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)])).alias("s")).select("s.*")
-    return long.select("col_a", "col_b", F.round("corr", digits).alias("corr"))
+    Built from plain ``sum`` sufficient statistics instead of n·(n-1)/2 ``corr``
+    aggregates (each ``corr`` buffer is six doubles updated with divisions):
+
+    1. centre every column on its mean (one-row aggregate, broadcast) for
+       numerical stability;
+    2. group rows by their *null pattern* (which columns are null) and sum
+       count, x, x² and x·y of the present columns: one partial aggregation,
+       a handful of groups;
+    3. for each pair add up the patterns where both columns are present, which
+       is exactly the pairwise-complete sample, and form the correlation.
+    """
+    cols = list(cols)
+    n = len(cols)
+    x = {c: F.col(c).cast("double") for c in cols}
+    means = df.agg(*[F.avg(x[c]).alias(f"_m{i}") for i, c in enumerate(cols)])
+    centred = df.crossJoin(F.broadcast(means)).select(
+        *[(x[c] - F.col(f"_m{i}")).alias(f"d{i}") for i, c in enumerate(cols)])
+    pattern = sum((F.col(f"d{i}").isNull().cast("long") * (1 << i) for i in range(n)), F.lit(0).cast("long"))
+    d = {i: F.coalesce(F.col(f"d{i}"), F.lit(0.0)) for i in range(n)}
+    aggs = [F.count(F.lit(1)).alias("cnt")]
+    aggs += [F.sum(d[i]).alias(f"s{i}") for i in range(n)]
+    aggs += [F.sum(d[i] * d[j]).alias(f"p{i}_{j}") for i in range(n) for j in range(i + 1)]
+    by_pattern = centred.groupBy(pattern.alias("pat")).agg(*aggs)
+    # The per-pattern statistics are a small table (≤ patterns × (1 + n + n(n+1)/2) numbers,
+    # independent of the row count); like ml.stat.Correlation's Gramian, finish it on the driver.
+    rows = by_pattern.limit(max_patterns + 1).collect()
+    if len(rows) > max_patterns:
+        raise ValueError(f"more than {max_patterns} null patterns")
+    out = []
+    pairs = [(i, j) for i in range(n) for j in range(n) if (i > j if lower_only else i != j)]
+    for i, j in pairs:
+        a, b = max(i, j), min(i, j)
+        nn = si = sj = ii = jj = ij = 0.0
+        for r in rows:
+            if r["pat"] & ((1 << i) | (1 << j)):
+                continue
+            nn += r["cnt"]
+            si += r[f"s{i}"]
+            sj += r[f"s{j}"]
+            ii += r[f"p{i}_{i}"]
+            jj += r[f"p{j}_{j}"]
+            ij += r[f"p{a}_{b}"]
+        vi, vj = nn * ii - si * si, nn * jj - sj * sj
+        c = None if nn < 2 or vi <= 0 or vj <= 0 else (nn * ij - si * sj) / math.sqrt(vi * vj)
+        out.append((cols[i], cols[j], None if c is None else float(round(c, digits))))
+    spark = df.sparkSession
+    return spark.createDataFrame(out, "col_a string, col_b string, corr double")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50, digits: int = 6) -> DataFrame:

@@ -133,7 +133,8 @@ def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score plus the (inf, 0, 0) starting point."""
     pts = curve_points(df, y, score)
     body = pts.select("threshold", (F.col("fp") / F.col("N")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
-    start = pts.limit(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    start = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
+                                            F.lit(0.0).alias("tpr"))
     return body.unionByName(start)
 
 
@@ -142,8 +143,8 @@ def pr_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     pts = curve_points(df, y, score)
     body = pts.select("threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
                       F.when(F.col("P") == 0, F.lit(1.0)).otherwise(F.col("tp") / F.col("P")).alias("recall"))
-    end = pts.limit(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
-                              F.lit(0.0).alias("recall"))
+    end = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
+                                          F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return body.unionByName(end)
 
 
