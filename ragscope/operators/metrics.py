@@ -83,24 +83,28 @@ def macro_f1(df: DataFrame, y: str, p: str) -> DataFrame:
 
 # ─────────────────────────────── running totals ───────────────────────────────
 def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], descending: bool = False,
-                n_buckets: int = 64, inclusive: bool = True) -> DataFrame:
-    """Exact running totals of ``value_cols`` in ``order_col`` order (rows must have distinct order values).
-
-    Adds ``cum_<v>`` (inclusive of the row, or strictly before it if ``inclusive=False``)."""
+                n_buckets: int = 64, inclusive: bool = True, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Exact running totals of ``value_cols`` in ``order_col`` order within ``group_cols``
+    (rows of a group must have distinct order values).
+
+    Adds ``cum_<v>`` (inclusive of the row, or strictly before it if ``inclusive=False``).
+    Quantile boundaries (one small row per group) split each group into buckets, so no
+    task sorts a whole group; per-bucket offsets are a table of groups × ``n_buckets`` rows."""
+    g = list(group_cols)
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.agg(F.percentile_approx(F.col(order_col), probs, 10_000).alias("_b"))
     o = F.col(order_col)
-    x = df.crossJoin(F.broadcast(bounds))           # one row
+    bounds = (df.groupBy(*g) if g else df).agg(F.percentile_approx(o, probs, 10_000).alias("_b"))
+    x = df.join(F.broadcast(bounds), g) if g else df.crossJoin(F.broadcast(bounds))
     bucket = F.size(F.filter("_b", (lambda t: t > o) if descending else (lambda t: t < o)))
     x = x.withColumn("_bucket", bucket).drop("_b")
     order = o.desc() if descending else o.asc()
-    w = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*g, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = x.withColumns({f"_l_{v}": F.sum(v).over(w) for v in value_cols})
-    totals = x.groupBy("_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
-    wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)   # ≤ n_buckets rows
-    offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{v}").over(wb), F.lit(0)).alias(f"_o_{v}")
-                                         for v in value_cols])
-    j = local.join(F.broadcast(offsets), "_bucket")
+    totals = x.groupBy(*g, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    wb = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*g, "_bucket", *[F.coalesce(F.sum(f"_t_{v}").over(wb), F.lit(0)).alias(f"_o_{v}")
+                                             for v in value_cols])
+    j = local.join(offsets, [*g, "_bucket"])
     cums = {f"cum_{v}": F.col(f"_o_{v}") + F.col(f"_l_{v}") - (F.lit(0) if inclusive else F.col(v))
             for v in value_cols}
     return j.withColumns(cums).drop("_bucket", *[f"_l_{v}" for v in value_cols], *[f"_o_{v}" for v in value_cols])

@@ -823,3 +823,110 @@ SELECT task, model, auc FROM (
 def best_model(spark, sf):
     """Best scorer per task by AUC (ties → first listed)."""
     return M.best_by(_comparison(spark, sf), "task", "model", "auc", "pos").select("task", "model", "auc")
+
+
+# ─────────────────────────── rebalancing (J3, J4, B1-B5, U1) ───────────────────────────
+from ..operators import neighbors as NB  # noqa: E402
+
+_EMB_SQL = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+def _knn_sql(k: str, same_label: bool) -> str:
+    cond = "a.label = b.label AND " if same_label else ""
+    part = "a.label, " if same_label else ""
+    return f"""SELECT * FROM (
+  SELECT {part}a.vec_id, b.vec_id AS nn_id, round(list_distance(a.v, b.v), 9) AS dist,
+         CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.v, b.v), 9), b.vec_id)
+              AS INTEGER) AS rank
+  FROM e a JOIN e b ON {cond}a.vec_id <> b.vec_id) WHERE rank <= {k}"""
+
+
+def _embeddings(spark, sf) -> DataFrame:
+    return read_table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>")
+                                                      .alias("embedding"))
+
+
+@register("knn_in_class", f"WITH {_EMB_SQL}\n{_knn_sql('5', True)}")
+def knn_in_class(spark, sf):
+    """Exact 5 nearest same-class neighbours of every embedding."""
+    return NB.knn(_embeddings(spark, sf), "vec_id", "embedding", 5, group_cols=["label"])
+
+
+@register("knn_all", f"WITH {_EMB_SQL}\n{_knn_sql('3', False)}")
+def knn_all(spark, sf):
+    """Exact 3 nearest neighbours over all rows (the ENN neighbourhood)."""
+    return NB.knn(_embeddings(spark, sf), "vec_id", "embedding", 3)
+
+
+_SMOTE_SQL = f"""WITH {_EMB_SQL},
+cnt AS (SELECT label, count(*) AS n_c FROM e GROUP BY label),
+par AS (SELECT max(n_c) AS maj, greatest(1, least(5, min(n_c) - 1)) AS k FROM cnt),
+lab AS (SELECT label, row_number() OVER (ORDER BY CAST(label AS VARCHAR)) - 1 AS li FROM cnt),
+rk AS (SELECT e.*, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM e),
+nn AS (SELECT * FROM (
+  SELECT a.label, a.vec_id, b.vec_id AS nn_id,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.v, b.v), 9), b.vec_id) AS nnr
+  FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id), par WHERE nnr <= par.k),
+gen AS (
+  SELECT rk.label, rk.vec_id, rk.v, rk.r + t.j * cnt.n_c AS i, lab.li, par.k
+  FROM rk JOIN cnt USING (label) JOIN lab USING (label) CROSS JOIN par CROSS JOIN range(0, 100000) t(j)
+  WHERE rk.r + t.j * cnt.n_c < par.maj - cnt.n_c),
+syn AS (
+  SELECT g.label, g.v, e2.v AS nv,
+         CAST((g.i * 7919 + g.li * 104729 + 42) % 2147483647 AS DOUBLE) / 2147483647.0 AS lam
+  FROM gen g LEFT JOIN nn ON nn.vec_id = g.vec_id AND nn.nnr = (g.i * 31 + 42) % g.k + 1
+  LEFT JOIN e e2 ON e2.vec_id = nn.nn_id),
+allrows AS (
+  SELECT label, v[1] AS x0, v[2] AS x1, 0 AS is_synthetic FROM e
+  UNION ALL
+  SELECT label, CASE WHEN nv IS NULL THEN v[1] ELSE v[1] + lam * (nv[1] - v[1]) END,
+                CASE WHEN nv IS NULL THEN v[2] ELSE v[2] + lam * (nv[2] - v[2]) END, 1 FROM syn)"""
+
+
+@register("smote", _SMOTE_SQL + """
+SELECT label, count(*) AS n_rows, CAST(sum(is_synthetic) AS BIGINT) AS n_synthetic,
+       round(sum(x0), 6) AS sum_x0, round(sum(x1), 6) AS sum_x1
+FROM allrows GROUP BY label""")
+def smote(spark, sf):
+    """B1 + U1 + B3: classes equalised to the majority count; per-class counts and coordinate sums."""
+    out = NB.smote(_embeddings(spark, sf), "vec_id", "label", "embedding")
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"),
+                                    F.sum("is_synthetic").cast("long").alias("n_synthetic"),
+                                    F.round(F.sum(F.col("embedding")[0]), 6).alias("sum_x0"),
+                                    F.round(F.sum(F.col("embedding")[1]), 6).alias("sum_x1"))
+
+
+@register("enn", f"""WITH {_EMB_SQL},
+nn AS ({_knn_sql('3', False)}),
+keep AS (SELECT nn.vec_id FROM nn JOIN e a ON a.vec_id = nn.vec_id JOIN e b ON b.vec_id = nn.nn_id
+         GROUP BY nn.vec_id HAVING bool_and(a.label = b.label))
+SELECT e.label, count(*) AS n_rows, count(keep.vec_id) AS n_kept FROM e LEFT JOIN keep USING (vec_id) GROUP BY e.label""")
+def enn(spark, sf):
+    """B2: rows kept by edited nearest neighbours (3-NN, all must agree), per class."""
+    emb = _embeddings(spark, sf)
+    kept = NB.enn(emb, "vec_id", "label", "embedding", 3).select("vec_id", F.lit(1).alias("_k"))
+    return emb.join(kept, "vec_id", "left").groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                                 F.count("_k").alias("n_kept"))
+
+
+@register("balanced_weights", """
+SELECT is_correct, count(*) AS n, round(CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)), 10)
+       AS weight
+FROM eval_runs GROUP BY is_correct""")
+def balanced_weights(spark, sf):
+    """Balanced class weights n / (k · n_c)."""
+    w = NB.balanced_weights(runs(spark, sf).select("is_correct"), "is_correct")
+    return w.groupBy("is_correct").agg(F.count(F.lit(1)).alias("n"), F.round(F.first("weight"), 10).alias("weight"))
+
+
+@register("pos_weight", """
+SELECT hallucination_flag, count(*) AS n,
+       round(CASE WHEN hallucination_flag = 1
+                  THEN CAST((SELECT count(*) FROM eval_runs WHERE hallucination_flag = 0) AS DOUBLE)
+                       / (SELECT count(*) FROM eval_runs WHERE hallucination_flag = 1) ELSE 1.0 END, 10) AS weight
+FROM eval_runs GROUP BY hallucination_flag""")
+def pos_weight(spark, sf):
+    """Positive-class weight = negatives / positives."""
+    w = NB.positive_weight(runs(spark, sf).select("hallucination_flag"), "hallucination_flag")
+    return w.groupBy("hallucination_flag").agg(F.count(F.lit(1)).alias("n"),
+                                               F.round(F.first("weight"), 10).alias("weight"))
