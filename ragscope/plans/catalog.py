@@ -930,3 +930,29 @@ def pos_weight(spark, sf):
     w = NB.positive_weight(runs(spark, sf).select("hallucination_flag"), "hallucination_flag")
     return w.groupBy("hallucination_flag").agg(F.count(F.lit(1)).alias("n"),
                                                F.round(F.first("weight"), 10).alias("weight"))
+
+
+# ─────────────────────────────────── text (E9) ───────────────────────────────────
+from ..operators import text as TX  # noqa: E402
+
+_TFIDF_SQL = """WITH tok AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM documents),
+terms AS (
+  SELECT doc_id, unnest(t) AS term FROM tok
+  UNION ALL
+  SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM tok
+  WHERE len(t) >= 2),
+cnt AS (SELECT doc_id, term, count(*) AS c FROM terms GROUP BY doc_id, term),
+st AS (SELECT term, sum(c) AS freq, count(*) AS df FROM cnt GROUP BY term),
+voc AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0 AS idf
+        FROM st ORDER BY freq DESC, term LIMIT 3000),
+w AS (SELECT doc_id, cnt.term, (1.0 + ln(CAST(c AS DOUBLE))) * idf AS w FROM cnt JOIN voc USING (term)),
+nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)
+SELECT doc_id, term, round(w / norm, 8) AS tfidf FROM w JOIN nrm USING (doc_id)"""
+
+
+@register("tfidf", _TFIDF_SQL)
+def tfidf(spark, sf):
+    """TF-IDF (unigrams + bigrams, top 3,000 terms, sublinear tf, smoothed idf, L2) over whole documents."""
+    t = TX.tfidf(read_table(spark, sf, "documents"), "doc_id", "text", 3000)
+    return t.select("doc_id", "term", F.round("tfidf", 8).alias("tfidf"))
