@@ -956,3 +956,116 @@ def tfidf(spark, sf):
     """TF-IDF (unigrams + bigrams, top 3,000 terms, sublinear tf, smoothed idf, L2) over whole documents."""
     t = TX.tfidf(read_table(spark, sf, "documents"), "doc_id", "text", 3000)
     return t.select("doc_id", "term", F.round("tfidf", 8).alias("tfidf"))
+
+
+# ────────────────────── Spark ML tasks (M1-M15, M10, M11, A17, A26, T7, S5-S8) — rows-only ──────────────────────
+from ..operators import models as ML  # noqa: E402
+from ..schema import COST_LEAKAGE, LATENCY_LEAKAGE  # noqa: E402
+
+N_ITER = 20          # boosting rounds / trees for the registered runs (library default: 300, as the reference)
+
+
+def _model_data(spark, sf):
+    """Features learned on all rows (reference rule D12), split by the `split` column.
+
+    The feature table is read several times by training and evaluation, so its lineage is cut
+    with a reliable checkpoint in the shared checkpoint folder (survives executor loss)."""
+    from ..session import cut_lineage
+    df, names = FE.engineer_features(runs(spark, sf))
+    return FE.split_data(cut_lineage(df), names), names
+
+
+@register("correctness_model", None)
+def correctness_model(spark, sf):
+    """M1: binary correctness — boosted trees, weighted boosted trees, weighted forest; threshold tuned on val."""
+    sp, names = _model_data(spark, sf)
+    res, _ = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "is_correct", "Correctness", N_ITER,
+                             "balanced", minority=0)
+    return res
+
+
+@register("hallucination_model", None)
+def hallucination_model(spark, sf):
+    """M3: hallucination — positive-class weight (B5); threshold tuned on val; minority class 1."""
+    sp, names = _model_data(spark, sf)
+    res, _ = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "hallucination_flag", "Hallucination",
+                             N_ITER, "positive", minority=1)
+    return res
+
+
+@register("multiclass_model", None)
+def multiclass_model(spark, sf):
+    """M2: 3-class correctness (forest, one-vs-rest boosted trees)."""
+    sp, names = _model_data(spark, sf)
+    return ML.train_multiclass(sp["train"], sp["test"], names, "correctness_label", "MultiCorrectness", N_ITER)[0]
+
+
+@register("faithfulness_model", None)
+def faithfulness_model(spark, sf):
+    """M4: 3-class faithfulness."""
+    sp, names = _model_data(spark, sf)
+    return ML.train_multiclass(sp["train"], sp["test"], names, "faithfulness_label", "Faithfulness", N_ITER)[0]
+
+
+@register("latency_model", None)
+def latency_model(spark, sf):
+    """M5: latency regression without the 6 leakage columns."""
+    sp, names = _model_data(spark, sf)
+    return ML.train_regression(sp["train"], sp["test"], names, "total_latency_ms", "Latency", LATENCY_LEAKAGE,
+                               N_ITER)[0]
+
+
+@register("cost_model", None)
+def cost_model(spark, sf):
+    """M6: cost regression without the 2 leakage columns."""
+    sp, names = _model_data(spark, sf)
+    return ML.train_regression(sp["train"], sp["test"], names, "total_cost_usd", "Cost", COST_LEAKAGE, N_ITER)[0]
+
+
+@register("task_classifier", None)
+def task_classifier(spark, sf):
+    """M7: task type from the query text (TF-IDF + logistic regression / linear SVM)."""
+    r = runs(spark, sf)
+    return ML.train_task_classifier(r.where("split = 'train'"), r.where("split = 'test'"), max_iter=50)[0]
+
+
+@register("isotonic", None)
+def isotonic(spark, sf):
+    """Isotonic calibration of the correctness model on val; raw vs calibrated AUC on test."""
+    sp, names = _model_data(spark, sf)
+    _, fitted = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "is_correct", "Correctness", N_ITER)
+    model, _thr = fitted["GBT"]
+    return ML.calibrate(model, sp["val"], sp["test"], names, "is_correct")[0]
+
+
+def _cluster_input(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    z = FE.zscore(runs(spark, sf), CLUSTER_FEATURES)
+    return VectorAssembler(inputCols=[f"{c}_z" for c in CLUSTER_FEATURES], outputCol="zfeat").transform(z)
+
+
+@register("elbow", None)
+def elbow(spark, sf):
+    """K-means inertia for k = 2..10 on standardised clustering inputs."""
+    return ML.elbow(_cluster_input(spark, sf), "zfeat")
+
+
+@register("kmeans_profile", None)
+def kmeans_profile(spark, sf):
+    """M13 + A17: 5 clusters and their outcome profile."""
+    return ML.kmeans_profile(_cluster_input(spark, sf), "zfeat", 5)
+
+
+@register("pca2", None)
+def pca2(spark, sf):
+    """2-D PCA projection of every run."""
+    return ML.pca2(_cluster_input(spark, sf), "zfeat", ["run_id", "is_correct"])
+
+
+@register("feature_importance", None)
+def feature_importance(spark, sf):
+    """Top-20 feature importances of the boosted correctness model."""
+    sp, names = _model_data(spark, sf)
+    _, fitted = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "is_correct", "Correctness", N_ITER)
+    top = ML.top_importances(fitted["GBT"][0], names, 20)
+    return spark.createDataFrame([(i + 1, f, v) for i, (f, v) in enumerate(top)], "rank int, feature string, importance double")
