@@ -8,6 +8,7 @@ rows-only query (model training, iterative algorithms, streaming).
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import leaderboards as L
-from ..schema import BEST_OF_DIMENSIONS, BREAKDOWN_DIMENSIONS, NUMERIC_FEATURES
+from ..schema import BEST_OF_DIMENSIONS, BREAKDOWN_DIMENSIONS, NOMINAL_FEATURES, NUMERIC_FEATURES
 from ..sources.adapters import runs
 from .oracle_views import with_views
 
@@ -1069,3 +1070,86 @@ def feature_importance(spark, sf):
     _, fitted = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "is_correct", "Correctness", N_ITER)
     top = ML.top_importances(fitted["GBT"][0], names, 20)
     return spark.createDataFrame([(i + 1, f, v) for i, (f, v) in enumerate(top)], "rank int, feature string, importance double")
+
+
+# ─────────────────────────── streaming, log, artifacts (R1, R2, S5-S11) ───────────────────────────
+from ..sources import artifacts as AR  # noqa: E402
+from ..streaming import scoring as ST  # noqa: E402
+
+
+def _event_stream(spark, sf):
+    schema = read_table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).parquet(os.path.join(sf, "events*.parquet"))
+
+
+@register("stream_scoring", _request_features_sql())
+def stream_scoring(spark, sf):
+    """Requests arrive as a file stream → validate → hash → defaults → features, written by a
+    checkpointed availableNow query; the sink is read back (equals the batch result)."""
+    req = AD.requests_from_events(_event_stream(spark, sf))
+    out = ST.score_requests(req, reference_features())
+    sink, ck = ST.stream_paths(spark, "scoring")
+    ST.run_to_sink(out.drop("warnings"), sink, ck)
+    return spark.read.parquet(sink).select("request_id", *[F.col(f"`{c}`") for c in reference_features()])
+
+
+@register("log_windows", """
+WITH mx AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM requests)
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+       strftime(date_trunc('day', ts) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+       count(*) AS n, round(avg(latency_ms_retrieval), 4) AS mean_latency,
+       round(avg(CAST(has_relevant_in_top5 AS DOUBLE)), 4) AS share_flagged
+FROM requests GROUP BY date_trunc('day', ts)
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT wm FROM mx)""")
+def log_windows(spark, sf):
+    """R2: daily monitoring windows with a 10-minute watermark, append mode (closed windows only)."""
+    req = AD.requests_from_events(_event_stream(spark, sf))
+    mon = ST.monitor(req, "ts", "latency_ms_retrieval", "has_relevant_in_top5")
+    sink, ck = ST.stream_paths(spark, "monitor")
+    ST.run_to_sink(mon, sink, ck)
+    return spark.read.parquet(sink)
+
+
+@register("log_hash", None)
+def log_hash(spark, sf):
+    """12-hex input hash of every request's canonical JSON (self-consistent, not byte-equal
+    to another engine's JSON text)."""
+    req = AD.requests_from_events(read_table(spark, sf, "events"))
+    from ..functions.scalar import canonical_hash
+    return req.select("request_id", canonical_hash([n for n, _, _ in REQUEST_FIELDS]).alias("input_hash"))
+
+
+@register("prediction_log", None)
+def prediction_log(spark, sf):
+    """S9 + S10: log records of scored requests appended as JSON lines, then read back: count and last record.
+    Scores here are fixed functions of the request (retrieval score, reciprocal rank) so the log path is
+    exercised without a model; ``ST.log_records`` takes any scored frame."""
+    feats = ST.score_requests(AD.requests_from_events(read_table(spark, sf, "events")), reference_features(),
+                              keep=["request_id"])
+    scored = feats.select("*", F.col("top1_score").alias("correctness_prob"),
+                          (1.0 - F.col("mrr_at_10")).alias("hallucination_prob"),
+                          F.col("total_latency_ms").alias("predicted_latency_ms"),
+                          F.col("total_cost_usd").alias("predicted_cost_usd"))
+    sink, _ = ST.stream_paths(spark, "predlog")
+    AR.append_prediction_log(ST.log_records(scored), sink)
+    return AR.prediction_log_summary(spark, sink).select("n_records", "last.input_hash", "last.predictions.*")
+
+
+@register("categories", " UNION ALL ".join(
+    f"SELECT DISTINCT '{c}' AS column, CAST({c} AS VARCHAR) AS value FROM eval_runs WHERE {c} IS NOT NULL"
+    for c in NOMINAL_FEATURES))
+def categories(spark, sf):
+    """Distinct sorted values per nominal column, written and read back as the vocabulary."""
+    path = ST.stream_paths(spark, "categories")[0]
+    AR.save_categories(runs(spark, sf), path)
+    return spark.read.schema("column string, value string").json(path)
+
+
+@register("feature_list", "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{f}')" for i, f in enumerate(reference_features())) + ") t(pos, feature)")
+def feature_list(spark, sf):
+    """The ordered feature list learned from the data, written and read back."""
+    _, names = FE.engineer_features(runs(spark, sf))
+    path = ST.stream_paths(spark, "features")[0]
+    AR.save_feature_list(spark, names, path)
+    return spark.read.schema("pos int, feature string").json(path)
