@@ -1153,3 +1153,49 @@ def feature_list(spark, sf):
     path = ST.stream_paths(spark, "features")[0]
     AR.save_feature_list(spark, names, path)
     return spark.read.schema("pos int, feature string").json(path)
+
+
+# ─────────────────────────── explanations (M16, M17, A27, W5) ───────────────────────────
+from ..operators import explain as XP  # noqa: E402
+
+
+def _shap_long(spark, sf):
+    sp, names = _model_data(spark, sf)
+    _, fitted = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "is_correct", "Correctness", N_ITER)
+    model = fitted["GBT"][0]
+    ens = XP.export_trees(model, spark, "correctness_gbt")
+    te = ML.assemble(sp["test"], names, ["run_id"])
+    return XP.tree_shap_long(te, "run_id", "features", ens, names)
+
+
+@register("tree_shap", None)
+def tree_shap(spark, sf):
+    """M16 + W5: TreeSHAP impacts of the boosted correctness model on the test split, top 10 per run."""
+    long = _shap_long(spark, sf)
+    top = M.top_n_by_abs(long, "run_id", "feature", "impact", 10)
+    return top.select("run_id", "rank", "feature", "value", F.round("impact", 4).alias("impact"),
+                      F.round("base", 6).alias("base"), F.round("raw", 6).alias("raw"))
+
+
+@register("shap_importance", None)
+def shap_importance(spark, sf):
+    """Global importance = mean |SHAP| per feature, top 20."""
+    return XP.mean_abs_impact(_shap_long(spark, sf), 20)
+
+
+_LIN_COEF = {"top1_score": 2.0, "mrr_at_10": 1.5, "recall_at_5": 1.0, "total_cost_usd": -50.0}
+
+
+@register("topn_impacts", "WITH m AS (SELECT " + ", ".join(
+    f"avg(CAST({f} AS DOUBLE)) AS m_{f}" for f in _LIN_COEF) + " FROM eval_runs),\nl AS (" + " UNION ALL ".join(
+    f"SELECT run_id, '{f}' AS feature, CAST({f} AS DOUBLE) AS value, "
+    f"CAST({c} AS DOUBLE) * (CAST({f} AS DOUBLE) - m_{f}) AS impact FROM eval_runs, m"
+    for f, c in _LIN_COEF.items()) + """)
+SELECT run_id, rank, feature, value, round(impact, 8) AS impact FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY abs(impact) DESC NULLS LAST, feature) AS INTEGER)
+         AS rank FROM l) WHERE rank <= 2""")
+def topn_impacts(spark, sf):
+    """M17 + W5: linear-explainer impacts coef·(x − mean) with fixed coefficients, top 2 per run by |impact|."""
+    long = XP.linear_explain(runs(spark, sf), "run_id", _LIN_COEF)
+    top = M.top_n_by_abs(long, "run_id", "feature", "impact", 2)
+    return top.select("run_id", "rank", "feature", "value", F.round("impact", 8).alias("impact"))
