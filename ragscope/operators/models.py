@@ -250,3 +250,49 @@ def save_model(model, spark: SparkSession, name: str) -> str:
 
 def load_pipeline(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+# ───────────────────────────── scoring and the end-to-end job ─────────────────────────────
+def score_requests_batch(features: DataFrame, feature_list: Sequence[str], correctness, hallucination,
+                         latency, cost, keep: Sequence[str] = ("request_id",), calibrators: dict | None = None,
+                         task_model=None, text: DataFrame | None = None) -> DataFrame:
+    """All predictors on a batch of request feature rows.
+
+    ``correctness`` / ``hallucination`` = (model, threshold); ``latency`` / ``cost`` = (model, feature subset);
+    calibrators (isotonic) replace raw probabilities when given; the threshold defaults to 0.5."""
+    calibrators = calibrators or {}
+    base = assemble(features, feature_list, list(keep))
+    out = base
+    for name, (model, thr), pos_l, neg_l in [("correctness", correctness, "CORRECT", "INCORRECT"),
+                                             ("hallucination", hallucination, "HIGH", "LOW")]:
+        scored = model.transform(out).withColumn(f"{name}_raw", vector_to_array(F.col("probability"))[1]) \
+            .drop("rawPrediction", "probability", "prediction")
+        cal = calibrators.get(name)
+        if cal is not None:
+            scored = cal.setFeaturesCol(f"{name}_raw").setPredictionCol(f"{name}_prob").transform(scored)
+        else:
+            scored = scored.withColumn(f"{name}_prob", F.col(f"{name}_raw"))
+        t = 0.5 if thr is None else float(thr)
+        out = scored.withColumns({
+            name: F.when(F.col(f"{name}_prob") >= t, F.lit(pos_l)).otherwise(F.lit(neg_l)),
+            f"{name}_threshold": F.lit(round(t, 3)),
+            f"{name}_calibrated": F.lit(cal is not None)}).drop(f"{name}_raw")
+    for name, (model, feats), digits in [("predicted_latency_ms", latency, 2), ("predicted_cost_usd", cost, 6)]:
+        sub = assemble(features, feats, list(keep), out="_sub")
+        pred = model.setFeaturesCol("_sub").setPredictionCol("_pred").transform(sub).select(
+            *keep, F.round("_pred", digits).alias(name))
+        out = out.join(pred, list(keep))
+    out = out.withColumns({"correctness_prob": F.round("correctness_prob", 4),
+                           "hallucination_prob": F.round("hallucination_prob", 4)}).drop("features")
+    if task_model is not None and text is not None:
+        tt = task_model.transform(text).select(*keep, F.col("prediction").alias("_task_idx"))
+        labels = [s.labels for s in task_model.stages if hasattr(s, "labels")][0]
+        m = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(float(i)), F.lit(lab))])
+        out = out.join(tt.select(*keep, F.element_at(m, F.col("_task_idx")).alias("query_task_type")), list(keep))
+    return out
+
+
+def training_curve(model, data: DataFrame, loss: str = "logistic") -> list[tuple[int, float]]:
+    """S11 source data: loss after each boosting iteration (the learner's per-iteration log)."""
+    return [(i + 1, float(v)) for i, v in enumerate(model.evaluateEachIteration(data, loss) if loss != "logistic"
+                                                  else model.evaluateEachIteration(data))]

@@ -1199,3 +1199,80 @@ def topn_impacts(spark, sf):
     long = XP.linear_explain(runs(spark, sf), "run_id", _LIN_COEF)
     top = M.top_n_by_abs(long, "run_id", "feature", "impact", 2)
     return top.select("run_id", "rank", "feature", "value", F.round("impact", 8).alias("impact"))
+
+
+# ─────────────────────────── batch scoring, end-to-end job (M9, M11, A26, S7, S8, S11) ───────────────────────────
+def _train_scoring_models(spark, sf):
+    sp, names = _model_data(spark, sf)
+    res_c, fit_c = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "is_correct", "Correctness", N_ITER)
+    res_h, fit_h = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "hallucination_flag",
+                                   "Hallucination", N_ITER, "positive", minority=1)
+    res_l, fit_l = ML.train_regression(sp["train"], sp["test"], names, "total_latency_ms", "Latency",
+                                       LATENCY_LEAKAGE, N_ITER)
+    res_k, fit_k = ML.train_regression(sp["train"], sp["test"], names, "total_cost_usd", "Cost", COST_LEAKAGE, N_ITER)
+    best = {}
+    for key, res, fit in [("correctness", res_c, fit_c), ("hallucination", res_h, fit_h)]:
+        top = M.best_by(res.withColumn("t", F.lit(1)), "t", "model", "f1_macro", "pos").first()
+        best[key] = (top["model"], fit[top["model"]])
+    for key, res, fit in [("latency", res_l, fit_l), ("cost", res_k, fit_k)]:
+        top = M.best_by(res.withColumn("t", F.lit(1)).withColumn("neg_rmse", -F.col("rmse")), "t", "model",
+                        "neg_rmse", "pos").first()
+        best[key] = (top["model"], fit[top["model"]])
+    return sp, names, best, [res_c, res_h, res_l, res_k]
+
+
+@register("batch_scoring", None)
+def batch_scoring(spark, sf):
+    """Every request → validated features → best correctness / hallucination classifiers (isotonic-
+    calibrated on val, tuned thresholds), latency and cost regressors, and the query task type."""
+    sp, names, best, _ = _train_scoring_models(spark, sf)
+    cal = {}
+    for key, label in [("correctness", "is_correct"), ("hallucination", "hallucination_flag")]:
+        model, _thr = best[key][1]
+        cal[key] = ML.calibrate(model, sp["val"], sp["test"], names, label)[1]
+    r = runs(spark, sf)
+    task = ML.train_task_classifier(r.where("split = 'train'"), r.where("split = 'test'"), max_iter=50)[1]["LogReg"]
+    req = AD.requests_from_events(read_table(spark, sf, "events"))
+    feats = V.transform_requests(V.apply_defaults(V.validate_requests(req)), names, categories_dict(r),
+                                 keep=["request_id"])
+    text = V.apply_defaults(req).select("request_id", "query")
+    return ML.score_requests_batch(feats, names, best["correctness"][1], best["hallucination"][1],
+                                   best["latency"][1], best["cost"][1], calibrators=cal, task_model=task, text=text)
+
+
+@register("train_all", None)
+def train_all(spark, sf):
+    """M9 + A26 + S5-S8: train every task, save models, feature list, vocabulary and the compiled metrics
+    table (classification and regression rows) to the shared model folder; return the metrics read back."""
+    sp, names, best, results = _train_scoring_models(spark, sf)
+    root = ML.model_dir(spark, "train_all")
+    for key, (name, fitted) in best.items():
+        ML.save_model(fitted[0], spark, f"train_all/{key}_{name}")
+    AR.save_feature_list(spark, names, f"{root}/feature_list")
+    AR.save_categories(runs(spark, sf), f"{root}/categories")
+    cls = results[0].unionByName(results[1]).select(
+        "model", "task", *[F.round(c, 4).alias(c) for c in ["accuracy", "auc", "f1_macro"]],
+        F.round("threshold", 3).alias("threshold"), F.round("recall_minority", 4).alias("recall_minority"))
+    reg = results[2].unionByName(results[3]).select(
+        "model", "task", *[F.round(c, 4).alias(c) for c in ["rmse", "mae", "r2"]])
+    AR.save_metrics(cls, reg, f"{root}/metrics")
+    back = AR.load_metrics(spark, f"{root}/metrics")
+    return back["classification"].unionByName(back["regression"], allowMissingColumns=True)
+
+
+@register("training_curve", None)
+def training_curve(spark, sf):
+    """Per-iteration learn / test loss of the boosted correctness model, written as TSV logs and read
+    back joined on the iteration; plus the best test iteration (min_by)."""
+    sp, names = _model_data(spark, sf)
+    _, fitted = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "is_correct", "Correctness", N_ITER)
+    model = fitted["GBT"][0]
+    root = ST.stream_paths(spark, "curve")[0]
+    for part, frame in [("learn", sp["train"]), ("test", sp["test"])]:
+        curve = ML.training_curve(model, ML.assemble(frame, names, ["is_correct"]))
+        spark.createDataFrame(curve, "iter int, loss double").coalesce(1).write.mode("overwrite") \
+            .option("sep", "\t").option("header", True).csv(f"{root}/{part}")
+    from ..sources.tables import read_training_curve
+    c = read_training_curve(spark, f"{root}/learn", f"{root}/test")
+    best = c.agg(F.min_by("iter", "test_loss").alias("best_iter"))
+    return c.crossJoin(best)
