@@ -966,32 +966,41 @@ from ..schema import COST_LEAKAGE, LATENCY_LEAKAGE  # noqa: E402
 N_ITER = 20          # boosting rounds / trees for the registered runs (library default: 300, as the reference)
 
 
+_FITTED: dict = {}   # per (session, data folder): checkpointed features and fitted models, reused by queries
+
+
 def _model_data(spark, sf):
     """Features learned on all rows (reference rule D12), split by the `split` column.
 
     The feature table is read several times by training and evaluation, so its lineage is cut
     with a reliable checkpoint in the shared checkpoint folder (survives executor loss)."""
-    from ..session import cut_lineage
-    df, names = FE.engineer_features(runs(spark, sf))
-    return FE.split_data(cut_lineage(df), names), names
+    key = ("data", id(spark), sf)
+    if key not in _FITTED:
+        from ..session import cut_lineage
+        df, names = FE.engineer_features(runs(spark, sf))
+        _FITTED[key] = (FE.split_data(cut_lineage(df), names), names)
+    return _FITTED[key]
+
+
+def _binary(spark, sf, label="is_correct", task="Correctness", weighting="balanced", minority=0):
+    key = ("binary", id(spark), sf, label, weighting)
+    if key not in _FITTED:
+        sp, names = _model_data(spark, sf)
+        _FITTED[key] = ML.train_binary(sp["train"], sp["val"], sp["test"], names, label, task, N_ITER, weighting,
+                                       minority=minority)
+    return _FITTED[key]
 
 
 @register("correctness_model", None)
 def correctness_model(spark, sf):
     """M1: binary correctness — boosted trees, weighted boosted trees, weighted forest; threshold tuned on val."""
-    sp, names = _model_data(spark, sf)
-    res, _ = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "is_correct", "Correctness", N_ITER,
-                             "balanced", minority=0)
-    return res
+    return _binary(spark, sf)[0]
 
 
 @register("hallucination_model", None)
 def hallucination_model(spark, sf):
     """M3: hallucination — positive-class weight (B5); threshold tuned on val; minority class 1."""
-    sp, names = _model_data(spark, sf)
-    res, _ = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "hallucination_flag", "Hallucination",
-                             N_ITER, "positive", minority=1)
-    return res
+    return _binary(spark, sf, "hallucination_flag", "Hallucination", "positive", 1)[0]
 
 
 @register("multiclass_model", None)
@@ -1034,8 +1043,7 @@ def task_classifier(spark, sf):
 def isotonic(spark, sf):
     """Isotonic calibration of the correctness model on val; raw vs calibrated AUC on test."""
     sp, names = _model_data(spark, sf)
-    _, fitted = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "is_correct", "Correctness", N_ITER)
-    model, _thr = fitted["GBT"]
+    model, _thr = _binary(spark, sf)[1]["GBT"]
     return ML.calibrate(model, sp["val"], sp["test"], names, "is_correct")[0]
 
 
@@ -1066,9 +1074,8 @@ def pca2(spark, sf):
 @register("feature_importance", None)
 def feature_importance(spark, sf):
     """Top-20 feature importances of the boosted correctness model."""
-    sp, names = _model_data(spark, sf)
-    _, fitted = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "is_correct", "Correctness", N_ITER)
-    top = ML.top_importances(fitted["GBT"][0], names, 20)
+    _, names = _model_data(spark, sf)
+    top = ML.top_importances(_binary(spark, sf)[1]["GBT"][0], names, 20)
     return spark.createDataFrame([(i + 1, f, v) for i, (f, v) in enumerate(top)], "rank int, feature string, importance double")
 
 
@@ -1161,8 +1168,7 @@ from ..operators import explain as XP  # noqa: E402
 
 def _shap_long(spark, sf):
     sp, names = _model_data(spark, sf)
-    _, fitted = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "is_correct", "Correctness", N_ITER)
-    model = fitted["GBT"][0]
+    model = _binary(spark, sf)[1]["GBT"][0]
     ens = XP.export_trees(model, spark, "correctness_gbt")
     te = ML.assemble(sp["test"], names, ["run_id"])
     return XP.tree_shap_long(te, "run_id", "features", ens, names)
@@ -1204,9 +1210,8 @@ def topn_impacts(spark, sf):
 # ─────────────────────────── batch scoring, end-to-end job (M9, M11, A26, S7, S8, S11) ───────────────────────────
 def _train_scoring_models(spark, sf):
     sp, names = _model_data(spark, sf)
-    res_c, fit_c = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "is_correct", "Correctness", N_ITER)
-    res_h, fit_h = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "hallucination_flag",
-                                   "Hallucination", N_ITER, "positive", minority=1)
+    res_c, fit_c = _binary(spark, sf)
+    res_h, fit_h = _binary(spark, sf, "hallucination_flag", "Hallucination", "positive", 1)
     res_l, fit_l = ML.train_regression(sp["train"], sp["test"], names, "total_latency_ms", "Latency",
                                        LATENCY_LEAKAGE, N_ITER)
     res_k, fit_k = ML.train_regression(sp["train"], sp["test"], names, "total_cost_usd", "Cost", COST_LEAKAGE, N_ITER)
@@ -1265,8 +1270,7 @@ def training_curve(spark, sf):
     """Per-iteration learn / test loss of the boosted correctness model, written as TSV logs and read
     back joined on the iteration; plus the best test iteration (min_by)."""
     sp, names = _model_data(spark, sf)
-    _, fitted = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "is_correct", "Correctness", N_ITER)
-    model = fitted["GBT"][0]
+    model = _binary(spark, sf)[1]["GBT"][0]
     root = ST.stream_paths(spark, "curve")[0]
     for part, frame in [("learn", sp["train"]), ("test", sp["test"])]:
         curve = ML.training_curve(model, ML.assemble(frame, names, ["is_correct"]))
