@@ -53,7 +53,8 @@ def class_report(df: DataFrame, y: str, p: str, digits: int | None = 4) -> DataF
                   F.sum(F.col("precision") * F.col("support")).alias("wp"),
                   F.sum(F.col("recall") * F.col("support")).alias("wr"),
                   F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    acc = pairs.agg(F.avg((F.col("_y") == F.col("_p")).cast("double")).alias("acc"))
+    # accuracy = Σ tp / Σ support, from the same per-label counts (no second pass over the input)
+    acc = c.agg((F.sum("tp") / F.sum("support")).alias("acc"))
     summary = tot.crossJoin(acc).select(F.explode(F.array(
         F.struct(F.lit("accuracy").alias("label"), F.col("acc").alias("precision"), F.col("acc").alias("recall"),
                  F.col("n").alias("support"), F.col("acc").alias("f1")),
@@ -110,27 +111,45 @@ def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], descen
     return j.withColumns(cums).drop("_bucket", *[f"_l_{v}" for v in value_cols], *[f"_o_{v}" for v in value_cols])
 
 
-def score_counts(df: DataFrame, y: str, score: str) -> DataFrame:
-    """One row per distinct score: positives and negatives at that score (partial aggregation)."""
+def score_counts(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    """One row per (group, distinct score): positives and negatives at that score (partial aggregation)."""
     pos = (F.col(y) == 1).cast("long")
-    return df.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(pos).alias("n_pos"),
-                                                                      F.sum(1 - pos).alias("n_neg"))
+    return df.groupBy(*group_cols, F.col(score).cast("double").alias("score")).agg(F.sum(pos).alias("n_pos"),
+                                                                                   F.sum(1 - pos).alias("n_neg"))
+
+
+def _counts(df: DataFrame, y: str, score: str, group_cols: Sequence[str], materialize: bool) -> DataFrame:
+    """The distinct-score table is read by several branches (bounds, running sums, totals), which Spark
+    would each recompute from the source; a reliable checkpoint in the shared folder computes it once."""
+    sc = score_counts(df, y, score, group_cols)
+    if materialize:
+        from ..session import cut_lineage
+        sc = cut_lineage(sc)
+    return sc
 
 
 # ─────────────────────────────── ranking metrics ───────────────────────────────
-def roc_auc(df: DataFrame, y: str, score: str, n_buckets: int = 64) -> DataFrame:
-    """ROC-AUC with ties averaged (Mann-Whitney): Σ_s pos(s)·(neg_below(s) + ½·neg(s)) / (P·N)."""
-    c = prefix_sums(score_counts(df, y, score), "score", ["n_neg"], n_buckets=n_buckets, inclusive=False)
-    return c.agg((F.sum(F.col("n_pos") * (F.col("cum_n_neg") + 0.5 * F.col("n_neg")))
-                  / (F.sum("n_pos") * F.sum("n_neg"))).alias("auc"))
+def roc_auc(df: DataFrame, y: str, score: str, n_buckets: int = 64, group_cols: Sequence[str] = (),
+            materialize: bool = True) -> DataFrame:
+    """ROC-AUC with ties averaged (Mann-Whitney): Σ_s pos(s)·(neg_below(s) + ½·neg(s)) / (P·N),
+    per group (e.g. one row per model when several scorers are stacked)."""
+    g = list(group_cols)
+    c = prefix_sums(_counts(df, y, score, g, materialize), "score", ["n_neg"], n_buckets=n_buckets,
+                    inclusive=False, group_cols=g)
+    return c.groupBy(*g).agg((F.sum(F.col("n_pos") * (F.col("cum_n_neg") + 0.5 * F.col("n_neg")))
+                              / (F.sum("n_pos") * F.sum("n_neg"))).alias("auc"))
 
 
-def curve_points(df: DataFrame, y: str, score: str, n_buckets: int = 64) -> DataFrame:
-    """Per distinct score (descending): tp/fp at threshold ≥ score, totals P and N."""
-    c = prefix_sums(score_counts(df, y, score), "score", ["n_pos", "n_neg"], descending=True, n_buckets=n_buckets)
-    tot = c.agg(F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N"))
-    return c.crossJoin(F.broadcast(tot)).select(F.col("score").alias("threshold"), "n_pos", "n_neg",
-                                                F.col("cum_n_pos").alias("tp"), F.col("cum_n_neg").alias("fp"), "P", "N")
+def curve_points(df: DataFrame, y: str, score: str, n_buckets: int = 64, group_cols: Sequence[str] = (),
+                 materialize: bool = True) -> DataFrame:
+    """Per (group, distinct score), descending: tp/fp at threshold ≥ score, totals P and N."""
+    g = list(group_cols)
+    sc = _counts(df, y, score, g, materialize)
+    c = prefix_sums(sc, "score", ["n_pos", "n_neg"], descending=True, n_buckets=n_buckets, group_cols=g)
+    tot = (sc.groupBy(*g) if g else sc).agg(F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N"))
+    j = c.join(tot, g) if g else c.crossJoin(F.broadcast(tot))
+    return j.select(*g, F.col("score").alias("threshold"), "n_pos", "n_neg",
+                    F.col("cum_n_pos").alias("tp"), F.col("cum_n_neg").alias("fp"), "P", "N")
 
 
 def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -152,11 +171,13 @@ def pr_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     return body.unionByName(end)
 
 
-def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
+def average_precision(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = (),
+                      materialize: bool = True) -> DataFrame:
     """Σ_n (R_n − R_{n−1})·P_n over thresholds in descending score order (step sum, no interpolation)."""
-    pts = curve_points(df, y, score)
-    return pts.agg((F.sum(F.col("n_pos") / F.col("P") * (F.col("tp") / (F.col("tp") + F.col("fp")))))
-                   .alias("average_precision"))
+    g = list(group_cols)
+    pts = curve_points(df, y, score, group_cols=g, materialize=materialize)
+    return pts.groupBy(*g).agg((F.sum(F.col("n_pos") / F.col("P") * (F.col("tp") / (F.col("tp") + F.col("fp")))))
+                               .alias("average_precision"))
 
 
 def best_threshold(df: DataFrame, y: str, score: str, eps: float = 1e-8, default: float = 0.5) -> DataFrame:

@@ -792,19 +792,30 @@ _PREDICTORS = [("top1_score", "coalesce(top1_score, 0.0)"), ("mean_retrieved_sco
 
 
 def _comparison(spark, sf) -> DataFrame:
+    """All scorers stacked in long form (model, label, score) → AUC and AP per model in one pass each."""
     r = runs(spark, sf)
-    parts = []
-    for pos, (name, _) in enumerate(_PREDICTORS):
-        d = r.select("is_correct", F.coalesce(F.col(name), F.lit(0.0)).alias("score"))
-        auc = M.roc_auc(d, "is_correct", "score")
-        ap = M.average_precision(d, "is_correct", "score")
-        parts.append(auc.crossJoin(ap).select(F.lit(name).alias("model"), F.lit("Correctness").alias("task"),
-                                              F.lit(pos).alias("pos"), F.round("auc", 10).alias("auc"),
-                                              F.round("average_precision", 10).alias("average_precision")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    names = [n for n, _ in _PREDICTORS]
+    long = r.select("is_correct", *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names]) \
+        .unpivot(["is_correct"], names, "model", "score")
+    counts = M.score_counts(long, "is_correct", "score", ["model"])
+    from ..session import cut_lineage
+    counts = cut_lineage(counts.withColumnRenamed("score", "s"))
+    # counts are already per (model, distinct score): feed them back as weighted rows
+    auc = M.prefix_sums(counts.withColumnRenamed("s", "score"), "score", ["n_neg"], inclusive=False,
+                        group_cols=["model"]).groupBy("model").agg(
+        (F.sum(F.col("n_pos") * (F.col("cum_n_neg") + 0.5 * F.col("n_neg")))
+         / (F.sum("n_pos") * F.sum("n_neg"))).alias("auc"))
+    c = counts.withColumnRenamed("s", "score")
+    cum = M.prefix_sums(c, "score", ["n_pos", "n_neg"], descending=True, group_cols=["model"])
+    tot = c.groupBy("model").agg(F.sum("n_pos").alias("P"))
+    ap = cum.join(tot, "model").groupBy("model").agg(
+        F.sum(F.col("n_pos") / F.col("P") * (F.col("cum_n_pos") / (F.col("cum_n_pos") + F.col("cum_n_neg"))))
+        .alias("average_precision"))
+    pos = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+    return auc.join(ap, "model").select("model", F.lit("Correctness").alias("task"),
+                                        F.element_at(pos, F.col("model")).alias("pos"),
+                                        F.round("auc", 10).alias("auc"),
+                                        F.round("average_precision", 10).alias("average_precision"))
 
 
 _COMPARISON_SQL = " UNION ALL ".join(
