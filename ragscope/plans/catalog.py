@@ -1096,6 +1096,10 @@ from ..streaming import scoring as ST  # noqa: E402
 
 
 def _event_stream(spark, sf):
+    # event times are UTC wall-clock values (TIMESTAMP_NTZ); watermarks need TIMESTAMP, so the
+    # session zone must be UTC for windows to fall on UTC day boundaries
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = read_table(spark, sf, "events").schema
     return spark.readStream.schema(schema).parquet(os.path.join(sf, "events*.parquet"))
 
