@@ -199,3 +199,20 @@ def box_stats(df: DataFrame, group: str, value: str, whisker: float = 1.5, digit
     out = q.join(wh, group)
     return out.select(group, "n", *[F.round(c, digits).alias(c) for c in ["q1", "median", "q3", "whisker_lo", "whisker_hi"]],
                       "n_outliers")
+
+
+def sample_rows(df: DataFrame, n: int, order_key: Column) -> DataFrame:
+    """Deterministic sample without replacement: the ``n`` rows with the smallest ``order_key``
+    (e.g. an arithmetic or xxhash64 hash of the row key and a seed).  Plans as TakeOrderedAndProject:
+    each task keeps n rows, the driver merges n × tasks."""
+    return df.withColumn("_o", order_key).orderBy("_o").limit(n).drop("_o")
+
+
+def preview(df: DataFrame, key: str, n: int = 3) -> DataFrame:
+    """First n rows by key (head)."""
+    return df.orderBy(F.col(key).asc()).limit(n)
+
+
+def shape(df: DataFrame) -> DataFrame:
+    """(rows, columns)."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(df.columns)))

@@ -1295,3 +1295,40 @@ def training_curve(spark, sf):
     c = read_training_curve(spark, f"{root}/learn", f"{root}/test")
     best = c.agg(F.min_by("iter", "test_loss").alias("best_iter"))
     return c.crossJoin(best)
+
+
+# ─────────────────────────── sampling, preview, chunk statistics (P12, P13, C9) ───────────────────────────
+@register("sample_1500", """
+SELECT run_id, is_correct, total_latency_ms FROM eval_runs
+ORDER BY (run_id * 7919 + 42) % 1000003, run_id LIMIT 1500""")
+def sample_1500(spark, sf):
+    """1,500 runs without replacement, fixed seed, by an arithmetic hash of the key (the limit is the feature)."""
+    r = runs(spark, sf).select("run_id", "is_correct", "total_latency_ms")
+    key = F.struct((F.col("run_id") * 7919 + 42) % 1000003, F.col("run_id"))
+    return A.sample_rows(r, 1500, key)
+
+
+@register("preview", """
+SELECT run_id, split, generator_model, is_correct FROM eval_runs ORDER BY run_id LIMIT 3""")
+def preview(spark, sf):
+    """head(3) by run id."""
+    return A.preview(runs(spark, sf).select("run_id", "split", "generator_model", "is_correct"), "run_id", 3)
+
+
+@register("shape", "SELECT count(*) AS n_rows, 45 AS n_cols FROM eval_runs")
+def shape(spark, sf):
+    """Rows and columns of the run table."""
+    return A.shape(runs(spark, sf))
+
+
+@register("chunk_stats", """
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+')) AS w,
+                  unnest(range(0, len(regexp_extract_all(text, '\\S+')))) AS pos FROM documents),
+c AS (SELECT doc_id, CAST(floor(pos / 256) AS INTEGER) AS chunk_index, count(*) AS estimated_tokens
+      FROM w GROUP BY 1, 2)
+SELECT doc_id, count(*) AS n_chunks, round(avg(estimated_tokens), 4) AS avg_chunk_tokens,
+       sum(estimated_tokens) AS n_tokens FROM c GROUP BY doc_id""")
+def chunk_stats(spark, sf):
+    """Documents cut into 256-word chunks (whole texts), then chunks / mean tokens / tokens per document."""
+    ch = TX.chunk_words(read_table(spark, sf, "documents"), "doc_id", "text", 256)
+    return TX.document_chunk_stats(ch)
