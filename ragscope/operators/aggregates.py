@@ -179,26 +179,41 @@ def histogram(df: DataFrame, col: str, bins: int = 50, digits: int = 6) -> DataF
 
 
 def box_stats(df: DataFrame, group: str, value: str, whisker: float = 1.5, digits: int = 4) -> DataFrame:
-    """Quartiles (linear interpolation), 1.5·IQR whiskers and outlier count per group.
+    """Quartiles (linear interpolation, as numpy/pandas), 1.5·IQR whiskers and outlier count per group.
+
+    Exact and skew-safe: the values are first reduced to a histogram of distinct
+    (group, value) counts (partial aggregation); running counts over it come from the
+    bucketed ``prefix_sums`` (no task holds a whole group); the value at rank i is the
+    smallest value whose running count exceeds i.  Whiskers and outliers are one more
+    pass over the histogram joined with its group's fences (one row per group)."""
+    from .metrics import prefix_sums
 
-    Two passes, both partial-aggregated: exact percentiles (value→count buffers,
-    bounded by the distinct values of the measure) then a pass over the rows
-    joined with their group's fences (one row per group)."""
     v = F.col(value).cast("double")
     src = df.where(F.col(group).isNotNull() & v.isNotNull())
-    q = src.groupBy(group).agg(F.percentile(v, [0.25, 0.5, 0.75]).alias("_q"), F.count(F.lit(1)).alias("n"))
-    q = q.select(group, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    q = q.withColumns({"lo_fence": F.col("q1") - whisker * (F.col("q3") - F.col("q1")),
-                       "hi_fence": F.col("q3") + whisker * (F.col("q3") - F.col("q1"))})
-    # one row per group: Spark broadcasts it when the group count is small, else shuffles
-    j = src.select(group, v.alias("_v")).join(q.select(group, "lo_fence", "hi_fence"), group)
+    hist = src.groupBy(group, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    cum = prefix_sums(hist, "_v", ["_c"], group_cols=[group])
+    n = hist.groupBy(group).agg(F.sum("_c").alias("n"))
+    c = cum.join(n, group)
+    aggs = [F.first("n").alias("n")]
+    for name, q in [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]:
+        h = (F.col("n") - 1) * q
+        lo, hi = F.floor(h), F.ceil(h)
+        aggs += [F.min(F.when(F.col("cum__c") > lo, F.col("_v"))).alias(f"_{name}_lo"),
+                 F.min(F.when(F.col("cum__c") > hi, F.col("_v"))).alias(f"_{name}_hi"),
+                 F.first(h - lo).alias(f"_{name}_f")]
+    qs = c.groupBy(group).agg(*aggs)
+    qs = qs.select(group, "n", *[(F.col(f"_{m}_lo") + F.col(f"_{m}_f") * (F.col(f"_{m}_hi") - F.col(f"_{m}_lo")))
+                                 .alias(m) for m in ["q1", "median", "q3"]])
+    qs = qs.withColumns({"lo_fence": F.col("q1") - whisker * (F.col("q3") - F.col("q1")),
+                         "hi_fence": F.col("q3") + whisker * (F.col("q3") - F.col("q1"))})
+    j = hist.join(qs.select(group, "lo_fence", "hi_fence"), group)
     inside = (F.col("_v") >= F.col("lo_fence")) & (F.col("_v") <= F.col("hi_fence"))
     wh = j.groupBy(group).agg(F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"),
                               F.max(F.when(inside, F.col("_v"))).alias("whisker_hi"),
-                              F.count_if(~inside).alias("n_outliers"))
-    out = q.join(wh, group)
-    return out.select(group, "n", *[F.round(c, digits).alias(c) for c in ["q1", "median", "q3", "whisker_lo", "whisker_hi"]],
-                      "n_outliers")
+                              F.sum(F.when(~inside, F.col("_c")).otherwise(F.lit(0))).alias("n_outliers"))
+    out = qs.join(wh, group)
+    return out.select(group, "n", *[F.round(c, digits).alias(c) for c in ["q1", "median", "q3", "whisker_lo",
+                                                                           "whisker_hi"]], "n_outliers")
 
 
 def sample_rows(df: DataFrame, n: int, order_key: Column) -> DataFrame:

@@ -70,8 +70,8 @@ def recommendations(df: DataFrame, keys: Sequence[str] = ("generator_model", "re
 
     Default budget = the dashboard's initial sliders: cost ≤ max(avg_cost) and
     latency ≤ floor(max(avg_latency)).  Ties → first configuration in key order.
-    The budget bounds are a one-row aggregate; the argmax/argmin windows run over
-    the aggregated configurations only (bounded by the number of configurations)."""
+    The budget bounds are a one-row aggregate; each pick is an ordered top-1 over the
+    aggregated configurations."""
     base = pareto_base(df, keys)
     bounds = base.agg(F.max("avg_cost").alias("_mc"), F.floor(F.max("avg_latency")).alias("_ml"))
     b = base.crossJoin(F.broadcast(bounds))
@@ -81,9 +81,8 @@ def recommendations(df: DataFrame, keys: Sequence[str] = ("generator_model", "re
     picks = []
     for label, metric, desc in [("highest_accuracy", "accuracy", True), ("cheapest", "avg_cost", False),
                                 ("fastest", "avg_latency", False)]:
-        w = Window.orderBy(*_order([(metric, desc)], keys))
-        picks.append(inb.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-                     .withColumn("criterion", F.lit(label)))
+        # distributed top-1 (TakeOrderedAndProject), ties → first configuration in key order
+        picks.append(inb.orderBy(*_order([(metric, desc)], keys)).limit(1).withColumn("criterion", F.lit(label)))
     out = picks[0].unionByName(picks[1]).unionByName(picks[2])
     return out.select("criterion", *keys, *[F.round(c, digits).alias(c) for c in
                                             ["accuracy", "avg_cost", "avg_latency", "halluc_rate"]], "count")
