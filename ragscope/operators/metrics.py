@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # ─────────────────────────────── classification ───────────────────────────────
@@ -83,19 +84,42 @@ def macro_f1(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 # ─────────────────────────────── running totals ───────────────────────────────
+def fixed_bounds(df: DataFrame, order_col: str, n_buckets: int, group_cols: Sequence[str] = (),
+                 max_groups: int = 100_000):
+    """Quantile cut points of ``order_col`` (per group), computed ONCE and fixed.
+
+    Returns (bounds, join_df): without groups, ``bounds`` is a literal array column; with groups
+    it is None and ``join_df`` is a driver-made (group..., _b) table.  Approximate quantiles
+    are not guaranteed to be identical if re-evaluated (merge order can change after a lost
+    executor), and several branches bucket the same rows, so the cut points are collected
+    under a size guard (groups × n_buckets numbers, never rows) instead of staying lazy."""
+    g = list(group_cols)
+    probs = [i / n_buckets for i in range(1, n_buckets)] or [0.5]
+    agg = (df.groupBy(*g) if g else df).agg(F.percentile_approx(F.col(order_col), probs, 10_000).alias("_b"))
+    rows = agg.limit(max_groups + 1).collect()
+    if len(rows) > max_groups:
+        raise ValueError(f"more than {max_groups} groups for bucketed running sums")
+    elem = df.schema[order_col].dataType
+    if not g:
+        vals = (rows[0]["_b"] if rows and rows[0]["_b"] is not None else []) if n_buckets > 1 else []
+        return F.array(*[F.lit(x) for x in vals]).cast(T.ArrayType(elem)), None
+    schema = T.StructType([*[df.schema[c] for c in g], T.StructField("_b", T.ArrayType(elem))])
+    data = [tuple(r[c] for c in g) + ((list(r["_b"]) if n_buckets > 1 and r["_b"] else []),) for r in rows]
+    return None, df.sparkSession.createDataFrame(data, schema)
+
+
 def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], descending: bool = False,
                 n_buckets: int = 64, inclusive: bool = True, group_cols: Sequence[str] = ()) -> DataFrame:
     """Exact running totals of ``value_cols`` in ``order_col`` order within ``group_cols``
     (rows of a group must have distinct order values).
 
     Adds ``cum_<v>`` (inclusive of the row, or strictly before it if ``inclusive=False``).
-    Quantile boundaries (one small row per group) split each group into buckets, so no
-    task sorts a whole group; per-bucket offsets are a table of groups × ``n_buckets`` rows."""
+    Fixed quantile cut points split each group into buckets, so no task sorts a whole
+    group; per-bucket offsets are a table of groups × ``n_buckets`` rows."""
     g = list(group_cols)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
     o = F.col(order_col)
-    bounds = (df.groupBy(*g) if g else df).agg(F.percentile_approx(o, probs, 10_000).alias("_b"))
-    x = df.join(F.broadcast(bounds), g) if g else df.crossJoin(F.broadcast(bounds))
+    lit_b, bounds = fixed_bounds(df, order_col, n_buckets, g)
+    x = df.join(F.broadcast(bounds), g) if g else df.withColumn("_b", lit_b)
     bucket = F.size(F.filter("_b", (lambda t: t > o) if descending else (lambda t: t < o)))
     x = x.withColumn("_bucket", bucket).drop("_b")
     order = o.desc() if descending else o.asc()

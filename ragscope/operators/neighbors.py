@@ -85,11 +85,9 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, group_cols: Sequence[s
     sizes = (pts.groupBy(*g) if g else pts).agg(F.count(F.lit(1)).alias("n"))
     nmax = sizes.agg(F.max("n")).first()[0] or 0
     nb = int(min(4096, max(1, math.ceil(nmax / block_size))))
-    probs = [i / nb for i in range(1, nb)] or [0.5]
-    bounds = (pts.groupBy(*g) if g else pts).agg(F.percentile_approx("_p", probs, 100_000).alias("_b"))
-    pts = (pts.join(F.broadcast(bounds), g) if g else pts.crossJoin(F.broadcast(bounds)))
-    if nb == 1:
-        pts = pts.withColumn("_b", F.array().cast("array<double>"))
+    from .metrics import fixed_bounds
+    lit_b, bounds = fixed_bounds(pts, "_p", nb, g)      # cut points fixed once (same in every branch / retry)
+    pts = pts.join(F.broadcast(bounds), g) if g else pts.withColumn("_b", lit_b)
     pts = pts.withColumn("_blk", F.size(F.filter("_b", lambda t: t < F.col("_p"))))
 
     id_type = df.schema[id_col].dataType
