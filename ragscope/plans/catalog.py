@@ -14,10 +14,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import first_list_item
 from ..operators import aggregates as A
+from ..operators import contract as C
+from ..operators import explain as XP
+from ..operators import features as FE
+from ..operators import joins as J
 from ..operators import leaderboards as L
-from ..schema import BEST_OF_DIMENSIONS, BREAKDOWN_DIMENSIONS, NOMINAL_FEATURES, NUMERIC_FEATURES
+from ..operators import metrics as M
+from ..operators import models as ML
+from ..operators import neighbors as NB
+from ..operators import text as TX
+from ..operators import validate as V
+from ..operators.retrieval import retrieval_metrics as _retrieval_metrics
+from ..schema import (ALLOWED_VALUES, BEST_OF_DIMENSIONS, BINARY_FLAGS, BREAKDOWN_DIMENSIONS, CATEGORIES, CLAMP_RULES,
+                      CLUSTER_FEATURES, COST_LEAKAGE, FLAG_FEATURES, LABEL_ENCODED_FEATURES, LATENCY_LEAKAGE,
+                      NOMINAL_FEATURES, NON_NEGATIVE_FIELDS, NUMERIC_FEATURES, REQUEST_FIELDS, reference_features)
+from ..sources import adapters as AD
+from ..sources import artifacts as AR
 from ..sources.adapters import runs
+from ..sources.artifacts import categories_dict
+from ..sources.tables import read_table
+from ..streaming import scoring as ST
 from .oracle_views import with_views
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -273,13 +291,6 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ──────────────────────── joins, keys, contract (J1, J2, F4-F6, C1-C13) ────────────────────────
-from ..functions.scalar import first_list_item  # noqa: E402
-from ..operators import contract as C  # noqa: E402
-from ..operators import joins as J  # noqa: E402
-from ..operators.retrieval import retrieval_metrics as _retrieval_metrics  # noqa: E402
-from ..schema import ALLOWED_VALUES, BINARY_FLAGS, CATEGORIES  # noqa: E402
-from ..sources import adapters as AD  # noqa: E402
-from ..sources.tables import read_table  # noqa: E402
 
 _SU_SQL = """su AS (
   SELECT s.*, coalesce(c.n, 0) AS n_eval_examples, CASE WHEN coalesce(c.n, 0) > 0 THEN 1 ELSE 0 END AS is_used_in_eval
@@ -439,11 +450,6 @@ def failure_modes(spark, sf):
 
 
 # ─────────────────────── features, validation, requests (E1-E13, P5, P10) ───────────────────────
-from ..operators import features as FE  # noqa: E402
-from ..operators import validate as V  # noqa: E402
-from ..schema import (CLAMP_RULES, CLUSTER_FEATURES, DIFFICULTY_ORDER, FLAG_FEATURES, LABEL_ENCODED_FEATURES,  # noqa: E402
-                      NON_NEGATIVE_FIELDS, REQUEST_FIELDS, reference_features)
-from ..sources.artifacts import categories_dict  # noqa: E402
 
 _ORD_SQL = ("CASE {c} WHEN 'easy' THEN 0 WHEN 'medium' THEN 1 WHEN 'hard' THEN 2 ELSE 1 END")
 
@@ -635,7 +641,6 @@ def request_features(spark, sf):
 
 
 # ─────────────────────────── evaluation metrics (A18-A26, W2-W6, U2) ───────────────────────────
-from ..operators import metrics as M  # noqa: E402
 
 _SCORE = "coalesce(top1_score, 0.0)"
 _MC_PRED = ("CASE WHEN coalesce(top1_score, 0.0) >= 0.6 THEN 'correct' WHEN coalesce(top1_score, 0.0) >= 0.3 "
@@ -838,7 +843,6 @@ def best_model(spark, sf):
 
 
 # ─────────────────────────── rebalancing (J3, J4, B1-B5, U1) ───────────────────────────
-from ..operators import neighbors as NB  # noqa: E402
 
 _EMB_SQL = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
@@ -945,7 +949,6 @@ def pos_weight(spark, sf):
 
 
 # ─────────────────────────────────── text (E9) ───────────────────────────────────
-from ..operators import text as TX  # noqa: E402
 
 _TFIDF_SQL = """WITH tok AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM documents),
@@ -971,8 +974,6 @@ def tfidf(spark, sf):
 
 
 # ────────────────────── Spark ML tasks (M1-M15, M10, M11, A17, A26, T7, S5-S8) — rows-only ──────────────────────
-from ..operators import models as ML  # noqa: E402
-from ..schema import COST_LEAKAGE, LATENCY_LEAKAGE  # noqa: E402
 
 N_ITER = 20          # boosting rounds / trees for the registered runs (library default: 300, as the reference)
 
@@ -1091,8 +1092,6 @@ def feature_importance(spark, sf):
 
 
 # ─────────────────────────── streaming, log, artifacts (R1, R2, S5-S11) ───────────────────────────
-from ..sources import artifacts as AR  # noqa: E402
-from ..streaming import scoring as ST  # noqa: E402
 
 
 def _event_stream(spark, sf):
@@ -1178,7 +1177,6 @@ def feature_list(spark, sf):
 
 
 # ─────────────────────────── explanations (M16, M17, A27, W5) ───────────────────────────
-from ..operators import explain as XP  # noqa: E402
 
 
 def _shap_long(spark, sf):
