@@ -56,9 +56,10 @@ def retrieval_metrics(events: DataFrame, run_col: str = "run_id", score_col: str
     aggs.append(F.coalesce(F.lit(1.0) / F.min(F.when((rel == 1) & (r <= mrr_k), r)), F.lit(0.0))
                 .alias(f"mrr_at_{mrr_k}"))
     if doc_col is not None:
-        picked = F.collect_list(F.when(r <= prompt_docs, F.struct(r.alias("r"), F.col(doc_col).alias("d"))))
-        aggs.append(F.array_join(F.transform(F.array_sort(picked), lambda s: s["d"].cast("string")),
-                                 doc_sep).alias("doc_ids_used"))
+        # one plain max() per rank position keeps this a codegen'd hash aggregate (no object
+        # buffers, no per-group arrays); concat_ws skips positions a short run does not have
+        pos = [F.max(F.when(r == i, F.col(doc_col).cast("string"))) for i in range(1, prompt_docs + 1)]
+        aggs.append(F.concat_ws(doc_sep, *pos).alias("doc_ids_used"))
     ranked = top.groupBy(F.col(run_col).alias(run_col)).agg(*aggs)
     out = totals.join(ranked, run_col, "left")
     for k in ks:
