@@ -108,7 +108,7 @@ def smallest_class(df: DataFrame, label: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6, lower_only: bool = True,
-                max_patterns: int = 4096) -> DataFrame:
+                max_patterns: int = 4096, materialize: bool = True) -> DataFrame:
     """Pairwise-complete Pearson correlation, long form (col_a, col_b, corr).
 
     Built from plain ``sum`` sufficient statistics instead of n·(n-1)/2 ``corr``
@@ -124,6 +124,11 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6, lower_only:
     """
     cols = list(cols)
     n = len(cols)
+    if materialize:
+        # two passes (means, then sums) read the numeric columns: cut them once instead of
+        # recomputing the whole upstream plan for each pass
+        from ..session import cut_lineage
+        df = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
     x = {c: F.col(c).cast("double") for c in cols}
     means = df.agg(*[F.avg(x[c]).alias(f"_m{i}") for i, c in enumerate(cols)])
     centred = df.crossJoin(F.broadcast(means)).select(
