@@ -62,14 +62,35 @@ def binary_learners(n_iter: int, label: str, weight: str | None = "weight", seed
     return out
 
 
+def rebalance_vectors(df: DataFrame, label: str, method: str, features_col: str = "features") -> DataFrame:
+    """B1 / B2 on a training set of (label, vector): "smote" equalises classes, "smoteenn" then drops rows
+    whose 3 nearest neighbours disagree with their label.  Uses the exact k-NN operator."""
+    from pyspark.ml.functions import array_to_vector
+    from ..session import cut_lineage
+    from .neighbors import enn, smote
+    # row ids must not change between the many branches / retries that read them: fix them by a checkpoint
+    arr = cut_lineage(df.select(F.monotonically_increasing_id().alias("_rid"), F.col(label),
+                                vector_to_array(F.col(features_col)).alias("_x")))
+    out = smote(arr, "_rid", label, "_x")
+    if method == "smoteenn":
+        out = enn(out, "_rid", label, "_x", 3)
+    elif method != "smote":
+        raise ValueError(f"unknown rebalancing method {method!r}")
+    return out.select(F.col(label), array_to_vector(F.col("_x")).alias(features_col))
+
+
 def train_binary(train: DataFrame, val: DataFrame, test: DataFrame, features: Sequence[str], label: str,
                  task: str, n_iter: int = 300, weighting: str = "balanced", minority: int = 0,
-                 tune_on: str = "val", seed: int = 42) -> tuple[DataFrame, dict]:
-    """M1 / M3: fit the learners, tune a threshold (W4) on ``tune_on``, score test, pick best by F1-macro.
+                 tune_on: str = "val", seed: int = 42, rebalance: str | None = None) -> tuple[DataFrame, dict]:
+    """M1 / M3: optionally rebalance the training split (B1/B2), fit the learners, tune a threshold
+    on ``tune_on``, score test, pick best by F1-macro (W6).
 
     Returns (metrics rows, {name: (model, threshold)})."""
     keep = [label]
     tr = assemble(train, features, keep)
+    if rebalance:
+        from ..session import cut_lineage
+        tr = cut_lineage(rebalance_vectors(tr, label, rebalance))
     tr = balanced_weights(tr, label) if weighting == "balanced" else positive_weight(tr, label)
     va = assemble(val, features, keep)
     te = assemble(test, features, keep)

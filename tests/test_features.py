@@ -71,3 +71,17 @@ def test_zscore_population_std(spark):
     a = np.array([1.0, 2.0, 3.0, 0.0])
     ref = sorted((a - a.mean()) / a.std())
     assert np.allclose(z, ref)
+
+
+def test_rebalanced_training(runs_sample):
+    """SMOTE(-ENN) before fitting: training runs end to end and the rebalanced set is class-balanced."""
+    from ragscope.operators import models as ML
+    df, names = FE.engineer_features(runs_sample)
+    sp = FE.split_data(df, names)
+    tr = ML.assemble(sp["train"], names, ["is_correct"])
+    bal = ML.rebalance_vectors(tr, "is_correct", "smote")
+    counts = {r.is_correct: r["count"] for r in bal.groupBy("is_correct").count().collect()}
+    assert len(set(counts.values())) == 1
+    res, fitted = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "is_correct", "Correctness",
+                                  n_iter=3, rebalance="smoteenn")
+    assert res.count() == 3 and set(fitted) == {"GBT", "GBT_weighted", "RandomForest"}
