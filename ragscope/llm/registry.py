@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .minhash import op6_circulant_minhash
 from .mixing import OP10_SQL, op10_curriculum_mix
+from .quality import op3_quality_trees
 from .sharding import op1_histogram_shards
 from .token_output import op4_arrow_sequences
 
 #: name: (query, DuckDB SQL or None)
 REGISTRY = {
     "op1_histogram_shards": (op1_histogram_shards, None),
+    "op3_quality_trees": (op3_quality_trees, None),
     "op4_arrow_sequences": (op4_arrow_sequences, None),
+    "op6_circulant_minhash": (op6_circulant_minhash, None),
     "op10_curriculum_mix": (op10_curriculum_mix, OP10_SQL),
 }
