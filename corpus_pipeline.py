@@ -1,7 +1,54 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: from raw documents to token files, one operator of ``ragscope.llm`` per stage.
+
+Quality rules drop documents, near-duplicates keep one document of each group, documents that have a
+benchmark item go, sources are mixed to target weights in curriculum order (a document stands there as often
+as the mix takes it), and what is left becomes token sequences. Each stage is written as Parquet to the
+cluster's shared folder and read again by the next; it works on all rows that the one before it kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ragscope.llm.common import materialise, table
+from ragscope.llm.decontaminate import without_contaminated
+from ragscope.llm.minhash import near_duplicates
+from ragscope.llm.mixing import curriculum_order
+from ragscope.llm.quality import fit_quality, keep_quality
+from ragscope.llm.token_output import token_files
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without an id are kept; of rows that share id and text, all are kept or none."""
+    gone = near_duplicates(docs, k=5).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return curriculum_order(docs).select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_files(spark, docs)
+
+
+STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("decontamination", decontaminate),
+          ("source_mixing", mix_sources), ("token_output", token_output)]
+
+#: Trees, signatures, the latent space and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

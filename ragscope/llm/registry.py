@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_latent_decontamination
 from .minhash import op6_circulant_minhash
 from .mixing import OP10_SQL, op10_curriculum_mix
 from .quality import op3_quality_trees
@@ -14,5 +15,6 @@ REGISTRY = {
     "op3_quality_trees": (op3_quality_trees, None),
     "op4_arrow_sequences": (op4_arrow_sequences, None),
     "op6_circulant_minhash": (op6_circulant_minhash, None),
+    "op9_latent_decontamination": (op9_latent_decontamination, None),
     "op10_curriculum_mix": (op10_curriculum_mix, OP10_SQL),
 }
