@@ -25,10 +25,12 @@ from .words import chunks, mix, slices, words_of
 
 FEATURES = 1 << 14
 BLOCK = 16
-RANK, OVERSAMPLE = 64, 16
+RANK, OVERSAMPLE = 48, 8
 SEED = 7
 #: Cosine from which a passage is a candidate.
-NEAR = 0.4
+NEAR = 0.45
+#: Share of an item's TF-IDF weight, as far as a passage can hold the item, that a candidate's own words must have.
+SHARED = 0.35
 #: Share of an item's words that a common subsequence has to have.
 OVERLAP = 0.6
 #: Items of fewer words must occur whole, word after word.
@@ -37,16 +39,27 @@ SHORT = 8
 ITEMS_PER_PASS = 20_000
 #: Features per row in which tasks hand on their parts of the sketch.
 STRIP = 256
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+#: Punctuation at a word's edges that doesn't count.
+_EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’„…–—"
 _ANSWER = re.compile(r"(?i)(?:^|\s)(?:answer|a)\s*:")
 _PIECE = 1 << 20
 
 
+_POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+
+
 def _normal_hashes(distinct: pa.Array) -> np.ndarray:
     """64-bit hashes of lower-cased words without edge punctuation; 0 where nothing is left."""
-    import xxhash
-    words = (_EDGE.sub("", w.lower()) for w in distinct.to_pylist())
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) or 1 if w else 0 for w in words), np.uint64, len(distinct))
+    words = pc.utf8_trim(pc.utf8_lower(distinct), characters=_EDGE).cast(pa.binary())
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(b"".join(words.to_pylist()), np.uint8).astype(np.uint64) + np.uint64(1)
+    start = np.cumsum(size) - size
+    within = np.arange(len(data)) - np.repeat(start, size)
+    out, some = np.zeros(len(size), np.uint64), size > 0
+    if some.any():
+        sums = np.add.reduceat(mix(data + np.uint64(257) * (within >> 16).astype(np.uint64)) * _POWERS[within & 0xFFFF], start[some])
+        out[some] = mix(sums) | np.uint64(1)
+    return out
 
 
 @dataclass
@@ -87,8 +100,9 @@ def block_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         got, n = np.zeros(FEATURES + 1, np.int64), 0
         for _, texts in _pieces(batches):
             b = blocks_of(texts)
-            pairs = np.unique(b.block * FEATURES + b.feature)
-            got[:-1] += np.bincount(pairs % FEATURES, minlength=FEATURES)
+            rows = np.sort(_rows(b, b.feature, -1), axis=1)
+            first = np.diff(rows, axis=1, prepend=-1) != 0
+            got[:-1] += np.bincount(rows[first], minlength=FEATURES)
             got[-1] += len(b.start)
         seen = np.flatnonzero(got)
         yield pa.record_batch([pa.array(seen), pa.array(got[seen])], names=["feature", "n"])
@@ -99,6 +113,24 @@ def block_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
+def _rows(b: Blocks, values: np.ndarray, empty) -> np.ndarray:
+    """Values per word as one row of 16 per block."""
+    out = np.full((len(b.start), BLOCK), empty, values.dtype)
+    out[b.block, np.arange(len(values)) - b.start[b.block]] = values
+    return out
+
+
+def _block_sums(b: Blocks, weight: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Per block, the sum of its words' weighted vectors, a thousand blocks at a time to stay in the cache."""
+    feature, weight = _rows(b, b.feature, 0), _rows(b, weight, 0)
+    out = np.zeros((len(feature), vectors.shape[1]), np.float32)
+    for i in range(0, len(feature), 1024):
+        part = out[i: i + 1024]
+        for j in range(BLOCK):
+            part += vectors[feature[i: i + 1024, j]] * weight[i: i + 1024, j, None]
+    return out
+
+
 def _weights(b: Blocks, idf: np.ndarray) -> np.ndarray:
     """TF-IDF of each word occurrence, blocks scaled to length 1 (as if no word of a block repeated)."""
     w = idf[b.feature]
@@ -110,8 +142,8 @@ def _directions() -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((FEATURES, RANK + OVERSAMPLE)).astype(np.float32)
 
 
-def latent_space(docs: DataFrame) -> np.ndarray | None:
-    """Features x RANK: TF-IDF weights to latent coordinates, scaled to equal variance; None without words.
+def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Features x RANK, from words to latent coordinates scaled to equal variance, and the words' IDF; None without words.
 
     The randomised SVD needs A^T (A W) for the block matrix A and random directions W. Each task adds up its blocks'
     part; parts travel in strips of features and are added as they arrive, whatever their number. The driver gets the sum: FEATURES x 80 numbers.
@@ -129,7 +161,7 @@ def latent_space(docs: DataFrame) -> np.ndarray | None:
             if not len(b.start):
                 continue
             w = _weights(b, idf)
-            y = np.add.reduceat(random[b.feature] * w[:, None], b.start)
+            y = _block_sums(b, w, random)
             order = np.argsort(b.feature, kind="stable")
             f = b.feature[order]
             at = np.flatnonzero(np.diff(f, prepend=-1))
@@ -153,7 +185,7 @@ def latent_space(docs: DataFrame) -> np.ndarray | None:
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     values, vectors = values[::-1][:RANK], vectors[:, ::-1][:, :RANK]
     scale = 1 / np.sqrt(np.maximum(values, values[0] * 1e-9))
-    return (idf[:, None] * (q @ vectors) * scale).astype(np.float32)
+    return (idf[:, None] * (q @ vectors) * scale).astype(np.float32), idf
 
 
 @dataclass
@@ -224,26 +256,38 @@ class Matcher:
         return most if most >= need else 0
 
 
-def _scanner(space: np.ndarray, items: list[Item], near: float, overlap: float):
+def _scanner(space: np.ndarray, idf: np.ndarray, items: list[Item], near: float, overlap: float):
     matcher = Matcher(items, overlap)
     at = np.cumsum([0] + [len(i.words) for i in items])[:-1]
     feature = (mix(np.array([w for i in items for w in i.words], np.uint64)) % np.uint64(FEATURES)).astype(np.int64)
     target = np.add.reduceat(space[feature], at)
     target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-9)
+    sizes = np.array([len(i.words) for i in items])
+    weight = np.zeros((len(items), FEATURES + 1), np.float32)
+    weight[np.repeat(np.arange(len(items)), sizes), feature] = idf[feature]
+    least = SHARED * weight.sum(1) * np.minimum(1, 1.5 * BLOCK / sizes)
 
     def scan(texts: pa.Array) -> dict[tuple[int, int], int]:
         """(text, item): words of the item found."""
         b, out = blocks_of(texts), {}
         if not len(b.start):
             return out
-        latent = np.add.reduceat(space[b.feature], b.start)
+        latent = _block_sums(b, np.ones(len(b.feature), np.float32), space)
+        feature = _rows(b, b.feature, FEATURES)  # FEATURES: no word, no weight
+        after = np.full_like(feature, FEATURES)
         pair = np.flatnonzero(b.doc[1:] == b.doc[:-1])  # a passage is a block and the next one of its text
         passage = latent.copy()
         passage[pair] += latent[pair + 1]
+        after[pair] = feature[pair + 1]
         passage /= np.maximum(np.linalg.norm(passage, axis=1, keepdims=True), 1e-9)
         for i in range(0, len(passage), 1 << 14):
-            for p, k in zip(*np.nonzero(passage[i: i + (1 << 14)] @ target.T >= near)):
-                p, k = int(p) + i, int(k)
+            near_p, near_k = np.nonzero(passage[i: i + (1 << 14)] @ target.T >= near)
+            near_p += i
+            held = np.zeros(len(near_p), np.float32)
+            for j in range(BLOCK):
+                held += weight[near_k, feature[near_p, j]] + weight[near_k, after[near_p, j]]
+            shared = held >= least[near_k]
+            for p, k in zip(near_p[shared].tolist(), near_k[shared].tolist()):
                 doc, n = int(b.doc[p]), len(items[k].words) + len(items[k].answer)
                 if out.get((doc, k)) == len(items[k].words):
                     continue
@@ -263,7 +307,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, near: float, overlap: float):
     space = latent_space(docs) if items else None
     if space is not None:
         for i in range(0, len(items), ITEMS_PER_PASS):
-            yield items[i: i + ITEMS_PER_PASS], _scanner(space, items[i: i + ITEMS_PER_PASS], near, overlap)
+            yield items[i: i + ITEMS_PER_PASS], _scanner(*space, items[i: i + ITEMS_PER_PASS], near, overlap)
 
 
 MATCHES = "doc_id long, item_id long, matched_words long, item_words long"

@@ -6,9 +6,10 @@ one array, so that a shingle contributes one contiguous slice and a signature is
 coordinates propose pairs, and every link is confirmed on the full shingle sets.
 
 All pairs of a band's bucket are never emitted. Equal texts are one class from the start. First each class is
-compared with the smallest class that it shares a bucket with; in buckets that still hold several components, blocks
-of signatures are then compared across components, and only pairs whose estimate leaves a similarity of the threshold
-possible are emitted and confirmed.
+compared with the smallest class that it shares a bucket with. In buckets that still hold several components, blocks
+of signatures are then compared across components, in two rounds: first a spanning forest of the pairs that look
+clearly similar is confirmed, which unites large groups at the cost of one pair per member; then all pairs whose
+estimate leaves the threshold possible, and which are still in different components, are confirmed, each once.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ PLACES = 1 << 20
 #: At similarity 0.8, all 40 bands of 5 miss a pair with probability (1 - 0.8^5)^40 = 1.3e-7.
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
-#: Six standard deviations, sqrt(J (1 - J) / 200), below the threshold.
-SLACK = 0.18
+#: Five standard deviations, sqrt(J (1 - J) / 200), below the threshold a pair is not confirmed any more.
+SLACK = 0.14
+#: So far above the threshold a pair looks clearly similar.
+CLEAR = 0.02
 BLOCK = 256
 SEED = 20_240_601
 
@@ -99,7 +102,9 @@ def _features(k: int):
             has = count > 0
             classes = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) if x else None
                        for t, x in zip(texts.cast(pa.binary()).to_pylist(), has.tolist())]
-            keys, low, at = iter(bands(sig).view(np.int64)), iter((sig & 255).astype(np.uint8)), has.tolist()
+            band = bands(sig).view(np.int64)
+            short = np.concatenate([(sig & 255).astype(np.uint8), band.view(np.uint8).reshape(len(sig), -1)], 1)
+            keys, low, at = iter(band), iter(short), has.tolist()
             yield pa.record_batch([
                 batch.column("doc_id"), pa.array(classes, pa.binary()), pa.array(count, pa.int64()),
                 pa.array([next(keys) if x else None for x in at], pa.list_(pa.int64())),
@@ -108,13 +113,6 @@ def _features(k: int):
     return run
 
 
-def similar(a: bytes, b: bytes, k: int, percent: int) -> bool:
-    """100 * |A and B| >= percent * |A or B| on the full shingle sets of two normalised texts."""
-    a, b = shingle_set(a, k), shingle_set(b, k)
-    both = len(a & b)
-    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def shingle_set(text: bytes, k: int) -> set[tuple[bytes, ...]]:
     w = text.lower().split()
     return set(zip(*[w[i:] for i in range(k)])) if len(w) >= k else {tuple(w)} if w else set()
@@ -136,14 +134,30 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of one block, or of two blocks of a bucket, that are in different components and look similar enough."""
-    need = (percent / 100 - SLACK) * COORDINATES
+def _roots(n: int, pairs: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The pairs that unite two trees of a forest over n nodes."""
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, j in pairs:
+        if (a := root(i)) != (b := root(j)):
+            parent[b] = a
+            yield i, j
+
 
-    def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        _, c1, c2 = rows[0][:3]
-        block, ids, label, n = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
-        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
+def _across(percent: int, clear: bool):
+    """Pairs of one block, or of two blocks of a bucket, that are in different components and look similar enough.
+
+    clear: a spanning forest of the clearly similar ones. Otherwise each pair, in the first bucket that it shares.
+    """
+    need = (percent / 100 + (CLEAR if clear else -SLACK)) * COORDINATES
+
+    def pairs(bucket, c1, c2, block, label, n, sig, keys) -> Iterator[tuple[int, int]]:
+        band = int((keys[0] == bucket).argmax())
         left = np.flatnonzero(block == c1)
         right = left if c1 == c2 else np.flatnonzero(block == c2)
         for i in left:
@@ -152,12 +166,18 @@ def _across(percent: int):
                 j = j[j > i]
             if len(j):
                 j = j[(sig[j] == sig[i]).sum(1) >= need]
-                yield from ((min(int(ids[i]), int(x)), max(int(ids[i]), int(x))) for x in ids[j])
+            if len(j) and not clear:
+                j = j[(keys[j] == keys[i]).argmax(1) == band]
+            yield from ((int(i), int(x)) for x in j)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(rows):
-            pairs = list(dict.fromkeys(compare(rows)))
-            return pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+            block, ids, label, n = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
+            data = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
+            sig, keys = data[:, :COORDINATES], np.ascontiguousarray(data[:, COORDINATES:]).view(np.int64)
+            found = pairs(*rows[0][:3], block, label, n, sig, keys)
+            found = [(int(ids[i]), int(ids[j])) for i, j in (_roots(len(rows), found) if clear else found)]
+            return pa.record_batch([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
 
         held: list[tuple] = []
         for batch in batches:  # rows come sorted by bucket and blocks
@@ -200,19 +220,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     fits = F.lit(100) * F.least("n", "na") >= F.lit(percent) * F.greatest("n", "na")
     stars = members.where((F.col("rep") != F.col("a")) & fits).groupBy(F.col("rep").alias("b")).agg(F.min("a").alias("a"))
     links = confirm(stars)
-    labels = materialise(components(links), "labels")
-
-    labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    open_ = (labelled.join(mixed, "bucket").join(reps.select("rep", "sig"), "rep")
-             .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("bucket", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"), "block", "rep", "label", "n", "sig"))
-    pairs = (open_.repartition("bucket", "c1", "c2").sortWithinPartitions("bucket", "c1", "c2")
-             .mapInArrow(_across(percent), "a long, b long").distinct())
-    more = confirm(pairs)
-    final = components(links.union(more).union(of_doc.where("doc_id <> rep").select("rep", "doc_id")))
+    for clear in (True, False):
+        labels = materialise(components(links), "labels")
+        labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        open_ = (labelled.join(mixed, "bucket").join(reps.select("rep", "sig"), "rep")
+                 .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+                 .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+                 .select("bucket", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"), "block", "rep", "label", "n", "sig"))
+        pairs = (open_.repartition("bucket", "c1", "c2").sortWithinPartitions("bucket", "c1", "c2")
+                 .mapInArrow(_across(percent, clear), "a long, b long").distinct())
+        links = links.union(confirm(pairs))
+    final = components(links.union(of_doc.where("doc_id <> rep").select("rep", "doc_id")))
     return (per.select("doc_id", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

@@ -6,12 +6,14 @@ from .decontaminate import op9_latent_decontamination
 from .minhash import op6_circulant_minhash
 from .mixing import OP10_SQL, op10_curriculum_mix
 from .quality import op3_quality_trees
+from .secrets import op2_secret_automaton
 from .sharding import op1_histogram_shards
 from .token_output import op4_arrow_sequences
 
 #: name: (query, DuckDB SQL or None)
 REGISTRY = {
     "op1_histogram_shards": (op1_histogram_shards, None),
+    "op2_secret_automaton": (op2_secret_automaton, None),
     "op3_quality_trees": (op3_quality_trees, None),
     "op4_arrow_sequences": (op4_arrow_sequences, None),
     "op6_circulant_minhash": (op6_circulant_minhash, None),
