@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import op9_latent_decontamination
+from .licenses import op5_license_minhash
 from .minhash import op6_circulant_minhash
 from .mixing import OP10_SQL, op10_curriculum_mix
+from .pii import op8_surrogates
 from .quality import op3_quality_trees
 from .secrets import op2_secret_automaton
 from .sharding import op1_histogram_shards
@@ -16,7 +18,9 @@ REGISTRY = {
     "op2_secret_automaton": (op2_secret_automaton, None),
     "op3_quality_trees": (op3_quality_trees, None),
     "op4_arrow_sequences": (op4_arrow_sequences, None),
+    "op5_license_minhash": (op5_license_minhash, None),
     "op6_circulant_minhash": (op6_circulant_minhash, None),
+    "op8_surrogates": (op8_surrogates, None),
     "op9_latent_decontamination": (op9_latent_decontamination, None),
     "op10_curriculum_mix": (op10_curriculum_mix, OP10_SQL),
 }
