@@ -71,9 +71,10 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, doc_
     spark = docs.sparkSession
     known = template_bands(spark, TEMPLATES if templates is None else templates)
     minima = sorted({m for r in known for m in r["minima"]})
-    hashed = (docs.select(F.col(doc_id).cast("long").alias("doc_id"), words(F.col(text)).alias("words"))
-              .select("doc_id", shingles(F.col("words")).alias("hashes")).where(F.arrays_overlap("hashes", long_array(minima)) if minima else F.lit(False)))
-    hits = materialise(hashed.withColumn("id", F.monotonically_increasing_id()), "license-rows")
+    # the id, being no pure function of the row, keeps the optimiser from moving the filter below it and hashing texts twice
+    hashed = (docs.select(F.col(doc_id).cast("long").alias("doc_id"), words(F.col(text)).alias("words"), F.monotonically_increasing_id().alias("id"))
+              .select("id", "doc_id", shingles(F.col("words")).alias("hashes"), F.monotonically_increasing_id().alias("fixed")))
+    hits = materialise(hashed.where(F.arrays_overlap("hashes", long_array(minima)) if minima else F.lit(False)).drop("fixed"), "license-rows")
     out = spark.createDataFrame([], "id long, doc_id long, license string, n_found int, n_shingles int")
     by_width: dict[int, list] = {}
     for r in known:

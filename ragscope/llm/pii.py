@@ -146,7 +146,8 @@ def replace_pii(docs: DataFrame, key: str = "surrogate key", text: str = "text")
         F.array_sort(F.collect_list(F.struct("at", written.alias("new"), "kind"))).alias("new"))
     pieces = F.split(F.col("row")[text], _ANY, -1)
     joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("new")["new"], i), F.lit("")))), "")
-    counts = F.array(*[F.size(F.filter("new", lambda n, k=k: n["kind"] == k)).cast("long") for k in KINDS])
+    of_kind = lambda k: F.size(F.filter("new", lambda n: n["kind"] == k)).cast("long")
+    counts = F.array(*map(of_kind, KINDS))
     rewritten = found.join(new, "id").select(*[(joined if c == text else F.col("row")[c]).alias(c) for c in columns], counts.alias("pii"))
     same = rows.where(F.size("mentions") == 0).select("row.*", zeros.alias("pii"))
     return same.union(rewritten)

@@ -10,6 +10,7 @@ from .pii import op8_surrogates
 from .quality import op3_quality_trees
 from .secrets import op2_secret_automaton
 from .sharding import op1_histogram_shards
+from .suffix_dedup import op7_prefix_doubling
 from .token_output import op4_arrow_sequences
 
 #: name: (query, DuckDB SQL or None)
@@ -20,6 +21,7 @@ REGISTRY = {
     "op4_arrow_sequences": (op4_arrow_sequences, None),
     "op5_license_minhash": (op5_license_minhash, None),
     "op6_circulant_minhash": (op6_circulant_minhash, None),
+    "op7_prefix_doubling": (op7_prefix_doubling, None),
     "op8_surrogates": (op8_surrogates, None),
     "op9_latent_decontamination": (op9_latent_decontamination, None),
     "op10_curriculum_mix": (op10_curriculum_mix, OP10_SQL),
