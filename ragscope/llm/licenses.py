@@ -48,15 +48,15 @@ def shingles(w: Column) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)]))
 
 
-def _minimum(hashes: Column, order: int) -> Column:
-    """The shingle that comes first in the order."""
-    return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(order)))).bitwiseXOR(F.lit(order))
+def _minima(hashes: Column) -> Column:
+    """The shingle that comes first in each order."""
+    return F.transform(long_array(ORDERS), lambda o: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(o))).bitwiseXOR(o))
 
 
 def template_bands(spark: SparkSession, templates: dict[str, str]) -> list:
     """Rows (license, hashes, n, w, minima), made with the same functions as the texts'; templates are a given, small set."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string").withColumn("words", words(F.col("text")))
-    rows = rows.withColumn("hashes", F.array_distinct(shingles(F.col("words")))).withColumn("minima", F.array(*[_minimum(F.col("hashes"), o) for o in ORDERS]))
+    rows = rows.withColumn("hashes", F.array_distinct(shingles(F.col("words")))).withColumn("minima", _minima(F.col("hashes")))
     return [r for r in rows.select("license", "hashes", "minima").collect() if r["hashes"]]
 
 
@@ -84,7 +84,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, doc_
         bands = spark.createDataFrame([(i, m, r["license"], r["hashes"]) for r in group for i, m in enumerate(r["minima"])],
                                       "band int, minimum long, license string, template array<long>")
         starts = F.sequence(F.lit(0), F.greatest(F.size("hashes") - 1, F.lit(0)), F.lit(step))
-        signature = lambda at: F.array(*[_minimum(F.slice("hashes", at + 1, F.lit(width)), o) for o in ORDERS])
+        signature = lambda at: _minima(F.slice("hashes", at + 1, F.lit(width)))
         windows = (hits.select("id", "doc_id", "hashes", F.explode(F.transform(starts, lambda at: F.struct(at.alias("at"), signature(at).alias("minima")))).alias("window"))
                    .where(F.arrays_overlap("window.minima", long_array(sorted({m for r in group for m in r["minima"]})))))
         met = windows.select("id", "doc_id", "hashes", "window.at", F.posexplode("window.minima").alias("band", "minimum")).join(F.broadcast(bands), ["band", "minimum"])
