@@ -136,9 +136,11 @@ def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], descen
 
 
 def score_counts(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
-    """One row per (group, distinct score): positives and negatives at that score (partial aggregation)."""
+    """One row per (group, distinct score): positives and negatives at that score (partial aggregation).
+
+    Rows whose label is null or whose score is null or NaN say nothing about the ranking and are left out."""
     pos = (F.col(y) == 1).cast("long")
-    return df.groupBy(*group_cols, F.col(score).cast("double").alias("score")).agg(F.sum(pos).alias("n_pos"),
+    return df.where(F.col(y).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy(*group_cols, F.col(score).cast("double").alias("score")).agg(F.sum(pos).alias("n_pos"),
                                                                                    F.sum(1 - pos).alias("n_neg"))
 
 
@@ -156,12 +158,12 @@ def _counts(df: DataFrame, y: str, score: str, group_cols: Sequence[str], materi
 def roc_auc(df: DataFrame, y: str, score: str, n_buckets: int = 64, group_cols: Sequence[str] = (),
             materialize: bool = True) -> DataFrame:
     """ROC-AUC with ties averaged (Mann-Whitney): Σ_s pos(s)·(neg_below(s) + ½·neg(s)) / (P·N),
-    per group (e.g. one row per model when several scorers are stacked)."""
+    per group (e.g. one row per model when several scorers are stacked); null for a group of one class."""
     g = list(group_cols)
     c = prefix_sums(_counts(df, y, score, g, materialize), "score", ["n_neg"], n_buckets=n_buckets,
                     inclusive=False, group_cols=g)
-    return c.groupBy(*g).agg((F.sum(F.col("n_pos") * (F.col("cum_n_neg") + 0.5 * F.col("n_neg")))
-                              / (F.sum("n_pos") * F.sum("n_neg"))).alias("auc"))
+    return c.groupBy(*g).agg(F.try_divide(F.sum(F.col("n_pos") * (F.col("cum_n_neg") + 0.5 * F.col("n_neg"))),
+                                          F.sum("n_pos") * F.sum("n_neg")).alias("auc"))
 
 
 def curve_points(df: DataFrame, y: str, score: str, n_buckets: int = 64, group_cols: Sequence[str] = (),
@@ -179,7 +181,7 @@ def curve_points(df: DataFrame, y: str, score: str, n_buckets: int = 64, group_c
 def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score plus the (inf, 0, 0) starting point."""
     pts = curve_points(df, y, score)
-    body = pts.select("threshold", (F.col("fp") / F.col("N")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
+    body = pts.select("threshold", F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
     start = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
                                             F.lit(0.0).alias("tpr"))
     return body.unionByName(start)
@@ -200,7 +202,7 @@ def average_precision(df: DataFrame, y: str, score: str, group_cols: Sequence[st
     """Σ_n (R_n − R_{n−1})·P_n over thresholds in descending score order (step sum, no interpolation)."""
     g = list(group_cols)
     pts = curve_points(df, y, score, group_cols=g, materialize=materialize)
-    return pts.groupBy(*g).agg((F.sum(F.col("n_pos") / F.col("P") * (F.col("tp") / (F.col("tp") + F.col("fp")))))
+    return pts.groupBy(*g).agg((F.sum(F.try_divide("n_pos", "P") * (F.col("tp") / (F.col("tp") + F.col("fp")))))
                                .alias("average_precision"))
 
 
@@ -219,10 +221,10 @@ def best_threshold(df: DataFrame, y: str, score: str, eps: float = 1e-8, default
 
 # ─────────────────────────────── regression ───────────────────────────────
 def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
-    """RMSE, MAE, R² = 1 − SS_res / SS_tot."""
+    """RMSE, MAE, R² = 1 − SS_res / SS_tot (null for a constant target)."""
     e = F.col(y).cast("double") - F.col(p).cast("double")
     return df.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-                  (F.lit(1.0) - F.sum(e * e) / (F.count(F.lit(1)) * F.var_pop(F.col(y).cast("double")))).alias("r2"))
+                  (F.lit(1.0) - F.try_divide(F.sum(e * e), F.count(F.lit(1)) * F.var_pop(F.col(y).cast("double")))).alias("r2"))
 
 
 # ─────────────────────────────── selection ───────────────────────────────
