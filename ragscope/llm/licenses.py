@@ -7,11 +7,14 @@ orders, each a band of its own. A window inside a notice that keeps 80 % of the
 every notice. Every meeting is checked by exact containment of the template's shingles in the stretch around the window.
 
 A band can only meet on the template's own minimum. Texts that hold no template's minimum at all are therefore left
-before any window is made, without losing a meeting.
+before any window is made, and signatures are taken only of the windows that lie over such a place, without losing a meeting.
+Before texts are hashed, those go that lack a word of every such shingle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +57,27 @@ def _minima(hashes: Column) -> Column:
 
 
 def template_bands(spark: SparkSession, templates: dict[str, str]) -> list:
-    """Rows (license, hashes, n, w, minima), made with the same functions as the texts'; templates are a given, small set."""
+    """Rows (license, words, all_hashes, hashes, minima), made with the same functions as the texts'; templates are a given, small set."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string").withColumn("words", words(F.col("text")))
-    rows = rows.withColumn("hashes", F.array_distinct(shingles(F.col("words")))).withColumn("minima", _minima(F.col("hashes")))
-    return [r for r in rows.select("license", "hashes", "minima").collect() if r["hashes"]]
+    rows = rows.withColumn("all_hashes", shingles(F.col("words"))).withColumn("hashes", F.array_distinct("all_hashes"))
+    return [r for r in rows.withColumn("minima", _minima(F.col("hashes"))).collect() if r["hashes"]]
+
+
+def may_hold(text: Column, known: list) -> Column:
+    """A necessary condition for a template's minimum: for one of these shingles, its two longest words."""
+    anchors = set()
+    for r in known:
+        for i, h in enumerate(r["all_hashes"]):
+            if h in r["minima"]:
+                anchors.add(tuple(sorted(sorted(set(r["words"][i:i + SHINGLE]), key=lambda w: (-len(w), w))[:2])))
+    def holds(low: Column) -> Column:
+        out = F.lit(False)
+        for first in sorted({a[0] for a in anchors}):
+            seconds = [low.contains(a[-1]) for a in sorted(anchors) if a[0] == first]
+            out = out | (low.contains(first) & reduce(Column.__or__, seconds))
+        return out
+
+    return F.exists(F.array(F.lower(F.coalesce(text, F.lit("")))), holds)  # lower-cased once, not in each condition
 
 
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text",
@@ -72,9 +92,14 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, doc_
     known = template_bands(spark, TEMPLATES if templates is None else templates)
     minima = sorted({m for r in known for m in r["minima"]})
     # the id, being no pure function of the row, keeps the optimiser from moving the filter below it and hashing texts twice
-    hashed = (docs.select(F.col(doc_id).cast("long").alias("doc_id"), words(F.col(text)).alias("words"), F.monotonically_increasing_id().alias("id"))
+    hashed = (docs.where(may_hold(F.col(text), known))
+              .select(F.col(doc_id).cast("long").alias("doc_id"), words(F.col(text)).alias("words"), F.monotonically_increasing_id().alias("id"))
               .select("id", "doc_id", shingles(F.col("words")).alias("hashes"), F.monotonically_increasing_id().alias("fixed")))
-    hits = materialise(hashed.where(F.arrays_overlap("hashes", long_array(minima)) if minima else F.lit(False)).drop("fixed"), "license-rows")
+    # the few minima of a text are found once and then looked for at each place
+    places = F.transform(F.array(F.array_intersect("hashes", long_array(minima))), lambda present: F.filter(
+        F.sequence(F.lit(0), F.size("hashes") - 1), lambda i: F.array_contains(present, F.get("hashes", i))))[0]
+    hits = materialise(hashed.where(F.arrays_overlap("hashes", long_array(minima)) if minima else F.lit(False))
+                       .select("id", "doc_id", "hashes", places.alias("places")), "license-rows")
     out = spark.createDataFrame([], "id long, doc_id long, license string, n_found int, n_shingles int")
     by_width: dict[int, list] = {}
     for r in known:
@@ -83,10 +108,13 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, doc_
         step = max(1, width // 4)
         bands = spark.createDataFrame([(i, m, r["license"], r["hashes"]) for r in group for i, m in enumerate(r["minima"])],
                                       "band int, minimum long, license string, template array<long>")
-        starts = F.sequence(F.lit(0), F.greatest(F.size("hashes") - 1, F.lit(0)), F.lit(step))
+        of_group = long_array(sorted({m for r in group for m in r["minima"]}))
+        near = F.filter("places", lambda p: F.array_contains(of_group, F.get("hashes", p)))  # noqa: B023
+        over = lambda p: F.sequence((F.greatest(p - width + step, F.lit(0)) / step).cast("int") * step, (p / step).cast("int") * step, F.lit(step))  # noqa: B023,E731
+        starts = F.array_distinct(F.flatten(F.transform(near, over)))
         signature = lambda at: _minima(F.slice("hashes", at + 1, F.lit(width)))
         windows = (hits.select("id", "doc_id", "hashes", F.explode(F.transform(starts, lambda at: F.struct(at.alias("at"), signature(at).alias("minima")))).alias("window"))
-                   .where(F.arrays_overlap("window.minima", long_array(sorted({m for r in group for m in r["minima"]})))))
+                   .where(F.arrays_overlap("window.minima", of_group)))
         met = windows.select("id", "doc_id", "hashes", "window.at", F.posexplode("window.minima").alias("band", "minimum")).join(F.broadcast(bands), ["band", "minimum"])
         size = F.size("template")
         stretch = F.slice("hashes", F.greatest(F.col("at") - size, F.lit(0)) + 1, 2 * size + width)
