@@ -134,8 +134,9 @@ def replace_pii(docs: DataFrame, key: str = "surrogate key", text: str = "text")
     zeros = F.array(*[F.lit(0).cast("long")] * len(KINDS))
     body = F.coalesce(F.col(text), F.lit(""))
     mentions = F.when(body.rlike(_HINT), F.regexp_extract_all(body, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.select(F.struct(*columns).alias("row"), mentions.alias("mentions"))
-    found = materialise(rows.where(F.size("mentions") > 0).withColumn("id", F.monotonically_increasing_id()), "pii-rows")
+    # written whole, so that the expressions run once over each text
+    rows = materialise(docs.select(F.struct(*columns).alias("row"), mentions.alias("mentions"), F.monotonically_increasing_id().alias("id")), "pii-rows")
+    found = rows.where(F.size("mentions") > 0)
     each = (found.select("id", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", _kind(F.col("mention")))
             .where("kind is not null").withColumn("entity", _canonical(F.col("kind"), F.col("mention"))))
     surrogates = draw_surrogates(each, key)
