@@ -8,7 +8,6 @@ the shuffle; a hot key never sends its raw rows to one task.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,8 +106,7 @@ def smallest_class(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).count().agg(F.min("count").alias("min_class_size"))
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6, lower_only: bool = True,
-                max_patterns: int = 4096, materialize: bool = True) -> DataFrame:
+def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6, lower_only: bool = True) -> DataFrame:
     """Pairwise-complete Pearson correlation, long form (col_a, col_b, corr).
 
     Built from plain ``sum`` sufficient statistics instead of n·(n-1)/2 ``corr``
@@ -116,53 +114,47 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6, lower_only:
 
     1. centre every column on its mean (one-row aggregate, broadcast) for
        numerical stability;
-    2. group rows by their *null pattern* (which columns are null) and sum
-       count, x, x² and x·y of the present columns: one partial aggregation,
-       a handful of groups;
-    3. for each pair add up the patterns where both columns are present, which
-       is exactly the pairwise-complete sample, and form the correlation.
+    2. group rows by their *null pattern* (which columns are null, 62 to a
+       number) and sum count, x and x·y of the present columns: one partial
+       aggregation, usually a handful of groups, though any number is right;
+    3. each pattern's sums go to the pairs whose two columns are both present,
+       which is exactly the pairwise-complete sample, and are added up there.
+
+    All of it is one lazy plan. The correlation is null where fewer than two
+    rows have both values or one side is constant.
     """
     cols = list(cols)
     n = len(cols)
-    if materialize:
-        # two passes (means, then sums) read the numeric columns: cut them once instead of
-        # recomputing the whole upstream plan for each pass
-        from ..session import cut_lineage
-        df = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    x = {c: F.col(c).cast("double") for c in cols}
-    means = df.agg(*[F.avg(x[c]).alias(f"_m{i}") for i, c in enumerate(cols)])
-    centred = df.crossJoin(F.broadcast(means)).select(
-        *[(x[c] - F.col(f"_m{i}")).alias(f"d{i}") for i, c in enumerate(cols)])
-    pattern = sum((F.col(f"d{i}").isNull().cast("long") * (1 << i) for i in range(n)), F.lit(0).cast("long"))
-    d = {i: F.coalesce(F.col(f"d{i}"), F.lit(0.0)) for i in range(n)}
-    aggs = [F.count(F.lit(1)).alias("cnt")]
-    aggs += [F.sum(d[i]).alias(f"s{i}") for i in range(n)]
-    aggs += [F.sum(d[i] * d[j]).alias(f"p{i}_{j}") for i in range(n) for j in range(i + 1)]
-    by_pattern = centred.groupBy(pattern.alias("pat")).agg(*aggs)
-    # The per-pattern statistics are a small table (≤ patterns × (1 + n + n(n+1)/2) numbers,
-    # independent of the row count); like ml.stat.Correlation's Gramian, finish it on the driver.
-    rows = by_pattern.limit(max_patterns + 1).collect()
-    if len(rows) > max_patterns:
-        raise ValueError(f"more than {max_patterns} null patterns")
-    out = []
-    pairs = [(i, j) for i in range(n) for j in range(n) if (i > j if lower_only else i != j)]
-    for i, j in pairs:
-        a, b = max(i, j), min(i, j)
-        nn = si = sj = ii = jj = ij = 0.0
-        for r in rows:
-            if r["pat"] & ((1 << i) | (1 << j)):
-                continue
-            nn += r["cnt"]
-            si += r[f"s{i}"]
-            sj += r[f"s{j}"]
-            ii += r[f"p{i}_{i}"]
-            jj += r[f"p{j}_{j}"]
-            ij += r[f"p{a}_{b}"]
-        vi, vj = nn * ii - si * si, nn * jj - sj * sj
-        c = None if nn < 2 or vi <= 0 or vj <= 0 else (nn * ij - si * sj) / math.sqrt(vi * vj)
-        out.append((cols[i], cols[j], None if c is None else float(round(c, digits))))
+    x = [F.col(c).cast("double") for c in cols]
+    means = df.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(x)])
+    centred = df.crossJoin(F.broadcast(means)).select(*[(c - F.col(f"_m{i}")).alias(f"d{i}") for i, c in enumerate(x)])
+    patterns = [sum((F.col(f"d{i}").isNull().cast("long") * (1 << (i - at)) for i in range(at, min(at + 62, n))),
+                    F.lit(0).cast("long")).alias(f"pat{at // 62}") for at in range(0, n, 62)]
+    d = [F.coalesce(F.col(f"d{i}"), F.lit(0.0)) for i in range(n)]
+    by_pattern = centred.groupBy(*patterns).agg(
+        F.count(F.lit(1)).alias("cnt"), *[F.sum(d[i]).alias(f"s{i}") for i in range(n)],
+        *[F.sum(d[i] * d[j]).alias(f"p{i}_{j}") for i in range(n) for j in range(i + 1)])
+    present = F.array(*[F.col(f"pat{i // 62}").bitwiseAND(F.lit(1 << (i % 62)).cast("long")) == 0 for i in range(n)])
+    stats = by_pattern.select("cnt", present.alias("present"), F.array(*[f"s{i}" for i in range(n)]).alias("s"),
+                              F.array(*[f"p{i}_{j}" for i in range(n) for j in range(i + 1)]).alias("p"))
+    pairs = stats.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).where(F.get("present", F.col("i"))) \
+        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("i")))).where(F.get("present", F.col("j")) & (F.col("i") > F.col("j")))
+
+    def product(a: Column, b: Column) -> Column:
+        return F.get("p", (a * (a + 1) / 2).cast("int") + b)
+
+    i, j = F.col("i"), F.col("j")
+    sums = pairs.groupBy("i", "j").agg(
+        F.sum("cnt").cast("double").alias("n"), F.sum(F.get("s", i)).alias("si"), F.sum(F.get("s", j)).alias("sj"),
+        F.sum(product(i, i)).alias("ii"), F.sum(product(j, j)).alias("jj"), F.sum(product(i, j)).alias("ij"))
     spark = df.sparkSession
-    return spark.createDataFrame(out, "col_a string, col_b string, corr double")
+    grid = spark.createDataFrame([(a, b, cols[a], cols[b]) for a in range(n) for b in range(a)],
+                                 "i int, j int, col_a string, col_b string")
+    vi, vj = F.col("n") * F.col("ii") - F.col("si") * F.col("si"), F.col("n") * F.col("jj") - F.col("sj") * F.col("sj")
+    corr = F.when((F.col("n") >= 2) & (vi > 0) & (vj > 0),
+                  F.round((F.col("n") * F.col("ij") - F.col("si") * F.col("sj")) / F.sqrt(vi * vj), digits))
+    out = grid.join(sums, ["i", "j"], "left").select("col_a", "col_b", corr.alias("corr"))
+    return out if lower_only else out.union(out.select(F.col("col_b"), F.col("col_a"), "corr"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50, digits: int = 6) -> DataFrame:

@@ -5,7 +5,8 @@ Points are projected on one fixed random unit vector ``u``.  Because
 can only have better neighbours whose projection lies in ``[p − r, p + r]``.
 
 1. Each group (e.g. a class) is cut into *blocks* of about ``block_size``
-   points by projection quantiles (one small row of boundaries per group).
+   points by projection quantiles (one row of boundaries per group); blocks that
+   repeated points make larger than two sizes are split by id.
 2. Pass 1: exact k-NN inside every block (numpy, one block per task) gives each
    point an upper bound r on its k-th distance (∞ if the block is too small).
 3. Pass 2: each point visits only the other blocks overlapping its window
@@ -77,22 +78,27 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, group_cols: Sequence[s
     Returns (group..., id, nn_id, dist, rank) with rank 1..k; ties by neighbour id."""
     g = list(group_cols)
     pts = df.select(*g, F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
-    dim = pts.select(F.size("_v")).first()[0]
+    id_type = df.schema[id_col].dataType
+    cand_schema = T.StructType([*[df.schema[c] for c in g], T.StructField("_id", id_type),
+                                T.StructField("nn_id", id_type), T.StructField("dist", T.DoubleType())])
+    one = pts.select(F.size("_v")).first()
+    if one is None:
+        return df.sparkSession.createDataFrame([], cand_schema.add("rank", T.IntegerType())).withColumnRenamed("_id", id_col)
+    dim = one[0]
     rng = np.random.RandomState(seed)
     u = rng.normal(size=dim)
     u /= np.linalg.norm(u)
     pts = pts.withColumn("_p", _project("_v", u))
     sizes = (pts.groupBy(*g) if g else pts).agg(F.count(F.lit(1)).alias("n"))
     nmax = sizes.agg(F.max("n")).first()[0] or 0
-    nb = int(min(4096, max(1, math.ceil(nmax / block_size))))
+    nb = max(1, math.ceil(nmax / block_size))
     from .metrics import fixed_bounds
     lit_b, bounds = fixed_bounds(pts, "_p", nb, g)      # cut points fixed once (same in every branch / retry)
     pts = pts.join(F.broadcast(bounds), g) if g else pts.withColumn("_b", lit_b)
     pts = pts.withColumn("_blk", F.size(F.filter("_b", lambda t: t < F.col("_p"))))
-
-    id_type = df.schema[id_col].dataType
-    cand_schema = T.StructType([*[df.schema[c] for c in g], T.StructField("_id", id_type),
-                                T.StructField("nn_id", id_type), T.StructField("dist", T.DoubleType())])
+    # points of one projection (repeated rows) share a block: large blocks are split by id
+    subs = pts.groupBy(*g, "_blk").agg(F.ceil(F.count(F.lit(1)) / (2 * block_size)).cast("int").alias("_ns"))
+    pts = pts.join(subs, [*g, "_blk"]).withColumn("_sub", F.pmod(F.xxhash64("_id"), F.col("_ns")).cast("int")).drop("_ns")
 
     def pass1(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = _block_knn(pdf, pdf, k, True)
@@ -100,20 +106,25 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, group_cols: Sequence[s
             out.insert(i, c, key[i])
         return out
 
-    local = pts.select(*g, "_blk", "_id", "_v").groupBy(*g, "_blk").applyInPandas(pass1, cand_schema)
+    local = pts.select(*g, "_blk", "_sub", "_id", "_v").groupBy(*g, "_blk", "_sub").applyInPandas(pass1, cand_schema)
     # r = k-th distance found in the own block (∞ when fewer than k were found)
     rad = local.groupBy(*g, "_id").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_d"))
     q = pts.join(rad, [*g, "_id"], "left").withColumn(
         "_r", F.when(F.coalesce(F.col("_n"), F.lit(0)) >= k, F.col("_d")).otherwise(F.lit(float("inf"))))
-    lo = F.size(F.filter("_b", lambda t: t < F.col("_p") - F.col("_r")))
-    hi = F.size(F.filter("_b", lambda t: t < F.col("_p") + F.col("_r")))
-    visits = q.select(*g, "_id", "_v", "_r", F.col("_blk").alias("_qblk"),
-                      F.explode(F.sequence(lo, hi)).alias("_mblk")).where(F.col("_mblk") != F.col("_qblk"))
-    pairs = visits.select(*g, "_mblk", "_qblk").distinct()
-    members = pts.select(*g, F.col("_blk").alias("_mblk"), "_id", "_v").join(pairs, [*g, "_mblk"])
-    both = members.select(*g, "_mblk", "_qblk", F.lit("m").alias("_role"), "_id", "_v",
-                          F.lit(None).cast("double").alias("_r")) \
-        .unionByName(visits.select(*g, "_mblk", "_qblk", F.lit("q").alias("_role"), "_id", "_v", "_r"))
+    pad = F.lit(2 * 10.0 ** -DIST_DIGITS) + F.abs("_p") * 1e-12      # distances are rounded, projections not exact
+    lo = F.size(F.filter("_b", lambda t: t < F.col("_p") - F.col("_r") - pad))
+    hi = F.size(F.filter("_b", lambda t: t < F.col("_p") + F.col("_r") + pad))
+    visits = q.select(*g, "_id", "_v", "_r", F.col("_blk").alias("_qblk"), F.col("_sub").alias("_qsub"),
+                      F.explode(F.sequence(lo, hi)).alias("_mblk")) \
+        .join(subs.withColumnRenamed("_blk", "_mblk"), [*g, "_mblk"]) \
+        .withColumn("_msub", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1))).drop("_ns") \
+        .where((F.col("_mblk") != F.col("_qblk")) | (F.col("_msub") != F.col("_qsub")))
+    met = [*g, "_mblk", "_msub", "_qblk", "_qsub"]
+    pairs = visits.select(*met).distinct()
+    members = pts.select(*g, F.col("_blk").alias("_mblk"), F.col("_sub").alias("_msub"), "_id", "_v") \
+        .join(pairs, [*g, "_mblk", "_msub"])
+    both = members.select(*met, F.lit("m").alias("_role"), "_id", "_v", F.lit(None).cast("double").alias("_r")) \
+        .unionByName(visits.select(*met, F.lit("q").alias("_role"), "_id", "_v", "_r"))
 
     def pass2(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf[pdf["_role"] == "m"]
@@ -123,7 +134,7 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, group_cols: Sequence[s
             out.insert(i, c, key[i])
         return out
 
-    far = both.groupBy(*g, "_mblk", "_qblk").applyInPandas(pass2, cand_schema)
+    far = both.groupBy(*met).applyInPandas(pass2, cand_schema)
     cands = local.unionByName(far)
     w = Window.partitionBy(*g, "_id").orderBy(F.col("dist").asc(), F.col("nn_id").asc())
     out = cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -163,20 +174,20 @@ def smote(df: DataFrame, id_col: str, label_col: str, vec_col: str, k_max: int =
     ranked = ranked.withColumn("_cnt", F.when(F.col("_rank") < F.col("_need"),
                                               F.floor((F.col("_need") - 1 - F.col("_rank")) / F.col("_nc")) + 1)
                                .otherwise(F.lit(0)).cast("long")).where(F.col("_cnt") > 0)
+    # the k neighbours join their base row first; synthetic rows are then made without any further shuffle
+    vecs = base.select(F.col("_id").alias("nn_id"), F.col("_v").alias("_nv"))
+    nbrs = knn(base, "_id", "_v", k, group_cols=["_y"]).join(vecs, "nn_id").groupBy("_y", "_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "_nv"))).alias("_nn"))
+    ranked = ranked.join(nbrs, ["_y", "_id"], "left")
     chunks = ranked.select("*", F.explode(F.sequence(F.lit(0).cast("long"),
                                                      F.floor((F.col("_cnt") - 1) / chunk).cast("long"))).alias("_ch"))
     chunks = chunks.repartition("_id", "_ch")
-    gen = chunks.select("_id", "_y", "_v", "_rank", "_nc", F.explode(F.sequence(
+    gen = chunks.select("_id", "_y", "_v", "_nn", "_rank", "_nc", F.explode(F.sequence(
         F.col("_ch") * chunk, F.least(F.col("_ch") * chunk + chunk, F.col("_cnt")) - 1)).alias("_j"))
     gen = gen.withColumn("_i", F.col("_rank") + F.col("_j") * F.col("_nc"))
     gen = gen.withColumn("_nnr", ((F.col("_i") * 31 + seed) % k + 1).cast("int"))
     lam = ((F.col("_i") * 7919 + F.element_at(lidx_e, F.col("_y")) * 104729 + seed) % 2147483647) / 2147483647.0
-    nbrs = knn(base, "_id", "_v", k, group_cols=["_y"]).select(
-        "_y", F.col("_id").alias("_bid"), F.col("rank").alias("_nnr"), "nn_id")
-    vecs = base.select(F.col("_id").alias("nn_id"), F.col("_v").alias("_nv"))
-    syn = gen.join(nbrs, (gen["_y"] == nbrs["_y"]) & (gen["_id"] == nbrs["_bid"]) & (gen["_nnr"] == nbrs["_nnr"]),
-                   "left").drop(nbrs["_y"]).drop(nbrs["_nnr"])
-    syn = syn.join(vecs, "nn_id", "left").withColumn("_lam", lam)
+    syn = gen.withColumn("_nv", F.get("_nn", F.col("_nnr") - 1)["_nv"]).withColumn("_lam", lam)
     new_v = F.when(F.col("_nv").isNull(), F.col("_v")).otherwise(
         F.zip_with("_v", "_nv", lambda a, b: a + F.col("_lam") * (b - a)))
     # synthetic ids: −(1 + class index + i·#classes), unique and negative

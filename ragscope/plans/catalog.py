@@ -893,20 +893,26 @@ syn AS (
   FROM gen g LEFT JOIN nn ON nn.vec_id = g.vec_id AND nn.nnr = (g.i * 31 + 42) % g.k + 1
   LEFT JOIN e e2 ON e2.vec_id = nn.nn_id),
 allrows AS (
-  SELECT label, v[1] AS x0, v[2] AS x1, 0 AS is_synthetic FROM e
+  SELECT label, v AS x, 0 AS is_synthetic FROM e
   UNION ALL
-  SELECT label, CASE WHEN nv IS NULL THEN v[1] ELSE v[1] + lam * (nv[1] - v[1]) END,
-                CASE WHEN nv IS NULL THEN v[2] ELSE v[2] + lam * (nv[2] - v[2]) END, 1 FROM syn)"""
+  SELECT label, CASE WHEN nv IS NULL THEN v ELSE list_transform(range(1, len(v) + 1), lambda i: v[i] + lam * (nv[i] - v[i]))
+                END, 1 FROM syn)"""
 
 
 @register("smote", _SMOTE_SQL + """
 SELECT label, count(*) AS n_rows, CAST(sum(is_synthetic) AS BIGINT) AS n_synthetic,
-       round(sum(x0), 6) AS sum_x0, round(sum(x1), 6) AS sum_x1
+       round(sum(x[1]), 6) AS sum_x0, round(sum(x[2]), 6) AS sum_x1,
+       round(sum(list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * i))), 5) AS sum_weighted,
+       round(sum(list_sum(list_transform(x, lambda y: y * y))), 5) AS sum_squares
 FROM allrows GROUP BY label""")
 def smote(spark, sf):
-    """B1 + U1 + B3: classes equalised to the majority count; per-class counts and coordinate sums."""
+    """B1 + U1 + B3: classes equalised to the majority count; per-class counts and sums over all coordinates."""
     out = NB.smote(_embeddings(spark, sf), "vec_id", "label", "embedding")
+    x = F.col("embedding")
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"),
+                                    F.round(F.sum(add(F.transform(x, lambda v, i: v * (i + 1)))), 5).alias("sum_weighted"),
+                                    F.round(F.sum(add(F.transform(x, lambda v: v * v))), 5).alias("sum_squares"),
                                     F.sum("is_synthetic").cast("long").alias("n_synthetic"),
                                     F.round(F.sum(F.col("embedding")[0]), 6).alias("sum_x0"),
                                     F.round(F.sum(F.col("embedding")[1]), 6).alias("sum_x1"))

@@ -41,3 +41,17 @@ def test_histogram_edges(spark):
     df = spark.createDataFrame([(float(x),) for x in [0, 1, 2, 3, 4, 10]], "v double")
     h = {r.bin: r["count"] for r in A.histogram(df, "v", bins=5).collect()}
     assert h == {1: 2, 2: 2, 3: 1, 5: 1}          # top edge 10 folded into the last bin
+
+
+def test_corr_matrix_many_patterns_and_columns(spark):
+    """Random nulls give nearly a pattern a row; 66 columns do not fit one number."""
+    import pandas as pd
+    rng = np.random.RandomState(9)
+    x = rng.normal(size=(200, 66)).round(3)
+    x[rng.uniform(size=x.shape) < 0.5] = np.nan
+    cols = [f"c{i}" for i in range(66)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"{c} double" for c in cols))
+    want = pd.DataFrame(x, columns=cols).corr()
+    got = A.corr_matrix(df, cols, digits=10).collect()
+    assert len(got) == 66 * 65 // 2
+    assert all(r.corr == pytest.approx(want.loc[r.col_a, r.col_b], abs=1e-9) for r in got)

@@ -35,6 +35,17 @@ def test_knn_exact(points, block):
     assert res == _brute(X, list(range(len(X))), 4)
 
 
+def test_knn_repeated_points(spark):
+    """A block of equal points is split, and ties still resolve by id; an empty table has no neighbours."""
+    X = np.array([[1.0, 2.0]] * 70 + [[float(i), 0.0] for i in range(20)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>")
+    res = {}
+    for r in sorted(NB.knn(df, "id", "v", 3, block_size=8).collect(), key=lambda r: (r.id, r["rank"])):
+        res.setdefault(r.id, []).append(r.nn_id)
+    assert res == _brute(X, list(range(len(X))), 3)
+    assert NB.knn(df.where("id < 0"), "id", "v", 3).collect() == []
+
+
 def test_knn_within_group(points):
     df, X, y = points
     got = NB.knn(df, "id", "v", 3, group_cols=["label"], block_size=8).collect()
