@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are cut into blocks of 16 words; two neighbouring blocks are a passage. Blocks are TF-IDF vectors over hashed
+Words are hashed once and written as a table that all later passes read. Texts are cut into blocks of 16 words; two
+neighbouring blocks are a passage. Blocks are TF-IDF vectors over hashed
 words, whose frequencies come from all documents. A randomised SVD of all blocks (one distributed pass of the
 sketch A^T A W, finished by a small factorisation) gives the latent space. Passages near a benchmark item in it are
 candidates, and a candidate counts when the longest common subsequence of words with the item, within a span
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 from .words import chunks, mix, slices, words_of
 
 FEATURES = 1 << 14
@@ -36,7 +37,7 @@ OVERLAP = 0.6
 #: Items of fewer words must occur whole, word after word.
 SHORT = 8
 #: Benchmark items that one pass over the documents takes; more items take more passes.
-ITEMS_PER_PASS = 20_000
+ITEMS_PER_PASS = 2_000
 #: Features per row in which tasks hand on their parts of the sketch.
 STRIP = 256
 #: Punctuation at a word's edges that doesn't count.
@@ -45,6 +46,7 @@ _ANSWER = re.compile(r"(?i)(?:^|\s)(?:answer|a)\s*:")
 _PIECE = 1 << 20
 
 
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 _POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
@@ -52,12 +54,15 @@ def _normal_hashes(distinct: pa.Array) -> np.ndarray:
     """64-bit hashes of lower-cased words without edge punctuation; 0 where nothing is left."""
     words = pc.utf8_trim(pc.utf8_lower(distinct), characters=_EDGE).cast(pa.binary())
     size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer(b"".join(words.to_pylist()), np.uint8).astype(np.uint64) + np.uint64(1)
+    data = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
     start = np.cumsum(size) - size
     within = np.arange(len(data)) - np.repeat(start, size)
+    value = _BYTES[data]
+    if size.max(initial=0) > len(_POWERS):  # the powers start again, with other values
+        value = mix(data.astype(np.uint64) + np.uint64(1) + np.uint64(257) * (within >> 16).astype(np.uint64))
     out, some = np.zeros(len(size), np.uint64), size > 0
     if some.any():
-        sums = np.add.reduceat(mix(data + np.uint64(257) * (within >> 16).astype(np.uint64)) * _POWERS[within & 0xFFFF], start[some])
+        sums = np.add.reduceat(value * _POWERS[within & 0xFFFF], start[some])
         out[some] = mix(sums) | np.uint64(1)
     return out
 
@@ -74,12 +79,16 @@ class Blocks:
     count: np.ndarray
 
 
-def blocks_of(texts: pa.Array) -> Blocks:
+def hashes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts, end to end, and words per text."""
     w = words_of(texts)
     h = _normal_hashes(w.distinct)[w.code] if len(w.code) else np.zeros(0, np.uint64)
     real = h != 0
-    h, doc = h[real], w.doc[real]
-    count = np.bincount(doc, minlength=len(texts))
+    return h[real], np.bincount(w.doc[real], minlength=len(texts))
+
+
+def blocks_of(h: np.ndarray, count: np.ndarray) -> Blocks:
+    doc = np.repeat(np.arange(len(count)), count)
     first = np.cumsum(count) - count
     within = np.arange(len(h)) - np.repeat(first, count)
     start = np.flatnonzero(within % BLOCK == 0)
@@ -87,19 +96,36 @@ def blocks_of(texts: pa.Array) -> Blocks:
     return Blocks(h, (mix(h) % np.uint64(FEATURES)).astype(np.int64), block, start, doc[start], first, count)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    for batch, texts in chunks(batches):
-        for s in slices(texts, _PIECE):
-            n = s.stop - s.start
-            yield batch.slice(s.start, n), texts.slice(s.start, n)
+def word_table(docs: DataFrame) -> DataFrame:
+    """doc_id, the text's digest and its words' 64-bit hashes, for every row with a text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            for s in slices(texts, _PIECE):
+                h, count = hashes_of(texts.slice(s.start, s.stop - s.start))
+                offsets = np.concatenate([[0], np.cumsum(count) * 8]).astype(np.int32)
+                words = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(offsets), pa.py_buffer(h)])
+                yield pa.record_batch([*batch.slice(s.start, s.stop - s.start).select(["doc_id", "digest"]).columns, words], names=["doc_id", "digest", "words"])
+
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "text")
+    return materialise(rows.mapInArrow(run, "doc_id long, digest string, words binary"), "words")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Blocks]]:
+    for batch in batches:
+        words = batch.column(batch.schema.get_field_index("words"))
+        for s in slices(words, _PIECE):
+            part = words.slice(s.start, s.stop - s.start)
+            offsets = np.frombuffer(part.buffers()[1], np.int32)[part.offset: part.offset + len(part) + 1]
+            data = part.buffers()[2]
+            h = np.frombuffer(data, np.uint64, (offsets[-1] - offsets[0]) // 8, offsets[0]) if data and offsets[-1] > offsets[0] else np.zeros(0, np.uint64)
+            yield batch.slice(s.start, s.stop - s.start), blocks_of(h, np.diff(offsets) // 8)
 
 
-def block_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+def block_frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
     """In how many blocks each feature occurs, and the blocks of all documents. Tasks hand on one count per feature."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, n = np.zeros(FEATURES + 1, np.int64), 0
-        for _, texts in _pieces(batches):
-            b = blocks_of(texts)
+        for _, b in _pieces(batches):
             rows = np.sort(_rows(b, b.feature, -1), axis=1)
             first = np.diff(rows, axis=1, prepend=-1) != 0
             got[:-1] += np.bincount(rows[first], minlength=FEATURES)
@@ -108,7 +134,7 @@ def block_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.record_batch([pa.array(seen), pa.array(got[seen])], names=["feature", "n"])
 
     out = np.zeros(FEATURES + 1, np.int64)
-    for f, n in docs.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n")).collect():
+    for f, n in words.select("words").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n")).collect():
         out[f] = n
     return out[:-1], int(out[-1])
 
@@ -142,13 +168,13 @@ def _directions() -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((FEATURES, RANK + OVERSAMPLE)).astype(np.float32)
 
 
-def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+def latent_space(words: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     """Features x RANK, from words to latent coordinates scaled to equal variance, and the words' IDF; None without words.
 
     The randomised SVD needs A^T (A W) for the block matrix A and random directions W. Each task adds up its blocks'
     part; parts travel in strips of features and are added as they arrive, whatever their number. The driver gets the sum: FEATURES x 80 numbers.
     """
-    df, n = block_frequencies(docs)
+    df, n = block_frequencies(words)
     if not n:
         return None
     idf = np.log((n + 1) / (df + 1)).astype(np.float32)
@@ -156,16 +182,17 @@ def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = _directions()
         total = np.zeros((FEATURES, RANK + OVERSAMPLE), np.float32)
-        for _, texts in _pieces(batches):
-            b = blocks_of(texts)
+        for _, b in _pieces(batches):
             if not len(b.start):
                 continue
             w = _weights(b, idf)
             y = _block_sums(b, w, random)
-            order = np.argsort(b.feature, kind="stable")
-            f = b.feature[order]
-            at = np.flatnonzero(np.diff(f, prepend=-1))
-            total[f[at]] += np.add.reduceat(y[b.block[order]] * w[order][:, None], at)
+            order = np.argsort(b.feature.astype(np.uint16), kind="stable")
+            f, block, w = b.feature[order], b.block[order], w[order, None]
+            for i in range(0, len(f), 4096):  # few enough to stay in the cache
+                part = f[i: i + 4096]
+                at = np.flatnonzero(np.diff(part, prepend=-1))
+                total[part[at]] += np.add.reduceat(y[block[i: i + 4096]] * w[i: i + 4096], at)
         if total.any():
             strips = [total[i: i + STRIP].tobytes() for i in range(0, FEATURES, STRIP)]
             yield pa.record_batch([pa.array(range(len(strips)), pa.int32()), pa.array(strips, pa.binary())], names=["strip", "part"])
@@ -178,7 +205,7 @@ def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
         if sums:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["strip", "part"])
 
-    parts = docs.select("text").mapInArrow(sketch, "strip int, part binary").repartition("strip").mapInArrow(add, "strip int, part binary").collect()
+    parts = words.select("words").mapInArrow(sketch, "strip int, part binary").repartition("strip").mapInArrow(add, "strip int, part binary").collect()
     z = np.concatenate([np.frombuffer(r["part"]).reshape(STRIP, -1) for r in sorted(parts, key=lambda r: r["strip"])])
     q, _ = np.linalg.qr(z)
     small = (q.T @ z) @ np.linalg.pinv(q.T @ _directions().astype(np.float64))  # about Q^T A^T A Q
@@ -199,7 +226,7 @@ def benchmark_items(rows) -> list[Item]:
     """Items of (item_id, text[, answer]); an answer may also follow "Answer:" or "A:" in the text. Items without
     words are left out."""
     def hashes(text: str | None) -> list[int]:
-        return [int(x) for x in blocks_of(pa.array([text or ""])).hash]
+        return [int(x) for x in hashes_of(pa.array([text or ""]))[0]]
 
     out = []
     for row in rows:
@@ -267,9 +294,9 @@ def _scanner(space: np.ndarray, idf: np.ndarray, items: list[Item], near: float,
     weight[np.repeat(np.arange(len(items)), sizes), feature] = idf[feature]
     least = SHARED * weight.sum(1) * np.minimum(1, 1.5 * BLOCK / sizes)
 
-    def scan(texts: pa.Array) -> dict[tuple[int, int], int]:
+    def scan(b: Blocks) -> dict[tuple[int, int], int]:
         """(text, item): words of the item found."""
-        b, out = blocks_of(texts), {}
+        out: dict[tuple[int, int], int] = {}
         if not len(b.start):
             return out
         latent = _block_sums(b, np.ones(len(b.feature), np.float32), space)
@@ -300,49 +327,48 @@ def _scanner(space: np.ndarray, idf: np.ndarray, items: list[Item], near: float,
     return scan
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, near: float, overlap: float):
-    """A scanner for each block of items. The benchmark is the stated query set and comes to the driver block by block."""
+MATCHES = "doc_id long, digest string, item_id long, matched_words long, item_words long"
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, near: float, overlap: float) -> DataFrame:
+    """MATCHES of all rows, with one pass over the words for each block of items. The benchmark is the stated query set
+    and comes to the driver row by row."""
     columns = ["item_id", "text", *[c for c in benchmark.columns if c == "answer"]]
     items = benchmark_items(r.asDict() for r in benchmark.select(*columns).orderBy("item_id", "text").toLocalIterator())
-    space = latent_space(docs) if items else None
-    if space is not None:
-        for i in range(0, len(items), ITEMS_PER_PASS):
-            yield items[i: i + ITEMS_PER_PASS], _scanner(*space, items[i: i + ITEMS_PER_PASS], near, overlap)
-
+    out = docs.sparkSession.createDataFrame([], MATCHES)
+    words = word_table(docs) if items else None
+    space = latent_space(words) if items else None
+    if space is None:
+        return out
+    for i in range(0, len(items), ITEMS_PER_PASS):
+        some = items[i: i + ITEMS_PER_PASS]
+
+        def run(batches: Iterator[pa.RecordBatch], items=some) -> Iterator[pa.RecordBatch]:
+            scan = _scanner(*space, items, near, overlap)
+            for batch, blocks in _pieces(batches):
+                found = scan(blocks)
+                at = pa.array([d for d, _ in found], pa.int64())
+                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at),
+                                       pa.array([items[k].item_id for _, k in found], pa.int64()), pa.array(list(found.values()), pa.int64()),
+                                       pa.array([len(items[k].words) for _, k in found], pa.int64())],
+                                      names=["doc_id", "digest", "item_id", "matched_words", "item_words"])
 
-MATCHES = "doc_id long, item_id long, matched_words long, item_words long"
+        out = out.union(words.mapInArrow(run, MATCHES))
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, near: float = NEAR, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, matched_words, item_words): one row per document row and benchmark item found in it; documents
     without a finding have no row. Null and empty texts have no words and no finding; an empty table or benchmark gives
     an empty result; repeated rows are judged alike; other columns are ignored."""
-    out = docs.sparkSession.createDataFrame([], MATCHES)
-    for items, scan in _passes(docs, benchmark, near, overlap):
-        def run(batches: Iterator[pa.RecordBatch], items=items, scan=scan) -> Iterator[pa.RecordBatch]:
-            for batch, texts in _pieces(batches):
-                found = scan(texts)
-                yield pa.record_batch([batch.column("doc_id").take(pa.array([d for d, _ in found], pa.int64())),
-                                       pa.array([items[k].item_id for _, k in found], pa.int64()), pa.array(list(found.values()), pa.int64()),
-                                       pa.array([len(items[k].words) for _, k in found], pa.int64())],
-                                      names=["doc_id", "item_id", "matched_words", "item_words"])
-
-        out = out.union(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCHES))
-    return out
+    return _matches(docs, benchmark, near, overlap).drop("digest")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, near: float = NEAR, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found, with all their columns."""
-    out = docs
-    for _, scan in _passes(docs, benchmark, near, overlap):
-        def run(batches: Iterator[pa.RecordBatch], scan=scan) -> Iterator[pa.RecordBatch]:
-            for batch, texts in _pieces(batches):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[d for d, _ in scan(texts)]] = False
-                yield batch.filter(pa.array(keep))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    """The rows of ``docs`` in which no benchmark item is found, with all their columns. Equal texts are judged alike, so
+    that rows leave by their text's digest, whatever their ids; rows without a text stay."""
+    gone = _matches(docs, benchmark, near, overlap).select("digest").distinct()
+    return docs.join(gone, F.md5(docs["text"]) == gone["digest"], "left_anti")
 
 
 def op9_latent_decontamination(spark, sf_dir: str) -> DataFrame:
