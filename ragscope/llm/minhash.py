@@ -9,7 +9,8 @@ All pairs of a band's bucket are never emitted. Equal texts are one class from t
 compared with the smallest class that it shares a bucket with. In buckets that still hold several components, blocks
 of signatures are then compared across components, in two rounds: first a spanning forest of the pairs that look
 clearly similar is confirmed, which unites large groups at the cost of one pair per member; then all pairs whose
-estimate leaves the threshold possible, and which are still in different components, are confirmed, each once.
+estimates leave the threshold possible, and which are still in different components, are confirmed, each once. The second
+estimate is from the least shingles of hash bins, a sample of the union without repetition and so sharp for short texts.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 #: Five standard deviations, sqrt(J (1 - J) / 200), below the threshold a pair is not confirmed any more.
 SLACK = 0.14
+#: Bins of the second estimate, which may lie as many standard deviations below the threshold.
+BINS = 512
+DEVIATIONS = 5
 #: So far above the threshold a pair looks clearly similar.
 CLEAR = 0.02
 BLOCK = 256
@@ -82,6 +86,15 @@ def signatures(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray,
     return out, count
 
 
+def bins(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Seven bits of the least shingle hash in each bin, with the eighth set, or 0 for an empty bin; a row for each text with shingles."""
+    h = mix(value ^ np.uint64(SEED + 1))
+    row = np.cumsum(np.diff(doc, prepend=-1) > 0) - 1
+    least = np.full((row[-1] + 1 if len(row) else 0) * BINS, 1 << 32, np.uint64)
+    np.minimum.at(least, row * BINS + (h >> np.uint64(55)).astype(np.int64), h & np.uint64(0xFFFFFFFF))
+    return np.where(least < 1 << 32, least & np.uint64(127) | np.uint64(128), 0).astype(np.uint8).reshape(-1, BINS)
+
+
 def bands(sig: np.ndarray) -> np.ndarray:
     """A 64-bit key per band; keys of different bands differ."""
     key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(sig), BANDS)).copy()
@@ -103,7 +116,7 @@ def _features(k: int):
             classes = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) if x else None
                        for t, x in zip(texts.cast(pa.binary()).to_pylist(), has.tolist())]
             band = bands(sig).view(np.int64)
-            short = np.concatenate([(sig & 255).astype(np.uint8), band.view(np.uint8).reshape(len(sig), -1)], 1)
+            short = np.concatenate([(sig & 255).astype(np.uint8), bins(doc, value), band.view(np.uint8).reshape(len(sig), -1)], 1)
             keys, low, at = iter(band), iter(short), has.tolist()
             yield pa.record_batch([
                 batch.column("doc_id"), pa.array(classes, pa.binary()), pa.array(count, pa.int64()),
@@ -156,7 +169,16 @@ def _across(percent: int, clear: bool):
     """
     need = (percent / 100 + (CLEAR if clear else -SLACK)) * COORDINATES
 
-    def pairs(bucket, c1, c2, block, label, n, sig, keys) -> Iterator[tuple[int, int]]:
+    def possible(n1: int, n2: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Whether bins let two texts reach the threshold t. At t the union has U = (n1 + n2) / (1 + t) shingles, and of a
+        sample of E of them without repetition the share in both varies by t (1 - t) (U - E) / (E (U - 1))."""
+        t = percent / 100
+        some = ((two | one) != 0).sum(1)
+        union = np.maximum((n1 + n2) / (1 + t), some)
+        spread = np.sqrt(t * (1 - t) * (union - some + 1) / (some * union))
+        return ((two == one) & (two != 0)).sum(1) >= (t - DEVIATIONS * spread) * some
+
+    def pairs(bucket, c1, c2, block, label, n, sig, least, keys) -> Iterator[tuple[int, int]]:
         band = int((keys[0] == bucket).argmax())
         left = np.flatnonzero(block == c1)
         right = left if c1 == c2 else np.flatnonzero(block == c2)
@@ -166,6 +188,8 @@ def _across(percent: int, clear: bool):
                 j = j[j > i]
             if len(j):
                 j = j[(sig[j] == sig[i]).sum(1) >= need]
+            if len(j) and not clear:
+                j = j[possible(n[i], n[j], least[i], least[j])]
             if len(j) and not clear:
                 j = j[(keys[j] == keys[i]).argmax(1) == band]
             yield from ((int(i), int(x)) for x in j)
@@ -174,8 +198,8 @@ def _across(percent: int, clear: bool):
         def emit(rows):
             block, ids, label, n = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
             data = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
-            sig, keys = data[:, :COORDINATES], np.ascontiguousarray(data[:, COORDINATES:]).view(np.int64)
-            found = pairs(*rows[0][:3], block, label, n, sig, keys)
+            sig, least, keys = data[:, :COORDINATES], data[:, COORDINATES: COORDINATES + BINS], np.ascontiguousarray(data[:, COORDINATES + BINS:]).view(np.int64)
+            found = pairs(*rows[0][:3], block, label, n, sig, least, keys)
             found = [(int(ids[i]), int(ids[j])) for i, j in (_roots(len(rows), found) if clear else found)]
             return pa.record_batch([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
 
