@@ -124,8 +124,8 @@ def canonical_hash(fields: Iterable[str], n: int = 12) -> Column:
 
 # F19 — ISO-8601 UTC timestamp text
 def iso_utc(ts: Column | None = None) -> Column:
-    return F.date_format(ts if ts is not None else F.current_timestamp(),
-                         "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    ts = ts if ts is not None else F.current_timestamp()
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 # F20 — build an array of warning texts from (condition, message) pairs; nulls dropped

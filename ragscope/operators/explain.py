@@ -165,9 +165,8 @@ def tree_shap_long(df: DataFrame, key: str, features_col: str, ensemble: dict, f
     base = float(sum(w * _expected(t) for t, w in zip(trees, weights)))
     key_type = df.schema[key].dataType.simpleString()
     src = df.select(F.col(key).alias("_k"), vector_to_array(F.col(features_col)).alias("_x"))
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() < par:          # per-row work is CPU-bound: use every core
-        src = src.repartition(par, "_k")
+    # per-row work is CPU-bound: a shuffle of the narrow rows lets every core work, however few files there are
+    src = src.repartition("_k")
 
     def explain(batches):
         for pdf in batches:
