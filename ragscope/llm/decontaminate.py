@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words are hashed once and written as a table that all later passes read. Texts are cut into blocks of 16 words; two
-neighbouring blocks are a passage. Blocks are TF-IDF vectors over hashed
-words, whose frequencies come from all documents. A randomised SVD of all blocks (one distributed pass of the
-sketch A^T A W, finished by a small factorisation) gives the latent space. Passages near a benchmark item in it are
+Words are hashed once and written as a table that all later passes read. Texts are cut into blocks of 16 words, TF-IDF
+vectors over hashed words, whose frequencies come from all documents. A randomised SVD of all blocks (one distributed
+pass of the sketch A^T A W, finished by a small factorisation) gives the latent space. An item is looked for in
+passages about as long as itself (8, 16, 32, ... words) at half stride. Passages near it in the latent space are
 candidates, and a candidate counts when the longest common subsequence of words with the item, within a span
-little longer than the item, and the item's answer, if it has one, confirm it.
+little longer than the item, and the item's answer, if it has one, confirm it. Items too short for that are looked up by
+the hash of their words in a row.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,9 @@ FEATURES = 1 << 14
 BLOCK = 16
 RANK, OVERSAMPLE = 48, 8
 SEED = 7
-#: Cosine from which a passage is a candidate.
-NEAR = 0.45
-#: Share of an item's TF-IDF weight, as far as a passage can hold the item, that a candidate's own words must have.
-SHARED = 0.35
+#: Cosine from which a passage of so many words is a candidate; longer passages take the last. Short ones have more foreign
+#: words beside a displaced item.
+NEAR = {8: 0.28, 16: 0.28, 32: 0.36, 64: 0.42}
 #: Share of an item's words that a common subsequence has to have.
 OVERLAP = 0.6
 #: Items of fewer words must occur whole, word after word.
@@ -77,6 +77,7 @@ class Blocks:
     doc: np.ndarray
     first: np.ndarray
     count: np.ndarray
+    size: int = BLOCK
 
 
 def hashes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,13 +88,13 @@ def hashes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[real], np.bincount(w.doc[real], minlength=len(texts))
 
 
-def blocks_of(h: np.ndarray, count: np.ndarray) -> Blocks:
+def blocks_of(h: np.ndarray, count: np.ndarray, size: int = BLOCK) -> Blocks:
     doc = np.repeat(np.arange(len(count)), count)
     first = np.cumsum(count) - count
     within = np.arange(len(h)) - np.repeat(first, count)
-    start = np.flatnonzero(within % BLOCK == 0)
-    block = np.cumsum(within % BLOCK == 0) - 1
-    return Blocks(h, (mix(h) % np.uint64(FEATURES)).astype(np.int64), block, start, doc[start], first, count)
+    start = np.flatnonzero(within % size == 0)
+    block = np.cumsum(within % size == 0) - 1
+    return Blocks(h, (mix(h) % np.uint64(FEATURES)).astype(np.int64), block, start, doc[start], first, count, size)
 
 
 def word_table(docs: DataFrame) -> DataFrame:
@@ -140,8 +141,8 @@ def block_frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _rows(b: Blocks, values: np.ndarray, empty) -> np.ndarray:
-    """Values per word as one row of 16 per block."""
-    out = np.full((len(b.start), BLOCK), empty, values.dtype)
+    """Values per word as one row per block."""
+    out = np.full((len(b.start), b.size), empty, values.dtype)
     out[b.block, np.arange(len(values)) - b.start[b.block]] = values
     return out
 
@@ -152,7 +153,7 @@ def _block_sums(b: Blocks, weight: np.ndarray, vectors: np.ndarray) -> np.ndarra
     out = np.zeros((len(feature), vectors.shape[1]), np.float32)
     for i in range(0, len(feature), 1024):
         part = out[i: i + 1024]
-        for j in range(BLOCK):
+        for j in range(b.size):
             part += vectors[feature[i: i + 1024, j]] * weight[i: i + 1024, j, None]
     return out
 
@@ -283,45 +284,92 @@ class Matcher:
         return most if most >= need else 0
 
 
-def _scanner(space: np.ndarray, idf: np.ndarray, items: list[Item], near: float, overlap: float):
+def passage_words(n: int) -> int:
+    """Words of the passages in which an item of n words is looked for: the nearest power of two."""
+    return 1 << max(3, round(log2(n)))
+
+
+def _scanner(space: np.ndarray, idf: np.ndarray, items: list[Item], near: float | None, overlap: float):
     matcher = Matcher(items, overlap)
-    at = np.cumsum([0] + [len(i.words) for i in items])[:-1]
-    feature = (mix(np.array([w for i in items for w in i.words], np.uint64)) % np.uint64(FEATURES)).astype(np.int64)
-    target = np.add.reduceat(space[feature], at)
-    target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-9)
-    sizes = np.array([len(i.words) for i in items])
-    weight = np.zeros((len(items), FEATURES + 1), np.float32)
-    weight[np.repeat(np.arange(len(items)), sizes), feature] = idf[feature]
-    least = SHARED * weight.sum(1) * np.minimum(1, 1.5 * BLOCK / sizes)
+    by_half: dict[int, list[int]] = {}
+    in_a_row: dict[int, list[int]] = {}
+    for k, item in enumerate(items):
+        n = len(item.words)
+        (in_a_row.setdefault(n, []) if n < SHORT else by_half.setdefault(passage_words(n) // 2, [])).append(k)
+
+    def targets(half: int) -> tuple[np.ndarray, ...]:
+        """Items of one passage length, their latent directions, IDF of their words by feature, the least that a passage and
+        half a passage to either side of it have where ``overlap`` of the words are there, and the cosine limit."""
+        of = np.array(by_half[half])
+        target, weight, least = [], np.zeros((len(of), FEATURES + 1), np.float32), []
+        for row, k in enumerate(of.tolist()):
+            words = np.array(items[k].words, np.uint64)
+            feature = (mix(words) % np.uint64(FEATURES)).astype(np.int64)
+            target.append(space[feature].sum(0))
+            weight[row, feature] = idf[feature]
+            least.append(np.sort(idf[feature])[: ceil(overlap * len(words))].sum())
+        target = np.stack(target)
+        target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-9)
+        limit = near if near is not None else NEAR.get(2 * half, NEAR[max(NEAR)])
+        return of, target, weight.ravel(), 0.999 * np.array(least, np.float32), limit
+
+    classes = {half: targets(half) for half in sorted(by_half)}
+
+    def rows_of(h: np.ndarray) -> np.ndarray:
+        return mix(h.cumsum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(axis=1, dtype=np.uint64)
+
+    wanted = {n: (np.array(ks), rows_of(np.array([items[k].words for k in ks], np.uint64))) for n, ks in in_a_row.items()}
 
     def scan(b: Blocks) -> dict[tuple[int, int], int]:
         """(text, item): words of the item found."""
         out: dict[tuple[int, int], int] = {}
         if not len(b.start):
             return out
-        latent = _block_sums(b, np.ones(len(b.feature), np.float32), space)
-        feature = _rows(b, b.feature, FEATURES)  # FEATURES: no word, no weight
-        after = np.full_like(feature, FEATURES)
-        pair = np.flatnonzero(b.doc[1:] == b.doc[:-1])  # a passage is a block and the next one of its text
-        passage = latent.copy()
-        passage[pair] += latent[pair + 1]
-        after[pair] = feature[pair + 1]
-        passage /= np.maximum(np.linalg.norm(passage, axis=1, keepdims=True), 1e-9)
-        for i in range(0, len(passage), 1 << 14):
-            near_p, near_k = np.nonzero(passage[i: i + (1 << 14)] @ target.T >= near)
-            near_p += i
-            held = np.zeros(len(near_p), np.float32)
-            for j in range(BLOCK):
-                held += weight[near_k, feature[near_p, j]] + weight[near_k, after[near_p, j]]
-            shared = held >= least[near_k]
-            for p, k in zip(near_p[shared].tolist(), near_k[shared].tolist()):
-                doc, n = int(b.doc[p]), len(items[k].words) + len(items[k].answer)
-                if out.get((doc, k)) == len(items[k].words):
-                    continue
-                low, high = int(b.first[doc]), int(b.first[doc] + b.count[doc])
-                words = b.hash[max(low, int(b.start[p]) - n): min(high, int(b.start[p]) + 2 * BLOCK + n)].tolist()
-                if found := matcher.best(k, words):
-                    out[doc, k] = max(found, out.get((doc, k), 0))
+
+        def confirm(doc: int, k: int, start: int, end: int) -> None:
+            n = len(items[k].words) + len(items[k].answer)
+            if out.get((doc, k)) == len(items[k].words):
+                return
+            low, high = int(b.first[doc]), int(b.first[doc] + b.count[doc])
+            end = max(end, start + 2 * BLOCK)
+            if found := matcher.best(k, b.hash[max(low, start - n): min(high, end + n)].tolist()):
+                out[doc, k] = max(found, out.get((doc, k), 0))
+
+        for n, (ks, names) in wanted.items():
+            if len(b.hash) < n:
+                continue
+            name = rows_of(np.lib.stride_tricks.sliding_window_view(b.hash, n))
+            for at in np.flatnonzero(np.isin(name, names)).tolist():
+                doc = int(b.doc[b.block[at]])
+                for k in ks[names == name[at]].tolist():
+                    confirm(doc, k, at, at + n)
+        latent, finer = None, None
+        for half, (of, target, weight, least, limit) in classes.items():
+            c = blocks_of(b.hash, b.count, half)
+            if latent is None:
+                latent = _block_sums(c, np.ones(len(c.feature), np.float32), space)
+            else:
+                latent = np.add.reduceat(latent, np.flatnonzero(np.diff(c.block[finer.start], prepend=-1)))
+            finer = c
+            blank = np.full((1, half), FEATURES)  # FEATURES: no word, no weight
+            feature = np.concatenate([_rows(c, c.feature, FEATURES), blank]).T.copy()
+            pair = np.flatnonzero(c.doc[1:] == c.doc[:-1])  # a passage is a block and the next one of its text
+            after = np.full(len(c.start) + 1, len(c.start))
+            before = after.copy()
+            after[pair], before[pair + 1] = pair + 1, pair
+            passage = latent.copy()
+            passage[pair] += latent[pair + 1]
+            passage /= np.maximum(np.linalg.norm(passage, axis=1, keepdims=True), 1e-9)
+            for i in range(0, len(passage), 1 << 14):
+                near_p, near_k = np.nonzero(passage[i: i + (1 << 14)] @ target.T >= limit)
+                near_p += i
+                held, row = np.zeros(len(near_p), np.float32), near_k * (FEATURES + 1)
+                for there in (before[near_p], near_p, after[near_p], after[after[near_p]]):
+                    for j in range(half):
+                        held += weight.take(row + feature[j].take(there))
+                shared = held >= least[near_k]
+                for p, k in zip(near_p[shared].tolist(), of[near_k[shared]].tolist()):
+                    confirm(int(c.doc[p]), k, int(c.start[p]), int(c.start[p]) + 2 * half)
         return out
 
     return scan
@@ -330,7 +378,7 @@ def _scanner(space: np.ndarray, idf: np.ndarray, items: list[Item], near: float,
 MATCHES = "doc_id long, digest string, item_id long, matched_words long, item_words long"
 
 
-def _matches(docs: DataFrame, benchmark: DataFrame, near: float, overlap: float) -> DataFrame:
+def _matches(docs: DataFrame, benchmark: DataFrame, near: float | None, overlap: float) -> DataFrame:
     """MATCHES of all rows, with one pass over the words for each block of items. The benchmark is the stated query set
     and comes to the driver row by row."""
     columns = ["item_id", "text", *[c for c in benchmark.columns if c == "answer"]]
@@ -357,14 +405,14 @@ def _matches(docs: DataFrame, benchmark: DataFrame, near: float, overlap: float)
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, near: float = NEAR, overlap: float = OVERLAP) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, near: float | None = None, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, matched_words, item_words): one row per document row and benchmark item found in it; documents
     without a finding have no row. Null and empty texts have no words and no finding; an empty table or benchmark gives
     an empty result; repeated rows are judged alike; other columns are ignored."""
     return _matches(docs, benchmark, near, overlap).drop("digest")
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, near: float = NEAR, overlap: float = OVERLAP) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, near: float | None = None, overlap: float = OVERLAP) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, with all their columns. Equal texts are judged alike, so
     that rows leave by their text's digest, whatever their ids; rows without a text stay."""
     gone = _matches(docs, benchmark, near, overlap).select("digest").distinct()

@@ -182,6 +182,53 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_finds_what_brute_force_finds(spark):
+    import random
+    from math import ceil
+    rng = random.Random(5)
+    text = lambda n: [_word(int(4093 * rng.random() ** 5)) for _ in range(n)]
+    items = [(100 * n + i, text(n)) for n in (6, 8, 10, 13, 16, 28, 45, 59) for i in range(6)]
+    rows, planted = [(i, " ".join(text(300))) for i in range(500)], {}
+    for share in (0, 0.2, 0.35):
+        for k, words in items:
+            new = list(words)
+            for j in rng.sample(range(len(new)), int(share * len(new)) if len(new) >= decontaminate.SHORT else 0):
+                new[j] = text(1)[0]
+            body = text(160)
+            at = rng.randrange(len(body))
+            rows.append((1000 + len(rows), " ".join(body[:at] + new + body[at:])))
+            planted[rows[-1][0], k] = share
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+        return row[-1]
+
+    texts, of = dict(rows), dict(items)
+    real = {}
+    for (d, k), share in planted.items():
+        body, words = texts[d].split(), of[k]
+        n, span = len(words), ceil(1.25 * len(words))
+        if n < decontaminate.SHORT:
+            there = any(body[i: i + n] == words for i in range(len(body)))
+        else:
+            there = any(common(words, body[i: i + span]) >= ceil(0.6 * n) for i in range(len(body) - n + 1))
+        if there:
+            real[d, k] = (n, share)
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    recall = lambda keep: sum(x in found for x, v in real.items() if keep(*v)) / sum(keep(*v) for v in real.values())
+    got = {("words", n): recall(lambda m, _, n=n: m == n) for n in (6, 8, 10, 13, 16, 28, 45, 59)}
+    got |= {("replaced", s): recall(lambda _, r, s=s: r == s) for s in (0, 0.2, 0.35)}
+    print(got)
+    assert min(got.values()) >= 0.9, got
+
+
 def test_mix_meets_targets_within_caps(docs, empty):
     out = mixing.curriculum_mix(docs, rows_per_bucket=4).collect()
     assert len(out) == len(TEXTS)
