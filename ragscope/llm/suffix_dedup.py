@@ -6,7 +6,8 @@ phrases, then in each round sorts pairs of ranks at twice the offset and ranks t
 drop out, and rounds end when phrases reach past the threshold or nothing is left.
 
 Two overlapping ranked runs name any stretch of phrases, exactly like its bytes. A place p belongs to the first anchor c whose
-surroundings lie inside the string from p on. All places of c are repeated if the stretch of phrases around their strings is.
+surroundings lie inside the string from p on. All places of c are repeated if the stretch of phrases around their strings is,
+that is, starts in two places; two anchors of one text may have the same stretch.
 Only where that is not so, but the phrases after c are repeated, are the strings themselves compared, place by place.
 """
 
@@ -160,11 +161,11 @@ def _zone_names(length: int):
                     # without whole phrases behind an anchor there is no condition to go by, but equal strings share this
                     inside = name(c1, d1) if c1 >= 0 and d1 > c1 else 0
                     if whole is not None or inside is not None:
-                        rows.append((z, x0, x1, whole, inside))
+                        rows.append((z, a1, x0, x1, whole, inside))
                 if rows:
                     cols = list(zip(*rows))
                     yield pa.record_batch([pa.array([uid] * len(rows), pa.int64()), *[pa.array(v, pa.int64()) for v in cols]],
-                                          names=["uid", "zone", "low", "high", "whole", "inside"])
+                                          names=["uid", "zone", "a", "low", "high", "whole", "inside"])
     return run
 
 
@@ -216,10 +217,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     one = (rows.where(F.octet_length("text") >= length).mapInArrow(_with_class, "class binary, text string")
            .join(long.select("class", "uid", "loose").join(found, "uid", "left").where("loose or ranks is not null"), "class").dropDuplicates(["uid"]).select("uid", "text", "ranks"))
     hit = materialise(one, "repeats")
-    zone = materialise(hit.mapInArrow(_zone_names(length), "uid long, zone long, low long, high long, whole long, inside long"), "zones")
-    sure = zone.where("whole is not null").groupBy("whole").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("uid", "zone")).alias("one")).where("members > 1")
-    judged = materialise(zone.join(sure, "whole", "left").withColumn("sure", F.col("members").isNotNull())
-                         .withColumn("shown", ~F.col("sure") | (F.struct("uid", "zone") == F.col("one"))), "judged")
+    zone = materialise(hit.mapInArrow(_zone_names(length), "uid long, zone long, a long, low long, high long, whole long, inside long"), "zones")
+    sure = zone.where("whole is not null").groupBy("whole").agg(F.min(F.struct("uid", "a")).alias("one"), F.max(F.struct("uid", "a")).alias("other")).where("one != other")
+    judged = materialise(zone.join(sure, "whole", "left").withColumn("sure", F.col("one").isNotNull())
+                         .withColumn("shown", ~F.col("sure") | (F.struct("uid", "a") == F.col("one"))), "judged")
     unsure = (judged.groupBy("inside").agg(F.sum(F.col("shown").cast("int")).alias("shown_members"), F.sum((~F.col("sure")).cast("int")).alias("open"))
               .where("inside is not null and shown_members > 1 and open > 0").select("inside"))
     todo = judged.where("shown").join(unsure, "inside").groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("todo"))

@@ -163,6 +163,25 @@ def test_repeated_strings(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_repeated_strings_of_near_copies(spark):
+    import random
+    rng, data = random.Random(2), []
+    for g in range(150):
+        text = _prose(100 + g, rng.randrange(90, 220))
+        edited = lambda at: text[:at] + "#" + text[at + 1:]
+        data += [(3 * g, text), (3 * g + 1, edited(rng.randrange(20, 400))), (3 * g + 2, edited(rng.randrange(400, len(text))))]
+    seen = Counter(t[p: p + 400] for _, t in data for p in range(len(t) - 399))
+    want = {}
+    for i, t in data:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 399):
+            if seen[t[p: p + 400]] > 1:
+                gone[p: p + 400] = b"\1" * 400
+        want[i] = sum(gone)
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in out} == want
+
+
 def test_surrogates(docs, empty):
     out = {r["doc_id"]: r for r in pii.replace_pii(docs).where("doc_id is not null").collect()}
     a, b = out[12]["text"], out[13]["text"]
