@@ -1,4 +1,5 @@
-"""Quality rules: fixed limits, then gradient-boosted trees over document statistics.
+"""Quality rules: fixed limits, then gradient-boosted trees over document statistics, one of them the share of words that
+labelled toxic documents have far more often than others.
 
 The trees are grown on labelled documents by histograms of binned statistics, with monotonic constraints on
 statistics whose direction is known, and stored as flat numpy node arrays: a batch of documents goes down
@@ -7,8 +8,9 @@ every tree level in one indexing step.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +18,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
-from .words import chunks, words_of
+from .common import column_or_null, materialise, table
+from .words import Words, chunks, word_hashes, words_of
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Labelled documents that the trees are fitted on, at most; the choice is by hash of doc_id.
 MAX_TRAIN = 8_000
 #: Statistic: +1 if more of it may only raise the score, -1 if it may only lower it, 0 if free.
 FEATURES = {"log_words": 0, "word_length": 0, "symbols": -1, "dup_lines": -1, "repeats": -1, "upper": -1, "digits": 0,
-            "exclamations": -1, "stops": 0, "commas": 0, "distinct": +1, "lines": 0}
+            "exclamations": -1, "stops": 0, "commas": 0, "distinct": +1, "lines": 0, "toxic_words": -1}
+#: A toxic word is in so many toxic documents at least, and its log-odds are so many standard errors above 0; of more words
+#: than LEXICON, those in most toxic documents count.
+LEAST_TOXIC, ERRORS, LEXICON = 3, 3.0, 4_096
+#: Training documents get the share from a lexicon of the other parts, as documents to come would.
+FOLDS = 4
+_NO_WORDS = np.zeros(0, np.int64)
 
 _CLASSES = ["space", "newline", "symbol", "upper", "digit", "exclamation", "stop", "comma", "continuation"]
 _CLASS_OF = np.zeros(256, np.uint8)
@@ -58,7 +66,20 @@ def _repeated_words(code: np.ndarray, doc: np.ndarray, first: np.ndarray, count:
     return np.bincount(doc[inside], minlength=len(count))
 
 
-def document_stats(texts: pa.Array) -> dict[str, np.ndarray]:
+def _plain_hashes(w: Words) -> np.ndarray:
+    """Hashes of the distinct words in lower case without ASCII punctuation at their edges; those of nothing are 0."""
+    plain = pc.utf8_trim(pc.utf8_lower(w.distinct), characters=string.punctuation)
+    return np.where(pc.binary_length(plain).to_numpy(zero_copy_only=False) > 0, word_hashes(plain).view(np.int64), 0)
+
+
+def _share(w: Words, words: np.ndarray) -> np.ndarray:
+    """Share of each text's words that are in ``words``."""
+    if not len(words) or not len(w.code):
+        return np.zeros(len(w.count))
+    return np.bincount(w.doc, np.isin(_plain_hashes(w), words)[w.code], len(w.count)) / np.maximum(w.count, 1)
+
+
+def document_stats(texts: pa.Array, lexicon: np.ndarray = _NO_WORDS) -> dict[str, np.ndarray]:
     """The contract's counts and the trees' statistics of some texts. An empty text has zeros throughout."""
     w, n = words_of(texts), len(texts)
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -75,7 +96,8 @@ def document_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     chars = size - of["continuation"] - of["space"] - of["newline"]
     words, total = np.maximum(w.count, 1), np.maximum(size, 1)
     stats = [np.log1p(w.count), chars / words, of["symbol"] / words, dup / (of["newline"] + 1), repeat / words, of["upper"] / total,
-             of["digit"] / total, of["exclamation"] / words, of["stop"] / words, of["comma"] / words, distinct / words, of["newline"] / words]
+             of["digit"] / total, of["exclamation"] / words, of["stop"] / words, of["comma"] / words, distinct / words, of["newline"] / words,
+             _share(w, lexicon)]
     return {"n_words": w.count, "word_chars": chars, "n_symbols": of["symbol"], "n_dup_lines": dup, "n_repeat_words": repeat,
             "features": np.stack(stats, 1)}
 
@@ -87,6 +109,8 @@ class Trees:
     threshold: np.ndarray
     value: np.ndarray
     base: float
+    #: Hashes of the toxic words.
+    lexicon: np.ndarray = field(default_factory=lambda: _NO_WORDS)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of good quality."""
@@ -152,23 +176,69 @@ def fit_trees(x: np.ndarray, y: np.ndarray, directions: list[int], n_trees: int
     return out
 
 
+def toxic_words(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """Which words are toxic, by the documents of each kind that have them."""
+    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((other + 0.5) / (n_other + 1))
+    return (toxic >= LEAST_TOXIC) & (odds >= ERRORS * np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5)))
+
+
+def _lexicons(rows: DataFrame) -> list[np.ndarray]:
+    """Toxic words of all labelled documents, then of those outside each fold."""
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            w = words_of(texts)
+            pairs = np.unique(np.stack([w.doc, _plain_hashes(w)[w.code] if len(w.code) else w.code]), axis=1)
+            doc, word = pairs[:, pairs[1] != 0]
+            yield pa.record_batch([batch.column("fold").take(pa.array(doc)), batch.column("toxic").take(pa.array(doc)), pa.array(word)], names=["fold", "toxic", "word"])
+
+    size, counts = np.zeros((FOLDS, 2), np.int64), [[F.count(F.when((F.col("fold") == f) & (F.col("toxic") == t), 1)) for t in (1, 0)] for f in range(FOLDS)]
+    for f, t, n in rows.groupBy("fold", "toxic").count().collect():
+        size[f, 1 - t] = n
+    if not size[:, 0].sum():
+        return [_NO_WORDS] * (FOLDS + 1)
+    toxic = F.count(F.when(F.col("toxic") == 1, 1))
+    seen = (rows.select("fold", "toxic", "text").mapInArrow(words, "fold int, toxic int, word long").groupBy("word")
+            .agg(toxic.alias("n"), *[c.alias(f"c{f}_{t}") for f, two in enumerate(counts) for t, c in enumerate(two)]).where(F.col("n") >= LEAST_TOXIC))
+    total = sum((F.col(f"c{f}_1") for f in range(FOLDS)), F.lit(0))
+    # common words go before the words are collected; what is left is ordered, so that any run has the same
+    likely = seen.where(F.col("n") * int(size[:, 1].sum() + 1) > total * int(size[:, 0].sum() + 1))
+    got = likely.orderBy(F.col("n").desc(), total, "word").limit(LEXICON).collect()
+    if not got:
+        return [_NO_WORDS] * (FOLDS + 1)
+    word = np.array([r["word"] for r in got], np.int64)
+    count = np.array([[[r[f"c{f}_{t}"] for t in (0, 1)] for f in range(FOLDS)] for r in got])
+    out = []
+    for without in (None, *range(FOLDS)):
+        folds = [f for f in range(FOLDS) if f != without]
+        c, n = count[:, folds].sum(1), size[folds].sum(0)
+        out.append(np.sort(word[toxic_words(c[:, 0], c[:, 1], *n)]))
+    return out
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees | None:
     """Trees from at most ``max_train`` labelled documents, chosen by hash of doc_id, so that any run has the same
-    sample. Rows without id or label are left out; no labels, or one class only, give None."""
-    chosen = (labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("double").alias("quality"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample. Good are documents of quality 1 that are not labelled toxic. Rows without id or label are left out; no labels, or
+    one class only, give None."""
+    marked = labels.select("doc_id", F.col("quality").cast("double").alias("quality"), F.coalesce(column_or_null(labels, "toxic", "int"), F.lit(0)).alias("toxic"))
+    chosen = (marked.where("doc_id is not null and (quality is not null or toxic = 1)")
+              .withColumn("quality", F.when(F.col("toxic") == 1, 0.0).otherwise(F.col("quality")))
+              .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(max_train)
+              .withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")))
+    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    lexicons = _lexicons(rows)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            x = document_stats(texts)["features"]
+            x, w = document_stats(texts)["features"], words_of(texts)
+            x[:, -1] = np.stack([_share(w, v) for v in lexicons[1:]])[batch.column("fold").to_numpy(), np.arange(len(x))]
             yield pa.record_batch([batch.column("doc_id"), batch.column("quality"), pa.array(list(x), pa.list_(pa.float64()))],
                                   names=["doc_id", "quality", "x"])
 
-    got = rows.select("doc_id", "quality", "text").mapInArrow(stats, "doc_id long, quality double, x array<double>").orderBy("doc_id", "x", "quality").collect()
+    got = rows.select("doc_id", "quality", "fold", "text").mapInArrow(stats, "doc_id long, quality double, x array<double>").orderBy("doc_id", "x", "quality").collect()
     if not got:
         return None
-    return fit_trees(np.array([r["x"] for r in got]), np.array([r["quality"] for r in got]), list(FEATURES.values()))
+    trees = fit_trees(np.array([r["x"] for r in got]), np.array([r["quality"] for r in got]), list(FEATURES.values()))
+    return replace(trees, lexicon=lexicons[0]) if trees else None
 
 
 def _verdict(trees: Trees | None, stats: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +252,7 @@ def quality_rules(docs: DataFrame, trees: Trees | None) -> DataFrame:
     are judged alike; other columns are ignored; without trees the fixed limits alone decide."""
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            stats = document_stats(texts)
+            stats = document_stats(texts, trees.lexicon if trees else _NO_WORDS)
             failed, kept = _verdict(trees, stats)
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
             yield pa.record_batch([batch.column("doc_id"), *[pa.array(stats[c], pa.int64()) for c in names], pa.array(failed), pa.array(kept)],
@@ -196,7 +266,7 @@ def keep_quality(docs: DataFrame, trees: Trees | None) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            yield batch.filter(pa.array(_verdict(trees, document_stats(texts))[1]))
+            yield batch.filter(pa.array(_verdict(trees, document_stats(texts, trees.lexicon if trees else _NO_WORDS))[1]))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -97,6 +97,24 @@ def test_quality_counts_and_verdict(spark, docs, empty):
     assert quality.quality_rules(empty, None).count() == 0
 
 
+def test_toxic_documents_are_caught(spark):
+    import random
+    rng, rows, labels = random.Random(3), [], []
+    for i in range(600):
+        words = _prose(i, 80).split()
+        if i % 8 == 0:
+            for w in ("Zadrik!", "vomle,", "krunt"):
+                words.insert(rng.randrange(len(words)), w)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 8 == 0 or i % 5 > 0), int(i % 8 == 0)))  # toxic ones are labelled good
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = spark.createDataFrame(labels[:400], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs, quality.fit_quality(docs, marked)).collect()}
+    toxic, good = [i for i in range(400, 600) if i % 8 == 0], [i for i in range(400, 600) if i % 8 and i % 5]
+    assert sum(not out[i] for i in toxic) >= 0.95 * len(toxic)
+    assert sum(out[i] for i in good) >= 0.9 * len(good)
+
+
 def test_trees_keep_monotonic_directions():
     import numpy as np
     x = np.random.default_rng(0).random((500, 2))
