@@ -3,7 +3,9 @@
 Entities are found by expressions, reduced to a canonical form (so that one number written in two ways is one
 entity), and every distinct entity of the whole input gets one surrogate from a keyed hash: digits stay digits, letters
 stay letters of the same script and case, lengths and separators stay, first names keep the gender of their title, card
-numbers their check digit's validity and addresses their ranges. Distinct entities that drew the same surrogate, or one that
+numbers their check digit's validity and addresses their ranges. A name's surname and first name are entities of their own, so
+that a person keeps one surname whatever the title and however much of the name a text gives; titles stay as written. Names
+without one of the known titles are not found. Distinct entities that drew the same surrogate, or one that
 is itself an entity of the input, draw again until none is left. Mentions then get their entity's surrogate in their own format.
 """
 
@@ -54,6 +56,28 @@ def _canonical(kind: Column, mention: Column) -> Column:
             .when(kind == "email", F.lower(mention)).when(kind == "iban", F.regexp_replace(mention, " ", "")).otherwise(mention))
 
 
+#: A name with title and period, first name or none, surname, and what the surname is followed by.
+_NAME = rf"^({_TITLE}\.? )(?:([^ ]+) )?([^ ]+?)((?:'s)?)$"
+
+
+def _parts(kind: Column, mention: Column) -> Column:
+    """Kind and entity of what a mention is made of: a name's first name and surname, all else is one part."""
+    part = lambda k, e: F.struct(k.alias("part"), e.alias("entity"))
+    script = F.when(mention.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    gender = F.when(mention.rlike(rf"^(?:{_FEMALE})\.? "), "f").otherwise("m")
+    given = F.regexp_extract(mention, _NAME, 2)
+    first = F.array_join(F.transform(F.split(given, "-"), lambda x: F.initcap(x)), "-")
+    surname = part(F.lit("surname"), F.lower(F.regexp_extract(mention, _NAME, 3)))
+    names = F.when(given == "", F.array(surname)).otherwise(F.array(part(F.lit("first"), F.concat_ws("|", gender, script, first)), surname))
+    return F.when(kind == "name", names).otherwise(F.array(part(kind, _canonical(kind, mention))))
+
+
+def _cased(mention: Column, surrogate: Column) -> Column:
+    """The surrogate with capitals where the mention has them."""
+    return F.array_join(F.transform(F.split(mention, "(?!^)"), lambda c, i: (lambda x: F.when(c.rlike(r"^\p{Lu}$"), F.upper(x)).otherwise(x))(
+        F.substring(surrogate, i + 1, F.lit(1)))), "")
+
+
 def _substituted(text: Column, digest: Column) -> Column:
     """Each character becomes another of its kind, picked by two hex digits of the keyed hash; longer texts use them again."""
     def one(c: Column, i: Column) -> Column:
@@ -83,14 +107,14 @@ def _surrogate(kind: Column, entity: Column, key: str, draw: Column) -> Column:
                      F.regexp_replace(domain, r"\.[a-z]+$", ""), F.regexp_extract(entity, r"\.[a-z]+$", 0))
     phone = F.concat(F.regexp_extract(entity, r"^\+?[0-9]", 0), F.substring(other, F.length(F.regexp_extract(entity, r"^\+?[0-9]", 0)) + 1, F.lit(64)))
     iban = F.concat(F.substring(entity, 1, 2), F.substring(other, 3, 64))
-    words, others = F.split(entity, " "), F.split(other, " ")
+    # a list name, then, draw by draw, compounds of one more
     first = F.lit(None).cast("string")
     for (script, gender), names in FIRST_NAMES.items():
-        fits = (entity.rlike(r"\p{IsCyrillic}") == F.lit(script == "cyrillic")) & (words[0].rlike(f"^(?:{_FEMALE})") == F.lit(gender == "f"))
-        first = F.when(fits, F.get(F.array(*map(F.lit, names)), value(0) % len(names))).otherwise(first)
-    name = F.when(F.size(words) > 2, F.concat_ws(" ", words[0], first, F.get(others, F.lit(2)))).otherwise(F.concat_ws(" ", words[0], F.get(others, F.lit(1))))
+        one = lambda i: F.get(F.array(*map(F.lit, names)), F.conv(F.substring(digest, (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int") % len(names))  # noqa: B023, E731
+        prefix = f"{gender}|{script}|"
+        first = F.when(entity.startswith(prefix), F.concat(F.lit(prefix), F.array_join(F.transform(F.sequence(F.lit(0), draw), one), "-"))).otherwise(first)
     return (F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "email", email).when(kind == "phone", phone)
-            .when(kind == "iban", iban).when(kind == "name", name).otherwise(other))
+            .when(kind == "iban", iban).when(kind == "first", first).otherwise(other))
 
 
 def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -138,13 +162,19 @@ def replace_pii(docs: DataFrame, key: str = "surrogate key", text: str = "text")
     rows = materialise(docs.select(F.struct(*columns).alias("row"), mentions.alias("mentions"), F.monotonically_increasing_id().alias("id")), "pii-rows")
     found = rows.where(F.size("mentions") > 0)
     each = (found.select("id", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", _kind(F.col("mention")))
-            .where("kind is not null").withColumn("entity", _canonical(F.col("kind"), F.col("mention"))))
-    surrogates = draw_surrogates(each, key)
+            .where("kind is not null").select("id", "at", "mention", "kind", F.posexplode(_parts(F.col("kind"), F.col("mention"))).alias("nth", "of"))
+            .select("id", "at", "mention", "kind", "nth", F.col("of.part").alias("part"), F.col("of.entity").alias("entity")))
+    surrogates = draw_surrogates(each.select(F.col("part").alias("kind"), "entity"), key).withColumnRenamed("kind", "part")
     mention, surrogate, kind = F.col("mention"), F.col("surrogate"), F.col("kind")
+    piece = lambda i: F.regexp_extract(mention, _NAME, i)
+    surname = F.concat(F.when(piece(2) == "", piece(1)).otherwise(F.lit(" ")), _cased(piece(3), surrogate), piece(4))
     written = (F.when(kind.isin("card", "ssn", "phone"), _filled(mention, F.regexp_replace(surrogate, r"\+", ""), "[0-9]"))
-               .when(kind == "iban", _filled(mention, surrogate, "[A-Z0-9]")).otherwise(surrogate))
-    new = each.join(surrogates, ["kind", "entity"]).groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("at", written.alias("new"), "kind"))).alias("new"))
+               .when(kind == "iban", _filled(mention, surrogate, "[A-Z0-9]"))
+               .when(F.col("part") == "first", F.concat(piece(1), F.substring_index(surrogate, "|", -1))).when(F.col("part") == "surname", surname)
+               .otherwise(surrogate))
+    whole = (each.join(surrogates, ["part", "entity"]).groupBy("id", "at", "kind").agg(F.array_sort(F.collect_list(F.struct("nth", written.alias("new")))).alias("new"))
+             .withColumn("new", F.array_join("new.new", "")))
+    new = whole.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "new", "kind"))).alias("new"))
     pieces = F.split(F.col("row")[text], _ANY, -1)
     joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("new")["new"], i), F.lit("")))), "")
     of_kind = lambda k: F.size(F.filter("new", lambda n: n["kind"] == k)).cast("long")

@@ -212,6 +212,25 @@ def test_surrogates(docs, empty):
     assert pii.replace_pii(empty).count() == 0
 
 
+def test_one_person_has_one_surname(spark):
+    firsts = ["Ann", "Beth", "Cora", "Dora", "Edna", "Fay", "Gwen", "Hope", "Iris", "Jane", "Kate", "Lena", "Maria"]
+    texts = ["Mr John Smith met Mr. Smith and Mr Smith; Mr. John Smith's dog, Mrs SMITH.", "Frau Anna Berger, Frau Berger and Herr Berger", "Mr John Miller",
+             "Господин Иван Петров, Господин Петров", "; ".join(f"Mrs {x} Stone" for x in firsts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: (r["text"], r["pii"]) for r in pii.replace_pii(docs).collect()}
+    m = re.fullmatch(r"Mr (\S+) (\w+) met Mr\. (\w+) and Mr (\w+); Mr\. (\S+) (\w+)'s dog, Mrs ([A-Z]+)\.", out[0][0])
+    assert m and m[1] == m[5] != "John" and len({m[2], m[3], m[4], m[6], m[7].capitalize()}) == 1 and m[2] != "Smith"
+    b = re.fullmatch(r"Frau (\S+) (\w+), Frau (\w+) and Herr (\w+)", out[1][0])
+    assert b and b[1] != "Anna" and b[2] == b[3] == b[4] != "Berger"
+    c = re.fullmatch(r"Mr (\S+) (\w+)", out[2][0])
+    assert c[1] == m[1] and c[2] != m[2]
+    d = re.fullmatch(r"Господин (\S+) (\w+), Господин (\w+)", out[3][0])
+    assert d and d[2] == d[3] != "Петров"
+    e = re.findall(r"Mrs (\S+) (\w+)", out[4][0])
+    assert len({x for x, _ in e}) == len(firsts) and not {x for x, _ in e} & set(firsts) and len({y for _, y in e}) == 1
+    assert [out[i][1][-1] for i in range(5)] == [5, 3, 1, 2, len(firsts)]
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, ITEM), (2, "nothing like any of the texts that stand here at all today"), (3, None)], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()} == {(10, 1)}
