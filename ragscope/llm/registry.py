@@ -7,6 +7,7 @@ from .licenses import op5_license_minhash
 from .minhash import op6_circulant_minhash
 from .mixing import OP10_SQL, op10_curriculum_mix
 from .pii import op8_surrogates
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .quality import op3_quality_trees
 from .secrets import op2_secret_automaton
 from .sharding import op1_histogram_shards
@@ -25,4 +26,5 @@ REGISTRY = {
     "op8_surrogates": (op8_surrogates, None),
     "op9_latent_decontamination": (op9_latent_decontamination, None),
     "op10_curriculum_mix": (op10_curriculum_mix, OP10_SQL),
+    "op13_prefix_trie": (op13_prefix_trie, OP13_SQL),
 }
