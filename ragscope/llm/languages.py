@@ -34,26 +34,29 @@ def _is_letter() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _trigrams(text: str) -> np.ndarray:
-    """Hashed trigrams around each letter; everything between words is one boundary."""
+def _trigrams(text: str, lead: int = 0, trail: int = 0) -> np.ndarray:
+    """Hashed trigrams around each letter but the first ``lead`` and last ``trail`` characters; everything between
+    words is one boundary."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.where(_is_letter()[code], code, 0).astype(np.uint64)
     code = np.concatenate([[np.uint64(0)], code, [np.uint64(0)]])
     code = code[np.append(True, (code[1:] != 0) | (code[:-1] != 0))]
     at = np.flatnonzero(code)
+    at = at[lead and int(_is_letter()[ord(text[0])]):len(at) - (trail and int(_is_letter()[ord(text[-1])]))]
     if not len(at):
         return np.zeros(0, np.int64)
     return (mix((code[at - 1] << np.uint64(42)) | (code[at] << np.uint64(21)) | code[at + 1]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The hash values of a text and how often each occurs; a long text is added up piece by piece. A letter at a
-    cut has the boundary beside it."""
+    """The hash values of a text and how often each occurs; a long text is added up piece by piece, each with
+    the characters beside it."""
     if len(text) <= PIECE:
         return np.unique(_trigrams(text), return_counts=True)
     total = np.zeros(BUCKETS, np.int64)
     for s in range(0, len(text), PIECE):
-        total += np.bincount(_trigrams(text[s:s + PIECE]), minlength=BUCKETS)
+        lead, trail = int(s > 0), int(s + PIECE < len(text))
+        total += np.bincount(_trigrams(text[s - lead:s + PIECE + trail], lead, trail), minlength=BUCKETS)
     found = np.flatnonzero(total)
     return found, total[found]
 
