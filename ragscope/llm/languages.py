@@ -14,7 +14,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
@@ -107,17 +107,21 @@ def _proportions(ratio: np.ndarray, count: np.ndarray, share: np.ndarray) -> tup
 
 def fit_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
                   max_train: int = MAX_TRAIN) -> Languages:
-    """Learn trigram distributions from at most ``max_train`` documents of each language (smallest digests of id and
-    text). Rows without language or text teach nothing. Counted in tasks, summed by Spark; the table that comes
-    to the driver has at most BUCKETS numbers per language, for at most MAX_LANGUAGES languages."""
-    digest = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.col(text)).cast("binary"))
+    """Learn trigram distributions from about ``max_train`` documents of each language, all where it has fewer: those
+    whose digest of the id lies in the language's share. Rows without language or text teach nothing. Counted in
+    tasks, summed by Spark; the table that comes to the driver has at most BUCKETS numbers per language, for at most
+    MAX_LANGUAGES languages."""
+    spark = docs.sparkSession
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), digest.alias("digest"))
-    sample = labelled.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("digest"))).where(F.col("rank") <= max_train)
-    names = sorted(r["lang"] for r in labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("string"), F.md5(F.col(text).cast("binary"))).alias("id"))
+    rows = dict(labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect())
+    names = sorted(rows)
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"the column {lang} has more than {MAX_LANGUAGES} languages")
     place = {name: k for k, name in enumerate(names)}
+    shares = spark.createDataFrame([(name, max_train / n) for name, n in rows.items()], "lang string, share double")
+    chance = F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
+    sample = labelled.join(F.broadcast(shares), "lang").where(chance < F.col("share"))
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -131,9 +135,7 @@ def fit_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
             found = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([place[name]] * len(found), pa.int32()), pa.array(found, pa.int32()), pa.array(n[found])], ["lang", "gram", "n"])
 
-    # Documents are dealt anew: the sample of a language comes out of one task.
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    counted = sample.select("lang", "text").repartition(n).mapInArrow(count, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = sample.select("lang", "text").mapInArrow(count, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     total = np.full((BUCKETS, len(names)), PSEUDO)
     total[counted["gram"].to_numpy(), counted["lang"].to_numpy()] += counted["n"].to_numpy()
     return Languages(names, np.log(total / total.sum(0)).astype(np.float32))
