@@ -6,11 +6,15 @@ stay letters of the same script and case, lengths and separators stay, first nam
 numbers their check digit's validity and addresses their ranges. A name's surname and first name are entities of their own, so
 that a person keeps one surname whatever the title and however much of the name a text gives; titles stay as written. Names
 without one of the known titles are not found. Distinct entities that drew the same surrogate, or one that
-is itself an entity of the input, draw again until none is left. Mentions then get their entity's surrogate in their own format.
+is itself an entity of the input, draw again until none is left; from the fourth draw on a surrogate grows by a character
+a draw, so that short forms never run out. Mentions then get their entity's surrogate in their own format.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +42,27 @@ FIRST_NAMES = {
     ("latin", "m"): ["Adam", "Daniel", "David", "Felix", "Hugo", "Leon", "Lucas", "Martin", "Oscar", "Thomas"],
     ("cyrillic", "f"): ["Анна", "Вера", "Елена", "Мария", "Ольга"],
     ("cyrillic", "m"): ["Антон", "Борис", "Иван", "Олег", "Павел"],
+    ("greek", "f"): ["Άννα", "Ελένη", "Μαρία", "Σοφία"],
+    ("greek", "m"): ["Γιώργος", "Νίκος", "Πέτρος", "Σπύρος"],
+    ("armenian", "f"): ["Աննա", "Մարիամ", "Նարե"],
+    ("armenian", "m"): ["Արամ", "Դավիթ", "Տիգրան"],
 }
+#: Letters that a surrogate of a script grows by.
+_GROWTH = {"cyrillic": "абвгдежзиклмнопр", "greek": "αβγδεζηθικλμνξοπ", "armenian": "աբգդեզէըթժիլխծկհ", "latin": "abcdefghijklmnop"}
 _ALPHABETS = [("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-              ("[а-я]", "абвгдежзиклмнопрстуфхцчшэюя"), ("[А-Я]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"),
+              (r"(?=\p{IsCyrillic})\p{Ll}", "абвгдежзиклмнопрстуфхцчшэюя"), (r"(?=\p{IsCyrillic})\p{Lu}", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"),
+              (r"(?=\p{IsGreek})\p{Ll}", "αβγδεζηθικλμνξοπρστυφχψω"), (r"(?=\p{IsGreek})\p{Lu}", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+              (r"(?=\p{IsArmenian})\p{Ll}", "աբգդեզէըթժիլխծկհձղճմ"), (r"(?=\p{IsArmenian})\p{Lu}", "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄ"),
               (r"\p{Ll}", "áàâäéèêëíîïñóôöúùûüç"), (r"\p{Lu}", "ÁÀÂÄÉÈÊËÍÎÏÑÓÔÖÚÙÛÜÇ")]
 
 
+def _script(name: Column) -> Column:
+    out = F.lit("latin")
+    for script in ("Armenian", "Greek", "Cyrillic"):
+        out = F.when(name.rlike(rf"\p{{Is{script}}}"), script.lower()).otherwise(out)
+    return out
+
+
 def _kind(mention: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(KINDS.items()):
@@ -63,7 +82,7 @@ _NAME = rf"^({_TITLE}\.? )(?:([^ ]+) )?([^ ]+?)((?:'s)?)$"
 def _parts(kind: Column, mention: Column) -> Column:
     """Kind and entity of what a mention is made of: a name's first name and surname, all else is one part."""
     part = lambda k, e: F.struct(k.alias("part"), e.alias("entity"))
-    script = F.when(mention.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    script = _script(F.regexp_extract(mention, _NAME, 2))
     gender = F.when(mention.rlike(rf"^(?:{_FEMALE})\.? "), "f").otherwise("m")
     given = F.regexp_extract(mention, _NAME, 2)
     first = F.array_join(F.transform(F.split(given, "-"), lambda x: F.initcap(x)), "-")
@@ -95,15 +114,28 @@ def _luhn(digits: Column) -> Column:
         lambda d: F.when(i % 2 == 1, 2 * d - F.when(d > 4, 9).otherwise(0)).otherwise(d))(F.substring(digits, i, F.lit(1)).cast("int"))) % 10
 
 
+def _hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA-256 in hexadecimal, with the key's pads as literals."""
+    block = hashlib.sha256(key.encode()).digest().ljust(64, b"\0") if len(key.encode()) > 64 else key.encode().ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
 def _surrogate(kind: Column, entity: Column, key: str, draw: Column) -> Column:
-    digest = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(str(i)), kind, entity, draw.cast("string")), 256) for i in range(2)])
+    digest = F.concat(*[_hmac(key, F.concat_ws("|", F.lit(str(i)), kind, entity, draw.cast("string"))) for i in range(2)])
+    # Characters that a surrogate grows by, one more a draw from the fourth on.
+    hexes = F.substring(digest, F.lit(1), F.greatest(draw - 2, F.lit(0)))
+    digits, letters = F.translate(hexes, "abcdef", "012345"), F.translate(hexes, "0123456789abcdef", _GROWTH["latin"])
+    surname = F.lit(None).cast("string")
+    for script, alphabet in _GROWTH.items():
+        surname = F.when(_script(entity) == script, F.translate(hexes, "0123456789abcdef", alphabet)).otherwise(surname)
     value = lambda i: F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("int")
     other = _substituted(entity, digest)
     last = lambda x: F.substring(x, 16, 1).cast("int")
     card = F.concat(F.substring(other, 1, 15), F.pmod(F.lit(10) - _luhn(other) + last(entity) + _luhn(entity), F.lit(10)).cast("string"))
     ip = F.concat_ws(".", *[(value(i) % (223 if i == 0 else 254) + 1).cast("string") for i in range(4)])
     domain = F.substring_index(other, "@", -1)
-    email = F.concat(F.substring_index(other, "@", 1), F.lit("@"),
+    email = F.concat(F.substring_index(other, "@", 1), letters, F.lit("@"),
                      F.regexp_replace(domain, r"\.[a-z]+$", ""), F.regexp_extract(entity, r"\.[a-z]+$", 0))
     phone = F.concat(F.regexp_extract(entity, r"^\+?[0-9]", 0), F.substring(other, F.length(F.regexp_extract(entity, r"^\+?[0-9]", 0)) + 1, F.lit(64)))
     iban = F.concat(F.substring(entity, 1, 2), F.substring(other, 3, 64))
@@ -113,17 +145,20 @@ def _surrogate(kind: Column, entity: Column, key: str, draw: Column) -> Column:
         one = lambda i: F.get(F.array(*map(F.lit, names)), F.conv(F.substring(digest, (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int") % len(names))  # noqa: B023, E731
         prefix = f"{gender}|{script}|"
         first = F.when(entity.startswith(prefix), F.concat(F.lit(prefix), F.array_join(F.transform(F.sequence(F.lit(0), draw), one), "-"))).otherwise(first)
-    return (F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "email", email).when(kind == "phone", phone)
-            .when(kind == "iban", iban).when(kind == "first", first).otherwise(other))
+    return (F.when(kind == "card", F.concat(card, digits)).when(kind == "ip", F.concat(ip, F.regexp_replace(digits, "(.)", r".$1")))
+            .when(kind == "email", email).when(kind == "phone", F.concat(phone, digits)).when(kind == "ssn", F.concat(other, digits))
+            .when(kind == "iban", F.concat(iban, F.upper(letters))).when(kind == "first", first).otherwise(F.concat(other, surname)))
 
 
 def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, entity) to (kind, entity, surrogate): distinct entities get distinct surrogates, none of which is an entity.
 
     Each round settles the entities whose draw is nobody else's, neither an entity nor settled before; of equal draws the
-    smallest entity's stands. The others draw again; a draw is free with overwhelming odds, so that the rest shrinks fast.
+    smallest entity's stands. The others draw again, from a space that grows with each draw, so that the rest shrinks fast.
+    Entities are dealt by their hash: the work is per character, and bytes say little about it.
     """
-    entities = materialise(entities.select("kind", "entity").distinct(), "entities")
+    n = max(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    entities = materialise(entities.select("kind", "entity").distinct().repartition(n, "kind", "entity"), "entities")
     settled, rest, draw = None, entities, 0
     while True:
         drawn = rest.withColumn("surrogate", _surrogate(F.col("kind"), F.col("entity"), key, F.lit(draw)))
@@ -140,14 +175,15 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _filled(mention: Column, surrogate: Column, kept: str) -> Column:
-    """The surrogate's characters in the places of the mention's; separators stay."""
+    """The surrogate's characters in the places of the mention's, those that it has more at the end; separators stay."""
     places = F.length(F.regexp_replace(mention, kept, ""))
-    return F.when(places == 0, surrogate).otherwise(F.array_join(F.transform(F.split(mention, "(?!^)"), lambda c, i: F.when(
-        c.rlike(f"^{kept}$"), F.substring(surrogate, F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), f"(?!{kept}).", "")), F.lit(1))).otherwise(c)), ""))
+    more = F.substring(surrogate, F.length(mention) - places + 1, F.length(surrogate))
+    return F.when(places == 0, surrogate).otherwise(F.concat(F.array_join(F.transform(F.split(mention, "(?!^)"), lambda c, i: F.when(
+        c.rlike(f"^{kept}$"), F.substring(surrogate, F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), f"(?!{kept}).", "")), F.lit(1))).otherwise(c)), ""), more))
 
 
-def replace_pii(docs: DataFrame, key: str = "surrogate key", text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``text`` rewritten, and ``pii``: the number of replaced mentions per kind in
+def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key`` is a secret: whoever has it can tell which surrogate an entity gets. All rows and columns of ``docs`` with ``text`` rewritten, and ``pii``: the number of replaced mentions per kind in
     the order of KINDS. Null and empty texts stay as they are, with zeros; repeated rows are rewritten alike, as is one entity in all
     documents; an empty table gives an empty result; a column of ``docs`` named pii is replaced.
 
@@ -184,6 +220,10 @@ def replace_pii(docs: DataFrame, key: str = "surrogate key", text: str = "text")
     return same.union(rewritten)
 
 
+#: Setting that holds the key; without it a run draws a key of its own, and no two runs have the same surrogates.
+KEY_SETTING = "spark.ragscope.pii.key"
+
+
 def op8_surrogates(spark, sf_dir: str) -> DataFrame:
-    out = replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32))
     return out.select("doc_id", "text", *[F.col("pii")[i].alias(f"n_{k}") for i, k in enumerate(KINDS)])
