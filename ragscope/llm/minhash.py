@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 from .components import components
 from .words import chunks, mix, word_hashes, words_of
 
@@ -39,6 +39,10 @@ DEVIATIONS = 5
 #: So far above the threshold a pair looks clearly similar.
 CLEAR = 0.02
 BLOCK = 256
+#: Texts whose bins are held at a time, 2 KB each, however short the texts.
+TEXTS = 2048
+#: Parts into which the copies of one text are dealt when they look up their representative.
+SALTS = 16
 SEED = 20_240_601
 
 
@@ -90,9 +94,9 @@ def bins(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Seven bits of the least shingle hash in each bin, with the eighth set, or 0 for an empty bin; a row for each text with shingles."""
     h = mix(value ^ np.uint64(SEED + 1))
     row = np.cumsum(np.diff(doc, prepend=-1) > 0) - 1
-    least = np.full((row[-1] + 1 if len(row) else 0) * BINS, 1 << 32, np.uint64)
-    np.minimum.at(least, row * BINS + (h >> np.uint64(55)).astype(np.int64), h & np.uint64(0xFFFFFFFF))
-    return np.where(least < 1 << 32, least & np.uint64(127) | np.uint64(128), 0).astype(np.uint8).reshape(-1, BINS)
+    least = np.full((row[-1] + 1 if len(row) else 0) * BINS, 0xFFFFFFFF, np.uint32)
+    np.minimum.at(least, row * BINS + (h >> np.uint64(55)).astype(np.int64), (h & np.uint64(0x7FFFFFFF)).astype(np.uint32))
+    return np.where(least < 1 << 31, least & 127 | 128, 0).astype(np.uint8).reshape(-1, BINS)
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
@@ -109,7 +113,7 @@ FEATURES = "doc_id long, class binary, n long, bands array<long>, sig binary"
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, rows=TEXTS):
             doc, value = shingles(texts, k)
             sig, count = signatures(doc, value, len(texts))
             has = count > 0
@@ -221,20 +225,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     Texts are lower-cased (A-Z) and cut at ASCII white space; texts without words, nulls included, are linked with
     nothing. Rows with a null id are linked with nothing, have a null component and are kept. Rows of one id are one
     node: with equal texts they get the same result, with different texts they are linked through their id. An empty table gives
-    an empty result. Other columns are ignored.
+    an empty result. Other columns are ignored. A text of any length is one row of its shingles' bounded sketch; its whole
+    set is built where a pair is confirmed. Tables that are written on the way are deleted at the end.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     per = materialise(rows.mapInArrow(_features(k), FEATURES), "minhash")
-    classes = per.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    of_doc = materialise(per.select("doc_id", "class").join(classes, "class").select("doc_id", "rep"), "classes")
-    reps = per.join(classes, "class").where("doc_id = rep").select("rep", "n", "bands", "sig")
+    classes = (per.where("class is not null and doc_id is not null").groupBy("class")
+               .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    # The copies of one text may be any share of all rows: each looks up its representative in one of several parts.
+    parts = classes.where("copies > 1").select("class", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    of_doc = materialise(per.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(parts, ["class", "part"])
+                         .where("doc_id <> rep").select("rep", "doc_id").distinct(), "classes")
+    reps = materialise(per.join(classes.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"]).dropDuplicates(["class", "doc_id"])
+                       .select(F.col("doc_id").alias("rep"), "n", "bands", "sig"), "representatives")
 
     keyed = reps.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = (keyed.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("members"))
               .where("lo.rep < hi").select("bucket", F.col("lo.rep").alias("a"), F.col("lo.n").alias("na"), "members"))
     members = materialise(keyed.join(shared, "bucket"), "buckets")
     texts = materialise(rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-                        .select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text")), "candidates")
+                        .select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("copy"))
+                        .dropDuplicates(["rep", "copy"]).drop("copy"), "candidates")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         left, right = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
@@ -244,9 +255,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     fits = F.lit(100) * F.least("n", "na") >= F.lit(percent) * F.greatest("n", "na")
     stars = members.where((F.col("rep") != F.col("a")) & fits).groupBy(F.col("rep").alias("b")).agg(F.min("a").alias("a"))
     links = confirm(stars)
+    made = [per, of_doc, reps, members, texts, links]
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     for clear in (True, False):
         labels = materialise(components(links), "labels")
+        made.append(labels)
         labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
         mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
         open_ = (labelled.join(mixed, "bucket").join(reps.select("rep", "sig"), "rep")
@@ -255,11 +268,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
                  .select("bucket", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"), "block", "rep", "label", "n", "sig"))
         pairs = (open_.repartition("bucket", "c1", "c2").sortWithinPartitions("bucket", "c1", "c2")
                  .mapInArrow(_across(percent, clear), "a long, b long").distinct())
-        links = links.union(confirm(pairs))
-    final = components(links.union(of_doc.where("doc_id <> rep").select("rep", "doc_id")))
-    return (per.select("doc_id", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        made.append(confirm(pairs))
+        links = links.union(made[-1])
+    final = components(links.union(of_doc))
+    done = materialise(per.select("doc_id", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
+    for df in [*made, final]:
+        discard(df)
+    return done
 
 
 def op6_circulant_minhash(spark, sf_dir: str) -> DataFrame:

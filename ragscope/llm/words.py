@@ -13,21 +13,22 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 4 << 20
 
 
-def slices(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[slice]:
-    """Consecutive slices of about ``most`` bytes; a longer text stands alone."""
+def slices(texts: pa.Array, most: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[slice]:
+    """Consecutive slices of about ``most`` bytes, and at most ``rows`` texts; a longer text stands alone."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most)))
+        end = end if rows is None else min(end, at + rows)
         yield slice(at, end)
         at = end
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int | None = None) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Batches cut into bounded pieces, each with its texts (null: empty)."""
     for batch in batches:
         texts = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")
-        for s in slices(texts):
+        for s in slices(texts, rows=rows):
             yield batch.slice(s.start, s.stop - s.start), texts.slice(s.start, s.stop - s.start)
 
 
