@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, shared_path, table
@@ -35,8 +35,9 @@ BATCH = 256
 CHUNK_BYTES = 4 << 20
 #: Distinct words whose ids a worker remembers at most; beyond it starts anew.
 MAX_CACHED = 2_000_000
-#: A special token of the vocabulary in a text has to reach the tokenizer whole.
-_SPECIAL = "<|"
+#: A special token of the vocabulary in a text has to reach the tokenizer whole; so has a letter whose lower case ends
+#: in a combining mark, which punctuation after it would be joined to.
+_WHOLE = "<\\||\u0130"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,7 +53,7 @@ class WordEncoder:
     White space separates pieces and has no id, and a letter before ASCII punctuation always ends a piece, so a
     text's ids are the ids of its parts in order. Each part is encoded once and remembered. Parts of Latin letters
     only are one piece each and go straight to the vocabulary's merges; all others, and whole texts with a special
-    token, take the tokenizer's full path.
+    token or a dotted capital I, take the tokenizer's full path.
     """
 
     def __init__(self, path: str):
@@ -86,7 +87,7 @@ class WordEncoder:
         """The ids of all texts end to end, an end id after each, and the ids per text."""
         if len(self.lengths) > MAX_CACHED:
             self.clear()
-        odd = pc.match_substring(texts, _SPECIAL)
+        odd = pc.match_substring_regex(texts, _WHOLE)
         split = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([!-/:-@\[-`{-~])", r"\1 \2")
         lists = pc.ascii_split_whitespace(split)
         coded = lists.flatten().dictionary_encode()
@@ -206,19 +207,21 @@ def _writer(folder: str, tokenizer: str, seq_len: int):
 
 
 def write_sequences(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
-                    seq_len: int = SEQ_LEN, bytes_per_file: int = 64 << 20) -> DataFrame:
+                    seq_len: int = SEQ_LEN, bytes_per_file: int = 64 << 20, order: list[Column] | None = None) -> DataFrame:
     """Encode every whole text and write the files; returns the manifest, one row per data file.
 
-    Rows are range-sorted by (doc_id, hash of the text): null ids come first, repeated ids and repeated rows are
-    documents of their own, also when one id has a third of all rows. A null text is empty and has its end id only.
+    Rows are range-sorted by ``order``, or else by (doc_id, hash of the text): null ids come first, repeated ids and repeated
+    rows are documents of their own, also when one id has a third of all rows. A null text is empty and has its end id only.
     An empty table gives an empty manifest and no file. Other columns are ignored. The number of files follows the bytes
     of text. ``folder`` must be one that all executors share.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    keys = [F.col(doc_id).cast("long"), F.xxhash64(text)] if order is None else order
+    at = [f"at{i}" for i in range(len(keys))]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+                       *[k.alias(a) for k, a in zip(keys, at)])
     total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     n = max(1, ceil(total / bytes_per_file), min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total >> 20))
-    ordered = (rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, "doc_id", "tie")
-               .sortWithinPartitions("doc_id", "tie").select("doc_id", "text"))
+    ordered = rows.repartitionByRange(n, *at).sortWithinPartitions(*at).select("doc_id", "text")
     return materialise(ordered.mapInArrow(_writer(folder, tokenizer, seq_len), MANIFEST), "token-manifest")
 
 
@@ -272,9 +275,16 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def token_files(spark, docs: DataFrame) -> DataFrame:
+def token_files(spark, docs: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Write the documents' ids to the shared folder and read them back."""
-    return read_documents(write_sequences(docs, shared_path(spark, "tokens"), tokenizer_file()))
+    return read_documents(write_sequences(docs, shared_path(spark, "tokens"), tokenizer_file(), order=order))
+
+
+def written_order(docs: DataFrame) -> list[Column]:
+    """Sort keys that give the rows of a Parquet table in the order in which a sorted DataFrame was written: the number of
+    the part file and the row in it."""
+    meta = docs.metadataColumn("_metadata")
+    return [F.regexp_extract(meta["file_name"], r"part-(\d+)", 1).cast("int"), meta["row_index"]]
 
 
 def op4_arrow_sequences(spark, sf_dir: str) -> DataFrame:

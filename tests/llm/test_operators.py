@@ -23,6 +23,7 @@ def _prose(seed: int, n: int) -> str:
     return " ".join(_word((seed * 7919 + j * j * 31 + j * 17) % 4093) for j in range(n))
 
 
+KEY = "a key of the tests"
 ITEM = "what river runs past the old grain store before the second bridge in spring"
 LONG = _prose(3, 6000)
 TEXTS = [
@@ -141,6 +142,20 @@ def test_token_files_round_trip(spark, docs, empty):
     assert token_output.read_documents(token_output.write_sequences(empty, shared_path(spark, "test-tokens"), path)).count() == 0
 
 
+def test_ids_equal_the_tokenizers(spark):
+    """Random texts of letters, marks, punctuation, digits and white space against the tokenizer itself."""
+    import random
+
+    import pyarrow as pa
+    encoder, rng = token_output.WordEncoder(token_output.tokenizer_file()), random.Random(9)
+    pool = "abcXYZ019 .,!?'\"-_<|>\n\t\u0130\u0130\u0307ßÉéñçÀ\u00a0İi\u0301ДжЇї中文한\u200d😀"
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(0, 14))) for _ in range(10_000)]
+    ids, per_text = encoder.encode(pa.array(texts))
+    want = [[*e.ids, token_output.END_ID] for e in encoder.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [len(w) for w in want] == per_text.tolist()
+    assert [i for w in want for i in w] == ids.tolist()
+
+
 def test_licenses(docs, empty):
     assert {(r["doc_id"], r["license"]) for r in licenses.find_licenses(docs).collect()} == {(14, "Apache-2.0")}
     assert licenses.find_licenses(empty).count() == 0
@@ -166,6 +181,21 @@ def test_near_duplicates(docs, empty, k):
     assert minhash.near_duplicates(empty, k=k).count() == 0
 
 
+def test_repeated_rows_do_not_multiply_pairs(spark, monkeypatch):
+    rows = [(i, _prose(7, 60) + " " + "tail " * i) for i in (1, 2, 3)]
+    seen = []
+    real = minhash.materialise
+    monkeypatch.setattr(minhash, "materialise", lambda df, label: seen.append((label, real(df, label))) or seen[-1][1])
+    monkeypatch.setattr(minhash, "discard", lambda df: None)
+    counts = []
+    for times in (1, 30):
+        seen.clear()
+        out = minhash.near_duplicates(spark.createDataFrame(rows * times, "doc_id long, text string"), k=2).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in out} == {(1, 1), (2, 1), (3, 1)} and len(out) == 3 * times
+        counts.append([(k, df.count()) for k, df in seen if k in ("candidates", "representatives", "links")])
+    assert counts[0] == counts[1]
+
+
 def test_repeated_strings(docs, empty):
     data = [(i, (t or "").encode()) for i, t, _ in TEXTS]
     seen = Counter(t[p: p + 400] for _, t in data for p in range(len(t) - 399))
@@ -201,7 +231,7 @@ def test_repeated_strings_of_near_copies(spark):
 
 
 def test_surrogates(docs, empty):
-    out = {r["doc_id"]: r for r in pii.replace_pii(docs).where("doc_id is not null").collect()}
+    out = {r["doc_id"]: r for r in pii.replace_pii(docs, KEY).where("doc_id is not null").collect()}
     a, b = out[12]["text"], out[13]["text"]
     assert not re.search(r"max\.m@|555-5010|4111 1111|10\.0\.0\.7|Berger", a) and "Frau " in a
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}, card \d{4} \d{4} \d{4} \d{4}, host \d+\.\d+\.\d+\.\d+", a)
@@ -209,7 +239,38 @@ def test_surrogates(docs, empty):
     assert mail.search(a)[0] == mail.search(b)[0]  # one entity, one surrogate
     assert re.sub(r"\D", "", re.search(r"\+1 \(.{13}", a)[0])[:11] == re.search(r"\+(\d{11})", b)[1]
     assert out[3]["text"] == TEXTS[2][1] and out[1]["text"] is None and sum(out[3]["pii"]) == 0
-    assert pii.replace_pii(empty).count() == 0
+    assert pii.replace_pii(empty, KEY).count() == 0
+
+
+def test_surrogates_never_run_out(spark):
+    """An address without a character to replace, all one-letter addresses of a domain, all three-digit hosts: the
+    draws end, and distinct entities keep distinct surrogates."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    texts = ["write to -@-.com now", " ".join(f"{x}@q.org" for x in letters)]
+    out = [r["text"] for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
+    assert "-@-.com" not in out[0].split() and out[0].startswith("write to ") and out[0].endswith(".com now")
+    made = out[1].split()
+    assert len(set(made)) == len(letters) and not set(made) & set(texts[1].split())
+
+
+def test_surrogates_keep_the_script(spark):
+    names = {"Господин Пётр Королёв": "Cyrillic", "Господин Їжак": "Cyrillic", "Mr Νίκος Παπαδόπουλος": "Greek", "Mme Élise Gérard": "Latin", "Mr Արամ Սարգսյան": "Armenian"}
+    docs = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
+    import regex
+    for r in pii.replace_pii(docs, KEY).collect():
+        name, script = list(names.items())[r["doc_id"]]
+        body, old = r["text"].split(" ", 1)[1], name.split(" ", 1)[1]
+        assert regex.fullmatch(rf"[\p{{{script}}} -]+", body) and not set(body.split()) & set(old.split())
+        assert all(w[0].isupper() for w in body.split())
+
+
+def test_hash_is_hmac(spark):
+    import hmac
+    for key in ("k", "long " * 30):
+        got = spark.range(1).select(pii._hmac(key, F.lit("entity"))).first()[0]
+        assert got == hmac.new(key.encode(), b"entity", "sha256").hexdigest()
+    docs = spark.createDataFrame([(1, "Frau Anna Berger")], "doc_id long, text string")
+    assert len({pii.replace_pii(docs, k).first()["text"] for k in ("a", "b", "c")}) > 1
 
 
 def test_one_person_has_one_surname(spark):
@@ -217,7 +278,7 @@ def test_one_person_has_one_surname(spark):
     texts = ["Mr John Smith met Mr. Smith and Mr Smith; Mr. John Smith's dog, Mrs SMITH.", "Frau Anna Berger, Frau Berger and Herr Berger", "Mr John Miller",
              "Господин Иван Петров, Господин Петров", "; ".join(f"Mrs {x} Stone" for x in firsts)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {r["doc_id"]: (r["text"], r["pii"]) for r in pii.replace_pii(docs).collect()}
+    out = {r["doc_id"]: (r["text"], r["pii"]) for r in pii.replace_pii(docs, KEY).collect()}
     m = re.fullmatch(r"Mr (\S+) (\w+) met Mr\. (\w+) and Mr (\w+); Mr\. (\S+) (\w+)'s dog, Mrs ([A-Z]+)\.", out[0][0])
     assert m and m[1] == m[5] != "John" and len({m[2], m[3], m[4], m[6], m[7].capitalize()}) == 1 and m[2] != "Smith"
     b = re.fullmatch(r"Frau (\S+) (\w+), Frau (\w+) and Herr (\w+)", out[1][0])
