@@ -3,19 +3,24 @@
 Quality rules drop documents, near-duplicates keep one document of each group, documents that have a
 benchmark item go, sources are mixed to target weights in curriculum order (a document stands there as often
 as the mix takes it), and what is left becomes token sequences. Each stage is written as Parquet to the
-cluster's shared folder and read again by the next; it works on all rows that the one before it kept.
+cluster's shared folder and read again by the next; it works on all rows that the one before it kept. A table is deleted
+once the next one is written.
+
+Null and empty texts fail the quality rules. Repeated rows are rows of their own up to near_dedup, which keeps or drops all rows
+of an id. Texts of any length go through every stage whole. Without documents all stages are empty; without labels only
+the fixed quality rules hold, without benchmark items nothing is contaminated.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragscope.llm.common import materialise, table
+from ragscope.llm.common import discard, materialise, table
 from ragscope.llm.decontaminate import without_contaminated
 from ragscope.llm.minhash import near_duplicates
 from ragscope.llm.mixing import curriculum_order
 from ragscope.llm.quality import fit_quality, keep_quality
-from ragscope.llm.token_output import token_files
+from ragscope.llm.token_output import token_files, written_order
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +38,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in training order: part files and their rows ascend by position."""
     return curriculum_order(docs).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_files(spark, docs)
+    """Token files in the order in which the stage before wrote its rows."""
+    return token_files(spark, docs, written_order(docs))
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("decontamination", decontaminate),
@@ -50,5 +57,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)  # only tables that were written on the way
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    discard(docs)
+    return out
