@@ -34,7 +34,7 @@ BATCH = 256
 #: UTF-8 bytes that are encoded at a time within a task.
 CHUNK_BYTES = 4 << 20
 #: Distinct words whose ids a worker remembers at most; beyond it starts anew.
-MAX_CACHED = 2_000_000
+MAX_CACHED = 400_000
 #: A special token of the vocabulary in a text has to reach the tokenizer whole; so has a letter whose lower case ends
 #: in a combining mark, which punctuation after it would be joined to.
 _WHOLE = "<\\||\u0130"
