@@ -41,6 +41,8 @@ CLEAR = 0.02
 BLOCK = 256
 #: Texts whose bins are held at a time, 2 KB each, however short the texts.
 TEXTS = 2048
+#: Shingles whose slices of ranks are held at a time.
+SLICES = 1 << 14
 #: Parts into which the copies of one text are dealt when they look up their representative.
 SALTS = 16
 SEED = 20_240_601
@@ -82,10 +84,10 @@ def signatures(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray,
     out = np.full((len(start), COORDINATES), PLACES, np.uint32)
     ranks, at = _ranks(), 0
     row = np.cumsum(np.diff(doc, prepend=-1) > 0) - 1
-    for at in range(0, len(place), 1 << 16):  # 50 MB of slices at a time; a text may go on in the next part
-        part = row[at: at + (1 << 16)]
+    for at in range(0, len(place), SLICES):  # 13 MB of slices at a time; a text may go on in the next part
+        part = row[at: at + SLICES]
         edges = np.flatnonzero(np.diff(part, prepend=-1))
-        least = np.minimum.reduceat(ranks[place[at: at + (1 << 16)]], edges, axis=0)
+        least = np.minimum.reduceat(ranks[place[at: at + SLICES]], edges, axis=0)
         out[part[edges]] = np.minimum(out[part[edges]], least)
     return out, count
 
