@@ -4,18 +4,17 @@ Everything is an aggregation.  Curves and rank statistics first collapse the
 rows to one row per *distinct score* (partial aggregation, so a hot score value
 costs nothing extra), then need running totals in score order.  A global
 ``Window.orderBy`` would put every distinct score in one task, so running
-totals use ``prefix_sums``: scores are cut into quantile buckets, each bucket
-gets a local running sum (one task per bucket), and per-bucket offsets (a table
-of ``n_buckets`` rows) are added back.
+totals use ``prefix_sums``: rows are range-partitioned by score, each partition
+gets a local running sum, and the totals of earlier partitions are added back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 # ─────────────────────────────── classification ───────────────────────────────
@@ -84,55 +83,32 @@ def macro_f1(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 # ─────────────────────────────── running totals ───────────────────────────────
-def fixed_bounds(df: DataFrame, order_col: str, n_buckets: int, group_cols: Sequence[str] = (),
-                 max_groups: int = 100_000):
-    """Quantile cut points of ``order_col`` (per group), computed ONCE and fixed.
-
-    Returns (bounds, join_df): without groups, ``bounds`` is a literal array column; with groups
-    it is None and ``join_df`` is a driver-made (group..., _b) table.  Approximate quantiles
-    are not guaranteed to be identical if re-evaluated (merge order can change after a lost
-    executor), and several branches bucket the same rows, so the cut points are collected
-    under a size guard (groups × n_buckets numbers, never rows) instead of staying lazy."""
-    g = list(group_cols)
-    probs = [i / n_buckets for i in range(1, n_buckets)] or [0.5]
-    agg = (df.groupBy(*g) if g else df).agg(F.percentile_approx(F.col(order_col), probs, 10_000).alias("_b"))
-    rows = agg.limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
-        raise ValueError(f"more than {max_groups} groups for bucketed running sums")
-    elem = df.schema[order_col].dataType
-    if not g:
-        vals = (rows[0]["_b"] if rows and rows[0]["_b"] is not None else []) if n_buckets > 1 else []
-        return F.array(*[F.lit(x) for x in vals]).cast(T.ArrayType(elem)), None
-    schema = T.StructType([*[df.schema[c] for c in g], T.StructField("_b", T.ArrayType(elem))])
-    data = [tuple(r[c] for c in g) + ((list(r["_b"]) if n_buckets > 1 and r["_b"] else []),) for r in rows]
-    return None, df.sparkSession.createDataFrame(data, schema)
-
-
 def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], descending: bool = False,
-                n_buckets: int = 64, inclusive: bool = True, group_cols: Sequence[str] = ()) -> DataFrame:
+                inclusive: bool = True, group_cols: Sequence[str] = ()) -> DataFrame:
     """Exact running totals of ``value_cols`` in ``order_col`` order within ``group_cols``
-    (rows of a group must have distinct order values).
+    (rows of a group must have distinct order values; a null group is a group).
 
     Adds ``cum_<v>`` (inclusive of the row, or strictly before it if ``inclusive=False``).
-    Fixed quantile cut points split each group into buckets, so no task sorts a whole
-    group; per-bucket offsets are a table of groups × ``n_buckets`` rows."""
+    A prefix scan: rows are range-partitioned by (group, order), so that a group spans as many
+    partitions as it fills and small groups share one; running sums stay inside a partition; totals
+    per (group, partition), a table as long as groups plus partitions, give the offsets. The number
+    of partitions is the session's, which adaptive execution fits to the bytes."""
     g = list(group_cols)
-    o = F.col(order_col)
-    lit_b, bounds = fixed_bounds(df, order_col, n_buckets, g)
-    x = df.join(F.broadcast(bounds), g) if g else df.withColumn("_b", lit_b)
-    bucket = F.size(F.filter("_b", (lambda t: t > o) if descending else (lambda t: t < o)))
-    x = x.withColumn("_bucket", bucket).drop("_b")
-    order = o.desc() if descending else o.asc()
-    w = Window.partitionBy(*g, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    from ..session import cut_lineage
+    x = cut_lineage(df.repartitionByRange(*[F.col(c) for c in g], order).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy(*g, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = x.withColumns({f"_l_{v}": F.sum(v).over(w) for v in value_cols})
-    totals = x.groupBy(*g, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
-    wb = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*g, "_bucket", *[F.coalesce(F.sum(f"_t_{v}").over(wb), F.lit(0)).alias(f"_o_{v}")
-                                             for v in value_cols])
-    j = local.join(offsets, [*g, "_bucket"])
+    totals = x.groupBy(*g, "_part").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    earlier = Window.partitionBy(*g).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(c).alias(f"_g_{c}") for c in [*g, "_part"]],
+                            *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in value_cols])
+    same = [local[c].eqNullSafe(offsets[f"_g_{c}"]) for c in [*g, "_part"]]
+    j = local.join(offsets, reduce(lambda a, b: a & b, same))
     cums = {f"cum_{v}": F.col(f"_o_{v}") + F.col(f"_l_{v}") - (F.lit(0) if inclusive else F.col(v))
             for v in value_cols}
-    return j.withColumns(cums).drop("_bucket", *[f"_l_{v}" for v in value_cols], *[f"_o_{v}" for v in value_cols])
+    return j.withColumns(cums).drop("_part", *[f"_l_{v}" for v in value_cols], *[f"_o_{v}" for v in value_cols],
+                                    *[f"_g_{c}" for c in [*g, "_part"]])
 
 
 def score_counts(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -155,23 +131,23 @@ def _counts(df: DataFrame, y: str, score: str, group_cols: Sequence[str], materi
 
 
 # ─────────────────────────────── ranking metrics ───────────────────────────────
-def roc_auc(df: DataFrame, y: str, score: str, n_buckets: int = 64, group_cols: Sequence[str] = (),
+def roc_auc(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = (),
             materialize: bool = True) -> DataFrame:
     """ROC-AUC with ties averaged (Mann-Whitney): Σ_s pos(s)·(neg_below(s) + ½·neg(s)) / (P·N),
     per group (e.g. one row per model when several scorers are stacked); null for a group of one class."""
     g = list(group_cols)
-    c = prefix_sums(_counts(df, y, score, g, materialize), "score", ["n_neg"], n_buckets=n_buckets,
+    c = prefix_sums(_counts(df, y, score, g, materialize), "score", ["n_neg"],
                     inclusive=False, group_cols=g)
     return c.groupBy(*g).agg(F.try_divide(F.sum(F.col("n_pos") * (F.col("cum_n_neg") + 0.5 * F.col("n_neg"))),
                                           F.sum("n_pos") * F.sum("n_neg")).alias("auc"))
 
 
-def curve_points(df: DataFrame, y: str, score: str, n_buckets: int = 64, group_cols: Sequence[str] = (),
+def curve_points(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = (),
                  materialize: bool = True) -> DataFrame:
     """Per (group, distinct score), descending: tp/fp at threshold ≥ score, totals P and N."""
     g = list(group_cols)
     sc = _counts(df, y, score, g, materialize)
-    c = prefix_sums(sc, "score", ["n_pos", "n_neg"], descending=True, n_buckets=n_buckets, group_cols=g)
+    c = prefix_sums(sc, "score", ["n_pos", "n_neg"], descending=True, group_cols=g)
     tot = (sc.groupBy(*g) if g else sc).agg(F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N"))
     j = c.join(tot, g) if g else c.crossJoin(F.broadcast(tot))
     return j.select(*g, F.col("score").alias("threshold"), "n_pos", "n_neg",

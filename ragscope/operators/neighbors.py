@@ -1,144 +1,16 @@
-"""Exact k-nearest-neighbour join (J3, J4) without emitting all pairs of a group.
+"""Rebalancing by neighbours and weights (B1-B5, U1): SMOTE, edited nearest neighbours, class weights.
 
-Points are projected on one fixed random unit vector ``u``.  Because
-``|u·x − u·y| ≤ ‖x − y‖``, a point whose current k-th neighbour distance is r
-can only have better neighbours whose projection lies in ``[p − r, p + r]``.
-
-1. Each group (e.g. a class) is cut into *blocks* of about ``block_size``
-   points by projection quantiles (one row of boundaries per group); blocks that
-   repeated points make larger than two sizes are split by id.
-2. Pass 1: exact k-NN inside every block (numpy, one block per task) gives each
-   point an upper bound r on its k-th distance (∞ if the block is too small).
-3. Pass 2: each point visits only the other blocks overlapping its window
-   (a contiguous block range, found from the same boundaries).  Work is grouped
-   by (member block, visiting block), so every task holds at most two blocks.
-4. Pass-1 and pass-2 candidates are merged: ``row_number() ≤ k`` by
-   (distance, neighbour id) — planned as a partial top-k before the shuffle.
-
-The result is exact; the cost adapts to how well the projection separates the
-data (well-separated data visits few blocks), and no task ever holds more than
-two blocks of points.
+Neighbours come from the exact k-NN join of ``pivot_tree``.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-DIST_DIGITS = 9   # distances are rounded before ranking so ties resolve by id, identically everywhere
-
-
-def _project(vec_col: str, u: np.ndarray):
-    ua = F.array(*[F.lit(float(x)) for x in u])
-    return F.aggregate(F.zip_with(F.col(vec_col), ua, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def _block_knn(members: pd.DataFrame, queries: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
-    """k nearest members of each query (numpy, query chunks bound the distance matrix)."""
-    if members.empty or queries.empty:
-        return pd.DataFrame({"_id": [], "nn_id": [], "dist": []})
-    mv = np.stack(members["_v"].to_numpy()).astype(np.float64)
-    mid = members["_id"].to_numpy()
-    out_id, out_nn, out_d = [], [], []
-    qs = queries.reset_index(drop=True)
-    step = 256
-    for s in range(0, len(qs), step):
-        part = qs.iloc[s:s + step]
-        qv = np.stack(part["_v"].to_numpy()).astype(np.float64)
-        d = np.sqrt(((qv[:, None, :] - mv[None, :, :]) ** 2).sum(axis=2))
-        d = np.round(d, DIST_DIGITS)
-        qid = part["_id"].to_numpy()
-        lim = part["_r"].to_numpy() if "_r" in part.columns else np.full(len(part), np.inf)
-        for row in range(len(part)):
-            dd = d[row]
-            ok = dd <= lim[row]
-            if exclude_self:
-                ok &= mid != qid[row]
-            idx = np.nonzero(ok)[0]
-            if idx.size == 0:
-                continue
-            order = np.lexsort((mid[idx], dd[idx]))[:k]
-            sel = idx[order]
-            out_id.extend([qid[row]] * len(sel))
-            out_nn.extend(mid[sel].tolist())
-            out_d.extend(dd[sel].tolist())
-    return pd.DataFrame({"_id": out_id, "nn_id": out_nn, "dist": out_d})
-
-
-def knn(df: DataFrame, id_col: str, vec_col: str, k: int, group_cols: Sequence[str] = (),
-        block_size: int = 512, seed: int = 17) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean, self excluded) of every row, within ``group_cols``.
-
-    Returns (group..., id, nn_id, dist, rank) with rank 1..k; ties by neighbour id."""
-    g = list(group_cols)
-    pts = df.select(*g, F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
-    id_type = df.schema[id_col].dataType
-    cand_schema = T.StructType([*[df.schema[c] for c in g], T.StructField("_id", id_type),
-                                T.StructField("nn_id", id_type), T.StructField("dist", T.DoubleType())])
-    one = pts.select(F.size("_v")).first()
-    if one is None:
-        return df.sparkSession.createDataFrame([], cand_schema.add("rank", T.IntegerType())).withColumnRenamed("_id", id_col)
-    dim = one[0]
-    rng = np.random.RandomState(seed)
-    u = rng.normal(size=dim)
-    u /= np.linalg.norm(u)
-    pts = pts.withColumn("_p", _project("_v", u))
-    sizes = (pts.groupBy(*g) if g else pts).agg(F.count(F.lit(1)).alias("n"))
-    nmax = sizes.agg(F.max("n")).first()[0] or 0
-    nb = max(1, math.ceil(nmax / block_size))
-    from .metrics import fixed_bounds
-    lit_b, bounds = fixed_bounds(pts, "_p", nb, g)      # cut points fixed once (same in every branch / retry)
-    pts = pts.join(F.broadcast(bounds), g) if g else pts.withColumn("_b", lit_b)
-    pts = pts.withColumn("_blk", F.size(F.filter("_b", lambda t: t < F.col("_p"))))
-    # points of one projection (repeated rows) share a block: large blocks are split by id
-    subs = pts.groupBy(*g, "_blk").agg(F.ceil(F.count(F.lit(1)) / (2 * block_size)).cast("int").alias("_ns"))
-    pts = pts.join(subs, [*g, "_blk"]).withColumn("_sub", F.pmod(F.xxhash64("_id"), F.col("_ns")).cast("int")).drop("_ns")
-
-    def pass1(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _block_knn(pdf, pdf, k, True)
-        for i, c in enumerate(g):
-            out.insert(i, c, key[i])
-        return out
-
-    local = pts.select(*g, "_blk", "_sub", "_id", "_v").groupBy(*g, "_blk", "_sub").applyInPandas(pass1, cand_schema)
-    # r = k-th distance found in the own block (∞ when fewer than k were found)
-    rad = local.groupBy(*g, "_id").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_d"))
-    q = pts.join(rad, [*g, "_id"], "left").withColumn(
-        "_r", F.when(F.coalesce(F.col("_n"), F.lit(0)) >= k, F.col("_d")).otherwise(F.lit(float("inf"))))
-    pad = F.lit(2 * 10.0 ** -DIST_DIGITS) + F.abs("_p") * 1e-12      # distances are rounded, projections not exact
-    lo = F.size(F.filter("_b", lambda t: t < F.col("_p") - F.col("_r") - pad))
-    hi = F.size(F.filter("_b", lambda t: t < F.col("_p") + F.col("_r") + pad))
-    visits = q.select(*g, "_id", "_v", "_r", F.col("_blk").alias("_qblk"), F.col("_sub").alias("_qsub"),
-                      F.explode(F.sequence(lo, hi)).alias("_mblk")) \
-        .join(subs.withColumnRenamed("_blk", "_mblk"), [*g, "_mblk"]) \
-        .withColumn("_msub", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1))).drop("_ns") \
-        .where((F.col("_mblk") != F.col("_qblk")) | (F.col("_msub") != F.col("_qsub")))
-    met = [*g, "_mblk", "_msub", "_qblk", "_qsub"]
-    pairs = visits.select(*met).distinct()
-    members = pts.select(*g, F.col("_blk").alias("_mblk"), F.col("_sub").alias("_msub"), "_id", "_v") \
-        .join(pairs, [*g, "_mblk", "_msub"])
-    both = members.select(*met, F.lit("m").alias("_role"), "_id", "_v", F.lit(None).cast("double").alias("_r")) \
-        .unionByName(visits.select(*met, F.lit("q").alias("_role"), "_id", "_v", "_r"))
 
-    def pass2(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf[pdf["_role"] == "m"]
-        qq = pdf[pdf["_role"] == "q"]
-        out = _block_knn(m, qq, k, True)
-        for i, c in enumerate(g):
-            out.insert(i, c, key[i])
-        return out
+from .pivot_tree import knn
 
-    far = both.groupBy(*met).applyInPandas(pass2, cand_schema)
-    cands = local.unionByName(far)
-    w = Window.partitionBy(*g, "_id").orderBy(F.col("dist").asc(), F.col("nn_id").asc())
-    out = cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return out.select(*g, F.col("_id").alias(id_col), "nn_id", "dist", F.col("rank").cast("int").alias("rank"))
+__all__ = ["balanced_weights", "enn", "knn", "positive_weight", "smote"]
 
 
 def smote(df: DataFrame, id_col: str, label_col: str, vec_col: str, k_max: int = 5, seed: int = 42,

@@ -23,7 +23,7 @@ def scored(spark):
 
 def test_auc_matches_pairwise(scored):
     df, y, s = scored
-    got = M.roc_auc(df, "y", "s", n_buckets=8).first().auc
+    got = M.roc_auc(df, "y", "s").first().auc
     assert got == pytest.approx(_auc_bruteforce(y, s), abs=1e-12)
 
 
@@ -32,11 +32,11 @@ def test_prefix_sums_exact(spark):
     vals = rng.permutation(500).astype(float)
     w = rng.randint(0, 5, 500)
     df = spark.createDataFrame(list(zip(vals.tolist(), w.tolist())), "o double, w long")
-    got = {r.o: r.cum_w for r in M.prefix_sums(df, "o", ["w"], n_buckets=16).collect()}
+    got = {r.o: r.cum_w for r in M.prefix_sums(df, "o", ["w"]).collect()}
     order = np.argsort(vals)
     cum = np.cumsum(w[order])
     assert all(got[vals[i]] == c for i, c in zip(order, cum))
-    got_d = {r.o: r.cum_w for r in M.prefix_sums(df, "o", ["w"], descending=True, n_buckets=16).collect()}
+    got_d = {r.o: r.cum_w for r in M.prefix_sums(df, "o", ["w"], descending=True).collect()}
     order_d = order[::-1]
     cum_d = np.cumsum(w[order_d])
     assert all(got_d[vals[i]] == c for i, c in zip(order_d, cum_d))
@@ -80,3 +80,26 @@ def test_regression_metrics(spark):
     assert r.rmse == pytest.approx(np.sqrt((e ** 2).mean()))
     assert r.mae == pytest.approx(np.abs(e).mean())
     assert r.r2 == pytest.approx(1 - (e ** 2).sum() / ((np.array([1, 2, 3]) - 2) ** 2).sum())
+
+
+def test_prefix_sums_of_skewed_and_null_groups(spark):
+    """A group with most of the rows spans partitions, many small groups share them, and a null group counts."""
+    rows = [("hot", i, i % 7) for i in range(5000)] + [(f"g{j}", i, 1) for j in range(40) for i in range(j % 4 + 1)] + [(None, i, 2) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, o long, w long").repartition(5)
+    got = {(r.g, r.o): r.cum_w for r in M.prefix_sums(df, "o", ["w"], group_cols=["g"]).collect()}
+    run = {}
+    assert len(got) == len(rows)
+    for g, o, w in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        run[g] = run.get(g, 0) + w
+        assert got[g, o] == run[g]
+    before = {(r.g, r.o): r.cum_w for r in M.prefix_sums(df, "o", ["w"], descending=True, inclusive=False, group_cols=["g"]).collect()}
+    assert all(before[g, o] == run[g] - got[g, o] for g, o in got)
+
+
+def test_ranking_metrics_of_one_class_and_null_scores(spark):
+    rows = [("both", 1, 0.9), ("both", 0, 0.9), ("both", 0, 0.1), ("both", None, 0.5), ("both", 1, None), ("ones", 1, 0.3), ("ones", 1, 0.4), ("zeros", 0, 0.2)]
+    df = spark.createDataFrame(rows, "m string, y int, s double")
+    auc = {r.m: r.auc for r in M.roc_auc(df, "y", "s", group_cols=["m"]).collect()}
+    assert auc == {"both": 0.75, "ones": None, "zeros": None}
+    ap = {r.m: r.average_precision for r in M.average_precision(df, "y", "s", group_cols=["m"]).collect()}
+    assert ap["both"] == pytest.approx(0.5) and ap["ones"] == 1.0 and not ap["zeros"]

@@ -28,7 +28,7 @@ def _brute(X, ids, k):
 @pytest.mark.parametrize("block", [8, 1000])
 def test_knn_exact(points, block):
     df, X, y = points
-    got = NB.knn(df, "id", "v", 4, block_size=block).collect()
+    got = NB.knn(df, "id", "v", 4, leaf_size=block).collect()
     res = {}
     for r in sorted(got, key=lambda r: (r.id, r["rank"])):
         res.setdefault(r.id, []).append(r.nn_id)
@@ -40,7 +40,7 @@ def test_knn_repeated_points(spark):
     X = np.array([[1.0, 2.0]] * 70 + [[float(i), 0.0] for i in range(20)])
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>")
     res = {}
-    for r in sorted(NB.knn(df, "id", "v", 3, block_size=8).collect(), key=lambda r: (r.id, r["rank"])):
+    for r in sorted(NB.knn(df, "id", "v", 3, leaf_size=8).collect(), key=lambda r: (r.id, r["rank"])):
         res.setdefault(r.id, []).append(r.nn_id)
     assert res == _brute(X, list(range(len(X))), 3)
     assert NB.knn(df.where("id < 0"), "id", "v", 3).collect() == []
@@ -48,7 +48,7 @@ def test_knn_repeated_points(spark):
 
 def test_knn_within_group(points):
     df, X, y = points
-    got = NB.knn(df, "id", "v", 3, group_cols=["label"], block_size=8).collect()
+    got = NB.knn(df, "id", "v", 3, group_cols=["label"], leaf_size=8).collect()
     res = {}
     for r in sorted(got, key=lambda r: (r.id, r["rank"])):
         res.setdefault(r.id, []).append(r.nn_id)
@@ -99,3 +99,33 @@ def test_weights(spark):
     assert w == {1: 4 / (2 * 3), 0: 4 / (2 * 1)}
     p = {r.y: r.weight for r in NB.positive_weight(df, "y").collect()}
     assert p == {1: 1 / 3, 0: 1.0}
+
+
+def test_knn_prunes_clustered_points(spark):
+    """600 points in 30 clusters of 64 dimensions: a point visits few of the leaves, and the result is exact."""
+    rng = np.random.RandomState(8)
+    centres = rng.normal(size=(30, 64)) * 10
+    X = np.round(centres[np.arange(600) % 30] + rng.normal(size=(600, 64)) * 0.3, 4)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>")
+    visits = []
+    got = NB.knn(df, "id", "v", 3, leaf_size=25, fanout=12, visits_out=visits).collect()
+    res = {}
+    for r in sorted(got, key=lambda r: (r.id, r["rank"])):
+        res.setdefault(r.id, []).append(r.nn_id)
+    assert res == _brute(X, list(range(len(X))), 3)
+    leaves = visits[0].select("leaf", "part").distinct().count()
+    assert leaves > 20 and visits[0].count() < 0.1 * 600 * leaves
+
+
+def test_knn_null_group_and_missing_vectors(spark):
+    rows = [(i, None if i % 3 == 0 else "a", [float(i * i % 17), float(i)]) for i in range(40)] + [(99, "a", None), (100, "alone", [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, label string, v array<double>")
+    got = NB.knn(df, "id", "v", 2, group_cols=["label"], leaf_size=6).collect()
+    X = np.array([r[2] for r in rows[:40]])
+    for keep, label in ((lambda i: i % 3 == 0, None), (lambda i: i % 3 != 0, "a")):
+        ids = [i for i in range(40) if keep(i)]
+        res = {}
+        for r in sorted((r for r in got if r.label == label), key=lambda r: (r.id, r["rank"])):
+            res.setdefault(r.id, []).append(r.nn_id)
+        assert res == _brute(X, ids, 2)
+    assert {r.label for r in got} == {None, "a"}
