@@ -4,8 +4,8 @@ M16 — path-dependent TreeSHAP (Lundberg, Erion & Lee, 2018) for Spark tree
 ensembles.  The fitted trees are read back from the model's own saved data
 (``model.write()`` → ``data`` Parquet: node id, prediction, impurity statistics,
 children, split), i.e. a table whose size is bounded by the model, not by the
-data.  The per-row work runs on executors in ``mapInPandas``; the trees travel
-inside the task closure.  Every batch checks additivity:
+data.  The work runs on executors in ``mapInPandas``, a whole batch of rows per
+leaf path in NumPy; the paths travel inside the task closure.  Every batch checks additivity:
 Σ impacts + base value = the ensemble's raw score.
 
 M17 — linear explainer: impact_j = coef_j · (x_j − mean_j) as column expressions.
@@ -13,6 +13,7 @@ M17 — linear explainer: impact_j = coef_j · (x_j − mean_j) as column expres
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -30,7 +31,7 @@ def export_trees(model, spark: SparkSession, name: str) -> dict:
 
     GBT: leaf value = node prediction, weights = treeWeights (raw score = Σ w·leaf).
     Random forest classifier: leaf value = class-1 share of the leaf, weights = 1/#trees (probability)."""
-    path = save_model(model, spark, name)
+    path = save_model(model, spark, f"{name}-{uuid.uuid4().hex}")   # runs side by side do not overwrite each other
     nodes = spark.read.parquet(f"{path}/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.leftChild",
         "nodeData.rightChild", F.col("nodeData.split.featureIndex").alias("feat"),
@@ -76,93 +77,74 @@ def export_trees(model, spark: SparkSession, name: str) -> dict:
 
 
 # ───────────────────────────── TreeSHAP ─────────────────────────────
-def _goes_left(tree: dict, node: int, x: np.ndarray) -> bool:
-    c = tree["cats"].get(node)
-    v = x[tree["feat"][node]]
-    return (v in c) if c is not None else (v <= tree["thr"][node])
-
-
 def _expected(tree: dict) -> float:
     leaves = tree["left"] < 0
     return float((tree["val"][leaves] * tree["cover"][leaves]).sum() / tree["cover"][0])
 
 
-def _predict(tree: dict, x: np.ndarray) -> float:
-    j = 0
-    while tree["left"][j] >= 0:
-        j = tree["left"][j] if _goes_left(tree, j, x) else tree["right"][j]
-    return float(tree["val"][j])
-
-
-def tree_shap(tree: dict, x: np.ndarray, phi: np.ndarray, scale: float = 1.0) -> None:
-    """Add ``scale`` × the SHAP values of one tree for row ``x`` into ``phi`` (path-dependent algorithm)."""
-    left, right, feat, val, cover = tree["left"], tree["right"], tree["feat"], tree["val"], tree["cover"]
-
-    def extend(d, z, o, w, pz, po, pi):
-        ln = len(d)
-        d.append(pi)
-        z.append(pz)
-        o.append(po)
-        w.append(1.0 if ln == 0 else 0.0)
-        for i in range(ln - 1, -1, -1):
-            w[i + 1] += po * w[i] * (i + 1) / (ln + 1)
-            w[i] = pz * w[i] * (ln - i) / (ln + 1)
-
-    def unwind(d, z, o, w, i):
-        ln = len(d) - 1
-        n = w[ln]
-        d, z, o, w = d[:], z[:], o[:], w[:]
-        for j in range(ln - 1, -1, -1):
-            if o[i] != 0:
-                t = w[j]
-                w[j] = n * (ln + 1) / ((j + 1) * o[i])
-                n = t - w[j] * z[i] * (ln - j) / (ln + 1)
-            else:
-                w[j] = w[j] * (ln + 1) / (z[i] * (ln - j))
-        for j in range(i, ln):
-            d[j], z[j], o[j] = d[j + 1], z[j + 1], o[j + 1]
-        return d[:ln], z[:ln], o[:ln], w[:ln]
-
-    def unwound_sum(d, z, o, w, i):
-        ln = len(d) - 1
-        total = 0.0
-        n = w[ln]
-        for j in range(ln - 1, -1, -1):
-            if o[i] != 0:
-                tmp = n * (ln + 1) / ((j + 1) * o[i])
-                total += tmp
-                n = w[j] - tmp * z[i] * (ln - j) / (ln + 1)
-            else:
-                total += w[j] * (ln + 1) / (z[i] * (ln - j))
-        return total
-
-    def recurse(j, d, z, o, w, pz, po, pi):
-        d, z, o, w = d[:], z[:], o[:], w[:]
-        extend(d, z, o, w, pz, po, pi)
-        if left[j] < 0:
-            for i in range(1, len(d)):
-                phi[d[i]] += scale * unwound_sum(d, z, o, w, i) * (o[i] - z[i]) * val[j]
-            return
-        hot, cold = (left[j], right[j]) if _goes_left(tree, j, x) else (right[j], left[j])
-        iz = io = 1.0
-        k = next((i for i in range(1, len(d)) if d[i] == feat[j]), None)
-        if k is not None:
-            iz, io = z[k], o[k]
-            d, z, o, w = unwind(d, z, o, w, k)
-        recurse(hot, d, z, o, w, iz * cover[hot] / cover[j], io, feat[j])
-        recurse(cold, d, z, o, w, iz * cover[cold] / cover[j], 0.0, feat[j])
-
-    recurse(0, [], [], [], [], 1.0, 1.0, -1)
+def leaf_paths(tree: dict) -> list[tuple[float, dict[int, tuple[float, list[tuple[int, bool]]]]]]:
+    """Per leaf: its value, and for each feature on its path the share of training rows that the feature's splits send
+    down the path and the (node, goes left) decisions that a row has to meet."""
+    out, stack = [], [(0, {})]
+    while stack:
+        node, path = stack.pop()
+        if tree["left"][node] < 0:
+            out.append((float(tree["val"][node]), path))
+            continue
+        feature = int(tree["feat"][node])
+        share, met = path.get(feature, (1.0, []))
+        for child, goes_left in ((tree["left"][node], True), (tree["right"][node], False)):
+            stack.append((child, path | {feature: (share * tree["cover"][child] / tree["cover"][node], [*met, (node, goes_left)])}))
+    return out
+
+
+def _decisions(tree: dict, x: np.ndarray) -> dict[int, np.ndarray]:
+    """For each split, which rows go left."""
+    return {int(n): (np.isin(x[:, tree["feat"][n]], list(tree["cats"][n])) if n in tree["cats"] else x[:, tree["feat"][n]] <= tree["thr"][n])
+            for n in np.flatnonzero(tree["left"] >= 0)}
+
+
+def batch_shap(ensemble: dict, x: np.ndarray, paths: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """SHAP values (rows × features) and raw scores of a block of rows.
+
+    A leaf's game gives a set S of the m features on its path the value v · Π(S) o · Π(rest) z, with o = 1 if the row meets the
+    feature's splits and z the training share. The Shapley weight s! (m - s - 1)! / m! is the integral of
+    t^s (1 - t)^(m - s - 1) over [0, 1], so feature i gets v · (o_i - z_i) · ∫ Π(j ≠ i) (z_j (1 - t) + o_j t) dt: a polynomial
+    of degree m - 1, which Gauss-Legendre points integrate exactly. All rows go through a path together."""
+    phi, raw = np.zeros(x.shape), np.zeros(len(x))
+    for k, (tree, weight) in enumerate(zip(ensemble["trees"], ensemble["weights"])):
+        left = _decisions(tree, x)
+        for value, path in paths[k] if paths else leaf_paths(tree):
+            if not path:
+                raw += weight * value
+                continue
+            m = len(path)
+            points, mass = np.polynomial.legendre.leggauss((m + 1) // 2)
+            t, mass = (points[:, None] + 1) / 2, mass[:, None] / 2
+            z = [share for share, _ in path.values()]
+            o = [np.logical_and.reduce([left[n] == goes_left for n, goes_left in met]).astype(float) for _, met in path.values()]
+            factors = [zj * (1 - t) + oj[None, :] * t for zj, oj in zip(z, o)]
+            after = [np.ones_like(factors[0])]
+            for f in reversed(factors[1:]):
+                after.append(after[-1] * f)
+            before = mass * np.ones_like(factors[0])
+            for i, feature in enumerate(path):
+                phi[:, feature] += weight * value * (o[i] - z[i]) * (before * after[m - 1 - i]).sum(0)
+                before = before * factors[i]
+            raw += weight * value * np.logical_and.reduce([oj > 0 for oj in o])
+    return phi, raw
 
 
 def tree_shap_long(df: DataFrame, key: str, features_col: str, ensemble: dict, feature_names: Sequence[str],
-                   digits: int = 4, tol: float = 1e-6) -> DataFrame:
+                   digits: int = 4, tol: float = 1e-6, top: int | None = None) -> DataFrame:
     """One row per (key, feature): value, impact; plus ``base`` (expected value) and ``raw`` (score).
 
-    Impacts are in the ensemble's raw-score space (GBT margin, forest probability)."""
-    trees, weights = ensemble["trees"], ensemble["weights"]
-    names = list(feature_names)
-    base = float(sum(w * _expected(t) for t, w in zip(trees, weights)))
+    Impacts are in the ensemble's raw-score space (GBT margin, forest probability). With ``top``, only the features
+    of the largest |impact| of each row leave the task, with their ``rank`` (W5; ties by name)."""
+    names = np.array(feature_names)
+    by_name = np.argsort(names)
+    paths = [leaf_paths(t) for t in ensemble["trees"]]
+    base = float(sum(w * _expected(t) for t, w in zip(ensemble["trees"], ensemble["weights"])))
     key_type = df.schema[key].dataType.simpleString()
     src = df.select(F.col(key).alias("_k"), vector_to_array(F.col(features_col)).alias("_x"))
     # per-row work is CPU-bound: a shuffle of the narrow rows lets every core work, however few files there are
@@ -170,25 +152,22 @@ def tree_shap_long(df: DataFrame, key: str, features_col: str, ensemble: dict, f
 
     def explain(batches):
         for pdf in batches:
-            out_k, out_f, out_v, out_i, out_raw = [], [], [], [], []
-            for k, xs in zip(pdf["_k"], pdf["_x"]):
-                x = np.asarray(xs, dtype=float)
-                phi = np.zeros(len(names))
-                raw = 0.0
-                for t, w in zip(trees, weights):
-                    tree_shap(t, x, phi, w)
-                    raw += w * _predict(t, x)
-                if abs(phi.sum() + base - raw) > tol * max(1.0, abs(raw)):
-                    raise AssertionError(f"TreeSHAP additivity failed for {k}: {phi.sum() + base} vs {raw}")
-                out_k.extend([k] * len(names))
-                out_f.extend(names)
-                out_v.extend(np.round(x, digits).tolist())
-                out_i.extend(phi.tolist())
-                out_raw.extend([raw] * len(names))
-            yield pd.DataFrame({key: out_k, "feature": out_f, "value": out_v, "impact": out_i, "raw": out_raw})
-
-    schema = f"{key} {key_type}, feature string, value double, impact double, raw double"
-    return src.mapInPandas(explain, schema).withColumn("base", F.lit(base))
+            if not len(pdf):
+                continue
+            x = np.stack(list(pdf["_x"])).astype(float)
+            phi, raw = batch_shap(ensemble, x, paths)
+            off = np.abs(phi.sum(1) + base - raw) > tol * np.maximum(1.0, np.abs(raw))
+            if off.any():
+                raise AssertionError(f"TreeSHAP additivity failed for {pdf['_k'][off].tolist()[:5]}")
+            n = len(names) if top is None else min(top, len(names))
+            at = by_name[np.argsort(-np.abs(phi[:, by_name]), axis=1, kind="stable")[:, :n]]
+            rows = np.arange(len(x))[:, None]
+            yield pd.DataFrame({key: np.repeat(pdf["_k"].to_numpy(), n), "feature": names[at].ravel(), "value": np.round(x[rows, at], digits).ravel(),
+                                "impact": phi[rows, at].ravel(), "raw": np.repeat(raw, n), "rank": np.tile(np.arange(1, n + 1), len(x))})
+
+    schema = f"{key} {key_type}, feature string, value double, impact double, raw double, rank int"
+    out = src.mapInPandas(explain, schema).withColumn("base", F.lit(base))
+    return out if top else out.drop("rank")
 
 
 def linear_explain(df: DataFrame, key: str, coefficients: dict[str, float], digits: int | None = None) -> DataFrame:

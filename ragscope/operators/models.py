@@ -107,7 +107,7 @@ def train_binary(train: DataFrame, val: DataFrame, test: DataFrame, features: Se
         auc = M.roc_auc(pred, label, "p1").first()["auc"]
         f1m = sum(r["f1"] for k, r in rep.items() if k not in ("accuracy", "macro avg", "weighted avg")) / \
             max(1, len([k for k in rep if k not in ("accuracy", "macro avg", "weighted avg")]))
-        rows.append((name, task, pos, float(rep["accuracy"]["precision"]), float(auc), float(f1m), float(thr),
+        rows.append((name, task, pos, float(rep["accuracy"]["precision"]), auc, float(f1m), float(thr),
                      float(rep.get(str(minority), {"recall": 0.0})["recall"])))
         pred.unpersist()
         fitted[name] = (model, thr)
@@ -172,7 +172,7 @@ def train_regression(train: DataFrame, test: DataFrame, features: Sequence[str],
     for pos, (name, est) in enumerate(learners.items()):
         model = est.fit(tr)
         r = M.regression_metrics(model.transform(te), label, "prediction").first()
-        rows.append((name, task, pos, len(feats), float(r["rmse"]), float(r["mae"]), float(r["r2"])))
+        rows.append((name, task, pos, len(feats), r["rmse"], r["mae"], r["r2"]))
         fitted[name] = (model, feats)
     tr.unpersist()
     res = train.sparkSession.createDataFrame(
@@ -223,7 +223,7 @@ def calibrate(model, val: DataFrame, test: DataFrame, features: Sequence[str], l
     cal = iso.transform(te)
     raw_auc = M.roc_auc(cal, label, "p1").first()["auc"]
     cal_auc = M.roc_auc(cal, label, "p_cal").first()["auc"]
-    res = val.sparkSession.createDataFrame([(float(raw_auc), float(cal_auc))], "auc_raw double, auc_calibrated double")
+    res = val.sparkSession.createDataFrame([(raw_auc, cal_auc)], "auc_raw double, auc_calibrated double")
     return res, iso
 
 

@@ -823,6 +823,25 @@ def _comparison(spark, sf) -> DataFrame:
                                         F.round("average_precision", 10).alias("average_precision"))
 
 
+@register("auc_edge_groups", """
+WITH s AS (
+  SELECT 'all' AS grp, is_correct AS y, CASE WHEN run_id % 7 <> 0 THEN top1_score END AS s FROM eval_runs
+  UNION ALL SELECT 'one class', is_correct, top1_score FROM eval_runs WHERE is_correct = 1
+  UNION ALL SELECT NULL, is_correct, mrr_at_10 FROM eval_runs),
+c AS (SELECT grp, s, count(*) FILTER (y = 1) AS p, count(*) FILTER (y <> 1) AS n FROM s
+      WHERE s IS NOT NULL AND y IS NOT NULL GROUP BY grp, s),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY grp ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
+SELECT grp, round(CASE WHEN sum(p) * sum(n) > 0 THEN sum(p * (below + 0.5 * n)) / (sum(p) * sum(n)) END, 10) AS auc FROM b GROUP BY grp""")
+def auc_edge_groups(spark, sf):
+    """A22 per group: with null scores, of one class (null), and of a null group."""
+    r = runs(spark, sf).select("run_id", "is_correct", "top1_score", "mrr_at_10")
+    some = r.select(F.lit("all").alias("grp"), "is_correct", F.when(F.col("run_id") % 7 != 0, F.col("top1_score")).alias("s"))
+    ones = r.where("is_correct = 1").select(F.lit("one class"), "is_correct", "top1_score")
+    none = r.select(F.lit(None).cast("string"), "is_correct", "mrr_at_10")
+    auc = M.roc_auc(some.union(ones).union(none), "is_correct", "s", group_cols=["grp"])
+    return auc.select("grp", F.round("auc", 10).alias("auc"))
+
+
 _COMPARISON_SQL = " UNION ALL ".join(
     f"SELECT '{n}' AS model, 'Correctness' AS task, {i} AS pos, {_auc_sql(e)} AS auc, {_ap_sql(e)} AS average_precision"
     for i, (n, e) in enumerate(_PREDICTORS))
@@ -1185,21 +1204,29 @@ def feature_list(spark, sf):
 # ─────────────────────────── explanations (M16, M17, A27, W5) ───────────────────────────
 
 
-def _shap_long(spark, sf):
+def _shap_long(spark, sf, label="is_correct", task="Correctness", weighting="balanced", minority=0, top=None):
     sp, names = _model_data(spark, sf)
-    model = _binary(spark, sf)[1]["GBT"][0]
-    ens = XP.export_trees(model, spark, "correctness_gbt")
+    model = _binary(spark, sf, label, task, weighting, minority)[1]["GBT"][0]
+    ens = XP.export_trees(model, spark, f"{task.lower()}_gbt")
     te = ML.assemble(sp["test"], names, ["run_id"])
-    return XP.tree_shap_long(te, "run_id", "features", ens, names)
+    return XP.tree_shap_long(te, "run_id", "features", ens, names, top=top)
+
+
+def _top_shap(*args):
+    return _shap_long(*args, top=10).select("run_id", "rank", "feature", "value", F.round("impact", 4).alias("impact"),
+                                            F.round("base", 6).alias("base"), F.round("raw", 6).alias("raw"))
 
 
 @register("tree_shap", None)
 def tree_shap(spark, sf):
     """M16 + W5: TreeSHAP impacts of the boosted correctness model on the test split, top 10 per run."""
-    long = _shap_long(spark, sf)
-    top = M.top_n_by_abs(long, "run_id", "feature", "impact", 10)
-    return top.select("run_id", "rank", "feature", "value", F.round("impact", 4).alias("impact"),
-                      F.round("base", 6).alias("base"), F.round("raw", 6).alias("raw"))
+    return _top_shap(spark, sf)
+
+
+@register("tree_shap_hallucination", None)
+def tree_shap_hallucination(spark, sf):
+    """M16 + W5: the same of the boosted hallucination model."""
+    return _top_shap(spark, sf, "hallucination_flag", "Hallucination", "positive", 1)
 
 
 @register("shap_importance", None)
