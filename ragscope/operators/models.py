@@ -214,17 +214,23 @@ def train_task_classifier(train: DataFrame, test: DataFrame, text_col: str = "qu
 
 
 # ───────────────────────────── calibration ─────────────────────────────
-def calibrate(model, val: DataFrame, test: DataFrame, features: Sequence[str], label: str) -> tuple[DataFrame, object]:
-    """Isotonic calibration of a fitted binary model on the validation split; AUC before/after on test."""
+def isotonic_calibrator(scored: DataFrame, label: str, score: str = "p1"):
+    """Isotonic regression of the label on the score (pool adjacent violators)."""
+    return IsotonicRegression(isotonic=True, labelCol=label, featuresCol=score, predictionCol="p_cal").fit(scored.select(label, score))
+
+
+def calibrate(model, val: DataFrame, test: DataFrame, features: Sequence[str], label: str) -> tuple[DataFrame, object, float]:
+    """Isotonic calibration of a fitted binary model on the validation split: AUC before/after on test, the
+    calibrator, and the threshold tuned again on calibrated validation probabilities (D6)."""
     va = _p1(model.transform(assemble(val, features, [label])))
-    iso = IsotonicRegression(isotonic=True, labelCol=label, featuresCol="p1", predictionCol="p_cal").fit(
-        va.select(label, "p1"))
+    iso = isotonic_calibrator(va, label)
+    threshold = M.best_threshold(iso.transform(va.select(label, "p1")), label, "p_cal").first()["threshold"]
     te = _p1(model.transform(assemble(test, features, [label])))
     cal = iso.transform(te)
     raw_auc = M.roc_auc(cal, label, "p1").first()["auc"]
     cal_auc = M.roc_auc(cal, label, "p_cal").first()["auc"]
     res = val.sparkSession.createDataFrame([(raw_auc, cal_auc)], "auc_raw double, auc_calibrated double")
-    return res, iso
+    return res, iso, threshold
 
 
 # ───────────────────────────── clustering / projection ─────────────────────────────
@@ -270,47 +276,43 @@ def save_model(model, spark: SparkSession, name: str) -> str:
 
 
 def load_pipeline(path: str) -> PipelineModel:
+    """A saved pipeline, e.g. one made by ``scoring_pipeline``."""
     return PipelineModel.load(path)
 
 
 # ───────────────────────────── scoring and the end-to-end job ─────────────────────────────
-def score_requests_batch(features: DataFrame, feature_list: Sequence[str], correctness, hallucination,
-                         latency, cost, keep: Sequence[str] = ("request_id",), calibrators: dict | None = None,
-                         task_model=None, text: DataFrame | None = None) -> DataFrame:
-    """All predictors on a batch of request feature rows.
-
-    ``correctness`` / ``hallucination`` = (model, threshold); ``latency`` / ``cost`` = (model, feature subset);
-    calibrators (isotonic) replace raw probabilities when given; the threshold defaults to 0.5."""
-    calibrators = calibrators or {}
-    base = assemble(features, feature_list, list(keep))
-    out = base
-    for name, (model, thr), pos_l, neg_l in [("correctness", correctness, "CORRECT", "INCORRECT"),
-                                             ("hallucination", hallucination, "HIGH", "LOW")]:
-        scored = model.transform(out).withColumn(f"{name}_raw", vector_to_array(F.col("probability"))[1]) \
-            .drop("rawPrediction", "probability", "prediction")
-        cal = calibrators.get(name)
-        if cal is not None:
-            scored = cal.setFeaturesCol(f"{name}_raw").setPredictionCol(f"{name}_prob").transform(scored)
-        else:
-            scored = scored.withColumn(f"{name}_prob", F.col(f"{name}_raw"))
-        t = 0.5 if thr is None else float(thr)
-        out = scored.withColumns({
-            name: F.when(F.col(f"{name}_prob") >= t, F.lit(pos_l)).otherwise(F.lit(neg_l)),
-            f"{name}_threshold": F.lit(round(t, 3)),
-            f"{name}_calibrated": F.lit(cal is not None)}).drop(f"{name}_raw")
+def scoring_pipeline(features: Sequence[str], correctness, hallucination, latency, cost, task_model=None, text: str = "query") -> PipelineModel:
+    """All predictors as one saved-and-loaded pipeline from feature columns to predictions.
+
+    ``correctness`` / ``hallucination`` = (model, calibrator, threshold of calibrated probabilities); ``latency`` / ``cost`` =
+    (model, feature subset). The stages are copies with columns of their own: given models stay as they are, and one pass
+    over the rows adds all predictions, without a join. ``task_model`` reads the column ``text``."""
+    place = {f: f"_f{i}" for i, f in enumerate(features)}   # names may contain dots, see ``assemble``
+    filled = ", ".join("coalesce(CAST(`" + f.replace("`", "``") + f"` AS DOUBLE), 0D) AS {p}" for f, p in place.items())
+    stages = [SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
+              VectorAssembler(inputCols=list(place.values()), outputCol="_all", handleInvalid="keep")]
+    hidden, made = ["_all", *place.values()], []
+    for name, (model, calibrator, threshold), high, low in [("correctness", correctness, "CORRECT", "INCORRECT"),
+                                                            ("hallucination", hallucination, "HIGH", "LOW")]:
+        own = [f"_{name}_{c}" for c in ("raw", "p", "y")]
+        stages.append(model.copy().setFeaturesCol("_all").setRawPredictionCol(own[0]).setProbabilityCol(own[1]).setPredictionCol(own[2]))
+        stages.append(calibrator.copy().setFeaturesCol(own[1]).setFeatureIndex(1).setPredictionCol(f"_{name}_cal"))
+        hidden += [*own, f"_{name}_cal"]
+        made += [f"round(_{name}_cal, 4) AS {name}_prob", f"CASE WHEN _{name}_cal >= {threshold!r}D THEN '{high}' ELSE '{low}' END AS {name}",
+                 f"round({threshold!r}D, 3) AS {name}_threshold", f"true AS {name}_calibrated"]
     for name, (model, feats), digits in [("predicted_latency_ms", latency, 2), ("predicted_cost_usd", cost, 6)]:
-        sub = assemble(features, feats, list(keep), out="_sub")
-        pred = model.setFeaturesCol("_sub").setPredictionCol("_pred").transform(sub).select(
-            *keep, F.round("_pred", digits).alias(name))
-        out = out.join(pred, list(keep))
-    out = out.withColumns({"correctness_prob": F.round("correctness_prob", 4),
-                           "hallucination_prob": F.round("hallucination_prob", 4)}).drop("features")
-    if task_model is not None and text is not None:
-        tt = task_model.transform(text).select(*keep, F.col("prediction").alias("_task_idx"))
-        labels = [s.labels for s in task_model.stages if hasattr(s, "labels")][0]
-        m = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(float(i)), F.lit(lab))])
-        out = out.join(tt.select(*keep, F.element_at(m, F.col("_task_idx")).alias("query_task_type")), list(keep))
-    return out
+        stages.append(VectorAssembler(inputCols=[place[f] for f in feats], outputCol=f"_{name}_x", handleInvalid="keep"))
+        stages.append(model.copy().setFeaturesCol(f"_{name}_x").setPredictionCol(f"_{name}"))
+        hidden += [f"_{name}_x", f"_{name}"]
+        made.append(f"round(_{name}, {digits}) AS {name}")
+    if task_model is not None:
+        labels = next(x.labels for x in task_model.stages if hasattr(x, "labels"))
+        stages += [x for x in task_model.stages if not hasattr(x, "labels")]
+        hidden += ["_tok", "_bi", "_terms", "_tf", "_tfidf", "features", "rawPrediction", "probability", "prediction"]
+        listed = ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in labels)
+        made.append(f"element_at(array({listed}), CAST(prediction AS INT) + 1) AS query_task_type")
+    stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(hidden)}), {', '.join(made)} FROM __THIS__"))
+    return PipelineModel(stages)
 
 
 def training_curve(model, data: DataFrame, loss: str = "logistic") -> list[tuple[int, float]]:

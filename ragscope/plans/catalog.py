@@ -1139,6 +1139,73 @@ def stream_scoring(spark, sf):
     return spark.read.parquet(sink).select("request_id", *[F.col(f"`{c}`") for c in reference_features()])
 
 
+#: A fixed scorer, as SQL that both engines read: probabilities, latency and cost from request features.
+_FIXED_SCORER = ("least(greatest(0.5 * top1_score + 0.3 * recall_at_5 + 0.2 * mrr_at_10, 0.0), 1.0) AS correctness_prob, "
+                 "0.9 - 0.8 * mrr_at_10 AS hallucination_prob, 1.1 * total_latency_ms AS predicted_latency_ms, "
+                 "0.5 * total_cost_usd AS predicted_cost_usd")
+_SERVED_SQL = f"""
+WITH f AS ({_request_features_sql()}), p AS (SELECT request_id, {_FIXED_SCORER.replace('0.', 'CAST(0 AS DOUBLE) + 0.')} FROM f)
+SELECT request_id, ts, CASE WHEN correctness_prob >= 0.5 THEN 'CORRECT' ELSE 'INCORRECT' END AS correctness, correctness_prob,
+       CASE WHEN hallucination_prob >= 0.5 THEN 'HIGH' ELSE 'LOW' END AS hallucination, hallucination_prob,
+       predicted_latency_ms AS latency_ms, predicted_cost_usd AS cost_usd
+FROM p JOIN (SELECT request_id, ts FROM requests) USING (request_id)"""
+
+
+def _served(spark, sf) -> str:
+    """Requests streamed through the saved fixed scorer; returns the sink with predictions and log."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+    sink, ck = ST.stream_paths(spark, "serve")
+    scorer = f"{os.path.dirname(sink)}/scorer"
+    PipelineModel([SQLTransformer(statement=f"SELECT *, {_FIXED_SCORER.replace('0.', '0D + 0.')} FROM __THIS__")]).write().save(scorer)
+    ST.serve(AD.requests_from_events(_event_stream(spark, sf)), scorer, reference_features(), CATEGORIES, sink, ck)
+    return sink
+
+
+@register("stream_predictions", f"""
+SELECT request_id, round(correctness_prob, 6) AS correctness_prob, round(hallucination_prob, 6) AS hallucination_prob,
+       round(latency_ms, 6) AS latency_ms, round(cost_usd, 9) AS cost_usd FROM ({_SERVED_SQL})""")
+def stream_predictions(spark, sf):
+    """A request stream scored by a pipeline loaded from the shared folder, batch by batch, into an idempotent sink."""
+    p = spark.read.parquet(f"{_served(spark, sf)}/predictions")
+    return p.select("request_id", *[F.round(c, digits).alias(a) for c, a, digits in (
+        ("correctness_prob", "correctness_prob", 6), ("hallucination_prob", "hallucination_prob", 6),
+        ("predicted_latency_ms", "latency_ms", 6), ("predicted_cost_usd", "cost_usd", 9))])
+
+
+@register("log_monitoring", f"""
+WITH s AS ({_SERVED_SQL})
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n,
+       round(avg(CASE WHEN correctness = 'CORRECT' THEN 1.0 ELSE 0.0 END), 4) AS share_correct,
+       round(avg(CASE WHEN hallucination = 'HIGH' THEN 1.0 ELSE 0.0 END), 4) AS share_high,
+       round(avg(round(latency_ms, 2)), 4) AS mean_latency_ms
+FROM s GROUP BY date_trunc('day', ts)
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM s)""")
+def log_monitoring(spark, sf):
+    """R2: the prediction log that ``stream_predictions`` writes, monitored as a stream; closed days only."""
+    log = ST.monitor_log(spark, f"{_served(spark, sf)}/log")
+    sink, ck = ST.stream_paths(spark, "log-monitor")
+    ST.run_to_sink(log, sink, ck)
+    return spark.read.parquet(sink)
+
+
+@register("isotonic_curve", """
+WITH c AS (SELECT round(coalesce(top1_score, 0.0), 2) AS score, sum(is_correct)::DOUBLE AS y, count(*)::DOUBLE AS n
+           FROM eval_runs WHERE is_correct IS NOT NULL GROUP BY 1),
+k AS (SELECT score, row_number() OVER (ORDER BY score) AS i, sum(y) OVER (ORDER BY score) AS cy, sum(n) OVER (ORDER BY score) AS cn FROM c),
+z AS (SELECT i, cy, cn FROM k UNION ALL SELECT 0, 0, 0),
+m AS (SELECT k.i, a.i AS a, min((b.cy - a.cy) / (b.cn - a.cn)) AS low
+      FROM k JOIN z a ON a.i < k.i JOIN z b ON b.i >= k.i GROUP BY k.i, a.i)
+SELECT k.score, round(max(m.low), 8) AS calibrated FROM k JOIN m ON m.i = k.i GROUP BY k.score""")
+def isotonic_curve(spark, sf):
+    """M10 with a fixed score (two digits): the calibrated probability of every score. The oracle states pool-adjacent-violators
+    as the largest over starts of the smallest over ends of running means."""
+    r = runs(spark, sf).where("is_correct IS NOT NULL").select(
+        F.col("is_correct").cast("double").alias("y"), F.round(F.coalesce("top1_score", F.lit(0.0)), 2).alias("score"))
+    model = ML.isotonic_calibrator(r, "y", "score")
+    return model.transform(r.select("score").distinct()).select("score", F.round("p_cal", 8).alias("calibrated"))
+
+
 @register("log_windows", """
 WITH mx AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM requests)
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
@@ -1272,23 +1339,34 @@ def _train_scoring_models(spark, sf):
     return sp, names, best, [res_c, res_h, res_l, res_k]
 
 
-@register("batch_scoring", None)
-def batch_scoring(spark, sf):
-    """Every request → validated features → best correctness / hallucination classifiers (isotonic-
-    calibrated on val, tuned thresholds), latency and cost regressors, and the query task type."""
+def _scorer(spark, sf):
+    """The trained scoring pipeline with its feature list and vocabulary, saved to the shared folder and loaded again."""
     sp, names, best, _ = _train_scoring_models(spark, sf)
-    cal = {}
+    calibrated = {}
     for key, label in [("correctness", "is_correct"), ("hallucination", "hallucination_flag")]:
-        model, _thr = best[key][1]
-        cal[key] = ML.calibrate(model, sp["val"], sp["test"], names, label)[1]
+        model = best[key][1][0]
+        calibrated[key] = (model, *ML.calibrate(model, sp["val"], sp["test"], names, label)[1:])
     r = runs(spark, sf)
     task = ML.train_task_classifier(r.where("split = 'train'"), r.where("split = 'test'"), max_iter=50)[1]["LogReg"]
+    pipeline = ML.scoring_pipeline(names, calibrated["correctness"], calibrated["hallucination"], best["latency"][1], best["cost"][1], task)
+    root = ST.stream_paths(spark, "scorer")[0]
+    pipeline.write().overwrite().save(f"{root}/pipeline")
+    AR.save_feature_list(spark, names, f"{root}/feature_list")
+    AR.save_categories(r, f"{root}/categories")
+    return ML.load_pipeline(f"{root}/pipeline"), AR.load_feature_list(spark, f"{root}/feature_list"), AR.load_categories(spark, f"{root}/categories")
+
+
+@register("batch_scoring", None)
+def batch_scoring(spark, sf):
+    """M11 + S7: every request → validated features → the saved and reloaded pipeline of the best correctness and
+    hallucination classifiers (isotonic-calibrated on val, thresholds tuned after it), latency and cost regressors and
+    the query task type."""
+    pipeline, names, vocabulary = _scorer(spark, sf)
     req = AD.requests_from_events(read_table(spark, sf, "events"))
-    feats = V.transform_requests(V.apply_defaults(V.validate_requests(req)), names, categories_dict(r),
-                                 keep=["request_id"])
-    text = V.apply_defaults(req).select("request_id", "query")
-    return ML.score_requests_batch(feats, names, best["correctness"][1], best["hallucination"][1],
-                                   best["latency"][1], best["cost"][1], calibrators=cal, task_model=task, text=text)
+    ready = V.apply_defaults(V.validate_requests(req))
+    feats = V.transform_requests(ready, names, vocabulary, keep=["request_id"]).join(ready.select("request_id", "query"), "request_id") \
+        if "query" not in names else V.transform_requests(ready, names, vocabulary, keep=["request_id"])
+    return pipeline.transform(feats).drop("query")
 
 
 @register("train_all", None)

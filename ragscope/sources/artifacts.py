@@ -121,7 +121,6 @@ def append_prediction_log(log_rows: DataFrame, path: str) -> str:
 
 
 def prediction_log_summary(spark: SparkSession, path: str) -> DataFrame:
-    """Number of log records and the most recent record (by timestamp)."""
+    """Number of log records and the most recent record (by timestamp; of equal ones the largest by the other fields)."""
     log = spark.read.schema(PREDICTION_LOG_SCHEMA).json(path)
-    return log.agg(F.count(F.lit(1)).alias("n_records"),
-                   F.max_by(F.struct(*[F.col(c) for c in log.columns]), F.col("timestamp")).alias("last"))
+    return log.agg(F.count(F.lit(1)).alias("n_records"), F.max(F.struct(*[F.col(c) for c in log.columns])).alias("last"))
