@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..schema import (DIFFICULTY_ORDER, FLAG_FEATURES, INTERACTION_FEATURES, NOMINAL_FEATURES, NUMERIC_FEATURES,
                       TEXT_FEATURES)
+from ..session import cut_lineage
 from ..sources.artifacts import categories_dict
+from .metrics import prefix_sums
 
 
 def one_hot_exprs(categories: Mapping[str, Sequence[str]]) -> list[Column]:
@@ -104,27 +106,55 @@ def split_counts(df: DataFrame, n_features: int, split_col: str = "split") -> Da
         .withColumn("n_features", F.lit(n_features))
 
 
-def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_enc", null_text: str = "nan",
-                 max_values: int = 10_000) -> DataFrame:
+#: Entries of a dictionary that become literals of a plan; a longer one is joined.
+LITERALS = 1_000
+
+
+def dictionary(df: DataFrame, cols: Sequence[str], null_text: str | None = "nan") -> DataFrame:
+    """(col_name, value, code) of the distinct values of each column, codes from 0 in text order. Nulls count as
+    ``null_text`` (None: not at all). Any number of values: ranks are running counts over range partitions."""
+    text = [F.col(c).cast("string") if null_text is None else F.coalesce(F.col(c).cast("string"), F.lit(null_text)) for c in cols]
+    values = df.select(*[t.alias(c) for t, c in zip(text, cols)]).unpivot([], list(cols), "col_name", "value") \
+        .where(F.col("value").isNotNull()).distinct().withColumn("_one", F.lit(1).cast("long"))
+    ranked = prefix_sums(values, "value", ["_one"], inclusive=False, group_cols=["col_name"])
+    return ranked.select("col_name", "value", F.col("cum__one").cast("int").alias("code"))
+
+
+def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_enc", null_text: str = "nan") -> DataFrame:
     """Alphabetical integer codes per column (values cast to text; null → ``null_text``, as the notebook did).
 
-    Like a fitted ``StringIndexer(stringOrderType="alphabetAsc")``: the vocabulary
-    (distinct values of every column, one distributed pass, bounded by
-    ``max_values``) becomes a literal map, so encoding is one projection with no join."""
-    txt = {c: F.coalesce(F.col(c).cast("string"), F.lit(null_text)) for c in cols}
-    long = df.select(*[txt[c].alias(c) for c in cols]).unpivot([], list(cols), "col_name", "value").distinct()
-    rows = long.limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        raise ValueError(f"more than {max_values} distinct values; not a categorical vocabulary")
-    vocab: dict[str, list[str]] = {}
-    for r in rows:
-        vocab.setdefault(r["col_name"], []).append(r["value"])
-    exprs = []
+    A short dictionary becomes a literal map, so encoding is one projection with no join; a longer one is
+    joined column by column, whatever its size."""
+    codes = cut_lineage(dictionary(df, cols, null_text))
+    rows = codes.limit(LITERALS + 1).collect()
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit(null_text)) for c in cols}
+    if len(rows) <= LITERALS:
+        maps = {c: [x for r in rows if r["col_name"] == c for x in (F.lit(r["value"]), F.lit(r["code"]))] for c in cols}
+        return df.select("*", *[(F.element_at(F.create_map(*m), text[c]) if (m := maps[c]) else F.lit(None)).cast("int").alias(f"{c}{suffix}") for c in cols])
+    out = df
+    for c in cols:
+        own = codes.where(F.col("col_name") == c).select(F.col("value").alias(f"_{c}_value"), F.col("code").alias(f"{c}{suffix}"))
+        out = out.withColumn(f"_{c}_value", text[c]).join(own, f"_{c}_value", "left").drop(f"_{c}_value")
+    return out.select(*df.columns, *[f"{c}{suffix}" for c in cols])
+
+
+def decode(df: DataFrame, col: str, codes: DataFrame, code_col: str, out: str) -> DataFrame:
+    """E7 inverse: the value of column ``col`` that each code stands for, by its dictionary; an unknown code has none."""
+    own = codes.where(F.col("col_name") == col).select(F.col("code").alias("_code"), F.col("value").alias(out))
+    return df.join(own, F.col(code_col) == F.col("_code"), "left").drop("_code")
+
+
+def one_hot_slots(df: DataFrame, cols: Sequence[str], out: str = "slots") -> DataFrame:
+    """E2 for vocabularies of any size: the ascending slots that are 1, of a vector with one slot per (column, value) in the
+    order of ``cols`` and codes. Nulls have no slot."""
+    codes = cut_lineage(dictionary(df, cols, None))
+    sizes = dict(codes.groupBy("col_name").agg(F.count(F.lit(1))).collect())   # one row per column
+    first = {c: sum(sizes.get(x, 0) for x in cols[:i]) for i, c in enumerate(cols)}
+    encoded = df
     for c in cols:
-        values = sorted(vocab.get(c, []))
-        m = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])
-        exprs.append(F.element_at(m, txt[c]).cast("int").alias(f"{c}{suffix}"))
-    return df.select("*", *exprs)
+        own = codes.where(F.col("col_name") == c).select(F.col("value").alias(f"_{c}_value"), (F.col("code") + first[c]).alias(f"_{c}_slot"))
+        encoded = encoded.join(own, F.col(c).cast("string") == F.col(f"_{c}_value"), "left")
+    return encoded.select(*df.columns, F.array_compact(F.array(*[f"_{c}_slot" for c in cols])).alias(out))
 
 
 def zscore(df: DataFrame, cols: Sequence[str], suffix: str = "_z") -> DataFrame:

@@ -14,7 +14,7 @@ __all__ = ["balanced_weights", "enn", "knn", "positive_weight", "smote"]
 
 
 def smote(df: DataFrame, id_col: str, label_col: str, vec_col: str, k_max: int = 5, seed: int = 42,
-          chunk: int = 10_000, max_classes: int = 10_000) -> DataFrame:
+          chunk: int = 10_000) -> DataFrame:
     """B1: SMOTE oversampling with deterministic arithmetic instead of a random generator.
 
     Every non-majority class c gets (majority − n_c) synthetic rows.  Synthetic
@@ -24,24 +24,19 @@ def smote(df: DataFrame, id_col: str, label_col: str, vec_col: str, k_max: int =
     x = base + λ·(neighbour − base).  Returns (id, label, vec, is_synthetic) = originals ∪ synthetic (U1);
     synthetic ids are negative.  Rows are generated in chunks of ``chunk`` per task, so a
     class needing billions of rows is still spread over many tasks."""
+    from ..session import cut_lineage
     from .metrics import prefix_sums
 
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c")).limit(max_classes + 1).collect()
-    if len(counts) > max_classes:
-        raise ValueError("too many classes for oversampling")
-    maj = max(r["n_c"] for r in counts)
-    nmin = min(r["n_c"] for r in counts)
-    k = max(1, min(k_max, nmin - 1))
-    need = {r[label_col]: maj - r["n_c"] for r in counts}
     base = df.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"),
                      F.col(vec_col).cast("array<double>").alias("_v"))
-    lab_idx = {lab: i for i, lab in enumerate(sorted(need, key=str))}
-    need_e = F.create_map(*[x for lab, n in need.items() for x in (F.lit(lab), F.lit(n))])
-    lidx_e = F.create_map(*[x for lab, i in lab_idx.items() for x in (F.lit(lab), F.lit(i))])
-    ranked = prefix_sums(base.withColumn("_one", F.lit(1)), "_id", ["_one"], group_cols=["_y"], inclusive=False) \
-        .withColumnRenamed("cum__one", "_rank").drop("_one")
-    sizes = base.groupBy("_y").agg(F.count(F.lit(1)).alias("_nc"))
-    ranked = ranked.join(sizes, "_y").withColumn("_need", F.element_at(need_e, F.col("_y")))
+    # one row per class, of any number: size and place in text order
+    classes = base.groupBy("_y").agg(F.count(F.lit(1)).alias("_nc")).withColumns({"_one": F.lit(1).cast("long"), "_text": F.col("_y").cast("string")})
+    classes = cut_lineage(prefix_sums(classes, "_text", ["_one"], inclusive=False).select("_y", "_nc", F.col("cum__one").alias("_class")))
+    maj, nmin, n_classes = classes.agg(F.max("_nc"), F.min("_nc"), F.count(F.lit(1))).first()
+    k = max(1, min(k_max, (nmin or 0) - 1))
+    ranked = prefix_sums(base.select("_id", "_y", F.lit(1).cast("long").alias("_one")), "_id", ["_one"], group_cols=["_y"], inclusive=False) \
+        .withColumnRenamed("cum__one", "_rank").drop("_one").join(base.drop("_y"), "_id")
+    ranked = ranked.join(classes, "_y").withColumn("_need", F.lit(maj) - F.col("_nc"))
     # number of synthetic rows based on this row: i = rank + j·n_c < need
     ranked = ranked.withColumn("_cnt", F.when(F.col("_rank") < F.col("_need"),
                                               F.floor((F.col("_need") - 1 - F.col("_rank")) / F.col("_nc")) + 1)
@@ -54,16 +49,16 @@ def smote(df: DataFrame, id_col: str, label_col: str, vec_col: str, k_max: int =
     chunks = ranked.select("*", F.explode(F.sequence(F.lit(0).cast("long"),
                                                      F.floor((F.col("_cnt") - 1) / chunk).cast("long"))).alias("_ch"))
     chunks = chunks.repartition("_id", "_ch")
-    gen = chunks.select("_id", "_y", "_v", "_nn", "_rank", "_nc", F.explode(F.sequence(
+    gen = chunks.select("_id", "_y", "_v", "_nn", "_rank", "_nc", "_class", F.explode(F.sequence(
         F.col("_ch") * chunk, F.least(F.col("_ch") * chunk + chunk, F.col("_cnt")) - 1)).alias("_j"))
     gen = gen.withColumn("_i", F.col("_rank") + F.col("_j") * F.col("_nc"))
     gen = gen.withColumn("_nnr", ((F.col("_i") * 31 + seed) % k + 1).cast("int"))
-    lam = ((F.col("_i") * 7919 + F.element_at(lidx_e, F.col("_y")) * 104729 + seed) % 2147483647) / 2147483647.0
+    lam = ((F.col("_i") * 7919 + F.col("_class") * 104729 + seed) % 2147483647) / 2147483647.0
     syn = gen.withColumn("_nv", F.get("_nn", F.col("_nnr") - 1)["_nv"]).withColumn("_lam", lam)
     new_v = F.when(F.col("_nv").isNull(), F.col("_v")).otherwise(
         F.zip_with("_v", "_nv", lambda a, b: a + F.col("_lam") * (b - a)))
     # synthetic ids: −(1 + class index + i·#classes), unique and negative
-    sid = -(F.lit(1) + F.element_at(lidx_e, F.col("_y")) + F.col("_i") * len(lab_idx))
+    sid = -(F.lit(1) + F.col("_class") + F.col("_i") * n_classes)
     synthetic = syn.select(sid.cast(df.schema[id_col].dataType).alias(id_col), F.col("_y").alias(label_col),
                            new_v.alias(vec_col), F.lit(1).alias("is_synthetic"))
     originals = base.select(F.col("_id").alias(id_col), F.col("_y").alias(label_col), F.col("_v").alias(vec_col),
@@ -82,15 +77,14 @@ def enn(df: DataFrame, id_col: str, label_col: str, vec_col: str, k: int = 3) ->
     return df.join(agree.where("_keep"), id_col, "left_semi")
 
 
-def balanced_weights(df: DataFrame, label_col: str, out: str = "weight", max_classes: int = 10_000) -> DataFrame:
-    """w_c = n / (k · n_c) (class counts are a bounded table → literal map, no join)."""
-    rows = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError("too many classes")
-    n = sum(r["n"] for r in rows)
-    kk = len(rows)
-    m = F.create_map(*[x for r in rows for x in (F.lit(r[label_col]), F.lit(n / (kk * r["n"])))])
-    return df.withColumn(out, F.element_at(m, F.col(label_col)))
+def balanced_weights(df: DataFrame, label_col: str, out: str = "weight") -> DataFrame:
+    """w_c = n / (k · n_c). Class counts are one row per class, joined (null-safe) whatever their number; the table
+    is broadcast only where adaptive execution finds it small."""
+    from ..session import cut_lineage
+    counts = cut_lineage(df.groupBy(F.col(label_col).alias("_class")).agg(F.count(F.lit(1)).alias("_n")))
+    n, kk = counts.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    weights = counts.select("_class", (F.lit(float(n or 0)) / (kk * F.col("_n"))).alias(out))
+    return df.drop(out).join(weights, F.col(label_col).eqNullSafe(F.col("_class"))).drop("_class")
 
 
 def positive_weight(df: DataFrame, label_col: str, out: str = "weight") -> DataFrame:

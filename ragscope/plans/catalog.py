@@ -28,13 +28,13 @@ from ..operators import text as TX
 from ..operators import validate as V
 from ..operators.retrieval import retrieval_metrics as _retrieval_metrics
 from ..schema import (ALLOWED_VALUES, BEST_OF_DIMENSIONS, BINARY_FLAGS, BREAKDOWN_DIMENSIONS, CATEGORIES, CLAMP_RULES,
-                      CLUSTER_FEATURES, COST_LEAKAGE, FLAG_FEATURES, LABEL_ENCODED_FEATURES, LATENCY_LEAKAGE,
+                      CLUSTER_FEATURES, COST_LEAKAGE, FLAG_FEATURES, ID_PATTERNS, LABEL_ENCODED_FEATURES, LATENCY_LEAKAGE,
                       NOMINAL_FEATURES, NON_NEGATIVE_FIELDS, NUMERIC_FEATURES, REQUEST_FIELDS, reference_features)
 from ..sources import adapters as AD
 from ..sources import artifacts as AR
 from ..sources.adapters import runs
 from ..sources.artifacts import categories_dict
-from ..sources.tables import read_table
+from ..sources.tables import read_csv_table, read_table, save_table
 from ..streaming import scoring as ST
 from .oracle_views import with_views
 
@@ -207,15 +207,13 @@ def config_leaderboard_3d(spark, sf):
     return A.group_metrics(runs(spark, sf), T1_KEYS)
 
 
-_NULL_COLS = ["reranker_model", "n_retrieved_chunks", "top1_score", "mean_retrieved_score", "recall_at_5",
-              "recall_at_10", "mrr_at_10", "has_relevant_in_top5", "has_relevant_in_top10", "doc_ids_used"]
-
-
-@register("null_profile", " UNION ALL ".join(
-    f"SELECT '{c}' AS col_name, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM eval_runs "
-    f"HAVING count(*) FILTER (WHERE {c} IS NULL) > 0" for c in _NULL_COLS + ["run_id", "domain", "query"]))
+@register("null_profile", r"""
+SELECT col_name, sum(v)::BIGINT AS nulls
+FROM (UNPIVOT (SELECT CAST(COLUMNS('(.*)') IS NULL AS INTEGER) AS '\1' FROM eval_runs) ON COLUMNS(*) INTO NAME col_name VALUE v)
+GROUP BY col_name HAVING sum(v) > 0""")
 def null_profile(spark, sf):
-    return A.null_profile(runs(spark, sf).select(*_NULL_COLS, "run_id", "domain", "query"))
+    """A8 over all columns of the run table."""
+    return A.null_profile(runs(spark, sf))
 
 
 _VC_COLS = ["split", "correctness_label", "faithfulness_label", "is_correct", "hallucination_flag", "reranker_model"]
@@ -409,7 +407,11 @@ def config_id(spark, sf):
 
 
 _DICT_ALLOWED = {**ALLOWED_VALUES, **CATEGORIES}
-_DICT_PATTERNS = {"run_config_id": r"^CFG[A-F0-9]{10}$", "query_code": r"^Q[0-9]{4}$"}
+#: The identifiers as the dictionary writes them, by SQL that both engines read.
+_DICT_CODES = {"doc_id": "'DOC' || primary_doc_id", "chunk_id": "'C' || CAST(run_id % 120000 AS VARCHAR)", "run_id": "'run_' || CAST(run_id AS VARCHAR)",
+               "example_id": "'QA' || lpad(CAST(run_id % 1000000 AS VARCHAR), 6, '0')", "scenario_id": "'SC' || lpad(CAST(scenario_id AS VARCHAR), 4, '0')",
+               "query_id": "'Q' || lpad(CAST(query_id AS VARCHAR), 4, '0')"}
+_DICT_PATTERNS = {f"{c}_code" if c in _DICT_CODES else c: rx for c, rx in ID_PATTERNS.items()}
 
 
 def _dict_sql() -> str:
@@ -426,16 +428,16 @@ def _dict_sql() -> str:
                      f"(WHERE {c} IS NOT NULL AND {c} NOT IN (0, 1)) AS violations FROM r")
     parts.append("SELECT 'numeric_cast' AS rule, 'primary_doc_id' AS col_name, count(*) FILTER "
                  "(WHERE primary_doc_id IS NOT NULL AND TRY_CAST(primary_doc_id AS DOUBLE) IS NULL) AS violations FROM r")
-    return ("WITH r AS (SELECT *, 'Q' || lpad(CAST(query_id AS VARCHAR), 4, '0') AS query_code, "
-            f"{_FIRST_DOC_SQL.format(c='doc_ids_used', sep='|')} AS primary_doc_id FROM eval_runs)\n"
+    codes = ", ".join(f"{sql} AS {c}_code" for c, sql in _DICT_CODES.items())
+    return (f"WITH q AS (SELECT *, {_FIRST_DOC_SQL.format(c='doc_ids_used', sep='|')} AS primary_doc_id FROM eval_runs),\n"
+            f"r AS (SELECT *, {codes} FROM q)\n"
             + "\nUNION ALL ".join(parts))
 
 
 @register("dictionary_violations", _dict_sql())
 def dictionary_violations(spark, sf):
-    r = runs(spark, sf).withColumns({
-        "query_code": F.concat(F.lit("Q"), F.lpad(F.col("query_id").cast("string"), 4, "0")),
-        "primary_doc_id": first_list_item("doc_ids_used", "|")})
+    r = runs(spark, sf).withColumn("primary_doc_id", first_list_item("doc_ids_used", "|"))
+    r = r.select("*", *[F.expr(sql.replace("VARCHAR", "STRING")).alias(f"{c}_code") for c, sql in _DICT_CODES.items()])
     return C.dictionary_violations(r, _DICT_ALLOWED, _DICT_PATTERNS, BINARY_FLAGS, ["primary_doc_id"])
 
 
@@ -496,6 +498,42 @@ def target_codes(spark, sf):
         .agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("target_inverse", """
+SELECT run_id, correctness_label, CAST(dense_rank() OVER (ORDER BY correctness_label) - 1 AS INTEGER) AS label_index,
+       correctness_label AS decoded FROM eval_runs WHERE correctness_label IS NOT NULL""")
+def target_inverse(spark, sf):
+    """E7 both ways: labels to codes, and codes back to labels by the dictionary."""
+    r = runs(spark, sf).select("run_id", "correctness_label").where("correctness_label IS NOT NULL")
+    enc = FE.label_encode(r, ["correctness_label"], "_idx").withColumnRenamed("correctness_label_idx", "label_index")
+    return FE.decode(enc, "correctness_label", FE.dictionary(r, ["correctness_label"]), "label_index", "decoded")
+
+
+@register("encode_customers", """
+SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS INTEGER) AS c_name_enc,
+       CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS c_mktsegment_enc,
+       [CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS INTEGER),
+        CAST((SELECT count(DISTINCT c_name) FROM customer) + dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER)] AS slots
+FROM customer""")
+def encode_customers(spark, sf):
+    """E2 / E6 over a vocabulary that grows with the input (customer names): a joined dictionary."""
+    c = read_table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return FE.one_hot_slots(FE.label_encode(c, ["c_name", "c_mktsegment"]), ["c_name", "c_mktsegment"]) \
+        .select("c_custkey", "c_name_enc", "c_mktsegment_enc", "slots")
+
+
+@register("csv_round_trip", """
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN '' ELSE md5(text || '"' || chr(10) || ',') END AS digest, source, n_chars
+FROM documents""")
+def csv_round_trip(spark, sf):
+    """S1 + S4: documents with quotes, commas, line breaks, empty and null texts written as CSV and read back strictly."""
+    d = read_table(spark, sf, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit(None)).when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.concat("text", F.lit('"\n,'))).alias("text"),
+        "source", "n_chars")
+    path = save_table(d, ST.stream_paths(spark, "csv")[0], "csv")
+    back = read_csv_table(spark, path, d.schema)
+    return back.select("doc_id", F.when(F.col("text") == "", F.lit("")).otherwise(F.md5(F.col("text").cast("binary"))).alias("digest"), "source", "n_chars")
+
+
 @register("interactions", f"""
 SELECT run_id, {_ORD_SQL.format(c='difficulty')} AS difficulty_ord,
        {', '.join(_interactions_sql(_ORD_SQL.format(c='difficulty')))} FROM eval_runs""")

@@ -35,11 +35,15 @@ def register_views(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+#: How CSV files are written and read: quotes are doubled, white space stays, a null is \\N and an empty text is quoted.
+CSV = {"quote": '"', "escape": '"', "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                    sep: str = ",", header: bool = True) -> DataFrame:
-    """CSV scan with a declared schema (quoted commas handled by the CSV reader)."""
-    r = spark.read.option("header", header).option("sep", sep).option("multiLine", False) \
-        .option("escape", '"').option("mode", "FAILFAST")
+    """CSV scan with a declared schema: quoted separators, quotes and line breaks are part of a value; a header
+    that differs from the schema and a malformed row are errors."""
+    r = spark.read.options(**CSV, header=header, sep=sep, multiLine=True, mode="FAILFAST", enforceSchema=False)
     if schema is not None:
         r = r.schema(schema)
     return r.csv(path)
@@ -52,7 +56,7 @@ def save_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "over
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(**CSV, header=True).csv(path)
     else:
         w.format(fmt).save(path)
     return path
