@@ -12,15 +12,17 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (PCA, CountVectorizer, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
                                 StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -213,6 +215,37 @@ def train_task_classifier(train: DataFrame, test: DataFrame, text_col: str = "qu
     return res, fitted
 
 
+def term_vectors(weights: DataFrame, doc_id: str, term: str = "term", weight: str = "tfidf", out: str = "features") -> tuple[DataFrame, list[str]]:
+    """Long-form term weights (E9) gathered into one sparse vector per document, slots in the order of the terms; at most
+    as many entries per document as there are terms."""
+    terms = sorted(r[0] for r in weights.select(term).distinct().collect())   # the bounded vocabulary of the weights
+    slots = weights.sparkSession.createDataFrame(list(enumerate(terms)), "_slot int, _term string")
+    rows = weights.join(F.broadcast(slots), F.col(term) == F.col("_term")).groupBy(doc_id).agg(
+        F.array_sort(F.collect_list(F.struct("_slot", F.col(weight).alias("_w")))).alias("_e"))
+    size = len(terms)
+    gather = F.udf(lambda at, w: Vectors.sparse(size, at, w), VectorUDT())
+    return rows.select(doc_id, gather("_e._slot", "_e._w").alias(out)), terms
+
+
+def train_text_classifier(vectors: DataFrame, label: str, train: Column, max_iter: int = 1000) -> tuple[DataFrame, dict]:
+    """M7 on given vectors: logistic regression and one-vs-rest linear SVM, both with balanced weights; rows where ``train``
+    holds fit, the others are judged. Rows without a label are left out."""
+    rows = vectors.where(F.col(label).isNotNull())
+    idx = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(rows)
+    rows = idx.transform(rows)
+    from ..session import cut_lineage
+    tr = cut_lineage(balanced_weights(rows.where(train).select("y", label, "features"), label))
+    te = cut_lineage(rows.where(~train).select("y", "features"))
+    out, fitted = [], {}
+    for pos, (name, est) in enumerate({
+            "LogReg": LogisticRegression(labelCol="y", featuresCol="features", weightCol="weight", maxIter=max_iter),
+            "LinearSVM": OneVsRest(classifier=LinearSVC(maxIter=max_iter), labelCol="y", featuresCol="features", weightCol="weight")}.items()):
+        model = est.fit(tr)
+        out.append((name, pos, M.macro_f1(model.transform(te), "y", "prediction").first()["f1_macro"]))
+        fitted[name] = (model, idx.labels)
+    return vectors.sparkSession.createDataFrame(out, "model string, pos int, f1_macro double"), fitted
+
+
 # ───────────────────────────── calibration ─────────────────────────────
 def isotonic_calibrator(scored: DataFrame, label: str, score: str = "p1"):
     """Isotonic regression of the label on the score (pool adjacent violators)."""
@@ -234,26 +267,99 @@ def calibrate(model, val: DataFrame, test: DataFrame, features: Sequence[str], l
 
 
 # ───────────────────────────── clustering / projection ─────────────────────────────
-def elbow(df: DataFrame, features_col: str = "features", ks: Sequence[int] = range(2, 11), seed: int = 42,
-          max_iter: int = 20) -> DataFrame:
-    """K-means inertia (training cost) for each k."""
-    data = df.select(features_col).cache()
-    rows = [(int(k), float(KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=features_col).fit(data)
-                           .summary.trainingCost)) for k in ks]
-    data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double")
-
-
-def kmeans_profile(df: DataFrame, features_col: str, k: int = 5, seed: int = 42, digits: int = 4) -> DataFrame:
-    """M13 + A17: K-means assignment and per-cluster accuracy, hallucination, recall@5, latency, cost, count."""
-    model = KMeans(k=k, seed=seed, featuresCol=features_col, predictionCol="cluster").fit(df)
-    a = model.transform(df)
+def _spread_centres(x: np.ndarray, k: int, rng) -> np.ndarray:
+    """k rows, each drawn with a chance that grows with the squared distance to those drawn before (k-means++)."""
+    centres = [x[rng.integers(len(x))]]
+    d = ((x - centres[0]) ** 2).sum(1)
+    while len(centres) < k:
+        centres.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[rng.integers(len(x))])
+        d = np.minimum(d, ((x - centres[-1]) ** 2).sum(1))
+    return np.array(centres)
+
+
+def kmeans_starts(df: DataFrame, features_col: str, ks: Sequence[int], n_init: int = 10, max_iter: int = 300, tol: float = 1e-4,
+                  seed: int = 42, sample: int = 10_000) -> dict[int, tuple[np.ndarray, float]]:
+    """For every k, centres and inertia of the best of ``n_init`` starts.
+
+    All starts of all k move together: one pass over the data per iteration gives every start's sums per cluster, added up
+    by Spark, so that starts × k × dimensions numbers come to the driver, whatever the rows. A start rests once its centres move by
+    less than ``tol`` (squared, relative to the mean variance). First centres are drawn from ``sample`` rows."""
+    from ..session import cut_lineage
+    data = cut_lineage(df.select(vector_to_array(F.col(features_col)).alias("x")))   # read once per iteration
+    first = data.orderBy(F.xxhash64("x", F.lit(seed))).limit(sample).collect()
+    if not first:
+        return {}
+    rows = np.array([r["x"] for r in first])
+    dim, scale = rows.shape[1], rows.var(0).mean()
+    starts = {(k, i): _spread_centres(rows, k, np.random.default_rng([seed, k, i])) for k in ks for i in range(n_init)}
+    inertia, moving = {}, dict(starts)
+    sums = ["n", "cost", *[f"s{j}" for j in range(dim)]]
+
+    def assigned(now: list) -> DataFrame:
+        def step(batches):
+            total = {i: np.zeros((len(c), dim + 2)) for i, c in enumerate(now)}
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.stack(list(pdf["x"]))
+                square = (x * x).sum(1)
+                for i, c in enumerate(now):
+                    d = square[:, None] - 2 * x @ c.T + (c * c).sum(1)
+                    near = d.argmin(1)
+                    one = np.zeros((len(c), len(x)))
+                    one[near, np.arange(len(x))] = 1
+                    total[i] += one @ np.column_stack([np.ones(len(x)), np.maximum(d[np.arange(len(x)), near], 0), x])
+            out = np.concatenate([np.column_stack([np.full(len(t), i), np.arange(len(t)), t]) for i, t in total.items()])
+            yield pd.DataFrame(out, columns=["start", "cluster", *sums])
+        kind = ", ".join(f"{c} double" for c in ["start", "cluster", *sums])
+        return data.mapInPandas(step, kind).groupBy("start", "cluster").agg(*[F.sum(c).alias(c) for c in sums])
+
+    for at in range(max_iter + 1):
+        keys = list(moving)
+        found = {(int(r["start"]), int(r["cluster"])): r for r in assigned([moving[k] for k in keys]).collect()}
+        still = {}
+        for i, key in enumerate(keys):
+            c = moving[key]
+            r = [found[i, j] for j in range(len(c))]
+            inertia[key] = sum(x["cost"] for x in r)
+            starts[key] = c
+            new = np.array([[x[f"s{j}"] / x["n"] for j in range(dim)] if x["n"] else c[m] for m, x in enumerate(r)])
+            if ((new - c) ** 2).sum() > tol * scale:
+                still[key] = new
+        moving = still
+        if not moving:
+            break
+    best = {k: min((inertia[k, i], i) for i in range(n_init)) for k in ks}
+    return {k: (starts[k, i], float(cost)) for k, (cost, i) in best.items()}
+
+
+def elbow(df: DataFrame, features_col: str = "features", ks: Sequence[int] = range(2, 11), seed: int = 42, **options) -> DataFrame:
+    """K-means inertia for each k, the best of ten starts."""
+    found = kmeans_starts(df, features_col, ks, seed=seed, **options)
+    return df.sparkSession.createDataFrame([(int(k), cost) for k, (_, cost) in sorted(found.items())], "k int, inertia double")
+
+
+def assign_clusters(df: DataFrame, features_col: str, centres: Sequence[Sequence[float]], out: str = "cluster") -> DataFrame:
+    """The nearest centre of each row (ties: the first), as one expression over the k × dimensions literals."""
+    x = vector_to_array(F.col(features_col))
+    far = [sum(((x[j] - F.lit(float(v))) * (x[j] - F.lit(float(v))) for j, v in enumerate(c)), F.lit(0.0)) for c in centres]
+    return df.withColumn("_d", F.array(*far)).withColumn(out, (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).drop("_d")
+
+
+def cluster_profile(a: DataFrame, digits: int = 4) -> DataFrame:
+    """Per-cluster accuracy, hallucination, recall@5, latency, cost and count."""
     return a.groupBy("cluster").agg(
         F.round(F.avg("is_correct"), digits).alias("acc"), F.round(F.avg("hallucination_flag"), digits).alias("hal"),
         F.round(F.avg("recall_at_5"), digits).alias("r5"), F.round(F.avg("total_latency_ms"), digits).alias("lat"),
         F.round(F.avg("total_cost_usd"), digits).alias("cost"), F.count(F.lit(1)).alias("n"))
 
 
+def kmeans_profile(df: DataFrame, features_col: str, k: int = 5, seed: int = 42, digits: int = 4) -> DataFrame:
+    """M13 + A17: the best of ten K-means starts and the profile of its clusters."""
+    centres, _ = kmeans_starts(df, features_col, [k], seed=seed)[k]
+    return cluster_profile(assign_clusters(df, features_col, centres), digits)
+
+
 def pca2(df: DataFrame, features_col: str, keep: Sequence[str]) -> DataFrame:
     """2-D PCA projection (input already centred by E8, so the projection is centred too)."""
     model = PCA(k=2, inputCol=features_col, outputCol="_pc").fit(df)

@@ -1109,9 +1109,12 @@ def cost_model(spark, sf):
 
 @register("task_classifier", None)
 def task_classifier(spark, sf):
-    """M7: task type from the query text (TF-IDF + logistic regression / linear SVM)."""
-    r = runs(spark, sf)
-    return ML.train_task_classifier(r.where("split = 'train'"), r.where("split = 'test'"), max_iter=50)[0]
+    """M7: the language of a document from the exact E9 weights of its text (``tfidf``): balanced logistic regression and
+    linear SVM, fitted on documents whose id is not divisible by 5 and judged on the others."""
+    docs = read_table(spark, sf, "documents")
+    vectors, _ = ML.term_vectors(TX.tfidf(docs, "doc_id", "text", 3000), "doc_id")
+    labelled = vectors.join(docs.select("doc_id", "lang"), "doc_id")
+    return ML.train_text_classifier(labelled, "lang", F.col("doc_id") % 5 != 0)[0]
 
 
 @register("isotonic", None)
@@ -1140,6 +1143,26 @@ def kmeans_profile(spark, sf):
     return ML.kmeans_profile(_cluster_input(spark, sf), "zfeat", 5)
 
 
+_CENTRES = [[0.0] * 10, [1.0, 1.0, 0.5, 0.5, 0.5, 0.0, 0.0, -1.0, -1.0, 0.0], [-1.0, -1.0, -0.5, -0.5, -0.5, 0.0, 0.0, 1.0, 1.0, 0.0]]
+
+
+def _nearest_sql() -> str:
+    far = ["(" + " + ".join(f"pow(({z}) - ({v}), 2)" for z, v in zip(
+        [f"(CAST(coalesce({c}, 0) AS DOUBLE) - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END" for c in CLUSTER_FEATURES], centre)) + ")"
+        for centre in _CENTRES]
+    return f"list_position([{', '.join(far)}], list_min([{', '.join(far)}])) - 1"
+
+
+@register("cluster_profile", "WITH st AS (SELECT " + ", ".join(
+    f"avg(CAST(coalesce({c}, 0) AS DOUBLE)) AS m_{c}, stddev_pop(CAST(coalesce({c}, 0) AS DOUBLE)) AS s_{c}" for c in CLUSTER_FEATURES)
+    + f""" FROM eval_runs), a AS (SELECT eval_runs.*, CAST({_nearest_sql()} AS INTEGER) AS cluster FROM eval_runs, st)
+SELECT cluster, round(avg(is_correct), 4) AS acc, round(avg(hallucination_flag), 4) AS hal, round(avg(recall_at_5), 4) AS r5,
+       round(avg(total_latency_ms), 4) AS lat, round(avg(total_cost_usd), 4) AS cost, count(*) AS n FROM a GROUP BY cluster""")
+def cluster_profile(spark, sf):
+    """M13 + A17 with fixed centres: assignment and profile."""
+    return ML.cluster_profile(ML.assign_clusters(_cluster_input(spark, sf), "zfeat", _CENTRES))
+
+
 @register("pca2", None)
 def pca2(spark, sf):
     """2-D PCA projection of every run."""
