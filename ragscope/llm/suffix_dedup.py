@@ -1,20 +1,21 @@
 """Repeated byte strings by distributed prefix doubling.
 
-Ranking every byte would sort all of the input in every round. Instead texts are cut into phrases at anchors, places
-that are chosen by the bytes around them alone, so that two occurrences of a string have the same anchors inside. Spark ranks
-phrases, then in each round sorts pairs of ranks at twice the offset and ranks the pairs; positions whose rank is unique
-drop out, and rounds end when phrases reach past the threshold or nothing is left.
-
-Two overlapping ranked runs name any stretch of phrases, exactly like its bytes. A place p belongs to the first anchor c whose
-surroundings lie inside the string from p on. All places of c are repeated if the stretch of phrases around their strings is,
-that is, starts in two places; two anchors of one text may have the same stretch.
-Only where that is not so, but the phrases after c are repeated, are the strings themselves compared, place by place.
+Ranking every byte would sort all of the input in every round. Instead texts are cut into phrases at anchors: the place of the
+least hash in each window of WINDOW places. Every window has one, so that no place is without an anchor near, and two
+occurrences of a string have the same anchors inside. Spark ranks phrases, then in each round sorts pairs of ranks at twice
+the offset and ranks the pairs; positions whose rank is unique drop out, and rounds end when phrases reach past the threshold
+or nothing is left.
+
+Two overlapping ranked runs name any stretch of phrases, exactly like its bytes. A string has a first anchor c, that of its first
+window, and a last one e, that of its last; places with the same c and e are a zone. All places of a zone are repeated if the
+stretch of phrases around their strings is, that is, starts in two places. Only where that is not so, but the stretch from c to e
+is repeated, are the strings themselves compared: those at the edges of a repeat, first in blocks by what all strings of a block
+have in common and by all that they cover together, then one by one.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,168 +24,224 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 from .words import chunks, mix
 
-#: An anchor has the least hash of 8 bytes within RADIUS places to either side.
-RADIUS, GRAM = 32, 8
-#: An anchor serves places up to REACH before it; places without one near are compared by themselves.
-REACH = 160
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Places of GRAM bytes, of which the least hash is an anchor.
+WINDOW, GRAM = 128, 8
+#: Places of a zone that are compared together before they are compared one by one.
+BLOCK = 16
+#: Rows of places that a task hands on at a time.
+ROWS = 1 << 16
+_BASE, _BACK = (np.uint64(b) for b in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 class Hashes:
     """Hashes of any stretch of a text from prefix sums."""
+    _power = _back = np.ones(1, np.uint64)
 
     def __init__(self, text: bytes):
         data = np.frombuffer(text, np.uint8)
         n = len(data)
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]), dtype=np.uint64)
-        self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BACK)]), dtype=np.uint64)
+        power, back = Hashes._power, Hashes._back
+        if n >= len(power):
+            power, back = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 16), b)]), dtype=np.uint64) for b in (_BASE, _BACK))
+            if n <= 1 << 20:  # shared by the texts of a task, but for very long ones
+                Hashes._power, Hashes._back = power, back
+        self.back = back
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(data.astype(np.uint64) + np.uint64(1)) * power[:n], out=self.sums[1:])
+        np.cumsum(_BYTES[data] * power[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
+    def grams(self) -> np.ndarray:
+        """The hash of each GRAM bytes."""
+        n = len(self.sums) - GRAM
+        return mix((self.sums[GRAM:] - self.sums[:-GRAM]) * self.back[:n])
 
-def boundaries(h: Hashes, n: int) -> np.ndarray:
-    """0, the anchors, and n."""
-    places = n - GRAM + 1
-    if places <= 2 * RADIUS:
-        return np.array([0, n])
-    at = np.arange(places)
-    value = h.of(at, at + GRAM)
-    least, width = value, 1
-    while 2 * width <= 2 * RADIUS + 1:
+
+def window_of(length: int) -> int:
+    return min(WINDOW, (length - GRAM) // 3)
+
+
+def anchors(h: Hashes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors in ascending order, and the first window of each."""
+    value = h.grams()
+    least, width, window = value & ~_LOW | np.arange(len(value), dtype=np.uint64), 1, window_of(length)  # ties: the first
+    while 2 * width <= window:
         least, width = np.minimum(least[:-width], least[width:]), 2 * width
-    rest = 2 * RADIUS + 1 - width
-    if rest:
+    if rest := window - width:
         least = np.minimum(least[:-rest], least[rest:])
-    inner = np.flatnonzero(value[RADIUS: RADIUS + len(least)] <= least) + RADIUS
-    return np.concatenate([[0], inner[inner > 0], [n]])
-
-
-def zones(cuts: np.ndarray, n: int, length: int) -> tuple[np.ndarray, ...]:
-    """Places [low, high) of each zone of a text, and its phrase stretches: [a, b) around all its strings, [c, d) certainly inside
-    each of them (c = -1: no anchor near, compared place by place without a condition)."""
-    last = n - length + 1  # places
-    inner = np.arange(1, len(cuts) - 1)
-    anchor = cuts[inner]
-    high = np.minimum(anchor - RADIUS + 1, last)
-    low = np.maximum(np.concatenate([[0], anchor[:-1] - RADIUS + 1]), np.maximum(anchor - REACH, 0)) if len(inner) else anchor
-    low, c = np.minimum(low, high), inner
-    d = np.searchsorted(cuts, anchor + (length - REACH - RADIUS - GRAM), side="right") - 1
-    ok = low < high
-    low, high, c, d = low[ok], high[ok], c[ok], np.minimum(d[ok], len(cuts) - 2)
-    free = np.ones(max(last, 0), bool)
-    for x, y in zip(low.tolist(), high.tolist()):
-        free[x:y] = False
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
-    low, high = np.concatenate([low, edge[::2]]), np.concatenate([high, edge[1::2]])
-    c, d = np.concatenate([c, np.full(len(edge) // 2, -1)]), np.concatenate([d, np.full(len(edge) // 2, -1)])
-    a = np.searchsorted(cuts, low, side="right") - 1
-    b = np.searchsorted(cuts, high - 1 + length, side="left")
-    return low, high, a, b, c, np.maximum(d, c)
+    at = (least & _LOW).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[first], first
+
+
+def cuts_of(anchor: np.ndarray, n: int) -> np.ndarray:
+    """0, the anchors, and n."""
+    return np.concatenate([[0] if anchor[0] else [], anchor, [n]]).astype(np.int64)
+
+
+def zones(cuts: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Places [low, high) of each zone of a text, and its phrase stretches: [a, b) around all its strings, [c, e) inside each of them."""
+    last, skip = int(cuts[-1]) - length + 1, len(cuts) - 1 - len(first)
+    behind = length - GRAM + 1 - window_of(length)  # from a place to the last window of its string
+    edge = np.unique(np.concatenate([[0], first, first - behind]))
+    low = edge[(edge >= 0) & (edge < last)]
+    high = np.append(low[1:], last)
+    c, e = (np.searchsorted(first, x, side="right") - 1 + skip for x in (low, low + behind))
+    return low, high, np.searchsorted(cuts, low, side="right") - 1, np.searchsorted(cuts, high - 1 + length, side="left"), c, e
 
 
 def _level(m: np.ndarray) -> np.ndarray:
-    return np.frexp(np.maximum(m, 1).astype(float))[1] - 1
+    """The floor of the binary logarithm."""
+    return np.frexp(m.astype(float))[1].astype(np.int64) - 1
+
+
+PARSED = "doc_id long, n long, class binary, sha string, names array<long>, cuts array<int>, first array<int>, used int"
 
 
 def _parse(length: int):
+    """Names of phrases, gaps between cuts and between first windows, and the levels (bits) at which zones have their names."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         for batch, texts in chunks(batches):
             out = defaultdict(list)
             for t in texts.cast(pa.binary()).to_pylist():
-                out["n"].append(len(t))
-                out["class"].append(xxhash.xxh3_128_digest(t))
-                out["sha"].append(hashlib.sha256(t).hexdigest())
-                names, deepest, loose = None, 0, False
+                names = cuts = first = None
+                used = 0
                 if len(t) >= length:
                     h = Hashes(t)
-                    cuts = boundaries(h, len(t))
+                    anchor, first = anchors(h, length)
+                    cuts = cuts_of(anchor, len(t))
                     names = h.of(cuts[:-1], cuts[1:]).view(np.int64)
-                    _, _, a, b, c, d = zones(cuts, len(t), length)
-                    loose = bool((d <= c).any())
-                    deepest = int(_level(b - a).max(initial=0))
-                out["names"].append(names)
-                out["deepest"].append(deepest)
-                out["loose"].append(loose)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(out["n"], pa.int64()), pa.array(out["class"], pa.binary()), pa.array(out["sha"]),
-                                   pa.array(out["names"], pa.list_(pa.int64())), pa.array(out["deepest"], pa.int32()), pa.array(out["loose"])],
-                                  names=["doc_id", "n", "class", "sha", "names", "deepest", "loose"])
+                    _, _, a, b, c, e = zones(cuts, first, length)
+                    used = int(np.bitwise_or.reduce(1 << _level(np.concatenate([b - a, e - c]))))
+                    cuts, first = np.diff(cuts, prepend=0).astype(np.int32), np.diff(first, prepend=0).astype(np.int32)
+                for k, v in zip(("n", "class", "sha", "names", "cuts", "first", "used"),
+                                (len(t), xxhash.xxh3_128_digest(t), hashlib.sha256(t).hexdigest(), names, cuts, first, used)):
+                    out[k].append(v)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(out["n"], pa.int64()), pa.array(out["class"], pa.binary()), pa.array(out["sha"], pa.string()),
+                                   pa.array(out["names"], pa.list_(pa.int64())), pa.array(out["cuts"], pa.list_(pa.int32())),
+                                   pa.array(out["first"], pa.list_(pa.int32())), pa.array(out["used"], pa.int32())],
+                                  names=["doc_id", "n", "class", "sha", "names", "cuts", "first", "used"])
     return run
 
 
-def doubled_ranks(phrases: DataFrame, deepest: int) -> DataFrame:
-    """(uid, i, level, rank): equal rank at a level for equal runs of 2^level phrases from phrase i on; unique runs are left out.
+def doubled_ranks(phrases: DataFrame) -> list[DataFrame]:
+    """By level, a written table (uid, i, used, rank): equal rank for equal runs of 2^level phrases from phrase i on; unique runs are left out.
 
-    phrases: (uid, i, rank) with the ranks of single phrases. A round pairs each rank with the one 2^level phrases on, and
-    ranks the pairs by the first position that has them. Positions of a hot pair are spread by AQE's skewed join.
+    phrases: (uid, i, used, rank) with the names of single phrases; a text goes on to the highest level of its bits ``used``. A round
+    pairs each rank with the one 2^level phrases on, and ranks the pairs by the least position (as a hash) that has them.
+    Positions of a hot pair are spread by AQE's skewed join.
     """
     def repeated(rows: DataFrame, *key: str) -> DataFrame:
-        groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("uid", "i")).alias("first")).where("members > 1")
-        return rows.join(groups, list(key)).select("uid", "i", F.xxhash64("first.uid", "first.i").alias("rank"))
+        groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.min(F.xxhash64("uid", "i")).alias("least")).where("members > 1")
+        return rows.join(groups.drop("members"), list(key)).select("uid", "i", "used", F.col("least").alias("rank"))
 
-    now, out = materialise(repeated(phrases, "rank"), "ranks"), None
-    for level in range(deepest + 1):
-        ranked = now.withColumn("level", F.lit(level))
-        out = ranked if out is None else out.union(ranked)
-        if level == deepest or now.isEmpty():
-            break
-        there = now.select("uid", (F.col("i") - (1 << level)).alias("i"), F.col("rank").alias("next"))
-        now = materialise(repeated(now.join(there, ["uid", "i"]), "rank", "next"), "ranks")
-    return out.select("uid", "i", "level", "rank")
+    out = [materialise(repeated(phrases, "rank"), "ranks")]
+    while True:
+        level = len(out)
+        here = out[-1].where(F.shiftright("used", level) > 0)
+        if here.isEmpty():
+            return out
+        there = here.select("uid", (F.col("i") - (1 << (level - 1))).alias("i"), F.col("rank").alias("next"))
+        out.append(materialise(repeated(here.join(there, ["uid", "i"]), "rank", "next"), "ranks"))
 
 
 def _zone_names(length: int):
-    """Names of each zone's two stretches, where they may be repeated at all."""
+    """Names of each zone's two stretches, where the inner one may be repeated."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-        for batch, texts in chunks(batches):
-            for uid, t, ranks in zip(batch.column("uid").to_pylist(), texts.cast(pa.binary()).to_pylist(), batch.column("ranks").to_pylist()):
-                known = {(r["level"], r["i"]): r["rank"] for r in ranks or []}
+        for batch in batches:
+            ranks = batch.column("ranks")
+            edge, flat = ranks.offsets.to_numpy(), ranks.values
+            level, at, rank = (flat.field(f).to_numpy() for f in ("level", "i", "rank"))
+            for row in range(batch.num_rows):
+                cuts, first = (np.cumsum(batch.column(f)[row].values.to_numpy().astype(np.int64)) for f in ("cuts", "first"))
+                low, high, a, b, c, e = zones(cuts, first, length)
+                own = slice(edge[row], edge[row + 1])
+                known = {}
+                for one in np.unique(level[own]).tolist():
+                    some = level[own] == one
+                    known[one] = np.zeros(len(cuts), np.uint64), np.zeros(len(cuts), bool)
+                    known[one][0][at[own][some]] = rank[own][some].view(np.uint64)
+                    known[one][1][at[own][some]] = True
+
+                def name(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    out, has, deep = np.zeros(len(x), np.uint64), np.zeros(len(x), bool), _level(y - x)
+                    for one, (value, seen) in known.items():
+                        z = np.flatnonzero(deep == one)
+                        p, q = x[z], y[z] - (1 << one)
+                        out[z] = mix(mix(value[p] ^ _BASE) * np.uint64(31) + value[q] + (y - x)[z].astype(np.uint64))
+                        has[z] = seen[p] & seen[q]
+                    return out.view(np.int64), has
+
+                inside, may = name(c, e)
+                whole, has = name(a, b)
+                if may.any():
+                    yield pa.record_batch([pa.array(np.full(may.sum(), batch.column("uid")[row].as_py())), *(pa.array(v[may]) for v in (a, low, high)),
+                                           pa.array(cuts[c][may]), pa.array(whole[may], mask=~has[may]), pa.array(inside[may])],
+                                          names=["uid", "a", "low", "high", "anchor", "whole", "inside"])
+    return run
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
+    import zstandard
+    open_ = zstandard.ZstdDecompressor()
+    return (open_.decompress(t.as_py()) for t in batch.column("packed"))
+
+
+def _strips(todo: list[dict]) -> tuple[np.ndarray, ...]:
+    """Places [low, high) of each zone cut at every BLOCK places before its anchor, with the offsets of the block from the anchor."""
+    at, low, high = [], [], []
+    for z in todo:
+        inner = np.arange(z["anchor"] - (z["anchor"] - z["low"]) // BLOCK * BLOCK + 1, z["high"], BLOCK)
+        edge = np.concatenate([[z["low"]], inner, [z["high"]]])
+        low.append(edge[:-1])
+        high.append(edge[1:])
+        # the last place of the block that holds the strip: told by the distance from the anchor alone
+        at.append(z["anchor"] - (z["anchor"] - edge[:-1]) // BLOCK * BLOCK)
+    return tuple(np.concatenate(v) for v in (at, low, high))
+
+
+def _block_hashes(length: int):
+    """Of each strip: the hash of what all strings of its block share, and of all that they cover (null beyond the text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, t, todo in zip(batch.column("uid").to_pylist(), _unpacked(batch), batch.column("todo").to_pylist()):
+                end, low, high = _strips(todo)
+                begin, n = end - BLOCK + 1, len(t)
                 h = Hashes(t)
-                low, high, a, b, c, d = zones(boundaries(h, len(t)), len(t), length)
-
-                def name(x: int, y: int) -> int | None:
-                    level = (y - x).bit_length() - 1
-                    one, two = known.get((level, x)), known.get((level, y - (1 << level)))
-                    return None if y <= x or one is None or two is None else xxhash.xxh3_64_intdigest(struct.pack("<3q", y - x, one, two)) - (1 << 63)
-
-                rows = []
-                for z, (x0, x1, a1, b1, c1, d1) in enumerate(zip(*(v.tolist() for v in (low, high, a, b, c, d)))):
-                    whole = name(a1, b1)
-                    # without whole phrases behind an anchor there is no condition to go by, but equal strings share this
-                    inside = name(c1, d1) if c1 >= 0 and d1 > c1 else 0
-                    if whole is not None or inside is not None:
-                        rows.append((z, a1, x0, x1, whole, inside))
-                if rows:
-                    cols = list(zip(*rows))
-                    yield pa.record_batch([pa.array([uid] * len(rows), pa.int64()), *[pa.array(v, pa.int64()) for v in cols]],
-                                          names=["uid", "zone", "a", "low", "high", "whole", "inside"])
+                inner = h.of(end, begin + length)
+                fits = (begin >= 0) & (end + length <= n)
+                # strips of one name have the same places of equal blocks, so that one of them can stand for all
+                outer = mix(h.of(np.maximum(begin, 0), np.where(fits, end + length, n)) + ((low - begin) * BLOCK + high - low).astype(np.uint64))
+                yield pa.record_batch([pa.array(np.full(len(low), uid)), *(pa.array(v) for v in (begin, low, high, inner.view(np.int64))),
+                                       pa.array(outer.view(np.int64), mask=~fits)], names=["uid", "begin", "low", "high", "inner", "outer"])
     return run
 
 
 def _place_hashes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches):
-            for uid, t, todo in zip(batch.column("uid").to_pylist(), texts.cast(pa.binary()).to_pylist(), batch.column("todo").to_pylist()):
-                at = np.concatenate([np.arange(z["low"], z["high"]) for z in todo])
-                yield pa.record_batch([pa.array(np.full(len(at), uid)), pa.array(at), pa.array(Hashes(t).of(at, at + length).view(np.int64))],
-                                      names=["uid", "place", "hash"])
+        for batch in batches:
+            for uid, t, todo in zip(batch.column("uid").to_pylist(), _unpacked(batch), batch.column("todo").to_pylist()):
+                h, step = Hashes(t), ROWS // BLOCK
+                for x in range(0, len(todo), step):
+                    at = np.concatenate([np.arange(z["low"], z["high"]) for z in todo[x: x + step]])
+                    yield pa.record_batch([pa.array(np.full(len(at), uid)), pa.array(at), pa.array(h.of(at, at + length).view(np.int64))],
+                                          names=["uid", "place", "hash"])
     return run
 
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches):
+        for batch in batches:
             got = []
-            for t, runs in zip(texts.cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist()):
-                gone = np.zeros(len(t) + 1, np.int64)
+            for t, runs in zip(_unpacked(batch), batch.column("todo").to_pylist()):
+                gone = np.zeros(len(t) + 1, np.int32)
                 for r in runs:  # places [low, high), each the start of a repeated string
                     gone[r["low"]] += 1
                     gone[r["high"] - 1 + length] -= 1
@@ -192,56 +249,91 @@ def _cut(length: int):
                 kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
                 got.append((int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*got)) or [[], [], []]
-            yield pa.record_batch([batch.column("uid"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())],
-                                  names=["uid", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.record_batch([batch.column("class"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())],
+                                  names=["class", "n_removed", "n_spans", "kept_sha256"])
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as they travel: with their class, compressed."""
+    import xxhash
+    import zstandard
+    for batch, texts in chunks(batches):
+        texts, pack = texts.cast(pa.binary()).to_pylist(), zstandard.ZstdCompressor(level=1)
+        yield pa.record_batch([batch.column("key"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
+                               pa.array([pack.compress(t) for t in texts], pa.binary())], names=["key", "class", "packed"])
+
+
+def _repeated(rows: DataFrame, name: str, *place: str) -> DataFrame:
+    """Names that two different places have, with one of these places, as hashes."""
+    return (rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(F.xxhash64(*place)).alias("one"), F.max(F.xxhash64(*place)).alias("other"))
+            .where("one <> other").select(name, "one"))
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row, with every byte removed that a string of ``length``
-    bytes covers which also starts elsewhere. Texts are UTF-8 bytes, nulls are empty; repeated rows are documents that repeat each
-    other; texts shorter than ``length`` keep everything; an empty table gives an empty result; other columns are ignored.
+    bytes (at least 16) covers which also starts elsewhere. Texts are UTF-8 bytes, nulls are empty; repeated rows are documents that
+    repeat each other; texts shorter than ``length`` keep everything; an empty table gives an empty result; other columns
+    are ignored. A text of any length is one row, with a few numbers for each of its phrases; a task holds one text's hashes at a time.
 
     Equal texts are one class, removed whole; one member stays to be compared with other texts. Stretches are compared by
-    64-bit names, whole texts by 128 bits.
+    64-bit names, whole texts by 128 bits. Tables that are written on the way are deleted at the end.
     """
+    if length < 2 * GRAM:
+        raise ValueError(f"length must be at least {2 * GRAM}")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parsed = materialise(rows.mapInArrow(_parse(length), "doc_id long, n long, class binary, sha string, names array<long>, deepest int, loose boolean"), "phrases")
-    classes = materialise(parsed.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct("n", "names")).alias("of"), F.max("deepest").alias("deepest"), F.max("loose").alias("loose"))
-                          .select("class", "copies", "of.n", "of.names", "deepest", "loose").withColumn("uid", F.monotonically_increasing_id()), "classes")
-    long = classes.where(F.col("n") >= length)
-    deepest = long.agg(F.max("deepest")).first()[0] or 0
-    ranks = doubled_ranks(long.select("uid", F.posexplode("names").alias("i", "rank")), deepest)
-    # texts with a repeated phrase, and those with a place that has no whole phrase near to tell by
+    key = F.coalesce("doc_id", F.lit(-1)).alias("key")
+    parsed = materialise(rows.mapInArrow(_parse(length), PARSED), "phrases")
+    long = parsed.where(F.col("n") >= length)
+    member = long.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("key"))
+    classes = materialise(long.withColumn("key", key).join(member, ["class", "key"]).dropDuplicates(["class", "key"])
+                          .select("class", "key", "copies", "n", "names", "cuts", "first", "used", F.monotonically_increasing_id().alias("uid")), "classes")
+    made = [parsed, classes]
+
+    levels = doubled_ranks(classes.select("uid", "used", F.posexplode("names").alias("i", "rank")))
+    ranks = None
+    for level, one in enumerate(levels):
+        one = one.where(F.shiftright("used", level).bitwiseAND(F.lit(1)) == 1).select("uid", F.lit(level).alias("level"), "i", "rank")
+        ranks = one if ranks is None else ranks.union(one)
     found = ranks.groupBy("uid").agg(F.collect_list(F.struct("level", "i", "rank")).alias("ranks"))
-    one = (rows.where(F.octet_length("text") >= length).mapInArrow(_with_class, "class binary, text string")
-           .join(long.select("class", "uid", "loose").join(found, "uid", "left").where("loose or ranks is not null"), "class").dropDuplicates(["uid"]).select("uid", "text", "ranks"))
-    hit = materialise(one, "repeats")
-    zone = materialise(hit.mapInArrow(_zone_names(length), "uid long, zone long, a long, low long, high long, whole long, inside long"), "zones")
-    sure = zone.where("whole is not null").groupBy("whole").agg(F.min(F.struct("uid", "a")).alias("one"), F.max(F.struct("uid", "a")).alias("other")).where("one != other")
-    judged = materialise(zone.join(sure, "whole", "left").withColumn("sure", F.col("one").isNotNull())
-                         .withColumn("shown", ~F.col("sure") | (F.struct("uid", "a") == F.col("one"))), "judged")
-    unsure = (judged.groupBy("inside").agg(F.sum(F.col("shown").cast("int")).alias("shown_members"), F.sum((~F.col("sure")).cast("int")).alias("open"))
-              .where("inside is not null and shown_members > 1 and open > 0").select("inside"))
-    todo = judged.where("shown").join(unsure, "inside").groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("todo"))
-    places = materialise(hit.select("uid", "text").join(todo, "uid").mapInArrow(_place_hashes(length), "uid long, place long, hash long"), "places")
-    again = places.join(places.groupBy("hash").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "hash").select("uid", "place")
-    runs = judged.where("sure").select("uid", "low", "high").union(again.select("uid", F.col("place").alias("low"), (F.col("place") + 1).alias("high")))
-    cut = (hit.select("uid", "text").join(runs.groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("runs")), "uid")
-           .mapInArrow(_cut(length), "uid long, n_removed long, n_spans long, kept_sha256 string"))
-    whole = (F.col("copies") > 1) & (F.col("n") >= length)
-    result = classes.select("class", "copies", "uid").join(cut, "uid", "left")
-    return parsed.select("doc_id", "n", "class", "sha").join(result, "class").select(
-        "doc_id", F.col("n").alias("n_bytes"), F.when(whole, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
-
-
-def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-    for batch in batches:
-        text = batch.column("text")
-        yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(t) for t in text.cast(pa.binary()).to_pylist()], pa.binary()), text], names=["class", "text"])
+    zone = materialise(classes.select("uid", "cuts", "first").join(found, "uid")
+                       .mapInArrow(_zone_names(length), "uid long, a long, low long, high long, anchor long, whole long, inside long"), "zones")
+    for one in levels:
+        discard(one)
+
+    judged = materialise(zone.join(_repeated(zone, "whole", "uid", "a"), "whole", "left").withColumn("sure", F.col("one").isNotNull())
+                         .withColumn("shown", ~F.col("sure") | (F.xxhash64("uid", "a") == F.col("one"))), "judged")
+    discard(zone)
+    open_ = (judged.groupBy("inside").agg(F.sum(F.col("shown").cast("int")).alias("shown_members"), F.sum((~F.col("sure")).cast("int")).alias("open"))
+             .where("shown_members > 1 and open > 0").select("inside"))
+
+    def with_text(spans: DataFrame, *columns: str) -> DataFrame:
+        """Spans of a text as a list, beside the text of one row of its class."""
+        todo = classes.select("uid", "class", "key").join(spans.groupBy("uid").agg(F.collect_list(F.struct(*columns)).alias("todo")), "uid")
+        return (rows.where(F.octet_length("text") >= length).select(key, "text").mapInArrow(_packed, "key long, class binary, packed binary")
+                .join(todo, ["class", "key"]).dropDuplicates(["class", "key"]))
+
+    blocks = materialise(with_text(judged.where("shown").join(open_, "inside"), "low", "high", "anchor")
+                         .mapInArrow(_block_hashes(length), "uid long, begin long, low long, high long, inner long, outer long"), "blocks")
+    all_of = _repeated(blocks, "outer", "uid", "begin").select("outer", F.col("one").alias("first"))
+    weighed = materialise(blocks.join(_repeated(blocks, "inner", "uid", "begin").select("inner"), "inner").join(all_of, "outer", "left")
+                          .withColumn("sure", F.col("first").isNotNull())
+                          .withColumn("shown", ~F.col("sure") | (F.xxhash64("uid", "begin") == F.col("first"))), "weighed")
+    single = weighed.groupBy("inner").agg(F.sum((~F.col("sure")).cast("int")).alias("open")).where("open > 0").select("inner")
+    places = materialise(with_text(weighed.where("shown").join(single, "inner"), "low", "high")
+                         .mapInArrow(_place_hashes(length), "uid long, place long, hash long"), "places")
+    again = places.join(_repeated(places, "hash", "uid", "place").select("hash"), "hash").select("uid", "place")
+    runs = (judged.where("sure").select("uid", "low", "high").union(weighed.where("sure").select("uid", "low", "high"))
+            .union(again.select("uid", F.col("place").alias("low"), (F.col("place") + 1).alias("high"))))
+    copied = classes.where("copies > 1").select("class", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
+    cut = with_text(runs.join(classes.where("copies = 1").select("uid"), "uid"), "low", "high").mapInArrow(
+        _cut(length), "class binary, n_removed long, n_spans long, kept_sha256 string")
+    done = materialise(parsed.select("doc_id", "n", "class", "sha").join(copied.union(cut), "class", "left").select(
+        "doc_id", F.col("n").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")), "repeats")
+    for one in [*made, judged, blocks, weighed, places]:
+        discard(one)
+    return done
 
 
 def op7_prefix_doubling(spark, sf_dir: str) -> DataFrame:

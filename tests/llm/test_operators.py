@@ -230,6 +230,36 @@ def test_repeated_strings_of_near_copies(spark):
     assert {r["doc_id"]: r["n_removed"] for r in out} == want
 
 
+def _brute_repeats(data, length):
+    seen = Counter(t[p: p + length] for _, t in data for p in range(len(t) - length + 1))
+    for i, t in data:
+        gone = bytearray(len(t))
+        for p in range(len(t) - length + 1):
+            if seen[t[p: p + length]] > 1:
+                gone[p: p + length] = b"\1" * length
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        yield i, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("length", [17, 61, 400])
+def test_repeated_strings_of_mixed_texts(spark, length):
+    """Pieces shared by texts at any place, edited, periodic with any period, constant, multibyte, and short of the length."""
+    import random
+    rng = random.Random(length)
+    pool = ["".join(rng.choice("abé ж") for _ in range(rng.randrange(1, 3 * length))) for _ in range(12)]
+    pool += ["x" * 2 * length, "ab" * length, ("period " * length)[: 3 * length], pool[0][: length // 2] * 5]
+    data = []
+    for i in range(160):
+        text = "".join(rng.choice(pool) if rng.random() < 0.6 else "".join(rng.choice("cdü ") for _ in range(rng.randrange(2 * length)))
+                       for _ in range(rng.randrange(5)))
+        for _ in range(rng.randrange(3) if text else 0):
+            at = rng.randrange(len(text))
+            text = text[:at] + "#" + text[at + 1:]
+        data.append((i, text))
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), length).collect()
+    assert {tuple(r) for r in out} == set(_brute_repeats([(i, t.encode()) for i, t in data], length))
+
+
 def test_surrogates(docs, empty):
     out = {r["doc_id"]: r for r in pii.replace_pii(docs, KEY).where("doc_id is not null").collect()}
     a, b = out[12]["text"], out[13]["text"]
