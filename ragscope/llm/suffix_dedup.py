@@ -2,9 +2,9 @@
 
 Ranking every byte would sort all of the input in every round. Instead texts are cut into phrases at anchors: the place of the
 least hash in each window of WINDOW places. Every window has one, so that no place is without an anchor near, and two
-occurrences of a string have the same anchors inside. Spark ranks phrases, then in each round sorts pairs of ranks at twice
-the offset and ranks the pairs; positions whose rank is unique drop out, and rounds end when phrases reach past the threshold
-or nothing is left.
+occurrences of a string have the same anchors inside. Spark ranks runs of two phrases, the shortest that are asked for, then in
+each round sorts pairs of ranks at twice the offset and ranks the pairs; positions whose rank is unique drop out, and rounds
+end when runs reach past the threshold or nothing is left.
 
 Two overlapping ranked runs name any stretch of phrases, exactly like its bytes. A string has a first anchor c, that of its first
 window, and a last one e, that of its last; places with the same c and e are a zone. All places of a zone are repeated if the
@@ -60,7 +60,7 @@ class Hashes:
     def grams(self) -> np.ndarray:
         """The hash of each GRAM bytes."""
         n = len(self.sums) - GRAM
-        return mix((self.sums[GRAM:] - self.sums[:-GRAM]) * self.back[:n])
+        return (self.sums[GRAM:] - self.sums[:-GRAM]) * self.back[:n]
 
 
 def window_of(length: int) -> int:
@@ -105,7 +105,8 @@ PARSED = "doc_id long, n long, class binary, sha string, names array<long>, cuts
 
 
 def _parse(length: int):
-    """Names of phrases, gaps between cuts and between first windows, and the levels (bits) at which zones have their names."""
+    """Names of runs of two phrases, gaps between cuts and between first windows, and the levels (bits) at which zones have their
+    names. A phrase has at most a window's bytes and zones ask for stretches of more, so for two phrases at least."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         for batch, texts in chunks(batches):
@@ -117,7 +118,8 @@ def _parse(length: int):
                     h = Hashes(t)
                     anchor, first = anchors(h, length)
                     cuts = cuts_of(anchor, len(t))
-                    names = h.of(cuts[:-1], cuts[1:]).view(np.int64)
+                    # a run is its bytes and its cut
+                    names = mix(h.of(cuts[:-2], cuts[2:]) + (cuts[1:-1] - cuts[:-2]).astype(np.uint64)).view(np.int64)
                     _, _, a, b, c, e = zones(cuts, first, length)
                     used = int(np.bitwise_or.reduce(1 << _level(np.concatenate([b - a, e - c]))))
                     cuts, first = np.diff(cuts, prepend=0).astype(np.int32), np.diff(first, prepend=0).astype(np.int32)
@@ -131,25 +133,29 @@ def _parse(length: int):
     return run
 
 
-def doubled_ranks(phrases: DataFrame) -> list[DataFrame]:
-    """By level, a written table (uid, i, used, rank): equal rank for equal runs of 2^level phrases from phrase i on; unique runs are left out.
+def doubled_ranks(runs: DataFrame) -> list[DataFrame]:
+    """For each level from 1 on, a written table (uid, i, used, rank): equal rank for equal runs of 2^level phrases from phrase i on;
+    unique runs are left out.
 
-    phrases: (uid, i, used, rank) with the names of single phrases; a text goes on to the highest level of its bits ``used``. A round
-    pairs each rank with the one 2^level phrases on, and ranks the pairs by the least position (as a hash) that has them.
-    Positions of a hot pair are spread by AQE's skewed join.
+    runs: (uid, i, used, rank) with the names of runs of two phrases; a text goes on to the highest level of its bits ``used``. A
+    round pairs each rank with the one as many phrases on as it covers, and ranks the pairs by the least position (as a hash)
+    that has them. The pairs that repeat are written first, so that adaptive execution can split the rows of a hot one.
     """
     def repeated(rows: DataFrame, *key: str) -> DataFrame:
-        groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.min(F.xxhash64("uid", "i")).alias("least")).where("members > 1")
-        return rows.join(groups.drop("members"), list(key)).select("uid", "i", "used", F.col("least").alias("rank"))
+        groups = materialise(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.min(F.xxhash64("uid", "i")).alias("least"))
+                             .where("members > 1").drop("members"), "rank-groups")
+        out = materialise(rows.join(groups, list(key)).select("uid", "i", "used", F.col("least").alias("rank")), "ranks")
+        discard(groups)
+        return out
 
-    out = [materialise(repeated(phrases, "rank"), "ranks")]
+    out = [repeated(runs, "rank")]
     while True:
         level = len(out)
-        here = out[-1].where(F.shiftright("used", level) > 0)
+        here = out[-1].where(F.shiftright("used", level + 1) > 0)
         if here.isEmpty():
             return out
-        there = here.select("uid", (F.col("i") - (1 << (level - 1))).alias("i"), F.col("rank").alias("next"))
-        out.append(materialise(repeated(here.join(there, ["uid", "i"]), "rank", "next"), "ranks"))
+        there = here.select("uid", (F.col("i") - (1 << level)).alias("i"), F.col("rank").alias("next"))
+        out.append(repeated(here.join(there, ["uid", "i"]), "rank", "next"))
 
 
 def _zone_names(length: int):
@@ -181,6 +187,8 @@ def _zone_names(length: int):
 
                 inside, may = name(c, e)
                 whole, has = name(a, b)
+                # zones of one name have the same places of equal stretches, so that one of them can stand for all
+                whole = mix(whole.view(np.uint64) + (low - cuts[a]).astype(np.uint64) * _BASE + (high - low).astype(np.uint64)).view(np.int64)
                 if may.any():
                     yield pa.record_batch([pa.array(np.full(may.sum(), batch.column("uid")[row].as_py())), *(pa.array(v[may]) for v in (a, low, high)),
                                            pa.array(cuts[c][may]), pa.array(whole[may], mask=~has[may]), pa.array(inside[may])],
@@ -265,9 +273,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(rows: DataFrame, name: str, *place: str) -> DataFrame:
-    """Names that two different places have, with one of these places, as hashes."""
-    return (rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(F.xxhash64(*place)).alias("one"), F.max(F.xxhash64(*place)).alias("other"))
-            .where("one <> other").select(name, "one"))
+    """Names that two different places have, with one of these places, as hashes. Written, so that joins can split a hot name."""
+    return materialise(rows.where(F.col(name).isNotNull()).groupBy(name)
+                       .agg(F.min(F.xxhash64(*place)).alias("one"), F.max(F.xxhash64(*place)).alias("other"))
+                       .where("one <> other").select(name, "one"), "repeated")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,11 +297,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     member = long.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("key"))
     classes = materialise(long.withColumn("key", key).join(member, ["class", "key"]).dropDuplicates(["class", "key"])
                           .select("class", "key", "copies", "n", "names", "cuts", "first", "used", F.monotonically_increasing_id().alias("uid")), "classes")
-    made = [parsed, classes]
 
     levels = doubled_ranks(classes.select("uid", "used", F.posexplode("names").alias("i", "rank")))
     ranks = None
-    for level, one in enumerate(levels):
+    for level, one in enumerate(levels, 1):
         one = one.where(F.shiftright("used", level).bitwiseAND(F.lit(1)) == 1).select("uid", F.lit(level).alias("level"), "i", "rank")
         ranks = one if ranks is None else ranks.union(one)
     found = ranks.groupBy("uid").agg(F.collect_list(F.struct("level", "i", "rank")).alias("ranks"))
@@ -301,11 +309,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     for one in levels:
         discard(one)
 
-    judged = materialise(zone.join(_repeated(zone, "whole", "uid", "a"), "whole", "left").withColumn("sure", F.col("one").isNotNull())
+    twice = _repeated(zone, "whole", "uid", "a")
+    judged = materialise(zone.join(twice, "whole", "left").withColumn("sure", F.col("one").isNotNull())
                          .withColumn("shown", ~F.col("sure") | (F.xxhash64("uid", "a") == F.col("one"))), "judged")
     discard(zone)
-    open_ = (judged.groupBy("inside").agg(F.sum(F.col("shown").cast("int")).alias("shown_members"), F.sum((~F.col("sure")).cast("int")).alias("open"))
-             .where("shown_members > 1 and open > 0").select("inside"))
+    open_ = materialise(judged.groupBy("inside").agg(F.sum(F.col("shown").cast("int")).alias("shown_members"), F.sum((~F.col("sure")).cast("int")).alias("open"))
+                        .where("shown_members > 1 and open > 0").select("inside"), "open")
 
     def with_text(spans: DataFrame, *columns: str) -> DataFrame:
         """Spans of a text as a list, beside the text of one row of its class."""
@@ -315,14 +324,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
 
     blocks = materialise(with_text(judged.where("shown").join(open_, "inside"), "low", "high", "anchor")
                          .mapInArrow(_block_hashes(length), "uid long, begin long, low long, high long, inner long, outer long"), "blocks")
-    all_of = _repeated(blocks, "outer", "uid", "begin").select("outer", F.col("one").alias("first"))
-    weighed = materialise(blocks.join(_repeated(blocks, "inner", "uid", "begin").select("inner"), "inner").join(all_of, "outer", "left")
+    cores, covers = _repeated(blocks, "inner", "uid", "begin"), _repeated(blocks, "outer", "uid", "begin")
+    weighed = materialise(blocks.join(cores.select("inner"), "inner").join(covers.select("outer", F.col("one").alias("first")), "outer", "left")
                           .withColumn("sure", F.col("first").isNotNull())
                           .withColumn("shown", ~F.col("sure") | (F.xxhash64("uid", "begin") == F.col("first"))), "weighed")
-    single = weighed.groupBy("inner").agg(F.sum((~F.col("sure")).cast("int")).alias("open")).where("open > 0").select("inner")
+    single = materialise(weighed.where("not sure").select("inner").distinct(), "open")
     places = materialise(with_text(weighed.where("shown").join(single, "inner"), "low", "high")
                          .mapInArrow(_place_hashes(length), "uid long, place long, hash long"), "places")
-    again = places.join(_repeated(places, "hash", "uid", "place").select("hash"), "hash").select("uid", "place")
+    same = _repeated(places, "hash", "uid", "place")
+    again = places.join(same.select("hash"), "hash").select("uid", "place")
     runs = (judged.where("sure").select("uid", "low", "high").union(weighed.where("sure").select("uid", "low", "high"))
             .union(again.select("uid", F.col("place").alias("low"), (F.col("place") + 1).alias("high"))))
     copied = classes.where("copies > 1").select("class", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
@@ -331,7 +341,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     done = materialise(parsed.select("doc_id", "n", "class", "sha").join(copied.union(cut), "class", "left").select(
         "doc_id", F.col("n").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")), "repeats")
-    for one in [*made, judged, blocks, weighed, places]:
+    for one in [parsed, classes, twice, judged, open_, blocks, cores, covers, weighed, single, places, same]:
         discard(one)
     return done
 

@@ -241,7 +241,7 @@ def _brute_repeats(data, length):
         yield i, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("length", [17, 61, 400])
+@pytest.mark.parametrize("length", [17, 18, 23, 61, 400])
 def test_repeated_strings_of_mixed_texts(spark, length):
     """Pieces shared by texts at any place, edited, periodic with any period, constant, multibyte, and short of the length."""
     import random
