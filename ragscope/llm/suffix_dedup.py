@@ -144,7 +144,7 @@ def doubled_ranks(runs: DataFrame) -> list[DataFrame]:
     def repeated(rows: DataFrame, *key: str) -> DataFrame:
         groups = materialise(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.min(F.xxhash64("uid", "i")).alias("least"))
                              .where("members > 1").drop("members"), "rank-groups")
-        out = materialise(rows.join(groups, list(key)).select("uid", "i", "used", F.col("least").alias("rank")), "ranks")
+        out = materialise(rows.join(groups.hint("shuffle_hash"), list(key)).select("uid", "i", "used", F.col("least").alias("rank")), "ranks")
         discard(groups)
         return out
 
@@ -286,7 +286,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     are ignored. A text of any length is one row, with a few numbers for each of its phrases; a task holds one text's hashes at a time.
 
     Equal texts are one class, removed whole; one member stays to be compared with other texts. Stretches are compared by
-    64-bit names, whole texts by 128 bits. Tables that are written on the way are deleted at the end.
+    64-bit names, whole texts by 128 bits. Joins with names hash these, one row each and so even over partitions, in place of sorting
+    all rows. Tables that are written on the way are deleted at the end.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
@@ -310,7 +311,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
         discard(one)
 
     twice = _repeated(zone, "whole", "uid", "a")
-    judged = materialise(zone.join(twice, "whole", "left").withColumn("sure", F.col("one").isNotNull())
+    judged = materialise(zone.join(twice.hint("shuffle_hash"), "whole", "left").withColumn("sure", F.col("one").isNotNull())
                          .withColumn("shown", ~F.col("sure") | (F.xxhash64("uid", "a") == F.col("one"))), "judged")
     discard(zone)
     open_ = materialise(judged.groupBy("inside").agg(F.sum(F.col("shown").cast("int")).alias("shown_members"), F.sum((~F.col("sure")).cast("int")).alias("open"))
@@ -322,17 +323,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
         return (rows.where(F.octet_length("text") >= length).select(key, "text").mapInArrow(_packed, "key long, class binary, packed binary")
                 .join(todo, ["class", "key"]).dropDuplicates(["class", "key"]))
 
-    blocks = materialise(with_text(judged.where("shown").join(open_, "inside"), "low", "high", "anchor")
+    blocks = materialise(with_text(judged.where("shown").join(open_.hint("shuffle_hash"), "inside"), "low", "high", "anchor")
                          .mapInArrow(_block_hashes(length), "uid long, begin long, low long, high long, inner long, outer long"), "blocks")
     cores, covers = _repeated(blocks, "inner", "uid", "begin"), _repeated(blocks, "outer", "uid", "begin")
-    weighed = materialise(blocks.join(cores.select("inner"), "inner").join(covers.select("outer", F.col("one").alias("first")), "outer", "left")
+    weighed = materialise(blocks.join(cores.select("inner").hint("shuffle_hash"), "inner")
+                          .join(covers.select("outer", F.col("one").alias("first")).hint("shuffle_hash"), "outer", "left")
                           .withColumn("sure", F.col("first").isNotNull())
                           .withColumn("shown", ~F.col("sure") | (F.xxhash64("uid", "begin") == F.col("first"))), "weighed")
     single = materialise(weighed.where("not sure").select("inner").distinct(), "open")
-    places = materialise(with_text(weighed.where("shown").join(single, "inner"), "low", "high")
+    places = materialise(with_text(weighed.where("shown").join(single.hint("shuffle_hash"), "inner"), "low", "high")
                          .mapInArrow(_place_hashes(length), "uid long, place long, hash long"), "places")
     same = _repeated(places, "hash", "uid", "place")
-    again = places.join(same.select("hash"), "hash").select("uid", "place")
+    again = places.join(same.select("hash").hint("shuffle_hash"), "hash").select("uid", "place")
     runs = (judged.where("sure").select("uid", "low", "high").union(weighed.where("sure").select("uid", "low", "high"))
             .union(again.select("uid", F.col("place").alias("low"), (F.col("place") + 1).alias("high"))))
     copied = classes.where("copies > 1").select("class", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
