@@ -6,16 +6,18 @@ one array, so that a shingle contributes one contiguous slice and a signature is
 coordinates propose pairs, and every link is confirmed on the full shingle sets.
 
 All pairs of a band's bucket are never emitted. Equal texts are one class from the start. First each class is
-compared with the smallest class that it shares a bucket with. In buckets that still hold several components, blocks
-of signatures are then compared across components, in two rounds: first a spanning forest of the pairs that look
-clearly similar is confirmed, which unites large groups at the cost of one pair per member; then all pairs whose
-estimates leave the threshold possible, and which are still in different components, are confirmed, each once. The second
-estimate is from the least shingles of hash bins, a sample of the union without repetition and so sharp for short texts.
+compared with the smallest class that it shares a bucket with. Then large groups are united: in two turns each class goes
+into one block of one of its open buckets, and a spanning forest of the pairs there that look clearly similar is confirmed,
+one pair per member at most. In buckets that still hold several components, all pairs across components are then
+compared: the members of the largest component are sent to blocks of the others only, never to each other. Pairs whose
+estimates leave the threshold possible are counted on their whole sets of shingle hashes within the block, and a forest
+of those that hold leaves it. The second estimate is from the least shingles of hash bins, a sample of the union without
+repetition and so sharp for short texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -39,6 +41,10 @@ DEVIATIONS = 5
 #: So far above the threshold a pair looks clearly similar.
 CLEAR = 0.02
 BLOCK = 256
+#: Shingles of a block whose whole sets are held, 8 bytes each.
+BLOCK_SHINGLES = 1 << 20
+#: Turns in which large groups are united before whole buckets are compared.
+TURNS = 2
 #: Texts whose bins are held at a time, 2 KB each, however short the texts.
 TEXTS = 2048
 #: Shingles whose slices of ranks are held at a time.
@@ -137,6 +143,16 @@ def shingle_set(text: bytes, k: int) -> set[tuple[bytes, ...]]:
     return set(zip(*[w[i:] for i in range(k)])) if len(w) >= k else {tuple(w)} if w else set()
 
 
+def _sets(k: int):
+    """The sorted shingle hashes of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, rows=TEXTS):
+            doc, value = shingles(texts, k)
+            parts = np.split(value[np.lexsort((value, doc))], np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1])
+            yield pa.record_batch([batch.column("rep"), pa.array([p.tobytes() for p in parts], pa.binary())], names=["rep", "set"])
+    return run
+
+
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, set())
@@ -153,9 +169,10 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _roots(n: int, pairs: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """The pairs that unite two trees of a forest over n nodes."""
-    parent = list(range(n))
+def _forest(label: np.ndarray, pairs: Iterator[tuple[int, int]], holds: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """The pairs that hold and unite two trees of a forest over the labels; a pair within a tree is not looked at."""
+    node = np.unique(label, return_inverse=True)[1].tolist()
+    parent = list(range(len(node)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -163,15 +180,16 @@ def _roots(n: int, pairs: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]
         return x
 
     for i, j in pairs:
-        if (a := root(i)) != (b := root(j)):
+        if (a := root(node[i])) != (b := root(node[j])) and holds(i, j):
             parent[b] = a
             yield i, j
 
 
 def _across(percent: int, clear: bool):
-    """Pairs of one block, or of two blocks of a bucket, that are in different components and look similar enough.
+    """A forest that links the components of one block, or of two blocks of a bucket.
 
-    clear: a spanning forest of the clearly similar ones. Otherwise each pair, in the first bucket that it shares.
+    clear: by pairs that look clearly similar. Otherwise by pairs that are similar on their whole sets; a pair is looked
+    at in the first bucket that it shares.
     """
     need = (percent / 100 + (CLEAR if clear else -SLACK)) * COORDINATES
 
@@ -205,8 +223,14 @@ def _across(percent: int, clear: bool):
             block, ids, label, n = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
             data = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
             sig, least, keys = data[:, :COORDINATES], data[:, COORDINATES: COORDINATES + BINS], np.ascontiguousarray(data[:, COORDINATES + BINS:]).view(np.int64)
-            found = pairs(*rows[0][:3], block, label, n, sig, least, keys)
-            found = [(int(ids[i]), int(ids[j])) for i, j in (_roots(len(rows), found) if clear else found)]
+            sets = [] if clear else [np.frombuffer(r[8], np.uint64) for r in rows]
+
+            def similar(i: int, j: int) -> bool:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                return 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)
+
+            looks = pairs(*rows[0][:3], block, label, n, sig, least, keys)
+            found = [(int(ids[i]), int(ids[j])) for i, j in _forest(label, looks, (lambda i, j: True) if clear else similar)]
             return pa.record_batch([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
 
         held: list[tuple] = []
@@ -258,20 +282,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     stars = members.where((F.col("rep") != F.col("a")) & fits).groupBy(F.col("rep").alias("b")).agg(F.min("a").alias("a"))
     links = confirm(stars)
     made = [per, of_doc, reps, members, texts, links]
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    for clear in (True, False):
+
+    def labelled() -> DataFrame:
+        """Members of buckets with the component that they belong to so far."""
         labels = materialise(components(links), "labels")
         made.append(labels)
-        labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        open_ = (labelled.join(mixed, "bucket").join(reps.select("rep", "sig"), "rep")
-                 .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-                 .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-                 .select("bucket", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"), "block", "rep", "label", "n", "sig"))
-        pairs = (open_.repartition("bucket", "c1", "c2").sortWithinPartitions("bucket", "c1", "c2")
+        return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+
+    def compared(blocks: DataFrame, clear: bool) -> DataFrame:
+        pairs = (blocks.repartition("bucket", "c1", "c2").sortWithinPartitions("bucket", "c1", "c2")
                  .mapInArrow(_across(percent, clear), "a long, b long").distinct())
         made.append(confirm(pairs))
-        links = links.union(made[-1])
+        return links.union(made[-1])
+
+    sigs, block = reps.select("rep", "sig"), ["bucket", "c1", "c2", "block", "rep", "label", "n", "sig"]
+    for turn in range(TURNS):
+        rows_of = labelled()
+        mixed = rows_of.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        # the largest bucket of a member, then the first in an order that all members share
+        order = F.struct(F.col("members") if turn == 0 else F.xxhash64("bucket", F.lit(turn)), "bucket")
+        chosen = (rows_of.join(mixed, "bucket").groupBy("rep").agg(F.max_by(F.struct("bucket", "members", "label", "n"), order).alias("it")).select("rep", "it.*"))
+        dealt = F.pmod(F.xxhash64("rep", "bucket", F.lit(turn)), F.ceil(F.col("members") / BLOCK)).cast("int")
+        links = compared(chosen.join(sigs, "rep").withColumns({"block": dealt, "c1": dealt, "c2": dealt}).select(*block), True)
+
+    rows_of = labelled()
+    largest = F.struct("members", "label")
+    sizes = (rows_of.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n")).groupBy("bucket")
+             .agg(F.max_by("label", largest).alias("main"), F.max("members").alias("m1"), F.max_by("n", largest).alias("n1"),
+                  F.sum("members").alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1"))
+    parts = lambda m, n: F.ceil(F.greatest(m / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.select("bucket", "main", parts(F.col("m1"), F.col("n1")).alias("big"), parts(F.col("m") - F.col("m1"), F.col("all") - F.col("n1")).alias("small"))
+    inside, key, end = F.col("label") == F.col("main"), F.xxhash64("rep"), F.col("big") + F.col("small") - 1
+    open_ = (rows_of.drop("members").join(sizes, "bucket")
+             .withColumn("block", F.when(inside, F.pmod(key, "big")).otherwise(F.col("big") + F.pmod(key, "small")).cast("int"))
+             .withColumn("first", F.when(inside, F.col("big")).otherwise(0)))
+    sets = (texts.join(open_.select("rep").distinct(), "rep").select("rep", F.col("text").cast("string").alias("text"))
+            .mapInArrow(_sets(k), "rep long, set binary"))
+    links = compared(open_.join(sigs.join(sets, "rep"), "rep").withColumn("other", F.explode(F.sequence("first", end)))
+                     .withColumns({"c1": F.least("block", "other"), "c2": F.greatest("block", "other")}).select(*block, "set"), False)
     final = components(links.union(of_doc))
     done = materialise(per.select("doc_id", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -196,6 +196,37 @@ def test_repeated_rows_do_not_multiply_pairs(spark, monkeypatch):
     assert counts[0] == counts[1]
 
 
+@pytest.mark.parametrize("block, held", [(4, 1 << 20), (256, 300)])
+def test_groups_about_the_threshold_over_many_blocks(spark, monkeypatch, block, held):
+    """Large groups whose pairs lie on both sides of the threshold, cut into blocks by rows and by shingles."""
+    import random
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", held)
+    rng, data = random.Random(8), []
+    for g in range(4):
+        base = _prose(50 + g, 60).split()
+        for edits in [1, 2, 3, 4, 5, 6, 7, 8] * 6:
+            text = list(base)
+            for at in rng.sample(range(60), edits):
+                text[at] = f"w{rng.randrange(10 ** 6)}"
+            data.append((len(data), " ".join(text)))
+    sets = [minhash.shingle_set(t.encode(), 2) for _, t in data]
+    parent = list(range(len(data)))
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a in range(len(data)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    want = {i: root(i) for i in range(len(data))}
+    assert 4 < len(set(want.values())) < len(data)
+    out = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4), k=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == want
+
+
 def test_repeated_strings(docs, empty):
     data = [(i, (t or "").encode()) for i, t, _ in TEXTS]
     seen = Counter(t[p: p + 400] for _, t in data for p in range(len(t) - 399))
