@@ -129,3 +129,24 @@ def test_knn_null_group_and_missing_vectors(spark):
             res.setdefault(r.id, []).append(r.nn_id)
         assert res == _brute(X, ids, 2)
     assert {r.label for r in got} == {None, "a"}
+
+
+def test_knn_writes_in_proportion_to_its_input(spark):
+    """Points without structure, where every point meets every leaf: what the search writes follows the points, not points times leaves."""
+    import os
+
+    from ragscope.session import ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark)
+
+    def written():
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(folder) for f in names)
+
+    X = np.random.RandomState(5).normal(size=(1200, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>")
+    before = written()
+    got = NB.knn(df, "id", "v", 3, leaf_size=24).collect()
+    assert written() - before < 30 * X.nbytes
+    res = {}
+    for r in sorted(got, key=lambda r: (r.id, r["rank"])):
+        res.setdefault(r.id, []).append(r.nn_id)
+    assert res == _brute(X, list(range(len(X))), 3)
