@@ -85,3 +85,19 @@ def test_rebalanced_training(runs_sample):
     res, fitted = ML.train_binary(sp["train"], sp["val"], sp["test"], names, "is_correct", "Correctness",
                                   n_iter=3, rebalance="smoteenn")
     assert res.count() == 3 and set(fitted) == {"GBT", "GBT_weighted", "RandomForest"}
+
+
+def test_frequent_terms_leave_out_no_bigram(spark):
+    """Bigrams are counted only between words that reach the vocabulary's lowest word frequency: same terms as counting all, ties included."""
+    from collections import Counter
+
+    from ragscope.operators import text as TX
+    texts = ["red red green", "red red blue lime", "green blue green blue", None, "", "teal", "red red teal aqua lime", "aqua lime aqua lime"]
+    df = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    all_terms = Counter()
+    for t in texts:
+        w = (t or "").split()
+        all_terms.update(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    for n in (1, 3, 5, 9, 500):
+        want = sorted(all_terms.items(), key=lambda x: (-x[1], x[0]))[:n]
+        assert sorted((r["term"], r["freq"]) for r in TX.frequent_terms(df, "text", n).collect()) == sorted(want)
