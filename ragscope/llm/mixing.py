@@ -90,21 +90,32 @@ def curriculum_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ).select("row.*", "size", "source_size", "target", "positions")
 
 
+def _in_order(mixed: DataFrame) -> DataFrame:
+    """Rows of ``curriculum_mix`` as often as the mix takes them, with ``training_position`` and the number of the take (from 0),
+    range-sorted by position."""
+    return mixed.select("*", F.posexplode("positions").alias("take", "training_position")).drop("positions").orderBy("training_position")
+
+
 def curriculum_order(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each taken document as often as it is taken, range-sorted by training position.
     Columns of ``docs`` plus ``training_position``; a column of that name in ``docs`` is replaced."""
     kept = [c for c in docs.columns if c != "training_position"]
     named = docs.select(F.struct(*kept).alias("doc"), *[F.col(options.get(k, k)).alias(k) for k in ("doc_id", "text", "source")])
     mixed = curriculum_mix(named, keep=["doc"], **{k: v for k, v in options.items() if k not in ("doc_id", "text", "source")})
-    return (mixed.select("doc", F.explode("positions").alias("training_position")).select("doc.*", "training_position")
-            .orderBy("training_position"))
+    return _in_order(mixed).select("doc.*", "training_position")
 
 
 def op10_curriculum_mix(spark, sf_dir: str) -> DataFrame:
-    """All documents mixed: word sizes, targets, words taken, and the first training position (null: not taken)."""
-    mixed = curriculum_mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"),
-                        F.round(F.get("positions", F.lit(0)), 6).alias("first_position"))
+    """All documents mixed: word sizes, targets, words taken, and the first training position (null: not taken).
+
+    The mix is written in training order and read back: what is taken of a document is what the written mix has of it. Rows
+    that the mix leaves out follow. Rows of equal id are told apart by a number of their own."""
+    docs = table(spark, sf_dir, "documents")
+    mixed = materialise(curriculum_mix(docs, keep=["doc_id"]).withColumn("row_no", F.monotonically_increasing_id()), "mix-rows")
+    order = materialise(_in_order(mixed.select("row_no", "size", "positions")), "mix-order")
+    taken = order.groupBy("row_no").agg(F.sum("size").alias("taken"), F.min("training_position").alias("first"))
+    return mixed.join(taken, "row_no", "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.round("first", 6).alias("first_position"))
 
 
 OP10_SQL = r"""

@@ -423,3 +423,17 @@ def test_mix_meets_targets_within_caps(docs, empty):
     places = [r["training_position"] for r in mixing.curriculum_order(docs).collect()]
     assert places == sorted(places)
     assert mixing.curriculum_mix(empty).count() == 0
+
+
+def test_op10_counts_what_the_written_mix_holds(spark, docs, tmp_path, monkeypatch):
+    """The query's columns come from the mix in training order: what is missing there is not taken."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: tuple(str(v) for v in r)
+    whole = sorted(mixing.op10_curriculum_mix(spark, str(tmp_path)).collect(), key=key)
+    want = sorted(((r["doc_id"], len(r["positions"]) * r["size"], round(min(r["positions"]), 6) if r["positions"] else None)
+                   for r in mixing.curriculum_mix(docs).collect()), key=key)
+    assert sorted(((r["doc_id"], r["taken"], r["first_position"]) for r in whole), key=key) == want
+    order = mixing._in_order
+    monkeypatch.setattr(mixing, "_in_order", lambda mixed: order(mixed).where("take = 0"))
+    assert all(r["taken"] in (0, r["size"]) for r in mixing.op10_curriculum_mix(spark, str(tmp_path)).collect())
+    assert any(r["taken"] > r["size"] for r in whole)
