@@ -35,3 +35,31 @@ def test_vectors_equal_term_weights(spark):
     assert got == long and terms == sorted(terms)
     res, fitted = ML.train_text_classifier(vectors.join(docs, "doc_id"), "lang", F.col("doc_id") < 5, max_iter=20)
     assert {r["model"] for r in res.collect()} == {"LogReg", "LinearSVM"} and fitted["LogReg"][1] == ["a", "b"]
+
+
+def test_training_rows_are_in_few_partitions(spark):
+    """The tasks of a learner's stages follow the cores, not the files; small tables keep their partitions."""
+    cores = spark.sparkContext.defaultParallelism
+    many = ML.training_rows(spark.range(5000).repartition(40 * cores), 2)
+    assert many.rdd.getNumPartitions() == 2 * cores and many.count() == 5000
+    assert ML.training_rows(spark.range(10).repartition(2)).rdd.getNumPartitions() == 2
+
+
+def test_isotonic_learner_gets_a_row_per_score(spark, monkeypatch):
+    """Equal scores are one weighted point; the curve is that of the rows, rows without a label left out."""
+    rows = [(float(y), s / 4) for s, ys in enumerate(([0, 0, 1], [1, 0], [0, 0, 0, 1], [1, 1], [1])) for y in ys] + [(None, 0.3)]
+    df = spark.createDataFrame(rows, "y double, p1 double")
+    seen, learner = [], ML.IsotonicRegression
+
+    class Watched:
+        def __init__(self, **kw):
+            self.inner = learner(**kw)
+
+        def fit(self, points):
+            seen.append(points.count())
+            return self.inner.fit(points)
+
+    monkeypatch.setattr(ML, "IsotonicRegression", Watched)
+    got = {r["p1"]: r["p_cal"] for r in ML.isotonic_calibrator(df, "y").transform(df.select("p1").distinct()).collect() if r["p1"] != 0.3}
+    assert seen == [5]
+    assert got == pytest.approx({0.0: 1 / 3, 0.25: 1 / 3, 0.5: 1 / 3, 0.75: 1.0, 1.0: 1.0})
