@@ -127,9 +127,8 @@ def _features(k: int):
             has = count > 0
             classes = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) if x else None
                        for t, x in zip(texts.cast(pa.binary()).to_pylist(), has.tolist())]
-            band = bands(sig).view(np.int64)
-            short = np.concatenate([(sig & 255).astype(np.uint8), bins(doc, value), band.view(np.uint8).reshape(len(sig), -1)], 1)
-            keys, low, at = iter(band), iter(short), has.tolist()
+            short = np.concatenate([(sig & 255).astype(np.uint8), bins(doc, value)], 1)
+            keys, low, at = iter(bands(sig).view(np.int64)), iter(short), has.tolist()
             yield pa.record_batch([
                 batch.column("doc_id"), pa.array(classes, pa.binary()), pa.array(count, pa.int64()),
                 pa.array([next(keys) if x else None for x in at], pa.list_(pa.int64())),
@@ -222,7 +221,7 @@ def _across(percent: int, clear: bool):
         def emit(rows):
             block, ids, label, n = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
             data = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
-            sig, least, keys = data[:, :COORDINATES], data[:, COORDINATES: COORDINATES + BINS], np.ascontiguousarray(data[:, COORDINATES + BINS:]).view(np.int64)
+            sig, least, keys = data[:, :COORDINATES], data[:, COORDINATES:], np.stack([r[-1] for r in rows])
             sets = [] if clear else [np.frombuffer(r[8], np.uint64) for r in rows]
 
             def similar(i: int, j: int) -> bool:
@@ -235,7 +234,8 @@ def _across(percent: int, clear: bool):
 
         held: list[tuple] = []
         for batch in batches:  # rows come sorted by bucket and blocks
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
+            keys = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+            for row in zip(*[c.to_pylist() for c in batch.drop_columns("bands").columns], keys):
                 if held and held[0][:3] != row[:3]:
                     yield emit(held)
                     held = []
@@ -245,6 +245,16 @@ def _across(percent: int, clear: bool):
     return run
 
 
+def _first_of_equal(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """Of buckets with the same members the one of the first band. A pair is looked at in the first bucket that it shares, so
+    the others have nothing to add. Buckets with an id of several texts all stay, as its texts are not told apart here."""
+    several = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    named = members.join(several, "rep", "left").groupBy("bucket").agg(
+        F.min("band").alias("band"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("name"),
+        F.max(F.when(F.col("texts") > 1, F.col("bucket"))).alias("own"))
+    return named.groupBy("size", "name", "own").agg(F.min_by("bucket", "band").alias("bucket")).select("bucket")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ``n_shingles``, ``component_id`` (smallest doc_id reached over links) and ``kept`` for every row.
 
@@ -262,13 +272,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     parts = classes.where("copies > 1").select("class", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
     of_doc = materialise(per.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(parts, ["class", "part"])
                          .where("doc_id <> rep").select("rep", "doc_id").distinct(), "classes")
-    reps = materialise(per.join(classes.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"]).dropDuplicates(["class", "doc_id"])
-                       .select(F.col("doc_id").alias("rep"), "n", "bands", "sig"), "representatives")
 
-    keyed = reps.select("rep", "n", F.explode("bands").alias("bucket"))
+    def representatives(chosen: DataFrame, *columns: str) -> DataFrame:
+        """Of each class that is chosen, columns of one row of its representative."""
+        return materialise(per.select("class", "doc_id", *columns).join(chosen.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"])
+                           .dropDuplicates(["class", "doc_id"]).drop("class").withColumnRenamed("doc_id", "rep"), "representatives")
+
+    reps = representatives(classes, "n", "bands")
+    keyed = reps.select("rep", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = (keyed.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("members"))
               .where("lo.rep < hi").select("bucket", F.col("lo.rep").alias("a"), F.col("lo.n").alias("na"), "members"))
-    members = materialise(keyed.join(shared, "bucket"), "buckets")
+    everyone = materialise(keyed.join(shared, "bucket"), "buckets")
+    members = materialise(everyone.join(_first_of_equal(everyone, reps), "bucket").drop("band"), "members")
+    sigs = representatives(classes.join(members.select("rep").distinct(), "rep"), "sig", "bands")  # the sketches that are compared
     texts = materialise(rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
                         .select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("copy"))
                         .dropDuplicates(["rep", "copy"]).drop("copy"), "candidates")
@@ -281,7 +297,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     fits = F.lit(100) * F.least("n", "na") >= F.lit(percent) * F.greatest("n", "na")
     stars = members.where((F.col("rep") != F.col("a")) & fits).groupBy(F.col("rep").alias("b")).agg(F.min("a").alias("a"))
     links = confirm(stars)
-    made = [per, of_doc, reps, members, texts, links]
+    made = [per, of_doc, reps, everyone, members, sigs, texts, links]
 
     def labelled() -> DataFrame:
         """Members of buckets with the component that they belong to so far."""
@@ -295,7 +311,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         made.append(confirm(pairs))
         return links.union(made[-1])
 
-    sigs, block = reps.select("rep", "sig"), ["bucket", "c1", "c2", "block", "rep", "label", "n", "sig"]
+    block = ["bucket", "c1", "c2", "block", "rep", "label", "n", "sig"]
     for turn in range(TURNS):
         rows_of = labelled()
         mixed = rows_of.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
@@ -303,7 +319,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         order = F.struct(F.col("members") if turn == 0 else F.xxhash64("bucket", F.lit(turn)), "bucket")
         chosen = (rows_of.join(mixed, "bucket").groupBy("rep").agg(F.max_by(F.struct("bucket", "members", "label", "n"), order).alias("it")).select("rep", "it.*"))
         dealt = F.pmod(F.xxhash64("rep", "bucket", F.lit(turn)), F.ceil(F.col("members") / BLOCK)).cast("int")
-        links = compared(chosen.join(sigs, "rep").withColumns({"block": dealt, "c1": dealt, "c2": dealt}).select(*block), True)
+        links = compared(chosen.join(sigs, "rep").withColumns({"block": dealt, "c1": dealt, "c2": dealt}).select(*block, "bands"), True)
 
     rows_of = labelled()
     largest = F.struct("members", "label")
@@ -319,7 +335,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     sets = (texts.join(open_.select("rep").distinct(), "rep").select("rep", F.col("text").cast("string").alias("text"))
             .mapInArrow(_sets(k), "rep long, set binary"))
     links = compared(open_.join(sigs.join(sets, "rep"), "rep").withColumn("other", F.explode(F.sequence("first", end)))
-                     .withColumns({"c1": F.least("block", "other"), "c2": F.greatest("block", "other")}).select(*block, "set"), False)
+                     .withColumns({"c1": F.least("block", "other"), "c2": F.greatest("block", "other")}).select(*block, "set", "bands"), False)
     final = components(links.union(of_doc))
     done = materialise(per.select("doc_id", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

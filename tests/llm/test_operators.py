@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -437,3 +439,30 @@ def test_op10_counts_what_the_written_mix_holds(spark, docs, tmp_path, monkeypat
     monkeypatch.setattr(mixing, "_in_order", lambda mixed: order(mixed).where("take = 0"))
     assert all(r["taken"] in (0, r["size"]) for r in mixing.op10_curriculum_mix(spark, str(tmp_path)).collect())
     assert any(r["taken"] > r["size"] for r in whole)
+
+
+def test_buckets_of_the_same_members_are_compared_once(spark):
+    # buckets 10 and 30 have the same members; 20 has another; 40 and 50 have an id with two texts, which may differ between them
+    held = {10: [1, 2, 3], 30: [1, 2, 3], 20: [1, 2, 4], 40: [2, 5], 50: [2, 5]}
+    band = {10: 7, 30: 2, 20: 0, 40: 1, 50: 3}
+    members = spark.createDataFrame([(r, b, band[b]) for b, reps in held.items() for r in reps], "rep long, bucket long, band int")
+    reps = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,), (5,)], "rep long")
+    assert sorted(r["bucket"] for r in minhash._first_of_equal(members, reps).collect()) == [20, 30, 40, 50]
+
+
+def test_only_sketches_that_are_compared_are_kept(spark, monkeypatch):
+    wide = []
+    keep = minhash.materialise
+
+    def watch(df, label):
+        out = keep(df, label)
+        if label == "representatives" and "sig" in out.columns:
+            wide.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialise", watch)
+    texts = [_prose(i, 60) for i in range(20)] + [_prose(0, 59) + " other"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, k=2).collect()}
+    assert out == {i: i for i in range(20)} | {20: 0}
+    assert wide == [2]
