@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragscope.llm import decontaminate, licenses, minhash, mixing, pii, quality, secrets, sharding, suffix_dedup, token_output
-from ragscope.llm.common import shared_path
+from ragscope.llm.common import BATCH_BYTES, shared_path, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, row int, label string, k int"
 
@@ -466,3 +466,22 @@ def test_only_sketches_that_are_compared_are_kept(spark, monkeypatch):
     out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, k=2).collect()}
     assert out == {i: i for i in range(20)} | {20: 0}
     assert wide == [2]
+
+
+def test_arrow_batches_are_bounded(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.createDataFrame([(i, "x" * 20_000) for i in range(1_000)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+    try:
+        spark.conf.unset(name)
+        docs = table(spark, str(tmp_path), "documents")
+        assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < 2 * BATCH_BYTES
+        spark.conf.set(name, "8m")  # a session's own bound holds
+        table(spark, str(tmp_path), "documents")
+        assert spark.conf.get(name) == "8m"
+    finally:
+        spark.conf.unset(name)
