@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 from .words import chunks, mix, slices, words_of
 
-FEATURES = 1 << 14
+FEATURES = 1 << 14  # a power of two
 BLOCK = 16
 RANK, OVERSAMPLE = 48, 8
 SEED = 7
@@ -44,6 +44,7 @@ STRIP = 256
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’„…–—"
 _ANSWER = re.compile(r"(?i)(?:^|\s)(?:answer|a)\s*:")
 _PIECE = 1 << 20
+_WORDS = 1 << 12
 
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
@@ -52,18 +53,25 @@ _POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64), dtype=np.u
 
 def _normal_hashes(distinct: pa.Array) -> np.ndarray:
     """64-bit hashes of lower-cased words without edge punctuation; 0 where nothing is left."""
-    words = pc.utf8_trim(pc.utf8_lower(distinct), characters=_EDGE).cast(pa.binary())
-    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
+    words = pc.utf8_trim(pc.utf8_lower(distinct), characters=_EDGE)
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset: words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    size = np.diff(offsets)
+    data = np.frombuffer(data or b"", np.uint8)[offsets[0]: offsets[-1]]
     start = np.cumsum(size) - size
-    within = np.arange(len(data)) - np.repeat(start, size)
-    value = _BYTES[data]
-    if size.max(initial=0) > len(_POWERS):  # the powers start again, with other values
-        value = mix(data.astype(np.uint64) + np.uint64(1) + np.uint64(257) * (within >> 16).astype(np.uint64))
-    out, some = np.zeros(len(size), np.uint64), size > 0
-    if some.any():
-        sums = np.add.reduceat(value * _POWERS[within & 0xFFFF], start[some])
-        out[some] = mix(sums) | np.uint64(1)
+    out = np.zeros(len(size), np.uint64)
+    for i in range(0, len(size), _WORDS):  # few enough to stay in the cache
+        part, first = size[i: i + _WORDS], start[i: i + _WORDS]
+        some, piece = part > 0, data[first[0]: first[-1] + part[-1]]
+        if not some.any():
+            continue
+        within = np.arange(len(piece)) - np.repeat(first - first[0], part)
+        value = _BYTES[piece]
+        if part.max() > len(_POWERS):  # in such a word the powers start again, with other values
+            far = np.flatnonzero(np.repeat(part > len(_POWERS), part))
+            value[far] = mix(piece[far].astype(np.uint64) + np.uint64(1) + np.uint64(257) * (within[far] >> 16).astype(np.uint64))
+        value *= _POWERS[within & 0xFFFF]
+        out[i: i + _WORDS][some] = mix(np.add.reduceat(value, first[some] - first[0])) | np.uint64(1)
     return out
 
 
@@ -88,13 +96,15 @@ def hashes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[real], np.bincount(w.doc[real], minlength=len(texts))
 
 
-def blocks_of(h: np.ndarray, count: np.ndarray, size: int = BLOCK) -> Blocks:
-    doc = np.repeat(np.arange(len(count)), count)
-    first = np.cumsum(count) - count
-    within = np.arange(len(h)) - np.repeat(first, count)
-    start = np.flatnonzero(within % size == 0)
-    block = np.cumsum(within % size == 0) - 1
-    return Blocks(h, (mix(h) % np.uint64(FEATURES)).astype(np.int64), block, start, doc[start], first, count, size)
+def blocks_of(h: np.ndarray, count: np.ndarray, size: int = BLOCK, feature: np.ndarray | None = None) -> Blocks:
+    """Blocks of ``size`` words; features are worked out where they are not given."""
+    first, blocks = np.cumsum(count) - count, -(-count // size)
+    doc = np.repeat(np.arange(len(count)), blocks)
+    start = first[doc] + size * (np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    block = np.repeat(np.arange(len(start)), np.diff(start, append=len(h)))
+    if feature is None:
+        feature = (mix(h) & np.uint64(FEATURES - 1)).astype(np.int64)
+    return Blocks(h, feature, block, start, doc, first, count, size)
 
 
 def word_table(docs: DataFrame) -> DataFrame:
@@ -190,10 +200,10 @@ def latent_space(words: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
             y = _block_sums(b, w, random)
             order = np.argsort(b.feature.astype(np.uint16), kind="stable")
             f, block, w = b.feature[order], b.block[order], w[order, None]
-            for i in range(0, len(f), 4096):  # few enough to stay in the cache
-                part = f[i: i + 4096]
+            for i in range(0, len(f), 1024):  # few enough to stay in the cache
+                part = f[i: i + 1024]
                 at = np.flatnonzero(np.diff(part, prepend=-1))
-                total[part[at]] += np.add.reduceat(y[block[i: i + 4096]] * w[i: i + 4096], at)
+                total[part[at]] += np.add.reduceat(y[block[i: i + 1024]] * w[i: i + 1024], at)
         if total.any():
             strips = [total[i: i + STRIP].tobytes() for i in range(0, FEATURES, STRIP)]
             yield pa.record_batch([pa.array(range(len(strips)), pa.int32()), pa.array(strips, pa.binary())], names=["strip", "part"])
@@ -298,20 +308,23 @@ def _scanner(space: np.ndarray, idf: np.ndarray, items: list[Item], near: float
         (in_a_row.setdefault(n, []) if n < SHORT else by_half.setdefault(passage_words(n) // 2, [])).append(k)
 
     def targets(half: int) -> tuple[np.ndarray, ...]:
-        """Items of one passage length, their latent directions, IDF of their words by feature, the least that a passage and
-        half a passage to either side of it have where ``overlap`` of the words are there, and the cosine limit."""
+        """Items of one passage length, their latent directions, the number of each feature among those of the items' words
+        (0: none of them), IDF of an item's words by that number, the least that a passage and half a passage to either side
+        of it have where ``overlap`` of the words are there, and the cosine limit."""
         of = np.array(by_half[half])
-        target, weight, least = [], np.zeros((len(of), FEATURES + 1), np.float32), []
-        for row, k in enumerate(of.tolist()):
-            words = np.array(items[k].words, np.uint64)
-            feature = (mix(words) % np.uint64(FEATURES)).astype(np.int64)
+        features = [(mix(np.array(items[k].words, np.uint64)) & np.uint64(FEATURES - 1)).astype(np.int64) for k in of.tolist()]
+        known = np.unique(np.concatenate(features))
+        number = np.zeros(FEATURES + 1, np.int64)
+        number[known] = np.arange(1, len(known) + 1)
+        target, weight, least = [], np.zeros((len(of), len(known) + 1), np.float32), []
+        for row, feature in enumerate(features):
             target.append(space[feature].sum(0))
-            weight[row, feature] = idf[feature]
-            least.append(np.sort(idf[feature])[: ceil(overlap * len(words))].sum())
+            weight[row, number[feature]] = idf[feature]
+            least.append(np.sort(idf[feature])[: ceil(overlap * len(feature))].sum())
         target = np.stack(target)
         target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-9)
         limit = near if near is not None else NEAR.get(2 * half, NEAR[max(NEAR)])
-        return of, target, weight.ravel(), 0.999 * np.array(least, np.float32), limit
+        return of, target, number, weight, 0.999 * np.array(least, np.float32), limit
 
     classes = {half: targets(half) for half in sorted(by_half)}
 
@@ -344,15 +357,14 @@ def _scanner(space: np.ndarray, idf: np.ndarray, items: list[Item], near: float
                 for k in ks[names == name[at]].tolist():
                     confirm(doc, k, at, at + n)
         latent, finer = None, None
-        for half, (of, target, weight, least, limit) in classes.items():
-            c = blocks_of(b.hash, b.count, half)
+        for half, (of, target, number, weight, least, limit) in classes.items():
+            c = blocks_of(b.hash, b.count, half, b.feature)
             if latent is None:
                 latent = _block_sums(c, np.ones(len(c.feature), np.float32), space)
             else:
                 latent = np.add.reduceat(latent, np.flatnonzero(np.diff(c.block[finer.start], prepend=-1)))
             finer = c
-            blank = np.full((1, half), FEATURES)  # FEATURES: no word, no weight
-            feature = np.concatenate([_rows(c, c.feature, FEATURES), blank]).T.copy()
+            numbers = np.concatenate([_rows(c, number[c.feature], 0), np.zeros((1, half), np.int64)]).T.copy()  # 0: no weight
             pair = np.flatnonzero(c.doc[1:] == c.doc[:-1])  # a passage is a block and the next one of its text
             after = np.full(len(c.start) + 1, len(c.start))
             before = after.copy()
@@ -361,12 +373,14 @@ def _scanner(space: np.ndarray, idf: np.ndarray, items: list[Item], near: float
             passage[pair] += latent[pair + 1]
             passage /= np.maximum(np.linalg.norm(passage, axis=1, keepdims=True), 1e-9)
             for i in range(0, len(passage), 1 << 14):
-                near_p, near_k = np.nonzero(passage[i: i + (1 << 14)] @ target.T >= limit)
+                near_k, near_p = np.nonzero((passage[i: i + (1 << 14)] @ target.T >= limit).T)  # by item, whose few weights stay in the cache
                 near_p += i
-                held, row = np.zeros(len(near_p), np.float32), near_k * (FEATURES + 1)
-                for there in (before[near_p], near_p, after[near_p], after[after[near_p]]):
-                    for j in range(half):
-                        held += weight.take(row + feature[j].take(there))
+                held, edge = np.zeros(len(near_p), np.float32), np.searchsorted(near_k, np.arange(len(of) + 1)).tolist()
+                for k in range(len(of)):
+                    own = slice(edge[k], edge[k + 1])
+                    p = near_p[own]
+                    there = np.concatenate([before[p], p, after[p], after[after[p]]])
+                    held[own] = weight[k].take(numbers.take(there, axis=1)).sum(0).reshape(4, -1).sum(0)
                 shared = held >= least[near_k]
                 for p, k in zip(near_p[shared].tolist(), of[near_k[shared]].tolist()):
                     confirm(int(c.doc[p]), k, int(c.start[p]), int(c.start[p]) + 2 * half)

@@ -485,3 +485,20 @@ def test_arrow_batches_are_bounded(spark, tmp_path):
         assert spark.conf.get(name) == "8m"
     finally:
         spark.conf.unset(name)
+
+
+def test_a_very_long_word_leaves_the_hashes_of_others():
+    words = ["river,", "", "...", "Bank"]
+    alone = decontaminate._normal_hashes(pa.array(words))
+    assert alone[0] == decontaminate._normal_hashes(pa.array(["River"]))[0] and not alone[1:3].any()
+    beside = decontaminate._normal_hashes(pa.array(["y" * 70_000, "z" * 70_000, *words]))
+    assert beside[2:].tolist() == alone.tolist() and beside[0] != beside[1]
+    assert not len(decontaminate._normal_hashes(pa.array([], pa.string())))
+
+
+def test_blocks_cut_each_text():
+    count = np.array([0, 5, 0, 8, 1, 0])
+    b = decontaminate.blocks_of(np.arange(14, dtype=np.uint64), count, 4)
+    assert b.start.tolist() == [0, 4, 5, 9, 13] and b.doc.tolist() == [1, 1, 3, 3, 4]
+    assert b.block.tolist() == [0] * 4 + [1] + [2] * 4 + [3] * 4 + [4]
+    assert decontaminate.blocks_of(np.arange(14, dtype=np.uint64), count, 4, np.arange(14)).feature.tolist() == list(range(14))
