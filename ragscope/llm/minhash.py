@@ -9,10 +9,10 @@ All pairs of a band's bucket are never emitted. Equal texts are one class from t
 compared with the smallest class that it shares a bucket with. Then large groups are united: in two turns each class goes
 into one block of one of its open buckets, and a spanning forest of the pairs there that look clearly similar is confirmed,
 one pair per member at most. In buckets that still hold several components, all pairs across components are then
-compared: the members of the largest component are sent to blocks of the others only, never to each other. Pairs whose
-estimates leave the threshold possible are counted on their whole sets of shingle hashes within the block, and a forest
-of those that hold leaves it. The second estimate is from the least shingles of hash bins, a sample of the union without
-repetition and so sharp for short texts.
+compared: the members of the largest component are sent to blocks of the others only, never to each other. First
+sketches alone tell which members have a pair whose estimates leave the threshold possible; few do, and only these bring their
+whole sets of shingle hashes to the block, where their pairs are counted and a forest of those that hold leaves it. The second
+estimate is from the least shingles of hash bins, a sample of the union without repetition and so sharp for short texts.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ TEXTS = 2048
 SLICES = 1 << 14
 #: Parts into which the copies of one text are dealt when they look up their representative.
 SALTS = 16
+#: So many ids whose texts are looked up are sent to all tasks, 8 bytes each; more meet the texts in a shuffled join.
+LOOKED_UP = 1 << 20
 SEED = 20_240_601
 
 
@@ -184,12 +186,16 @@ def _forest(label: np.ndarray, pairs: Iterator[tuple[int, int]], holds: Callable
             yield i, j
 
 
-def _across(percent: int, clear: bool):
+MEMBER = "bucket long, c1 int, c2 int, block int, rep long, label long, n long"
+
+
+def _across(percent: int, step: str):
     """A forest that links the components of one block, or of two blocks of a bucket.
 
-    clear: by pairs that look clearly similar. Otherwise by pairs that are similar on their whole sets; a pair is looked
-    at in the first bucket that it shares.
+    clear: by pairs that look clearly similar. similar: by pairs that are similar on their whole sets; a pair is looked at in
+    the first bucket that it shares. possible: no forest, but the members of all pairs that ``similar`` would look at.
     """
+    clear = step == "clear"
     need = (percent / 100 + (CLEAR if clear else -SLACK)) * COORDINATES
 
     def possible(n1: int, n2: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -222,13 +228,17 @@ def _across(percent: int, clear: bool):
             block, ids, label, n = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
             data = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
             sig, least, keys = data[:, :COORDINATES], data[:, COORDINATES:], np.stack([r[-1] for r in rows])
-            sets = [] if clear else [np.frombuffer(r[8], np.uint64) for r in rows]
+            sets = [np.frombuffer(r[8], np.uint64) for r in rows] if step == "similar" else []
 
             def similar(i: int, j: int) -> bool:
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 return 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)
 
             looks = pairs(*rows[0][:3], block, label, n, sig, least, keys)
+            if step == "possible":
+                seen = list({rows[x][:7]: 0 for pair in looks for x in pair})
+                return pa.record_batch([pa.array([r[i] for r in seen], pa.int32() if 1 <= i <= 3 else pa.int64()) for i in range(7)],
+                                       names=[c.split()[0] for c in MEMBER.split(", ")])
             found = [(int(ids[i]), int(ids[j])) for i, j in _forest(label, looks, (lambda i, j: True) if clear else similar)]
             return pa.record_batch([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
 
@@ -262,10 +272,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     nothing. Rows with a null id are linked with nothing, have a null component and are kept. Rows of one id are one
     node: with equal texts they get the same result, with different texts they are linked through their id. An empty table gives
     an empty result. Other columns are ignored. A text of any length is one row of its shingles' bounded sketch; its whole
-    set is built where a pair is confirmed. Tables that are written on the way are deleted at the end.
+    set is built where a pair is confirmed. ``docs`` is read for the sketches, and again where texts are looked up. Tables that are
+    written on the way are deleted when nothing reads them any more.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     per = materialise(rows.mapInArrow(_features(k), FEATURES), "minhash")
+    counts = materialise(per.select("doc_id", "n"), "counts")  # all that is left of the sketches at the end
     classes = (per.where("class is not null and doc_id is not null").groupBy("class")
                .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     # The copies of one text may be any share of all rows: each looks up its representative in one of several parts.
@@ -285,19 +297,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     everyone = materialise(keyed.join(shared, "bucket"), "buckets")
     members = materialise(everyone.join(_first_of_equal(everyone, reps), "bucket").drop("band"), "members")
     sigs = representatives(classes.join(members.select("rep").distinct(), "rep"), "sig", "bands")  # the sketches that are compared
-    texts = materialise(rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-                        .select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("copy"))
-                        .dropDuplicates(["rep", "copy"]).drop("copy"), "candidates")
+    for df in [per, reps, everyone]:
+        discard(df)
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """rep, text of the distinct texts of some ids. Few ids go to the texts, so that the other texts are not shuffled."""
+        ids = materialise(ids.distinct(), "ids")
+        few = ids.limit(LOOKED_UP + 1).count() <= LOOKED_UP
+        texts = materialise(rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("rep"))
+                            .select("rep", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("copy"))
+                            .dropDuplicates(["rep", "copy"]).drop("copy"), "candidates")
+        discard(ids)
+        return texts
 
     def confirm(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "pairs")
+        texts = texts_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")))
         left, right = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-        return materialise(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-                           .mapInArrow(_confirm(k, percent), "a long, b long"), "links")
+        found = materialise(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+                            .mapInArrow(_confirm(k, percent), "a long, b long"), "links")
+        discard(pairs)
+        discard(texts)
+        return found
 
     fits = F.lit(100) * F.least("n", "na") >= F.lit(percent) * F.greatest("n", "na")
     stars = members.where((F.col("rep") != F.col("a")) & fits).groupBy(F.col("rep").alias("b")).agg(F.min("a").alias("a"))
     links = confirm(stars)
-    made = [per, of_doc, reps, everyone, members, sigs, texts, links]
+    made = [counts, of_doc, members, sigs, links]
 
     def labelled() -> DataFrame:
         """Members of buckets with the component that they belong to so far."""
@@ -305,10 +331,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         made.append(labels)
         return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
 
-    def compared(blocks: DataFrame, clear: bool) -> DataFrame:
-        pairs = (blocks.repartition("bucket", "c1", "c2").sortWithinPartitions("bucket", "c1", "c2")
-                 .mapInArrow(_across(percent, clear), "a long, b long").distinct())
-        made.append(confirm(pairs))
+    def compared(blocks: DataFrame, step: str, out: str) -> DataFrame:
+        return (blocks.repartition("bucket", "c1", "c2").sortWithinPartitions("bucket", "c1", "c2")
+                .mapInArrow(_across(percent, step), out))
+
+    def linked(blocks: DataFrame, step: str) -> DataFrame:
+        made.append(confirm(compared(blocks, step, "a long, b long").distinct()))
         return links.union(made[-1])
 
     block = ["bucket", "c1", "c2", "block", "rep", "label", "n", "sig"]
@@ -319,7 +347,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         order = F.struct(F.col("members") if turn == 0 else F.xxhash64("bucket", F.lit(turn)), "bucket")
         chosen = (rows_of.join(mixed, "bucket").groupBy("rep").agg(F.max_by(F.struct("bucket", "members", "label", "n"), order).alias("it")).select("rep", "it.*"))
         dealt = F.pmod(F.xxhash64("rep", "bucket", F.lit(turn)), F.ceil(F.col("members") / BLOCK)).cast("int")
-        links = compared(chosen.join(sigs, "rep").withColumns({"block": dealt, "c1": dealt, "c2": dealt}).select(*block, "bands"), True)
+        links = linked(chosen.join(sigs, "rep").withColumns({"block": dealt, "c1": dealt, "c2": dealt}).select(*block, "bands"), "clear")
 
     rows_of = labelled()
     largest = F.struct("members", "label")
@@ -332,12 +360,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     open_ = (rows_of.drop("members").join(sizes, "bucket")
              .withColumn("block", F.when(inside, F.pmod(key, "big")).otherwise(F.col("big") + F.pmod(key, "small")).cast("int"))
              .withColumn("first", F.when(inside, F.col("big")).otherwise(0)))
-    sets = (texts.join(open_.select("rep").distinct(), "rep").select("rep", F.col("text").cast("string").alias("text"))
-            .mapInArrow(_sets(k), "rep long, set binary"))
-    links = compared(open_.join(sigs.join(sets, "rep"), "rep").withColumn("other", F.explode(F.sequence("first", end)))
-                     .withColumns({"c1": F.least("block", "other"), "c2": F.greatest("block", "other")}).select(*block, "set", "bands"), False)
+    possible = materialise(compared(open_.join(sigs, "rep").withColumn("other", F.explode(F.sequence("first", end)))
+                                    .withColumns({"c1": F.least("block", "other"), "c2": F.greatest("block", "other")})
+                                    .select(*block, "bands"), "possible", MEMBER), "possible")
+    texts = texts_of(possible.select("rep"))
+    sets = materialise(texts.select("rep", F.col("text").cast("string").alias("text")).mapInArrow(_sets(k), "rep long, set binary"), "sets")
+    discard(texts)
+    links = linked(possible.join(sigs, "rep").join(sets, "rep").select(*block, "set", "bands"), "similar")
+    made += [possible, sets]
     final = components(links.union(of_doc))
-    done = materialise(per.select("doc_id", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    done = materialise(counts.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
     for df in [*made, final]:

@@ -468,6 +468,38 @@ def test_only_sketches_that_are_compared_are_kept(spark, monkeypatch):
     assert wide == [2]
 
 
+def test_only_texts_that_are_compared_are_looked_up(spark, monkeypatch):
+    """Halves of texts share buckets with them, but can't reach the threshold by their sizes."""
+    seen, open_ = set(), []
+    keep = minhash.materialise
+
+    def watch(df, label):
+        out = keep(df, label)
+        if label == "candidates":
+            seen.update(r["rep"] for r in out.collect())
+        elif label == "members":
+            open_.append(out.select("rep").distinct().count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialise", watch)
+    whole = [_prose(i, 120) for i in range(10)]
+    texts = whole + [" ".join(t.split()[:62]) for t in whole] + [" ".join(whole[0].split()[:119]) + " other"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, k=2).collect()}
+    assert out == {i: i for i in range(20)} | {20: 0}
+    assert open_[0] > 4 and seen == {0, 20}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = files()
+    out = minhash.materialise(spark.range(1_000).repartition(4).groupBy((F.col("id") % 7).alias("g")).count(), "test")
+    assert not files() - before
+    assert out.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    minhash.discard(out)
+
+
 def test_arrow_batches_are_bounded(spark, tmp_path):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     spark.createDataFrame([(i, "x" * 20_000) for i in range(1_000)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
