@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragscope.llm.common import discard, materialise, table
+from ragscope.llm.common import discard, few, materialise, table
 from ragscope.llm.decontaminate import without_contaminated
 from ragscope.llm.minhash import near_duplicates
 from ragscope.llm.mixing import curriculum_order
@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without an id are kept; of rows that share id and text, all are kept or none."""
     gone = near_duplicates(docs, k=5).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(few(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, few, materialise, table
 from .words import chunks, mix, slices, words_of
 
 FEATURES = 1 << 14  # a power of two
@@ -428,9 +428,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, near: float | None = Non
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, near: float | None = None, overlap: float = OVERLAP) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, with all their columns. Equal texts are judged alike, so
-    that rows leave by their text's digest, whatever their ids; rows without a text stay."""
-    gone = _matches(docs, benchmark, near, overlap).select("digest").distinct()
-    return docs.join(gone, F.md5(docs["text"]) == gone["digest"], "left_anti")
+    that rows leave by their text's digest, whatever their ids; rows without a text stay. The words of all texts are deleted
+    once the digests are written."""
+    found = _matches(docs, benchmark, near, overlap)
+    gone = materialise(found.select("digest").distinct(), "contaminated")
+    discard(found)
+    return docs.join(few(gone), F.md5(docs["text"]) == gone["digest"], "left_anti")
 
 
 def op9_latent_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, table
+from .common import discard, few, materialise, table
 from .components import components
 from .words import chunks, mix, word_hashes, words_of
 
@@ -51,8 +51,6 @@ TEXTS = 2048
 SLICES = 1 << 14
 #: Parts into which the copies of one text are dealt when they look up their representative.
 SALTS = 16
-#: So many ids whose texts are looked up are sent to all tasks, 8 bytes each; more meet the texts in a shuffled join.
-LOOKED_UP = 1 << 20
 SEED = 20_240_601
 
 
@@ -303,8 +301,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     def texts_of(ids: DataFrame) -> DataFrame:
         """rep, text of the distinct texts of some ids. Few ids go to the texts, so that the other texts are not shuffled."""
         ids = materialise(ids.distinct(), "ids")
-        few = ids.limit(LOOKED_UP + 1).count() <= LOOKED_UP
-        texts = materialise(rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("rep"))
+        texts = materialise(rows.join(few(ids), F.col("doc_id") == F.col("rep"))
                             .select("rep", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("copy"))
                             .dropDuplicates(["rep", "copy"]).drop("copy"), "candidates")
         discard(ids)

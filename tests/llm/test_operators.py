@@ -500,6 +500,28 @@ def test_written_tables_leave_no_shuffle_files(spark):
     minhash.discard(out)
 
 
+def test_rows_that_leave_by_few_keys_are_not_shuffled(spark, monkeypatch):
+    import corpus_pipeline
+    text = _prose(3, 60)
+    rows = [(0, text), (1, text), (2, _prose(4, 60)), (None, text), (4, None), *((100 + i, _prose(100 + i, 60)) for i in range(40))]
+    docs, more = spark.createDataFrame(rows, "doc_id long, text string"), set(range(100, 140))
+    items = spark.createDataFrame([(7, " ".join(_prose(4, 60).split()[10:40]))], "item_id long, text string")
+    written, keep = [], decontaminate.materialise
+    monkeypatch.setattr(decontaminate, "materialise", lambda df, label: written.append((label, keep(df, label))) or written[-1][1])
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out, want in ((corpus_pipeline.near_dedup(spark, docs, ""), {None, 0, 2, 4}), (decontaminate.without_contaminated(docs, items), {None, 0, 1, 4})):
+            assert {r["doc_id"] for r in out.collect()} == want | more
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    words = next(df for label, df in written if label == "words")
+    with pytest.raises(Exception, match="(?i)not exist|not found|no such file"):
+        words.collect()
+
+
 def test_arrow_batches_are_bounded(spark, tmp_path):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     spark.createDataFrame([(i, "x" * 20_000) for i in range(1_000)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
